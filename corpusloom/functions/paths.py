@@ -85,10 +85,12 @@ def exclude_literal(path: Column, patterns: Sequence[str], match: str = "substri
     ``match="segment"`` asks for whole path segments instead, so that ``log`` leaves
     ``blog/`` alone.
     """
-    literals = [p for p in patterns if "*" not in p]
-    if match == "segment":
-        return contains_any(F.concat(F.lit("/"), path, F.lit("/")), [f"/{p}/" for p in literals])
-    return contains_any(path, literals)
+    literals = [re.escape(p) for p in patterns if "*" not in p]
+    if not literals:
+        return F.lit(False)
+    # one search for all literals, so that a pushed-down filter computes the path once
+    anywhere = "|".join(literals)
+    return path.rlike(rf"(?:\A|/)(?:{anywhere})(?:/|\z)" if match == "segment" else anywhere)
 
 
 def glob_regex(pattern: str) -> str:

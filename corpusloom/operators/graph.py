@@ -97,13 +97,13 @@ def project_metrics(records: DataFrame) -> DataFrame:
     return totals.join(links, "project", "left").fillna(0, ["db_connections", "api_connections"])
 
 
-def index_components(records: DataFrame, levels: int = 1) -> DataFrame:
+def index_components(records: DataFrame, levels: int = 2) -> DataFrame:
     """(project, idx, file_id, name, type) with components numbered from 1."""
     numbered = ordinal(records.select("project", "file_id", "name", "type"), ["project"], "file_id", levels=levels)
     return numbered.withColumn("idx", F.col("ord") + 1).drop("ord")
 
 
-def index_entries(records: DataFrame, levels: int = 1) -> DataFrame:
+def index_entries(records: DataFrame, levels: int = 2) -> DataFrame:
     """Entry points numbered from 1 in file order."""
     entries = records.filter("is_entry").select("project", "file_id", "name", F.col("relative_path").alias("file"))
     return ordinal(entries, ["project"], "file_id", levels=levels).withColumn("idx", F.col("ord") + 1).drop("ord")
@@ -190,7 +190,7 @@ def _function_rows(records: DataFrame, components: DataFrame) -> DataFrame:
     )
 
 
-def graph_lines(records: DataFrame, levels: int = 1) -> DataFrame:
+def graph_lines(records: DataFrame, levels: int = 2) -> DataFrame:
     """The diagram as lines; (section, i, j, k) is their order within a project."""
     components, entries = index_components(records, levels), index_entries(records, levels)
     comp = F.concat(F.lit("    COMP"), F.col("idx"))

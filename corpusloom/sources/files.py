@@ -4,11 +4,12 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.fixed import CODE_EXTENSIONS, EXCLUDES, MAX_FILE_SIZE_MB, OUTPUT_PREFIX
+from ..session import materialize
 
 
 def decode_text(content: Column) -> Column:
@@ -47,11 +48,11 @@ def scan_files(
 
     ``force`` takes a named file whatever its extension. A missing path raises. The path
     and size rules run on listing metadata, before any content is read. ``file_id`` is a
-    hash of the path, the same on every run.
+    hash of the path, the same on every run (``in_path_order`` gives counters instead).
     """
     sources = [sources] if isinstance(sources, str) else list(sources)
 
-    def one(base: str) -> DataFrame:
+    def one(number: int, base: str) -> DataFrame:
         listed = _listing(spark, base).withColumn("relative_path", _below(F.col("path"), base))
         if max_mb is not None:
             listed = limit_size(listed, max_mb)
@@ -59,8 +60,8 @@ def scan_files(
         if ignore_rules:
             kept = kept.filter(~paths.ignored_by(F.col("relative_path"), ignore_rules))
         return kept.select(
-            F.xxhash64("path").alias("file_id"),
-            F.lit(project or paths_name(base)).alias("project"),
+            F.xxhash64("path", F.lit(number)).alias("file_id"),
+            F.lit(project or base.rstrip("/").rsplit("/", 1)[-1]).alias("project"),
             "path",
             "relative_path",
             decode_text(F.col("content")).alias("content"),
@@ -68,11 +69,24 @@ def scan_files(
             F.col("modificationTime").alias("mtime"),
         )
 
-    return reduce(DataFrame.unionByName, [one(base) for base in sources])
+    return reduce(DataFrame.unionByName, [one(number, base) for number, base in enumerate(sources)])
 
 
-def paths_name(base: str) -> str:
-    return base.rstrip("/").rsplit("/", 1)[-1]
+def in_path_order(files: DataFrame) -> DataFrame:
+    """Replace the hashed ``file_id`` of a scan by 0, 1, 2, … in (project, path) order.
+
+    Only the paths are sorted, over all tasks; the sorted list is kept in the shared
+    folder, so the numbers cannot change when an executor is lost.
+    """
+    keys = ["project", "relative_path", "file_id"]
+    ordered = materialize(files.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys))
+    placed = ordered.select("file_id", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    parts = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    # one row per partition of the sort
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("_part", "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = placed.join(starts, "_part").select("file_id", (F.col("_start") + F.col("_at") - F.col("_from")).alias("_id"))
+    return files.join(numbered, "file_id").withColumn("file_id", F.col("_id")).drop("_id")
 
 
 def count_files(spark: SparkSession, source: str, exts: Sequence[str] = CODE_EXTENSIONS, excludes: Sequence[str] = EXCLUDES, force: bool = False) -> int:
