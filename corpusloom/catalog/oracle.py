@@ -196,15 +196,11 @@ def endpoint(value: str) -> str:
     return sanitized(value, fixed.ENDPOINT_MASKS, fixed.UNSAFE_ENDPOINT, fixed.GENERIC_ENDPOINT)
 
 
-def display(value: str, generic: str) -> str:
+def component(value: str) -> str:
     cleaned = f"replace(replace({value}, '\"', '\\\"'), chr(10), ' ')"
     return f"regexp_replace({cleaned}, {q(re2(fixed.NAME_MASK))}, '***', 'g')"
 
 
-def component(value: str) -> str:
-    return display(value, fixed.GENERIC_COMPONENT)
-
-
 DB_CONNECTION_ROWS = f"""
 dbc_raw AS ({raw_matches(fixed.DB_CONNECTION_PATTERNS)}),
 dbc_ok AS (SELECT project, file_id, pno, mno, {connection('v1')} AS connection FROM dbc_raw WHERE NOT {unsafe('v1', fixed.UNSAFE_CONNECTION)}),
@@ -268,7 +264,7 @@ metrics AS (SELECT project, count(*) AS components,
   (SELECT count(*) FROM links l WHERE l.project = f.project AND type = 'API') AS api_connections
   FROM files f GROUP BY project)"""
 DRAWN = f"""
-drawn AS (SELECT c.project, c.idx, fn.pos AS slot_no, CAST(fn.pos + 1 AS VARCHAR) AS slot, {display('fn.name', '')} || '()' AS label
+drawn AS (SELECT c.project, c.idx, fn.pos AS slot_no, CAST(fn.pos + 1 AS VARCHAR) AS slot, {component('fn.name')} || '()' AS label
     FROM fn JOIN comps c ON c.file_id = fn.file_id WHERE fn.pos < 2
   UNION ALL SELECT project, idx, 2, 'MORE', CAST(functions - 2 AS VARCHAR) || ' more funcs' FROM (
     SELECT c.project, c.idx, least(count(*), 15) AS functions FROM fn JOIN comps c ON c.file_id = fn.file_id GROUP BY ALL) WHERE functions > 2)"""

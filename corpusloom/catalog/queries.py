@@ -11,7 +11,7 @@ from ..plans import explain, overview
 from ..plans.structure import project_metrics, structure
 from ..session import materialize, shared_folder
 from ..sources.cache_store import CacheStore
-from ..sources.tables import read_table
+from ..sources.tables import read_spread, read_table
 from ..streaming import incremental
 from . import samples
 
@@ -622,16 +622,16 @@ def masked_names(spark, sf):
     word: Column = F.col("word")
     return _words(read_table(spark, sf, "documents")).select(
         "word", safety.sanitize_dependency(word).alias("dependency"), safety.sanitize_connection(word).alias("connection"),
-        safety.sanitize_endpoint(word).alias("endpoint"), safety.display_component(word).alias("component"),
-        safety.display_function(word).alias("function"), text.plain_label(word).alias("label"),
+        safety.sanitize_endpoint(word).alias("endpoint"), safety.display_name(word).alias("component"),
+        safety.display_name(word).alias("function"), text.plain_label(word).alias("label"),
     )
 
 
 @register
 def secret_masking(spark, sf):
     value = F.col("text")
-    return read_table(spark, sf, "documents").select(
-        "doc_id", safety.display_component(value).alias("component"), safety.sanitize_connection(value).alias("connection"),
+    return read_spread(spark, sf, "documents", "doc_id").select(
+        "doc_id", safety.display_name(value).alias("component"), safety.sanitize_connection(value).alias("connection"),
         safety.sanitize_endpoint(value).alias("endpoint"),
     )
 

@@ -8,7 +8,16 @@ each differ from that in some point, so both get an explicit spelling.
 
 import re
 
-from .fixed import API_PATTERNS, FUNCTION_PATTERNS
+from .fixed import (
+    API_CONNECTION_PATTERNS,
+    API_PATTERNS,
+    DB_CONNECTION_PATTERNS,
+    DEPENDENCY_PATTERNS,
+    DIAGRAM_BLOCK,
+    FUNCTION_PATTERNS,
+    HTML_TABLE,
+    MARKDOWN_BLOCK,
+)
 
 SPACES = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 # Fixed value: the characters that count as white space at the ends of a text.
@@ -27,6 +36,25 @@ LESS_BACKTRACKING = {
     API_PATTERNS[2]: r"(?i)(?:https?:\/\/[^\/\s]+|(?:(?<![a-zA-Z_])|\G)[a-zA-Z_][a-zA-Z0-9_]*+\.(?:com|org|net|io|dev|api))",
 }
 
+# A text without this character (or word) cannot match the pattern and need not be searched.
+NEEDS = {
+    FUNCTION_PATTERNS[0]: "(",
+    FUNCTION_PATTERNS[1]: "(",
+    FUNCTION_PATTERNS[2]: "(",
+    FUNCTION_PATTERNS[3]: "{",
+    DEPENDENCY_PATTERNS[1][0]: "(",
+    DEPENDENCY_PATTERNS[3][0]: "(",
+    DEPENDENCY_PATTERNS[4][0]: "#",
+    DEPENDENCY_PATTERNS[7][0]: '"',
+    DB_CONNECTION_PATTERNS[0][0]: "=",
+    DB_CONNECTION_PATTERNS[1][0]: "=",
+    DB_CONNECTION_PATTERNS[2][0]: "://",
+    API_CONNECTION_PATTERNS[0][0]: "://",
+    DIAGRAM_BLOCK: "```mermaid",
+    MARKDOWN_BLOCK: "```markdown",
+    HTML_TABLE: "<",
+}
+
 _JAVA_EDGES = (r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])")
 _RE2_EDGES = (r"\b", r"\b")
 
@@ -79,12 +107,13 @@ def _spell(pattern: str, edges: tuple[str, str]) -> str:
 
 
 def _first_letters(pattern: str) -> str:
-    """Let a group of plain words be tried only where one of their first letters stands."""
+    """Let a word, or a group of words, be tried only where one of its first letters stands."""
 
     def guarded(group: re.Match) -> str:
         letters = "".join(dict.fromkeys(word[0] for word in group["words"].split("|")))
         return f"(?=[{letters}]){group['edge']}(?:{group['words']})"
 
+    pattern = re.sub(r"\\b(?!NAME)([A-Za-z_])", r"(?=\1)\\b\1", pattern)
     return re.sub(r"(?P<edge>\\b|)\(\?:(?P<words>\w+(?:\|\w+)+)\)(?![?*])", guarded, pattern)
 
 

@@ -259,8 +259,6 @@ NAME_MASK = r"(?i)\b(?:secret|key|token|auth|password|credential)\b"
 GENERIC_DEPENDENCY = "External Module"
 GENERIC_CONNECTION = "Database Connection"
 GENERIC_ENDPOINT = "API Endpoint"
-GENERIC_COMPONENT = "Component"
-GENERIC_FUNCTION = "function"
 
 # --- Fixed values: blocks inside text ------------------------------------------------------------
 DIAGRAM_BLOCK = r"```mermaid\s*([\s\S]*?)```"

@@ -7,11 +7,9 @@ from .dialect import any_of, java
 from .fixed import (
     CONNECTION_MASKS,
     ENDPOINT_MASKS,
-    GENERIC_COMPONENT,
     GENERIC_CONNECTION,
     GENERIC_DEPENDENCY,
     GENERIC_ENDPOINT,
-    GENERIC_FUNCTION,
     INVALID_PACKAGE,
     NAME_MASK,
     UNSAFE_CONNECTION,
@@ -34,10 +32,12 @@ is_safe_connection = _none_of(UNSAFE_CONNECTION)
 is_safe_endpoint = _none_of(UNSAFE_ENDPOINT)
 
 
-def _masked(value: Column, masks: list[tuple[str, str]]) -> Column:
+def _masked(value: Column, masks: list[tuple[str, str]], needs: str) -> Column:
+    """Masks apply only where the character they all need occurs; most texts skip them."""
+    masked = value
     for pattern, replacement in masks:
-        value = F.regexp_replace(value, java(pattern), replacement)
-    return value
+        masked = F.regexp_replace(masked, java(pattern), replacement)
+    return F.when(value.contains(needs), masked).otherwise(value)
 
 
 def sanitize_dependency(value: Column) -> Column:
@@ -45,24 +45,20 @@ def sanitize_dependency(value: Column) -> Column:
 
 
 def sanitize_connection(value: Column) -> Column:
-    masked = _masked(value, CONNECTION_MASKS)
+    masked = _masked(value, CONNECTION_MASKS, "=")
     return F.when(is_safe_connection(masked), masked).otherwise(GENERIC_CONNECTION)
 
 
 def sanitize_endpoint(value: Column) -> Column:
-    masked = _masked(value, ENDPOINT_MASKS)
+    paths, queries = ENDPOINT_MASKS
+    masked = _masked(_masked(value, [paths], "/"), [queries], "=")
     return F.when(is_safe_endpoint(masked), masked).otherwise(GENERIC_ENDPOINT)
 
 
-def _display_name(value: Column, generic: str) -> Column:
-    quoted = literal_replace(literal_replace(value, '"', '\\"'), "\n", " ")
-    masked = F.regexp_replace(quoted, java(NAME_MASK), "***")
-    return F.when(masked.rlike(java(NAME_MASK)), generic).otherwise(masked)
-
-
-def display_component(value: Column) -> Column:
-    return _display_name(value, GENERIC_COMPONENT)
+def display_name(value: Column) -> Column:
+    """A component or function name as it may be shown: quoted, on one line, words masked.
 
-
-def display_function(value: Column) -> Column:
-    return _display_name(value, GENERIC_FUNCTION)
+    Every sensitive word is masked, so the generic name for what is left is never needed.
+    """
+    quoted = literal_replace(literal_replace(value, '"', '\\"'), "\n", " ")
+    return F.regexp_replace(quoted, java(NAME_MASK), "***")

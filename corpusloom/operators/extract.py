@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, safety
-from ..functions.dialect import java
+from ..functions.dialect import NEEDS, java
 from ..functions.fixed import (
     API_CONNECTION_PATTERNS,
     API_PATTERNS,
@@ -26,7 +26,9 @@ _BLANK = java(r"^\s*$")
 
 
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(group))
+    found = F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(group))
+    needed = NEEDS.get(pattern)
+    return F.when(text.contains(needed), found).otherwise(F.array().cast("array<string>")) if needed else found
 
 
 def function_names(text: Column, limit: int | None = MAX_FUNCTIONS_PER_FILE) -> Column:
@@ -45,19 +47,29 @@ def functions(text: Column, limit: int | None = MAX_FUNCTIONS_PER_FILE) -> Colum
     )
 
 
+def _first_group(text: Column, pattern: str, groups: int) -> Column:
+    """Group 1 of every match; of a pattern with two alternatives, the one that is not blank.
+
+    The text is searched once; the alternatives are told apart in the short matches.
+    """
+    if groups == 1:
+        return all_matches(text, pattern, 1)
+    regex = java(pattern)
+
+    def pick(match: Column) -> Column:
+        first = F.regexp_extract(match, regex, 1)
+        return F.when(first.rlike(_BLANK), F.regexp_extract(match, regex, 2)).otherwise(first)
+
+    return F.transform(all_matches(text, pattern), pick)
+
+
 def dependencies(text: Column, strict: bool = False, resolve_relative: bool = False) -> Column:
     """Imported names, cut to the package unless scoped.
 
     ``strict`` also drops an opening brace taken from ``import { x } from``.
     ``resolve_relative`` keeps ``./x`` imports as the stem of the file they name.
     """
-    per_pattern = []
-    for pattern, groups in DEPENDENCY_PATTERNS:
-        found = all_matches(text, pattern, 1)
-        if groups == 2:
-            found = F.zip_with(found, all_matches(text, pattern, 2), lambda a, b: F.when(a.rlike(_BLANK), b).otherwise(a))
-        per_pattern.append(found)
-    raw = F.concat(*per_pattern)
+    raw = F.concat(*[_first_group(text, pattern, groups) for pattern, groups in DEPENDENCY_PATTERNS])
     if resolve_relative:
         raw = F.transform(raw, lambda d: F.when(d.startswith("./") | d.startswith("../"), stem(d)).otherwise(d))
     usable = F.filter(raw, lambda d: ~d.rlike(_BLANK) & ~d.startswith("."))
@@ -142,6 +154,7 @@ def extract_api_connections(files: DataFrame) -> DataFrame:
 
 def entry_points(files: DataFrame) -> DataFrame:
     path = F.col("relative_path")
-    return files.filter(classify.is_entry_point(path, F.col("content"))).select(
-        "project", "file_id", stem(path).alias("name"), path.alias("file")
+    found = F.when(
+        classify.is_entry_point(path, F.col("content")), F.array(F.struct(stem(path).alias("name"), path.alias("file")))
     )
+    return files.select("project", "file_id", F.inline(found))

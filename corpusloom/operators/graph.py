@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, safety, text
 from ..functions.fixed import MAX_FUNCTIONS_DRAWN
+from ..session import materialize
 from .corpus import primary_language
 from .scale import lookup_join, ordinal
 
@@ -97,18 +98,23 @@ def project_metrics(records: DataFrame) -> DataFrame:
     return totals.join(links, "project", "left").fillna(0, ["db_connections", "api_connections"])
 
 
-def index_components(records: DataFrame, levels: int = 2) -> DataFrame:
+def index_components(records: DataFrame, levels: int = 1) -> DataFrame:
     """(project, idx, file_id, name, type) with components numbered from 1."""
     numbered = ordinal(records.select("project", "file_id", "name", "type"), ["project"], "file_id", levels=levels)
     return numbered.withColumn("idx", F.col("ord") + 1).drop("ord")
 
 
-def index_entries(records: DataFrame, levels: int = 2) -> DataFrame:
+def index_entries(records: DataFrame, levels: int = 1) -> DataFrame:
     """Entry points numbered from 1 in file order."""
     entries = records.filter("is_entry").select("project", "file_id", "name", F.col("relative_path").alias("file"))
     return ordinal(entries, ["project"], "file_id", levels=levels).withColumn("idx", F.col("ord") + 1).drop("ord")
 
 
+def indexes(records: DataFrame, levels: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Component and entry numbers, computed once: every part of the graph refers to them."""
+    return materialize(index_components(records, levels)), materialize(index_entries(records, levels))
+
+
 def component_edges(records: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """Edges between component numbers; a name held by several files means the last one."""
     components = index_components(records) if components is None else components
@@ -132,7 +138,7 @@ def start_edges(records: DataFrame, components: DataFrame | None = None, entries
 
 def nodes(records: DataFrame) -> DataFrame:
     """Graph nodes: START, entries, components, drawn functions, the rest of them, END."""
-    components, entries = index_components(records), index_entries(records)
+    components, entries = indexes(records)
     shape = classify.node_shape(F.col("type"))
     ends = records.select("project").distinct().select(
         "project",
@@ -141,7 +147,7 @@ def nodes(records: DataFrame) -> DataFrame:
     )
     entry_nodes = entries.select(
         "project", F.concat(F.lit("ENTRY"), "idx").alias("node_id"), F.lit("ENTRY").alias("kind"),
-        F.concat(safety.display_component(F.col("name")), F.lit(" (entry point)")).alias("label"), F.lit("ENTRY").alias("shape"),
+        F.concat(safety.display_name(F.col("name")), F.lit(" (entry point)")).alias("label"), F.lit("ENTRY").alias("shape"),
     )
     component_nodes = components.select(
         "project", F.concat(F.lit("COMP"), "idx").alias("node_id"), F.lit("COMPONENT").alias("kind"),
@@ -156,7 +162,7 @@ def nodes(records: DataFrame) -> DataFrame:
 
 def edges(records: DataFrame) -> DataFrame:
     """All graph edges as (project, src, dst, kind)."""
-    components, entries = index_components(records), index_entries(records)
+    components, entries = indexes(records)
     comp = F.concat(F.lit("COMP"), F.col("idx"))
     starts = start_edges(records, components, entries).select(
         "project", F.lit("START").alias("src"),
@@ -173,14 +179,14 @@ def edges(records: DataFrame) -> DataFrame:
 
 
 def _component_label() -> Column:
-    return F.concat(safety.display_component(F.col("name")), F.lit(" - "), text.literal_replace(F.col("type"), '"', '\\"'))
+    return F.concat(safety.display_name(F.col("name")), F.lit(" - "), text.literal_replace(F.col("type"), '"', '\\"'))
 
 
 def _function_rows(records: DataFrame, components: DataFrame) -> DataFrame:
     """The first functions of each component and one row for the remainder."""
     shown = F.transform(
         F.slice("functions", 1, MAX_FUNCTIONS_DRAWN),
-        lambda f, i: F.struct((i + 1).cast("string").alias("slot"), F.concat(safety.display_function(f["name"]), F.lit("()")).alias("label")),
+        lambda f, i: F.struct((i + 1).cast("string").alias("slot"), F.concat(safety.display_name(f["name"]), F.lit("()")).alias("label")),
     )
     extra = F.size("functions") - MAX_FUNCTIONS_DRAWN
     more = F.array(F.struct(F.lit("MORE").alias("slot"), F.concat(extra.cast("string"), F.lit(" more funcs")).alias("label")))
@@ -190,9 +196,9 @@ def _function_rows(records: DataFrame, components: DataFrame) -> DataFrame:
     )
 
 
-def graph_lines(records: DataFrame, levels: int = 2) -> DataFrame:
+def graph_lines(records: DataFrame, levels: int = 1) -> DataFrame:
     """The diagram as lines; (section, i, j, k) is their order within a project."""
-    components, entries = index_components(records, levels), index_entries(records, levels)
+    components, entries = indexes(records, levels)
     comp = F.concat(F.lit("    COMP"), F.col("idx"))
     shape = classify.node_shape(F.col("type"))
 
@@ -209,7 +215,7 @@ def graph_lines(records: DataFrame, levels: int = 2) -> DataFrame:
         rows(projects, 1, F.lit('    START[("Start")]'), 0),
         rows(
             entries, 2,
-            F.concat(F.lit("    ENTRY"), "idx", F.lit('[("'), safety.display_component(F.col("name")), F.lit(' (entry point)")]')),
+            F.concat(F.lit("    ENTRY"), "idx", F.lit('[("'), safety.display_name(F.col("name")), F.lit(' (entry point)")]')),
         ),
         rows(entries, 2, F.concat(F.lit("    START --> ENTRY"), "idx"), j=1),
         rows(components, 3, F.concat(comp, shape["open"], _component_label(), shape["close"])),

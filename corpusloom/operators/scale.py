@@ -41,13 +41,13 @@ def _block_starts(blocks: DataFrame, group: list[str], levels: int) -> DataFrame
     )
 
 
-def running_start(df: DataFrame, group: Sequence[str], order_id: str, weight: Column | None = None, levels: int = 2) -> DataFrame:
+def running_start(df: DataFrame, group: Sequence[str], order_id: str, weight: Column | None = None, levels: int = 1) -> DataFrame:
     """Add ``_start``, the sum of weights of earlier ids, and ``_total``, that of the group.
 
     Rows are summed inside blocks of 2**20 consecutive ids and shifted by the sum of
-    earlier blocks, so a window never sees more than one block. Two levels of block sums
-    bound every window for any ids, also hashes spread over the 64-bit range; for dense
-    ids (counters) ``levels=1`` is enough and saves a small shuffle. The group columns must not be NULL; ``df`` is
+    earlier blocks, so a window never sees more than one block. For counters, which corpus
+    ids are, there are few blocks and one level of block sums is enough; ``levels=2`` bounds
+    every window also for ids spread over the 64-bit range, such as hashes. The group columns must not be NULL; ``df`` is
     read twice and should be narrow.
     """
     group = list(group)
@@ -70,7 +70,7 @@ def ordinal(
     out: str = "ord",
     total: str | None = None,
     within: str | None = None,
-    levels: int = 2,
+    levels: int = 1,
 ) -> DataFrame:
     """Number the rows of each group 0, 1, 2, … in the order of an integer id.
 

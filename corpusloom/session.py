@@ -1,6 +1,7 @@
 """Session settings and the shared folder that cuts lineage."""
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, in the shared folder, so that later steps survive lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once and go on from the result, kept as a parquet table in the shared folder.
+
+    Later steps read only the columns they use, know how large it is, and lose nothing with
+    an executor. The tables belong to the run; clear the folder as checkpoints are cleared.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -79,8 +79,10 @@ def in_path_order(files: DataFrame) -> DataFrame:
     folder, so the numbers cannot change when an executor is lost.
     """
     keys = ["project", "relative_path", "file_id"]
-    ordered = materialize(files.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys))
-    placed = ordered.select("file_id", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    listed = files.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = materialize(
+        listed.select("file_id", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    )
     parts = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
     # one row per partition of the sort
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
