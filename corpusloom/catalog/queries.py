@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, nested, paths, prompting, safety, text
 from ..operators import blocks, cache, corpus, extract, graph, infer, overlay, prompts, report
+from ..operators.scale import lookup_join
 from ..plans import explain, overview
 from ..plans.structure import project_metrics, structure
 from ..session import materialize, shared_folder
@@ -454,7 +455,7 @@ def usage_summary(spark, sf):
 
 @register
 def codebase_summary(spark, sf):
-    rows = overview.overview_rows(samples.described(spark, sf))
+    rows = materialize(overview.overview_rows(samples.described(spark, sf)))
     pieces = overview.codebase_summary(rows.withColumn("summary", F.col("purpose")))
     return pieces.withColumn("section", F.col("section").cast("long"))
 
@@ -645,8 +646,6 @@ def overlay_labels(spark, sf):
     own = labels.select("doc_id", F.col("quality").cast("long").alias("value"))
     votes = docs.join(labels, "doc_id").groupBy("source", "quality").agg(F.count("*").alias("n"))
     majority = votes.groupBy("source").agg(F.max_by("quality", F.struct("n", "quality")).cast("long").alias("value"))
-    from ..operators.scale import lookup_join
-
     by_source = lookup_join(docs, majority, ["source"], "doc_id").select("doc_id", "value")
     constant = docs.select("doc_id", F.lit(0).cast("long").alias("value"))
     return overlay.overlay([own, by_source, constant], ["doc_id"]).withColumn("layer_priority", F.col("layer_priority").cast("long"))

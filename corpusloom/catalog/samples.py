@@ -46,7 +46,7 @@ def file_side(df: DataFrame) -> DataFrame:
 def cache_seed(df: DataFrame) -> DataFrame:
     """Earlier answers: by ``file_id % 4`` unchanged, touched, changed, or never seen."""
     kind = F.col("file_id") % 4
-    side = file_side(df).filter(kind != 3)
+    side = file_side(df.select("file_id", "project", "relative_path", "content")).filter(kind != 3)
     return side.select(
         F.md5(F.concat("key_path", F.lit("-explain-beginner-stub-stub-1"))).alias("cache_key"),
         F.when(kind == 2, F.sha2(F.concat(F.lit("stale"), "content"), 256)).otherwise(F.sha2("content", 256)).alias("file_hash"),

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 20
+BLOCK_BITS = 16
 NULL_SALTS = 4096
 
 
@@ -44,9 +44,9 @@ def _block_starts(blocks: DataFrame, group: list[str], levels: int) -> DataFrame
 def running_start(df: DataFrame, group: Sequence[str], order_id: str, weight: Column | None = None, levels: int = 1) -> DataFrame:
     """Add ``_start``, the sum of weights of earlier ids, and ``_total``, that of the group.
 
-    Rows are summed inside blocks of 2**20 consecutive ids and shifted by the sum of
+    Rows are summed inside blocks of 2**16 consecutive ids and shifted by the sum of
     earlier blocks, so a window never sees more than one block. For counters, which corpus
-    ids are, there are few blocks and one level of block sums is enough; ``levels=2`` bounds
+    ids are, there are few blocks and one level of block sums is enough; ``levels=3`` bounds
     every window also for ids spread over the 64-bit range, such as hashes. The group columns must not be NULL; ``df`` is
     read twice and should be narrow.
     """

@@ -15,6 +15,8 @@ def build_session(master: str | None = None, cores: int | None = None, app: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # rows sent to Python carry whole prompts
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     )
     if master:
         builder = (

@@ -27,11 +27,17 @@ class CacheStore:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """The cache as it stands, or as it stood before a version."""
+    def read(self, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """The cache as it stands, or as it stood before a version; only some keys when given.
+
+        Giving the keys that will be looked up keeps the answers of all others out of the
+        shuffle that finds the latest version.
+        """
         versions = self._versions()
         if before is not None:
             versions = versions.filter(F.col("version") < before)
+        if keys is not None:
+            versions = versions.join(keys.select("cache_key"), "cache_key", "left_semi")
         columns = [c for c in versions.columns if c not in ("cache_key", "version")]
         latest = versions.groupBy("cache_key").agg(F.max_by(F.struct(*columns), "version").alias("entry"))
         return latest.select("cache_key", "entry.*")

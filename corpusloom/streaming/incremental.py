@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.cache import with_cache_key
 from ..operators.infer import Client
 from ..plans.explain import RunConfig, explain_corpus
 from ..sources.cache_store import CacheStore
@@ -37,7 +38,9 @@ def explain_stream(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
-        results, fresh = explain_corpus(batch, store.read(before=version), templates, client_factory, config)
+        keys = with_cache_key(batch, F.col("relative_path"), config.key_parts())
+        known = store.read(before=version, keys=keys)
+        results, fresh = explain_corpus(batch, known, templates, client_factory, config)
         results.write.mode("overwrite").parquet(f"{out}/version={version}")
         store.write(fresh, version)
 

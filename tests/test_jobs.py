@@ -1,8 +1,10 @@
 """Cache, prompts, model calls, overview, report and stream on small inputs."""
 
 import os
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import samples
@@ -16,6 +18,7 @@ from corpusloom.sources.templates import load_templates
 from corpusloom.streaming import incremental
 
 CONFIG = samples.CONFIG
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @pytest.fixture
@@ -260,7 +263,7 @@ def test_large_projects_are_described_in_rounds(spark, sf_dir):
     files = samples.files(spark, sf_dir)
     config = explain.RunConfig(mode="architecture", attempts=0, delay=0.0)
     whole = overview.summarize_projects(files, samples.templates(spark), echo_client, config)
-    rounds = overview.summarize_projects(files, samples.templates(spark), echo_client, config, files_per_prompt=3)
+    rounds = overview.summarize_projects(files, samples.templates(spark), echo_client, config, files_per_prompt=4)
     assert rows(whole, "project") == rows(rounds, "project") == rows(files.select("project").distinct(), "project")
 
 
