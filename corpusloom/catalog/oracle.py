@@ -134,7 +134,7 @@ def first_seen(source: str, value: str) -> str:
 FUNCTION_ROWS = f"""
 fn_raw AS ({raw_matches([(p, 1) for p in fixed.FUNCTION_PATTERNS])}),
 fn_ok AS (SELECT project, file_id, pno, mno, v1 AS name FROM fn_raw WHERE length(v1) > 1 AND lower(v1) NOT IN ({words(fixed.RESERVED_FUNCTIONS)})
-  AND NOT regexp_matches(v1, {q(re2(any_of(fixed.UNSAFE_FUNCTION)))})),
+  AND NOT regexp_matches(v1, {q(any_of(fixed.UNSAFE_FUNCTION, re2))})),
 fn AS ({first_seen('fn_ok', 'name')})"""
 
 
@@ -159,8 +159,8 @@ dep_raw AS ({raw_matches(fixed.DEPENDENCY_PATTERNS)}),
 dep_one AS (SELECT project, file_id, pno, mno, CASE WHEN v1 IS NULL OR regexp_matches(v1, {q(BLANK)}) THEN coalesce(v2, '') ELSE v1 END AS v FROM dep_raw),
 dep_cut AS (SELECT project, file_id, pno, mno, CASE WHEN starts_with(v, '@') THEN v ELSE split_part(v, '/', 1) END AS dependency
   FROM dep_one WHERE NOT regexp_matches(v, {q(BLANK)}) AND NOT starts_with(v, '.')),
-dep_ok AS (SELECT * FROM dep_cut WHERE NOT regexp_matches(dependency, {q(re2(any_of(fixed.UNSAFE_DEPENDENCY)))})
-  AND NOT regexp_matches(dependency, {q(re2(any_of(fixed.INVALID_PACKAGE)))})),
+dep_ok AS (SELECT * FROM dep_cut WHERE NOT regexp_matches(dependency, {q(any_of(fixed.UNSAFE_DEPENDENCY, re2))})
+  AND NOT regexp_matches(dependency, {q(any_of(fixed.INVALID_PACKAGE, re2))})),
 dep AS ({first_seen('dep_ok', 'dependency')})"""
 
 DATABASE_ROWS = f"""
@@ -181,7 +181,7 @@ def masked(value: str, masks) -> str:
 
 
 def unsafe(value: str, patterns) -> str:
-    return f"regexp_matches({value}, {q(re2(any_of(patterns)))})"
+    return f"regexp_matches({value}, {q(any_of(patterns, re2))})"
 
 
 def sanitized(value: str, masks, patterns, generic: str) -> str:
@@ -214,7 +214,7 @@ NAME = base("relative_path")
 ENTRY = (
     f"(lower({NAME}) IN ({words(fixed.ENTRY_NAMES)}) OR "
     + " OR ".join(f"starts_with(lower({NAME}), {q(p)})" for p in fixed.ENTRY_PREFIXES)
-    + f" OR regexp_matches(content, {q(re2(any_of(fixed.ENTRY_PATTERNS)))}))"
+    + f" OR regexp_matches(content, {q(any_of(fixed.ENTRY_PATTERNS, re2))}))"
 )
 
 

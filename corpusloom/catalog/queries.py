@@ -471,7 +471,7 @@ def attached_summaries(spark, sf):
 
 @register
 def project_summaries_stub(spark, sf):
-    answers = overview.summarize_projects(
+    answers, _ = overview.summarize_projects(
         samples.files(spark, sf), samples.templates(spark), samples.stub_client, explain.RunConfig(mode="arch", attempts=0, delay=0.0)
     )
     return answers.select("project", "relative_path", "language", "explanation", "input_tokens")

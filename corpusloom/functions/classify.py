@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dialect import any_of, java
+from .dialect import java
 from .fixed import (
     ARROW_PATTERN,
     ASYNC_PATTERN,
@@ -69,7 +69,9 @@ def is_entry_point(path: Column, text: Column) -> Column:
     named = name.isin(ENTRY_NAMES)
     for prefix in ENTRY_PREFIXES:
         named = named | name.startswith(prefix)
-    return named | text.rlike(java(any_of(ENTRY_PATTERNS)))
+    for pattern in ENTRY_PATTERNS:  # one by one: each has a literal start to look for
+        named = named | text.rlike(java(pattern))
+    return named
 
 
 def purpose(path: Column, text: Column) -> Column:

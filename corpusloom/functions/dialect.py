@@ -7,6 +7,7 @@ each differ from that in some point, so both get an explicit spelling.
 """
 
 import re
+from collections.abc import Callable
 
 from .fixed import (
     API_CONNECTION_PATTERNS,
@@ -26,13 +27,19 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 ANY_IN_LINE = r"[^\n\r\x{2028}\x{2029}]"
+LONG_RUN = r"[a-zA-Z0-9]{32,}"
 ANYTHING = r"(?s:.)"
 
 # Same matches, found by Java with less backtracking: a name is entered at its first letter
-# only and never given back; an optional prefix outside the wanted group is left out.
+# only and never given back; an optional prefix outside the wanted group is left out; a
+# long run of letters, only ever asked for as a yes or no, is tried from its start.
 LESS_BACKTRACKING = {
     FUNCTION_PATTERNS[2]: r"(?i)(?:function|def|func|fn|method|sub)\s++([a-zA-Z_][a-zA-Z0-9_]*+)\s*+\(",
     FUNCTION_PATTERNS[3]: r"(?<![a-zA-Z_])([a-zA-Z_][a-zA-Z0-9_]*+)\s*+\([^)]*+\)\s*+\{",
+    DEPENDENCY_PATTERNS[2][0]: r"(?i)(?=[fi])(?:from\s+([^\s]+)\s+import|import\s+([^\s]+))",
+    DEPENDENCY_PATTERNS[6][0]: r"(?i)(?=r)(?:require\s*\(\s*['\"]([^'\"]+)['\"]\s*\)|require\s+['\"]([^'\"]+)['\"])",
+    DEPENDENCY_PATTERNS[7][0]: r"(?i)(?=i)(?:import\s*\(\s*[\s\S]*?\"([^\"]+)\"[\s\S]*?\s*\)|import\s+\"([^\"]+)\")",
+    LONG_RUN: r"(?<![a-zA-Z0-9])[a-zA-Z0-9]{32,}",
     API_PATTERNS[2]: r"(?i)(?:https?:\/\/[^\/\s]+|(?:(?<![a-zA-Z_])|\G)[a-zA-Z_][a-zA-Z0-9_]*+\.(?:com|org|net|io|dev|api))",
 }
 
@@ -55,6 +62,12 @@ NEEDS = {
     HTML_TABLE: "<",
 }
 
+# The same for patterns with a part that is quickly searched for alone.
+NEEDS_MATCH = {
+    FUNCTION_PATTERNS[3]: r"\)\s*\{",
+    API_PATTERNS[2]: r"(?i)\.(?:com|org|net|io|dev|api)|:\/\/",
+}
+
 _JAVA_EDGES = (r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])")
 _RE2_EDGES = (r"\b", r"\b")
 
@@ -127,6 +140,7 @@ def re2(pattern: str) -> str:
     return _spell(pattern, _RE2_EDGES)
 
 
-def any_of(patterns: list[str]) -> str:
+def any_of(patterns: list[str], spell: Callable[[str], str]) -> str:
     """One alternation of several patterns, each keeping its own case flag."""
-    return "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in patterns)
+    spelled = [spell(p) for p in patterns]
+    return "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in spelled)

@@ -280,6 +280,9 @@ LEVEL_DEFAULT = "a beginner developer"
 PROMPT_SUFFIX = "\n\nIMPORTANT: Always respond in markdown format."
 TRUNCATION_MARK = "\n... (truncated)"
 ERROR_PREFIX = "Error generating explanation: "
+PROJECT_ERROR_PREFIX = "Error generating {mode} analysis: "
+SYSTEM_FILE = "You are a helpful assistant that provides detailed code explanations."
+SYSTEM_PROJECT = "You are a helpful assistant that provides detailed code analysis and documentation."
 NO_EXPLANATION = "No explanation available."
 OFFLINE_FILE = "Offline mode: AI explanation not available. Please provide an API key to get AI-powered explanations."
 OFFLINE_PROJECT = (

@@ -21,7 +21,7 @@ from .text import literal_replace
 
 
 def _none_of(patterns: list[str]):
-    regex = java(any_of(patterns))
+    regex = any_of(patterns, java)
     return lambda value: ~value.rlike(regex)
 
 

@@ -163,7 +163,10 @@ def dedupe_paths(files: DataFrame) -> DataFrame:
     The first holder of each path is found by a map-side minimum and matched back on the
     unique ``file_id``, so a path shared by many files makes no large group.
     """
-    slashed = F.replace(F.col("relative_path"), F.lit("\\"), F.lit("/"))
+    path = F.col("relative_path")
+    if "path" in files.columns:  # a file without a relative path goes by its full path, root cut off
+        path = F.coalesce(F.nullif(path, F.lit("")), F.regexp_replace("path", r"\A(?:[a-zA-Z]:\\|/)", ""))
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
     listed = files.select("project", "file_id", slashed.alias("relative_path"))
     firsts = (
         listed.groupBy("project", "relative_path").agg(F.min("file_id").alias("file_id")).select("file_id", F.lit(True).alias("_first"))

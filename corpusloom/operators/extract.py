@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, safety
-from ..functions.dialect import NEEDS, java
+from ..functions.dialect import NEEDS, NEEDS_MATCH, java
 from ..functions.fixed import (
     API_CONNECTION_PATTERNS,
     API_PATTERNS,
@@ -27,8 +27,12 @@ _BLANK = java(r"^\s*$")
 
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     found = F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(group))
-    needed = NEEDS.get(pattern)
-    return F.when(text.contains(needed), found).otherwise(F.array().cast("array<string>")) if needed else found
+    none = F.array().cast("array<string>")
+    if pattern in NEEDS_MATCH:
+        found = F.when(text.rlike(java(NEEDS_MATCH[pattern])), found).otherwise(none)
+    if pattern in NEEDS:
+        found = F.when(text.contains(NEEDS[pattern]), found).otherwise(none)
+    return found
 
 
 def function_names(text: Column, limit: int | None = MAX_FUNCTIONS_PER_FILE) -> Column:

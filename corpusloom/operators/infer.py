@@ -10,10 +10,17 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
-from ..functions.fixed import DEFAULT_CONCURRENCY, ERROR_PREFIX, MAX_CONCURRENCY, RETRY_ATTEMPTS, RETRY_DELAY_SECONDS
+from ..functions.fixed import (
+    DEFAULT_CONCURRENCY,
+    ERROR_PREFIX,
+    MAX_CONCURRENCY,
+    RETRY_ATTEMPTS,
+    RETRY_DELAY_SECONDS,
+    SYSTEM_FILE,
+)
 from ..functions.prompting import estimate_tokens
 
-# A client takes one row as a dict (with its ``prompt``) and gives the answer's text, or a
+# A client takes one row as a dict (with its ``prompt`` and a ``system`` message) and gives the answer's text, or a
 # dict with ``text`` and the counts the model reports.
 Client = Callable[[dict[str, Any]], "str | dict[str, Any]"]
 COUNTS = ["prompt_tokens", "completion_tokens", "reported_tokens"]
@@ -39,6 +46,8 @@ def infer(
     batch: int = DEFAULT_CONCURRENCY,
     attempts: int = RETRY_ATTEMPTS,
     delay: float = RETRY_DELAY_SECONDS,
+    system: str = SYSTEM_FILE,
+    error_prefix: str = ERROR_PREFIX,
 ) -> DataFrame:
     """Answer the ``prompt`` of every row.
 
@@ -59,12 +68,12 @@ def infer(
         def call():
             nonlocal tries
             tries += 1
-            return client(row)
+            return client({**row, "system": system})
 
         try:
             reply, _ = with_retry(call, attempts, delay)
         except Exception as error:
-            return {"explanation": f"{ERROR_PREFIX}{error}", "error": str(error), "attempts": tries}
+            return {"explanation": f"{error_prefix}{error}", "error": str(error), "attempts": tries}
         fields = {"text": reply} if isinstance(reply, str) else reply
         return {
             "explanation": fields["text"], "error": None, "attempts": tries, "prompt_tokens": fields.get("prompt_tokens"),

@@ -6,7 +6,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import DEFAULT_CONCURRENCY, RETRY_ATTEMPTS, RETRY_DELAY_SECONDS
+from ..functions.fixed import (
+    DEFAULT_CONCURRENCY,
+    ERROR_PREFIX,
+    MODE_ALIASES,
+    PROJECT_ERROR_PREFIX,
+    PROJECT_MODES,
+    RETRY_ATTEMPTS,
+    RETRY_DELAY_SECONDS,
+    SYSTEM_FILE,
+    SYSTEM_PROJECT,
+)
 from ..operators import cache as caching
 from ..operators.corpus import detect_language
 from ..operators.infer import Client, infer
@@ -41,7 +51,12 @@ def call_model(rows: DataFrame, templates: DataFrame, client_factory: Callable[[
     """Prompt and answer each row once; the answers are kept in the shared folder."""
     prompts = build_prompts(rows.withColumn("mode", F.lit(config.mode)), templates, F.lit(config.level))
     sent = prompts.select("project", "file_id", "relative_path", "language", "input_tokens", "prompt")
-    answered = infer(spread_calls(sent, config), client_factory, config.concurrency, config.attempts, config.delay)
+    of_project = MODE_ALIASES.get(config.mode, config.mode) in PROJECT_MODES
+    answered = infer(
+        spread_calls(sent, config), client_factory, config.concurrency, config.attempts, config.delay,
+        SYSTEM_PROJECT if of_project else SYSTEM_FILE,
+        PROJECT_ERROR_PREFIX.format(mode=config.mode) if of_project else ERROR_PREFIX,
+    )
     return materialize(answered.drop("prompt"))
 
 
@@ -57,6 +72,25 @@ def cache_rows(answered: DataFrame, looked_up: DataFrame, config: RunConfig) ->
     )
 
 
+def answer_with_cache(
+    keyed: DataFrame, cache: DataFrame, templates: DataFrame, client_factory: Callable[[], Client], config: RunConfig
+) -> tuple[DataFrame, DataFrame]:
+    """Answers for all rows, calling the model only for those the cache cannot answer.
+
+    ``keyed`` needs (project, file_id, relative_path, language, cache_key, file_size,
+    mtime_ms), its ``content`` or ``file_hash``, and what its template asks for.
+    """
+    looked_up = materialize(caching.cache_lookup(keyed, cache, config.use_cache))
+    misses = looked_up.filter("cache_status = 'miss'").select("file_id")
+    answered = call_model(keyed.join(misses, "file_id", "left_semi"), templates, client_factory, config)
+
+    known = looked_up.filter("cache_status <> 'miss'").select("file_id", F.col("cached_explanation").alias("explanation"))
+    reused = keyed.select("project", "file_id", "relative_path", "language").join(known, "file_id").withColumn("cached", F.lit(True))
+    results = answered.withColumn("cached", F.lit(False)).unionByName(reused, allowMissingColumns=True)
+    fresh = cache_rows(answered, looked_up, config)
+    return results, fresh.unionByName(caching.refreshed(looked_up, cache), allowMissingColumns=True)
+
+
 def explain_corpus(
     files: DataFrame,
     cache: DataFrame,
@@ -70,14 +104,6 @@ def explain_corpus(
     ``files`` needs (project, file_id, relative_path, content, file_size, mtime_ms), with
     ``file_id`` unique. Only files whose content is not answered yet reach the model.
     """
-    keyed = caching.with_cache_key(files, F.col("relative_path") if key_path is None else key_path, config.key_parts())
-    looked_up = materialize(caching.cache_lookup(keyed, cache, config.use_cache))
-    misses = looked_up.filter("cache_status = 'miss'").select("file_id")
-    answered = call_model(detect_language(files.join(misses, "file_id", "left_semi")), templates, client_factory, config)
-
-    known = looked_up.filter("cache_status <> 'miss'").select("file_id", "cached_explanation")
-    meta = detect_language(files.select("project", "file_id", "relative_path"))
-    reused = meta.join(known, "file_id").withColumnRenamed("cached_explanation", "explanation").withColumn("cached", F.lit(True))
-    results = answered.withColumn("cached", F.lit(False)).unionByName(reused, allowMissingColumns=True)
-    fresh = cache_rows(answered, looked_up, config)
-    return results, fresh.unionByName(caching.refreshed(looked_up, cache), allowMissingColumns=True)
+    path = F.col("relative_path") if key_path is None else key_path
+    keyed = caching.with_cache_key(detect_language(files), path, config.key_parts())
+    return answer_with_cache(keyed, cache, templates, client_factory, config)

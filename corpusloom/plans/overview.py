@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, paths, text
 from ..functions.fixed import MODE_ALIASES, PROJECT_MODES
+from ..operators.cache import CACHE_SCHEMA, with_cache_key
 from ..operators.corpus import by_directory, detect_language, key_files, tech_stack
 from ..operators.infer import Client
 from ..operators.scale import lookup_join, ordinal
 from ..session import materialize
-from .explain import RunConfig, call_model
+from .explain import RunConfig, answer_with_cache, explain_corpus
 
 FILES_PER_PROMPT = 5000
 
@@ -82,14 +83,23 @@ def whole_documents(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("project").agg(ordered.alias("_p")).select("project", F.array_join("_p.piece", "").alias("codebase_summary"))
 
 
-def project_answers(files: DataFrame, templates: DataFrame, client_factory: Callable[[], Client], config: RunConfig) -> DataFrame:
-    """One answer per project from files that carry their summaries; each project fits one prompt."""
+def project_answers(
+    files: DataFrame, cache: DataFrame, templates: DataFrame, client_factory: Callable[[], Client], config: RunConfig
+) -> tuple[DataFrame, DataFrame]:
+    """One answer per project from files that carry their summaries; each project fits one prompt.
+
+    Answers are cached by project and mode, and hold as long as the summary document is
+    the same to the byte.
+    """
     mode = MODE_ALIASES.get(config.mode, config.mode)
-    label, _ = PROJECT_MODES[mode]
-    documents = whole_documents(codebase_summary(files)).select(
-        "project", F.xxhash64("project").alias("file_id"), F.lit(label).alias("relative_path"), F.lit(mode).alias("language"), "codebase_summary"
+    label, slug = PROJECT_MODES[mode]
+    body = F.col("codebase_summary")
+    documents = materialize(whole_documents(codebase_summary(files))).select(
+        "project", F.xxhash64("project").alias("file_id"), F.lit(label).alias("relative_path"), F.lit(mode).alias("language"), "codebase_summary",
+        F.octet_length(body).cast("long").alias("file_size"), F.lit(None).cast("long").alias("mtime_ms"), F.sha2(body, 256).alias("file_hash"),
     )
-    return call_model(documents, templates, client_factory, config)
+    keyed = with_cache_key(documents, F.concat("project", F.lit("/" + slug)), config.key_parts())
+    return answer_with_cache(keyed, cache, templates, client_factory, config)
 
 
 def summarize_projects(
@@ -98,29 +108,40 @@ def summarize_projects(
     client_factory: Callable[[], Client],
     config: RunConfig = RunConfig(mode="architecture"),
     files_per_prompt: int = FILES_PER_PROMPT,
-) -> DataFrame:
-    """Summarise files, then projects.
+    cache: DataFrame | None = None,
+    key_path: Column | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Summarise files, then projects: one answer per project, and the cache rows to upsert.
 
     A project of up to ``files_per_prompt`` files is described from one prompt. A larger one
     is described in parts of that size first, and the parts' answers take the place of the
     file summaries in the next round, so no prompt and no task holds a whole large project.
     """
-    described = detect_language(files)
-    answers = call_model(described, templates, client_factory, replace(config, mode="summary"))
+    spark = files.sparkSession
+    cache = spark.createDataFrame([], CACHE_SCHEMA) if cache is None else cache
+    if "mtime_ms" not in files.columns:
+        # without times the cache goes by size and content
+        files = files.withColumn("file_size", F.octet_length("content").cast("long")).withColumn("mtime_ms", F.lit(None).cast("long"))
+    answers, fresh = explain_corpus(files, cache, templates, client_factory, replace(config, mode="summary"), key_path)
     summaries = answers.select("project", "relative_path", "file_id", F.col("explanation").alias("summary"))
-    current = materialize(attach_summaries(overview_rows(described), summaries))
+    current = materialize(attach_summaries(overview_rows(detect_language(files)), summaries))
     while True:
         sized = ordinal(current.select("project", "file_id"), ["project"], "file_id", total="_size").withColumn(
             "_part", F.floor(F.col("ord") / files_per_prompt).cast("long")
         )
         largest = sized.agg(F.max("_size")).first()[0] or 0
         if largest <= files_per_prompt:
-            return project_answers(current, templates, client_factory, config)
-        names = sized.select("project", "file_id", F.concat("project", F.lit("/part "), F.col("_part").cast("string")).alias("_name"), "_part")
-        parts = current.join(names, ["project", "file_id"])
-        partial = project_answers(parts.withColumn("project", F.col("_name")), templates, client_factory, config)
-        origin = sized.select("project", "_part").distinct().withColumn("_name", F.concat("project", F.lit("/part "), F.col("_part").cast("string")))
-        current = origin.join(partial.select(F.col("project").alias("_name"), "language", "explanation"), "_name").select(
-            "project", F.col("_part").alias("file_id"), F.concat(F.lit("part "), F.col("_part").cast("string")).alias("relative_path"),
-            "language", F.lit(None).cast("string").alias("preview"), F.col("explanation").alias("summary"),
+            described, more = project_answers(current, cache, templates, client_factory, config)
+            return described, fresh.unionByName(more, allowMissingColumns=True)
+        part = F.concat(F.lit("part "), F.col("_part").cast("string"))
+        named = materialize(sized.select("project", "file_id", "_part", F.concat("project", F.lit("/"), part).alias("_name")))
+        parts = current.join(named, ["project", "file_id"]).withColumn("project", F.col("_name"))
+        partial, more = project_answers(parts, cache, templates, client_factory, config)
+        fresh = fresh.unionByName(more, allowMissingColumns=True)
+        answered = partial.select(F.col("project").alias("_name"), "language", F.col("explanation").alias("summary"))
+        current = materialize(
+            named.select("project", "_part", "_name").distinct().join(answered, "_name").select(
+                "project", F.col("_part").alias("file_id"), part.alias("relative_path"), "language",
+                F.lit(None).cast("string").alias("preview"), "summary",
+            )
         )

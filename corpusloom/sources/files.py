@@ -1,11 +1,16 @@
 """Files on shared storage, read in parallel by the built-in binary file source."""
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from pathlib import Path
 
+import pandas as pd
+import pyarrow.fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from ..functions import paths
 from ..functions.fixed import CODE_EXTENSIONS, EXCLUDES, MAX_FILE_SIZE_MB, OUTPUT_PREFIX
@@ -22,10 +27,86 @@ def limit_size(df: DataFrame, max_mb: float = MAX_FILE_SIZE_MB, column: str = "l
     return df.filter(F.col(column) <= int(max_mb * 1024 * 1024))
 
 
-def _listing(spark: SparkSession, path: str) -> DataFrame:
+def _listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
+def _underscored(spark: SparkSession, base: str) -> tuple[list[str], list[tuple]]:
+    """Folders, and files with time and length, below ``base`` whose names start with ``_``.
+
+    Spark's own listing takes such names for temporary output and leaves them out, which
+    would lose files like ``__init__.py``. They are looked up level by level.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(base)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders: list[str] = []
+    files: list[tuple] = []
+    if not fs.exists(root) or fs.getFileStatus(root).isFile():
+        return folders, files
+    top = fs.getFileStatus(root).getPath().toString()
+    level = _unglobbed(top)
+    while len(fs.globStatus(hadoop.Path(level + "/*")) or []):
+        for status in fs.globStatus(hadoop.Path(level + "/_*")) or []:
+            path = status.getPath().toString()
+            if "/." in path.removeprefix(top):
+                continue
+            if status.isDirectory():
+                folders.append(_unglobbed(path))
+            else:
+                files.append((path, status.getModificationTime(), status.getLen()))
+        level += "/*"
+    return folders, files
+
+
+def _unglobbed(path: str) -> str:
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
+def read_bytes(path: str) -> bytes:
+    """One whole file from local storage, HDFS, S3 or GCS."""
+    scheme, _, rest = path.rpartition(":")
+    if scheme in ("", "file"):
+        return Path("/" + rest.lstrip("/")).read_bytes()
+    authority, _, name = rest.lstrip("/").partition("/")
+    filesystem, base = pyarrow.fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{authority}/")
+    with filesystem.open_input_stream(f"{base.rstrip('/')}/{name}") as stream:
+        return stream.read()
+
+
+def _with_content(listed: DataFrame) -> DataFrame:
+    """Read listed files one at a time inside the tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for i in range(len(rows)):
+                row = rows.iloc[i : i + 1]
+                yield row.assign(content=[read_bytes(row["path"].iloc[0])])
+
+    return listed.mapInPandas(run, StructType(list(listed.schema.fields)).add("content", BinaryType()))
+
+
+def _sources(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame], content: bool = True) -> DataFrame:
+    """Accepted files below a path, or the one file it names; names with a leading dot are left out."""
+    folders, files = _underscored(spark, path)
+    wanted = ["path", "modificationTime", "length"]
+    found = keep(_listing(spark, path))
+    if folders:
+        found = found.unionByName(keep(_listing(spark, folders)))
+    found = found.select(*wanted, *(["content"] if content else []))
+    if files:
+        times = spark.createDataFrame(files, "path string, ms long, length long")
+        listed = keep(times.select("path", F.timestamp_millis("ms").alias("modificationTime"), "length")).select(*wanted)
+        found = found.unionByName(_with_content(listed) if content else listed)
+    return found
+
+
+def load_ignore_rules(path: str) -> list[str]:
+    """The rules of one ignore file, in order, for ``scan_files(ignore_rules=...)``."""
+    lines = read_bytes(path).decode("utf-8", "replace").splitlines()
+    return [line.strip() for line in lines if line.strip() and not line.startswith("#")]
+
+
 def _below(path: Column, base: str) -> Column:
     """Path under the scanned folder; the file name when the scan names one file."""
     clean = base.rstrip("/")
@@ -53,20 +134,21 @@ def scan_files(
     sources = [sources] if isinstance(sources, str) else list(sources)
 
     def one(number: int, base: str) -> DataFrame:
-        listed = _listing(spark, base).withColumn("relative_path", _below(F.col("path"), base))
-        if max_mb is not None:
-            listed = limit_size(listed, max_mb)
-        kept = listed.filter(paths.included(F.col("relative_path"), exts, excludes, prefix, force))
-        if ignore_rules:
-            kept = kept.filter(~paths.ignored_by(F.col("relative_path"), ignore_rules))
-        return kept.select(
+        def keep(listed: DataFrame) -> DataFrame:
+            relative = _below(F.col("path"), base)
+            if max_mb is not None:
+                listed = limit_size(listed, max_mb)
+            kept = listed.filter(paths.included(relative, exts, excludes, prefix, force))
+            return kept.filter(~paths.ignored_by(relative, ignore_rules)) if ignore_rules else kept
+
+        return _sources(spark, base, keep).select(
             F.xxhash64("path", F.lit(number)).alias("file_id"),
             F.lit(project or base.rstrip("/").rsplit("/", 1)[-1]).alias("project"),
             "path",
-            "relative_path",
+            _below(F.col("path"), base).alias("relative_path"),
             decode_text(F.col("content")).alias("content"),
-            F.col("length").alias("size"),
-            F.col("modificationTime").alias("mtime"),
+            F.col("length").alias("file_size"),
+            F.unix_millis("modificationTime").alias("mtime_ms"),
         )
 
     return reduce(DataFrame.unionByName, [one(number, base) for number, base in enumerate(sources)])
@@ -93,10 +175,12 @@ def in_path_order(files: DataFrame) -> DataFrame:
 
 def count_files(spark: SparkSession, source: str, exts: Sequence[str] = CODE_EXTENSIONS, excludes: Sequence[str] = EXCLUDES, force: bool = False) -> int:
     """Number of accepted files, from the listing alone; 0 for a missing path. No size limit."""
+    def keep(listed: DataFrame) -> DataFrame:
+        return listed.filter(paths.included(_below(F.col("path"), source), exts, excludes, force=force))
+
     try:
-        listed = _listing(spark, source).select(_below(F.col("path"), source).alias("relative_path"))
+        return _sources(spark, source, keep, content=False).count()
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return 0
         raise
-    return listed.filter(paths.included(F.col("relative_path"), exts, excludes, force=force)).count()

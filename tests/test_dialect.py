@@ -69,7 +69,7 @@ def test_predicates(texts):
         fixed.UNSAFE_CONNECTION, fixed.UNSAFE_ENDPOINT,
     ]
     words = texts.select(F.explode(F.split("text", "[ \n]")).alias("text")).union(texts.select("text")).distinct()
-    columns = [F.col("text").rlike(java(any_of(ps))).alias(f"c{i}") for i, ps in enumerate(lists)]
+    columns = [F.col("text").rlike(any_of(ps, java)).alias(f"c{i}") for i, ps in enumerate(lists)]
     regexes = [[python_regex(p) for p in ps] for ps in lists]
     for row in words.select("text", *columns).collect():
         for i, alternatives in enumerate(regexes):

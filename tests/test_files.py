@@ -25,6 +25,12 @@ def tree(tmp_path):
     put("corpusloom-output.js")
     put("src/bad.go", b"ok \xff\xfe end")
     put("my dir/sp ace.ts")
+    put("pkg/__init__.py")
+    put("_private/deep/_x.js")
+    put("_private/y.js")
+    put("pkg/_[id].js")
+    put(".hidden/_z.js")
+    put(".gitignore", b"# rules\n_private/\n\n!_private/y.js\n")
     return str(tmp_path)
 
 
@@ -32,14 +38,18 @@ def names(df):
     return sorted(r.relative_path for r in df.select("relative_path").collect())
 
 
+SCANNED = [
+    "_private/deep/_x.js", "_private/y.js", "file1.js", "my dir/sp ace.ts", "pkg/_[id].js", "pkg/__init__.py",
+    "src/Big.JAVA", "src/bad.go", "src/blog/post.js", "src/file2.py",
+]
 EXCLUDE = ["node_modules", ".git", "*.log"]
 
 
 def test_scan_directory(spark, tree):
     found = source.scan_files(spark, tree, excludes=EXCLUDE)
-    assert names(found) == ["file1.js", "my dir/sp ace.ts", "src/Big.JAVA", "src/bad.go", "src/blog/post.js", "src/file2.py"]
+    assert names(found) == SCANNED
     row = found.filter("relative_path = 'file1.js'").first()
-    assert row.size == 20 and row.content == 'console.log("test");'
+    assert row.file_size == 20 and row.content == 'console.log("test");'
 
 
 def test_default_excludes_are_substrings_of_the_path(spark, tree):
@@ -52,7 +62,7 @@ def test_default_excludes_are_substrings_of_the_path(spark, tree):
 def test_size_limit_drops_large_files(spark, tree):
     small = source.scan_files(spark, tree, excludes=EXCLUDE, max_mb=0.002)
     assert "src/Big.JAVA" not in names(small) and "file1.js" in names(small)
-    assert source.count_files(spark, tree, excludes=EXCLUDE) == 6
+    assert source.count_files(spark, tree, excludes=EXCLUDE) == 10
 
 
 def test_size_limit_is_pushed_into_the_scan(spark, tree):
@@ -84,14 +94,18 @@ def test_bad_bytes_are_replaced(spark, tree):
 
 
 def test_ignore_rules_last_match_wins(spark, tree):
-    kept = source.scan_files(spark, tree, excludes=EXCLUDE, ignore_rules=["src/*", "!src/*.py", "/file1.js"])
+    kept = source.scan_files(spark, tree, excludes=EXCLUDE, ignore_rules=["src/*", "!src/*.py", "/file1.js", "_*"])
     assert names(kept) == ["my dir/sp ace.ts", "src/file2.py"]
+    rules = source.load_ignore_rules(f"{tree}/.gitignore")
+    assert rules == ["_private/", "!_private/y.js"]
+    kept = names(source.scan_files(spark, tree, excludes=EXCLUDE, ignore_rules=rules))
+    assert kept == [name for name in SCANNED if name != "_private/deep/_x.js"]
 
 
 def test_path_order(spark, tree):
     ordered = source.in_path_order(source.scan_files(spark, tree, excludes=EXCLUDE))
     rows = sorted((r.file_id, r.relative_path) for r in ordered.select("file_id", "relative_path").collect())
-    assert [r[0] for r in rows] == list(range(6)) and [r[1] for r in rows] == names(ordered)
+    assert [r[0] for r in rows] == list(range(10)) and [r[1] for r in rows] == names(ordered)
 
 
 def test_languages(spark):

@@ -256,15 +256,44 @@ def test_progress_and_batches(spark):
 
 
 def echo_client():
-    return lambda row: f"about {row['relative_path']}" if "codebase" not in row["prompt"] else row["prompt"]
+    def call(row):
+        return f"about {row['relative_path']}" if "analysis and documentation" not in row["system"] else row["prompt"]
+
+    return call
 
 
 def test_large_projects_are_described_in_rounds(spark, sf_dir):
-    files = samples.files(spark, sf_dir)
+    files = samples.files(spark, sf_dir).filter("project in ('src0', 'src1')")
     config = explain.RunConfig(mode="architecture", attempts=0, delay=0.0)
-    whole = overview.summarize_projects(files, samples.templates(spark), echo_client, config)
-    rounds = overview.summarize_projects(files, samples.templates(spark), echo_client, config, files_per_prompt=4)
-    assert rows(whole, "project") == rows(rounds, "project") == rows(files.select("project").distinct(), "project")
+    whole, _ = overview.summarize_projects(files, samples.templates(spark), echo_client, config)
+    rounds, _ = overview.summarize_projects(files, samples.templates(spark), echo_client, config, files_per_prompt=4)
+    assert rows(whole, "project") == rows(rounds, "project") == [("src0",), ("src1",)]
+    first, last = whole.filter("project = 'src0'").first().explanation, rounds.filter("project = 'src0'").first().explanation
+    for path in [r.relative_path for r in files.filter("project = 'src0'").collect()]:
+        assert f"about {path}" in first and f"about {path}" in last
+
+
+def test_project_answers_are_cached(spark, sf_dir, tmp_path):
+    files = samples.files(spark, sf_dir).filter("project in ('src0', 'src1')")
+    config = explain.RunConfig(mode="arch", attempts=0, delay=0.0)
+    store = CacheStore(spark, str(tmp_path / "cache"))
+    answers, fresh = overview.summarize_projects(files, samples.templates(spark), echo_client, config)
+    assert fresh.count() == files.count() + 2 and answers.filter("cached").count() == 0
+    store.write(fresh, 1)
+    again, _ = overview.summarize_projects(files, samples.templates(spark), echo_client, config, cache=store.read())
+    assert again.filter("cached").count() == 2 and rows(again, "project", "explanation") == rows(answers, "project", "explanation")
+
+
+def test_project_errors_name_the_mode(spark, sf_dir):
+    def broken():
+        def call(row):
+            raise ValueError("down")
+
+        return call
+
+    files = samples.files(spark, sf_dir).filter("project = 'src0'")
+    answers, fresh = overview.summarize_projects(files, samples.templates(spark), broken, explain.RunConfig(mode="onboarding", attempts=0))
+    assert [r.explanation for r in answers.collect()] == ["Error generating onboarding analysis: down"] and fresh.count() == 0
 
 
 def test_codebase_summary_text(spark):
