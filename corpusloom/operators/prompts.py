@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prompting
+from .scale import checked_broadcast
 
 # Own wording; the placeholders are fixed.
 DEFAULT_TEMPLATES = {
@@ -33,15 +34,13 @@ def choose_templates(templates: DataFrame) -> DataFrame:
 def pick_template(rows: DataFrame, templates: DataFrame, mode: str = "mode") -> DataFrame:
     """Add ``template`` to rows with a mode column: user, else default, else the fallback.
 
-    Every row may have the same mode, so the template side is broadcast, once it is known
-    to be the small table it should be.
+    Every row may have the same mode, so the template side is broadcast, once it is counted
+    to be the small table it should be; a larger one is joined as adaptive execution sees fit.
     """
     chosen = choose_templates(templates).withColumnRenamed("mode", "_mode")
-    if chosen.limit(MAX_TEMPLATES + 1).count() > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
     resolved = prompting.resolve_mode(F.col(mode))
     return (
-        rows.join(F.broadcast(chosen), resolved == F.col("_mode"), "left")
+        rows.join(checked_broadcast(chosen, MAX_TEMPLATES), resolved == F.col("_mode"), "left")
         .withColumn("template", F.coalesce("template", F.lit(FALLBACK_TEMPLATE)))
         .drop("_mode")
     )

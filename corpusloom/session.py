@@ -34,7 +34,7 @@ def build_session(master: str | None = None, cores: int | None = None, app: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a scratch folder only in local mode."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(folder)

@@ -2,6 +2,7 @@
 
 import os
 import sys
+from types import SimpleNamespace
 
 import pytest
 from pyspark import cloudpickle
@@ -379,5 +380,19 @@ def test_stream_equals_batch(spark, files, tmp_path):
     assert rows(usage, "project", "files", "input_tokens") == rows(expected, "project", "files", "input_tokens")
 
 
+def session_like(master, folder):
+    """Stands in for a session on a cluster."""
+    chosen = []
+    context = SimpleNamespace(
+        master=master, getConf=lambda: {"spark.checkpoint.dir": folder}, getCheckpointDir=lambda: chosen[-1] if chosen else None, setCheckpointDir=chosen.append
+    )
+    return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+
+
 def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark) == shared_folder(spark)
+    assert shared_folder(session_like("spark://host:7077", "s3a://shared/checkpoints")) == "s3a://shared/checkpoints"
+    with pytest.raises(ValueError):
+        shared_folder(session_like("spark://host:7077", None))
+    table = materialize(spark.range(3))
+    assert table.count() == 3 and shared_folder(spark).removeprefix("file:") in table.inputFiles()[0]
