@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prompting
-from .scale import checked_broadcast
+from .scale import lookup_join
 
 # Own wording; the placeholders are fixed.
 DEFAULT_TEMPLATES = {
@@ -16,7 +16,7 @@ DEFAULT_TEMPLATES = {
     "onboarding": "Write a guide for developers who join this project.\n\n{{codebaseSummary}}",
 }
 FALLBACK_TEMPLATE = "Explain this {{language}} file.\n\nFile: {{filePath}}\n\n{{codeContent}}\n\nAnswer in markdown."
-MAX_TEMPLATES = 1000
+MAX_TEMPLATES = 100
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
@@ -34,16 +34,20 @@ def choose_templates(templates: DataFrame) -> DataFrame:
 def pick_template(rows: DataFrame, templates: DataFrame, mode: str = "mode") -> DataFrame:
     """Add ``template`` to rows with a mode column: user, else default, else the fallback.
 
-    Every row may have the same mode, so the template side is broadcast, once it is counted
-    to be the small table it should be; a larger one is joined as adaptive execution sees fit.
+    All rows may have the same mode, which would make one task of a shuffled join. Up to
+    ``MAX_TEMPLATES`` modes, become a constant of the plan;
+    more are joined with the hot modes split.
     """
-    chosen = choose_templates(templates).withColumnRenamed("mode", "_mode")
+    chosen = choose_templates(templates)
     resolved = prompting.resolve_mode(F.col(mode))
-    return (
-        rows.join(checked_broadcast(chosen, MAX_TEMPLATES), resolved == F.col("_mode"), "left")
-        .withColumn("template", F.coalesce("template", F.lit(FALLBACK_TEMPLATE)))
-        .drop("_mode")
-    )
+    few = chosen.limit(MAX_TEMPLATES + 1).collect()
+    if len(few) > MAX_TEMPLATES:
+        keyed = rows.withColumn("_mode", resolved).withColumn("_row", F.monotonically_increasing_id())
+        found = lookup_join(keyed, chosen.withColumnRenamed("mode", "_mode"), ["_mode"], "_row").drop("_mode", "_row")
+    else:
+        known = F.create_map(*[F.lit(value) for row in few for value in (row["mode"], row["template"])]) if few else None
+        found = rows.withColumn("template", F.lit(None).cast("string") if known is None else F.try_element_at(known, resolved))
+    return found.withColumn("template", F.coalesce("template", F.lit(FALLBACK_TEMPLATE)))
 
 
 def build_prompts(rows: DataFrame, templates: DataFrame, level: Column | None = None, path: str = "relative_path") -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..functions.fixed import SOURCE_SHOWN_MODES
+from .blocks import unwrap_markdown, wrap_diagrams
 from .scale import ordinal
 
 
@@ -23,11 +24,13 @@ def report_sections(results: DataFrame, mode: str = "explain") -> DataFrame:
     """(project, section, ord, html): header (0), one section per file (1), footer (2).
 
     ``results`` needs (project, file_id, relative_path, language, explanation) and, for the
-    modes that show the source, ``content``.
+    modes that show the source, ``content``. Diagram blocks in an explanation become
+    containers, fenced markdown its body.
     """
     shows_source = mode in SOURCE_SHOWN_MODES
     numbered = ordinal(results.select("project", "file_id"), ["project"], "file_id", out="ord")
     bodies = results.select("file_id", "relative_path", "language", "explanation", *(["content"] if shows_source else []))
+    bodies = unwrap_markdown(wrap_diagrams(bodies, "explanation", "explanation"), "explanation", "explanation")
     path = F.col("relative_path")
     files = numbered.join(bodies, "file_id").select(
         "project", F.lit(1).alias("section"), "ord",

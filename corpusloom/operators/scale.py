@@ -172,7 +172,3 @@ def lookup_join(
     )
     return salted_rows.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
 
-
-def checked_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

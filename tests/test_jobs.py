@@ -184,6 +184,17 @@ def test_template_precedence(spark, tmp_path):
     assert built.prompt == "mine c\nline two\n\nIMPORTANT: Always respond in markdown format."
 
 
+def test_many_templates_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(prompts, "MAX_TEMPLATES", 2)
+    modes = spark.createDataFrame([(m,) for m in ("explain", "arch", "other")] * 4, "mode string")
+    got = prompts.pick_template(modes, samples.templates(spark))
+    expected = {"explain": samples.USER_TEMPLATE, "arch": prompts.DEFAULT_TEMPLATES["architecture"], "other": prompts.FALLBACK_TEMPLATE}
+    assert rows(got, "mode", "template") == sorted(list(expected.items()) * 4)
+    monkeypatch.setattr(prompts, "MAX_TEMPLATES", 100)
+    assert rows(prompts.pick_template(modes, samples.templates(spark)), "mode", "template") == rows(got, "mode", "template")
+    assert prompts.pick_template(modes, samples.templates(spark).limit(0)).select("template").distinct().first()[0] == prompts.FALLBACK_TEMPLATE
+
+
 def test_level_and_alias(spark):
     df = spark.createDataFrame([("arch", "the summary", "expert"), ("onboarding", "the summary", "x")], "mode string, codebase_summary string, level string")
     made = dict(rows(prompts.build_prompts(df, prompts.default_templates(spark), F.col("level")), "mode", "prompt"))
@@ -327,6 +338,15 @@ def test_diagrams(spark):
     assert blocks.unwrap_markdown(df).first().unwrapped.endswith("z # h")
 
 
+def test_report_shows_diagrams_and_markdown(spark):
+    why = "see ```mermaid\ngraph TD\n``` and ```markdown\n**x**\n```"
+    df = spark.createDataFrame([("p", 5, "a<b.js", None, why, "x < y"), ("p", 9, "z.js", "javascript", None, "")], "project string, file_id long, relative_path string, language string, explanation string, content string")
+    html = [r.html for r in report.report_sections(df).orderBy("section", "ord").collect()]
+    assert len(html) == 4 and '<div class="mermaid" id="mermaid-diagram-' in html[1] and "and **x**</div>" in html[1]
+    assert 'id="file-0" data-path="a&lt;b.js"' in html[1] and '<span class="badge">text</span>' in html[1] and "<pre><code>x &lt; y</code></pre>" in html[1]
+    assert "No explanation available." in html[2] and "<pre>" not in report.report_sections(df, "summary").filter("section = 1").first().html
+
+
 def test_report_is_written_in_order(spark, sf_dir, tmp_path):
     described = corpus.detect_language(samples.files(spark, sf_dir)).withColumn("explanation", F.lit("why"))
     sections = materialize(report.report_sections(described, "summary"))
@@ -349,7 +369,9 @@ def test_results_are_written_per_project(spark, tmp_path):
 def test_overlay_layers(spark):
     layer = lambda data: spark.createDataFrame(data, "key string, value string")
     got = overlay.overlay([layer([("a", "cli"), ("b", None)]), layer([("a", "file"), ("b", "file")]), layer([("a", "d"), ("b", "d"), ("c", "d")])], ["key"])
-    assert rows(got, "key", "value") == [("a", "cli"), ("b", "file"), ("c", "d")]
+    assert rows(got, "key", "value", "layer_priority") == [("a", "cli", 3), ("b", "file", 2), ("c", "d", 1)]
+    by_key = overlay.overlay([layer([("a", "x"), ("model:one", None), ("model:two", None)])], ["key"], default=F.when(F.col("key") == "model:one", "m1").otherwise("m2"))
+    assert rows(by_key, "key", "value", "layer_priority") == [("a", "x", 1), ("model:one", "m1", 0), ("model:two", "m2", 0)]
 
 
 # --- streaming ----------------------------------------------------------------------------------------------

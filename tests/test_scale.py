@@ -89,8 +89,3 @@ def test_first_n(spark):
     groups = {r[0] for r in rows}
     assert got == sorted((g, i) for g in groups for i in sorted(r[1] for r in rows if r[0] == g)[:3])
 
-
-def test_checked_broadcast(spark):
-    small, large = spark.range(5), spark.range(50)
-    assert "ResolvedHint" in scale.checked_broadcast(small, 10)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in scale.checked_broadcast(large, 10)._jdf.queryExecution().analyzed().toString()
