@@ -47,10 +47,10 @@ def cache_lookup(files: DataFrame, cache: DataFrame, use_cache: bool = True, met
     fresh = same_size & (F.col("mtime_ms") == F.col("_mtime"))
     if metadata_first:
         hashes = (
-            files.select(*meta).join(known, "cache_key").filter(same_size & ~fresh).select("cache_key")
+            files.select(*meta).join(known, "cache_key").filter(same_size & ~fresh).select("cache_key").distinct()
             .join(files.select("cache_key", *(["file_hash"] if "file_hash" in files.columns else ["content"])), "cache_key")
         )
-        hashed = hashes.select("cache_key", _hash(hashes).alias("file_hash"))
+        hashed = hashes.select("cache_key", _hash(hashes).alias("file_hash")).dropDuplicates(["cache_key"])
         current = files.select(*meta).join(hashed, "cache_key", "left")
     else:
         current = files.select(*meta, _hash(files).alias("file_hash"))
@@ -66,13 +66,15 @@ def cache_misses(looked_up: DataFrame) -> DataFrame:
 
 def refreshed(looked_up: DataFrame, cache: DataFrame) -> DataFrame:
     """Cache rows whose file kept its content: the same answer with the new time."""
-    times = looked_up.filter(F.col("cache_status") == "refresh").select("cache_key", F.col("mtime_ms").alias("_mtime"))
+    times = looked_up.filter(F.col("cache_status") == "refresh").groupBy("cache_key").agg(F.max("mtime_ms").alias("_mtime"))
     return cache.join(times, "cache_key").withColumn("mtime_ms", F.col("_mtime")).drop("_mtime")
 
 
 def cache_upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     """The cache with ``fresh`` rows in the place of those with the same key.
 
-    One row per key in ``fresh``. The result reads ``cache``, so write it somewhere else.
+    A file scanned twice has one key and one row here. The result reads ``cache``, so write
+    it somewhere else.
     """
+    fresh = fresh.dropDuplicates(["cache_key"])
     return cache.join(fresh.select("cache_key"), "cache_key", "left_anti").unionByName(fresh, allowMissingColumns=True)

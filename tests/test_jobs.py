@@ -129,6 +129,18 @@ def test_cache_tiers_agree_with_metadata_first(files):
     assert {s for _, s in rows(cache.cache_lookup(keyed, seed, use_cache=False), "file_id", "cache_status")} == {"miss"}
 
 
+def test_files_scanned_twice_share_a_cache_row(spark, files):
+    twice = files.union(files.withColumn("file_id", F.col("file_id") + 1000))
+    keyed = cache.with_cache_key(twice, F.col("key_path"), CONFIG.key_parts())
+    seed = samples.cache_seed(files)
+    for metadata_first in (False, True):
+        looked = cache.cache_lookup(keyed, seed, metadata_first=metadata_first)
+        assert looked.count() == twice.count() and looked.select("file_id").distinct().count() == twice.count()
+    assert cache.refreshed(cache.cache_lookup(keyed, seed), seed).count() == files.filter("file_id % 4 = 1").count()
+    fresh = cache.cache_misses(cache.cache_lookup(keyed, seed)).select("cache_key", "file_hash", "file_size", "mtime_ms", F.lit("x").alias("explanation"))
+    assert cache.cache_upsert(seed, fresh).count() == files.count()
+
+
 def test_cache_store_versions(spark, tmp_path):
     store = CacheStore(spark, str(tmp_path / "cache"))
     assert store.read().count() == 0
