@@ -72,6 +72,19 @@ def cache_rows(answered: DataFrame, looked_up: DataFrame, config: RunConfig) ->
     )
 
 
+def unanswered(keyed: DataFrame, looked_up: DataFrame) -> DataFrame:
+    """The rows the cache cannot answer, picked by the shorter list of ids.
+
+    A run over a warm cache keeps the few misses, a first run drops the few hits; either
+    list is usually small enough for the texts to stay where they are.
+    """
+    missed = F.col("cache_status") == "miss"
+    counts = looked_up.agg(F.count_if(missed).alias("misses"), F.count_if(~missed).alias("hits")).first()
+    if counts["misses"] <= counts["hits"]:
+        return keyed.join(looked_up.filter(missed).select("file_id"), "file_id", "left_semi")
+    return keyed.join(looked_up.filter(~missed).select("file_id"), "file_id", "left_anti")
+
+
 def answer_with_cache(
     keyed: DataFrame, cache: DataFrame, templates: DataFrame, client_factory: Callable[[], Client], config: RunConfig
 ) -> tuple[DataFrame, DataFrame]:
@@ -81,8 +94,7 @@ def answer_with_cache(
     mtime_ms), its ``content`` or ``file_hash``, and what its template asks for.
     """
     looked_up = materialize(caching.cache_lookup(keyed, cache, config.use_cache))
-    misses = looked_up.filter("cache_status = 'miss'").select("file_id")
-    answered = call_model(keyed.join(misses, "file_id", "left_semi"), templates, client_factory, config)
+    answered = call_model(unanswered(keyed, looked_up), templates, client_factory, config)
 
     known = looked_up.filter("cache_status <> 'miss'").select("file_id", F.col("cached_explanation").alias("explanation"))
     reused = keyed.select("project", "file_id", "relative_path", "language").join(known, "file_id").withColumn("cached", F.lit(True))
