@@ -44,6 +44,24 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [v or b"" for v in values.cast(pa.binary()).to_pylist()]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches put together until the column has about ``limit`` bytes."""
+    waiting, size = [], 0
+
+    def whole():
+        return pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+            size += batch.column(column).nbytes
+            if size >= limit:
+                yield whole()
+                waiting, size = [], 0
+    if waiting:
+        yield whole()
+
+
 def slices(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` bytes together, one text at least."""
     first, size = 0, 0

@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from .common import expand, keep, short_batches, slices, text_bytes
-from .tokens import WordEncoder, default_tokenizer, with_end
+from .common import expand, gathered, keep, short_batches, slices, text_bytes
+from .tokens import TOGETHER, default_tokenizer, encoder, with_end
 
 HEADER = "<4sHHIIQQ"
 MAGIC = b"CLH1"
@@ -56,12 +56,12 @@ def token_table(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1)
     path = tokenizer or default_tokenizer()
 
     def encode(batches):
-        encoder = WordEncoder(path)
-        kind = id_type(encoder.size)
-        for batch in batches:
+        words = encoder(path)
+        kind = id_type(words.size)
+        for batch in gathered(batches, TOGETHER):
             texts, doc_ids = text_bytes(batch), batch.column("doc_id")
-            for a, b in slices(texts, 4_000_000):
-                ids, counts = with_end(*encoder.encode(texts[a:b]), end_id)
+            for a, b in slices(texts, TOGETHER):
+                ids, counts = with_end(*words.encode(texts[a:b]), end_id)
                 data, ends = ids.astype(kind).tobytes(), np.cumsum(counts) * np.dtype(kind).itemsize
                 cuts = [0, *ends.tolist()]
                 values = pa.array([data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, short_batches, slices, text_bytes
-from .tokens import WordEncoder, default_tokenizer, with_end
+from .common import gathered, keep, short_batches, slices, text_bytes
+from .tokens import TOGETHER, default_tokenizer, encoder, with_end
 
 #: Sub-groups into which the pieces of one length are dealt to be numbered.
 SALTS = 1024
@@ -52,11 +52,11 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def cut(batches):
-        encoder = WordEncoder(path)
-        for batch in batches:
+        words = encoder(path)
+        for batch in gathered(batches, TOGETHER):
             texts, doc_ids = text_bytes(batch), batch.column("doc_id").to_pylist()
-            for a, b in slices(texts, 4_000_000):
-                ids, counts = with_end(*encoder.encode(texts[a:b]), end_id)
+            for a, b in slices(texts, TOGETHER):
+                ids, counts = with_end(*words.encode(texts[a:b]), end_id)
                 ids, rows, begin = ids.astype("<u4"), [], 0
                 for doc_id, n in zip(doc_ids[a:b], counts.tolist(), strict=True):
                     for piece, start in enumerate(range(0, n, capacity)):

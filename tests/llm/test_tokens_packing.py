@@ -31,7 +31,7 @@ def crc(ids):
 def test_words_encode_as_whole_texts():
     chance = random.Random(5)
     texts = ["".join(chance.choice(ODD) for _ in range(chance.randint(0, 30))) for _ in range(20_000)]
-    encoder = WordEncoder(default_tokenizer(), max_words=9_000)  # forgets a few times
+    encoder = WordEncoder(default_tokenizer(), most=9_000)  # forgets a few times
     whole = Tokenizer.from_file(default_tokenizer())
     for first in range(0, len(texts), 1000):
         part = texts[first : first + 1000]
