@@ -3,10 +3,14 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontaminate, suffix_dedup, superkmer
 from .common import documents
 from .huffman_ids import read_ids, write_ids
 from .packing import pack_documents
+from .rule_ledger import apply_policy, ledger, policy_mask
+from .simhash_vp import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -17,6 +21,53 @@ def register(fn):
     return fn
 
 
+@register
+def op2_suffix_dedup(spark, sf):
+    return suffix_dedup.removal(documents(spark, sf)).drop("spans", "kept")
+
+
+@register
+def op3_decontaminate(spark, sf):
+    """One row per contaminated document and benchmark item."""
+    return decontaminate.contaminated(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")).drop("k")
+
+
+@register
+def op4_rule_ledger(spark, sf):
+    """The base rules and the verdict of the full policy."""
+    kept = apply_policy(ledger(documents(spark, sf)), "full-1")
+    base = F.col("failed").bitwiseAND(F.lit(policy_mask("base-1"))) != 0
+    return kept.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "n_lines", "n_capitals", "failed"
+    )
+
+
+ORACLE["op4_rule_ledger"] = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+win AS (SELECT doc_id, i, ws[i : i + 4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+cover AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(len(ls) AS BIGINT) AS n_lines, CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS BIGINT) AS n_capitals
+  FROM w LEFT JOIN cover ON w.doc_id = cover.doc_id),
+f AS (
+  SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN n_repeat_words * 100 > n_words * 20 THEN 2 ELSE 0 END
+    + CASE WHEN n_symbols * 100 > n_words * 10 THEN 4 ELSE 0 END + CASE WHEN n_dup_lines * 100 > n_lines * 30 THEN 8 ELSE 0 END
+    + CASE WHEN word_chars < n_words * 2 THEN 16 ELSE 0 END + CASE WHEN word_chars > n_words * 15 THEN 32 ELSE 0 END
+    + CASE WHEN n_capitals * 2 > word_chars THEN 64 ELSE 0 END AS BIGINT) AS failed
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept,
+       n_lines, n_capitals, failed
+FROM f
+"""
+
+
 @register
 def op7_huffman_ids(spark, sf):
     """Decoded from the written files."""
@@ -26,3 +77,13 @@ def op7_huffman_ids(spark, sf):
 @register
 def op8_packing(spark, sf):
     return pack_documents(documents(spark, sf))
+
+
+@register
+def op5_superkmer_dedup(spark, sf):
+    return superkmer.removal(documents(spark, sf)).drop("spans", "kept")
+
+
+@register
+def op6_simhash_vp(spark, sf):
+    return near_duplicates(documents(spark, sf), shingle=3, max_bits=3)
