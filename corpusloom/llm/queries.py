@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, suffix_dedup, superkmer
-from .common import documents
+from . import decontaminate, gam, language, suffix_dedup, superkmer, toxicity
+from .common import documents, held_out
 from .huffman_ids import read_ids, write_ids
 from .packing import pack_documents
 from .rule_ledger import apply_policy, ledger, policy_mask
@@ -21,6 +21,19 @@ def register(fn):
     return fn
 
 
+def labels(spark, sf, column):
+    """(doc_id, label)"""
+    return spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col(column).alias("label"))
+
+
+@register
+def op1_toxicity(spark, sf):
+    docs, held = documents(spark, sf), held_out(1, 3)
+    model = toxicity.fit(docs, labels(spark, sf, "toxic").filter(~held))
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", predicted, "evidence", "telling_windows", "n_windows")
+
+
 @register
 def op2_suffix_dedup(spark, sf):
     return suffix_dedup.removal(documents(spark, sf)).drop("spans", "kept")
@@ -87,3 +100,18 @@ def op5_superkmer_dedup(spark, sf):
 @register
 def op6_simhash_vp(spark, sf):
     return near_duplicates(documents(spark, sf), shingle=3, max_bits=3)
+
+
+@register
+def op9_gam_quality(spark, sf):
+    docs, held = documents(spark, sf), held_out(2, 4)
+    model = gam.fit(docs, labels(spark, sf, "quality").filter(~held))
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    return gam.score(docs, model).select("doc_id", held.alias("held_out"), "score", predicted)
+
+
+@register
+def op10_language(spark, sf):
+    docs, held = documents(spark, sf), held_out(2, 4)
+    model = language.fit(docs.filter(~held))
+    return language.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "family")
