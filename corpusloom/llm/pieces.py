@@ -97,16 +97,21 @@ def spread(batches: Iterator[pa.RecordBatch], limit: int, length: Callable[[obje
 
 
 def repeated(pieces: DataFrame) -> DataFrame:
-    """Pieces whose anchor occurs twice or more, kept."""
-    often = pieces.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m")
-    return keep(pieces.join(often, "m", "left_semi"))
+    """Pieces whose anchor occurs twice or more, kept.
+
+    The counts are a table of their own, so that both sides of the join are plain shuffles
+    and a crowded anchor's partition can be split at run time.
+    """
+    table = keep(pieces)
+    often = keep(table.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m"))
+    return keep(table.join(often, "m", "left_semi"))
 
 
 def distinct(pieces: DataFrame) -> DataFrame:
     """Each distinct piece with its number, its first document, one place, and how many its bucket has; kept."""
     place = F.struct("doc_id", "k", "start", "windows", "left")
     each = keep(pieces.groupBy("m", "h").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(place).alias("place")))
-    crowd = each.groupBy("m").agg(F.count("*").alias("crowd"))
+    crowd = keep(each.groupBy("m").agg(F.count("*").alias("crowd")))
     return keep(each.join(crowd, "m").select("m", "h", "n", "least", "most", "place.k", "place.start", "place.windows", "place.left", "crowd"))
 
 
