@@ -16,17 +16,17 @@ def star_roots(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternates the large-star and small-star steps: every node hangs its larger, then its
     smaller neighbours on the smallest one it knows, until the links are stars. Each step is
-    a partial aggregation and an equi-join, so a hub with many links is split like any skewed
-    key; rounds grow with the logarithm of the longest chain. Only a count comes to the driver.
+    a partial aggregation, kept as a table, and an equi-join with it, so that both sides are
+    plain shuffles and a hub with many links is split like any skewed key; rounds grow with the logarithm of the longest chain. Only a count comes to the driver.
     """
     edges = keep(
         links.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).filter(F.col("u") != F.col("v")).distinct()
     )
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(keep(_least(both)), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = keep(large.filter(F.col("u") != F.col("v")).distinct())
-        least = _least(large)
+        least = keep(_least(large))
         small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         found = keep(small.union(least.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct())
         # stars: every node has one link, and no root has a link of its own

@@ -8,7 +8,7 @@ logistic function of the sum of its table entries, one vectorised addition per t
 ``fit`` uses at most ``rows`` labelled documents, chosen by the hash of their id; ``score``
 reads whole texts. Null and empty texts have all features at zero and get a score like any
 other; rows with a null id are scored; an empty table gives an empty result; ``score`` returns
-only its own columns.
+only its own columns, ``accepted`` all columns of its rows.
 """
 
 from collections import Counter
@@ -17,6 +17,7 @@ from operator import eq
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -212,17 +213,24 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     return train(np.array([f for _, _, f in found], dtype=float), np.array([y for _, y, _ in found], dtype=float))
 
 
-def score(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
-    """(doc_id, score) of every document, and the carried columns."""
-    short_batches(docs.sparkSession)
+def score_column(model: Model):
+    """The score of a text, given as bytes, as a column function."""
     groups = byte_groups()
 
-    def run(batches):
-        for batch in batches:
-            values = np.array([measure(t, groups) for t in text_bytes(batch)], dtype=float)
-            arrays = [batch.column(c) for c in ("doc_id", *carried)] + [pa.array(predict(values, model))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *carried, "score"])
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(predict(np.array([measure(t or b"", groups) for t in texts], dtype=float), model))
+
+    return scored
+
 
-    source = docs.select("doc_id", "text", *[c for c in carried if c != "text"])
-    schema = source.select("doc_id", *carried).schema.add("score", "double")
-    return source.mapInArrow(run, schema)
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) of every document."""
+    short_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), score_column(model)(F.col("text").cast("binary")).alias("score"))
+
+
+def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs`` with a score of ``least`` or more, all columns kept."""
+    short_batches(docs.sparkSession)
+    return docs.filter(score_column(model)(F.col("text").cast("binary")) >= least)

@@ -17,7 +17,6 @@ number; an empty table gives an empty result; other columns are not carried.
 """
 
 import math
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, short_batches, text_bytes
 from .components import star_roots
+from .pieces import key
 
 #: Points a shard should have, shards at most, and sample points per shard.
 SHARD_POINTS = 32768
@@ -68,15 +68,17 @@ def fingerprint(text: bytes, length: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a long."""
+    """(doc_id, k, fp): the key of id and text, and the fingerprint's 64 bits as a long."""
     short_batches(docs.sparkSession)
 
     def compute(batches):
         for batch in batches:
             values = np.array([fingerprint(t, shingle) for t in text_bytes(batch)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            arrays = [batch.column("doc_id"), batch.column("k"), pa.array(values.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "k", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(compute, "doc_id long, fp long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key().alias("k"))
+    return source.mapInArrow(compute, "doc_id long, k long, fp long")
 
 
 def distance(points: np.ndarray, point: np.uint64) -> np.ndarray:
@@ -211,13 +213,32 @@ def similar_links(points: DataFrame, max_bits: int = 3, shard_points: int = SHAR
     return routed.groupBy("shard").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """(doc_id, fingerprint, component_id): documents whose fingerprints a chain of links joins share a component."""
+def grouped(docs: DataFrame, shingle: int = 3, max_bits: int = 3, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """(fp, doc_id, k, root, component_id): ``root`` names the group of a row, whatever its ids."""
     prints = keep(fingerprints(docs, shingle))
     points = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = star_roots(similar_links(points.select("fp"), max_bits, shard_points), "a", "b")
-    labelled = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    components = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = labelled.join(components, "root").select("fp", "component_id")
+    labelled = keep(points.join(roots, points["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    components = keep(labelled.groupBy("root").agg(F.min("first").alias("component_id")))
+    return prints.join(labelled.join(components, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """(doc_id, fingerprint, component_id): documents whose fingerprints a chain of links joins share a component."""
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(labels, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return grouped(docs, shingle, max_bits, shard_points).select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 3, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their group, all columns kept; null ids come last.
+
+    Of rows that repeat an id and text one stays.
+    """
+    rows = keep(grouped(docs, shingle, max_bits, shard_points).select("k", "root", F.struct(F.col("doc_id").isNull(), "doc_id", "k").alias("order")))
+    best = keep(rows.groupBy("root").agg(F.min("order").alias("best")))
+    judged = rows.join(best, "root").select("k", (F.col("order") == F.col("best")).alias("stays"))
+    counts = keep(judged.groupBy("k", "stays").agg(F.count("*").alias("n")).filter("n > 1 or not stays"))
+    name = "__near_key"
+    gone, twice = counts.filter("not stays").select(F.col("k").alias(name)), counts.filter("stays").select(F.col("k").alias(name))
+    kept = docs.withColumn(name, key()).join(gone, name, "left_anti")
+    return kept.join(twice, name, "left_anti").union(kept.join(twice, name, "left_semi").dropDuplicates([name])).drop(name)
