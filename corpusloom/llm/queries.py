@@ -71,7 +71,7 @@ m AS (
   FROM w LEFT JOIN cover ON w.doc_id = cover.doc_id),
 f AS (
   SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN n_repeat_words * 100 > n_words * 20 THEN 2 ELSE 0 END
-    + CASE WHEN n_symbols * 100 > n_words * 10 THEN 4 ELSE 0 END + CASE WHEN n_dup_lines * 100 > n_lines * 30 THEN 8 ELSE 0 END
+    + CASE WHEN n_symbols * 100 > n_words * 10 THEN 4 ELSE 0 END + CASE WHEN n_dup_lines * 100 > n_lines * 50 THEN 8 ELSE 0 END
     + CASE WHEN word_chars < n_words * 2 THEN 16 ELSE 0 END + CASE WHEN word_chars > n_words * 15 THEN 32 ELSE 0 END
     + CASE WHEN n_capitals * 2 > word_chars THEN 64 ELSE 0 END AS BIGINT) AS failed
   FROM m)

@@ -23,7 +23,7 @@ RULES: dict[str, Callable[[], Column]] = {
     "few_words": lambda: F.col("n_words") < 10,
     "repeated_words": lambda: F.col("n_repeat_words") * 100 > F.col("n_words") * 20,
     "symbols": lambda: F.col("n_symbols") * 100 > F.col("n_words") * 10,
-    "repeated_lines": lambda: F.col("n_dup_lines") * 100 > F.col("n_lines") * 30,
+    "repeated_lines": lambda: F.col("n_dup_lines") * 100 > F.col("n_lines") * 50,
     "short_words": lambda: F.col("word_chars") < F.col("n_words") * 2,
     "long_words": lambda: F.col("word_chars") > F.col("n_words") * 15,
     "capitals": lambda: F.col("n_capitals") * 2 > F.col("word_chars"),
