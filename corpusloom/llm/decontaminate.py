@@ -6,17 +6,18 @@ form: for 8 to 13 aligned tokens, a fifth of them replaced in any way, at least
 on equal tokens only (checked over all patterns in the tests).
 
 Seeds of the benchmark are a table. Training texts are read once; a Bloom filter of fixed size
-over the benchmark's seeds drops positions that cannot match before anything is shuffled, and
-the rest joins the seed table on the hash. A hit says that item and text may be aligned with a
-certain shift; each (text, item, shift) is verified on the real tokens: some ``window``
-aligned tokens, or the whole item if it is shorter, of which at least ``similarity`` are equal
-and which contain a hit.
+over the benchmark's seeds drops positions that cannot match before anything is shuffled. What
+is left of a text is a few stretches: the hashes of the tokens around positions that passed. Their
+seeds join the seed table; a hit says that item and stretch may be aligned with a certain shift,
+and each (stretch, item, shift) is verified token by token: some ``window`` aligned tokens, or the
+whole item if it is shorter, of which at least ``similarity`` are equal and which contain a hit.
+Texts themselves are never shuffled.
 
 Tokens are runs of anything but ASCII white space, lower-cased in A-Z, without ASCII
 punctuation at either end; tokens of punctuation only do not count. Items of fewer than
-``least`` tokens identify no passage and match nothing. Null texts are empty; null ids are
-carried; repeated rows are found each; empty tables give an empty result; other columns are
-not carried.
+``LEAST`` tokens identify no passage and match nothing. Null texts are empty; null ids are
+carried; rows that repeat an id and text are one; empty tables give an empty result; other
+columns are not carried by ``contaminated`` and all are kept by ``clean``.
 """
 
 import string
@@ -102,35 +103,59 @@ def bloom(table: DataFrame) -> np.ndarray:
     return out
 
 
-def possible_hits(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """(k, doc_id, seed, position) of seeds of the texts that the Bloom filter lets pass."""
+def stretches(docs: DataFrame, table: DataFrame, window: int) -> DataFrame:
+    """(k, doc_id, start, tokens, seeds, positions): tokens around seeds that the Bloom filter lets pass; kept.
+
+    ``start`` and ``positions`` count the tokens of the text. Every run of ``window`` tokens that
+    contains a position lies in its stretch.
+    """
     short_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(bloom(table))
-    schema = "k long, doc_id long, seed long, position long"
+    schema = "k long, doc_id long, start long, tokens array<bigint>, seeds array<bigint>, positions array<bigint>"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def passing(hashes: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, text, seed) of all masks, by place."""
+        words, found = known.value, []
+        for mask, places in enumerate(MASKS):
+            values = seeds(hashes, mask)
+            one, two = bloom_places(values)
+            passed = (words[one >> 6] >> (one & 63).astype(np.uint64)) & (words[two >> 6] >> (two & 63).astype(np.uint64)) & np.uint64(1)
+            at = np.flatnonzero(passed)
+            which = np.searchsorted(begin, at, side="right") - 1
+            if len(at):
+                inside = at + places[-1] < begin[which] + counts[which]
+                found.append((at[inside], which[inside], values[at[inside]]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        at, which, values = (np.concatenate(v) for v in zip(*found, strict=True))
+        order = np.argsort(at, kind="stable")
+        return at[order], which[order], values[order]
 
     def scan(batches):
-        words = known.value
         for batch in batches:
-            texts = text_bytes(batch)
+            texts, keys, ids = text_bytes(batch), batch.column("k"), batch.column("doc_id")
             for a, b in slices(texts, 1_000_000):
                 each = [tokens(t) for t in texts[a:b]]
                 counts = np.array([len(t) for t in each])
                 begin = np.cumsum(counts) - counts
                 hashes = token_hashes([t for found in each for t in found])
-                for mask, places in enumerate(MASKS):
-                    values = seeds(hashes, mask)
-                    one, two = bloom_places(values)
-                    passed = (words[one >> 6] >> (one & 63).astype(np.uint64)) & (words[two >> 6] >> (two & 63).astype(np.uint64)) & np.uint64(1)
-                    at = np.flatnonzero(passed)
-                    which = np.searchsorted(begin, at, side="right") - 1
-                    inside = at + places[-1] < begin[which] + counts[which] if len(at) else np.zeros(0, dtype=bool)
-                    at, which = at[inside], which[inside]
-                    index = pa.array(which + a)
-                    arrays = [batch.column("k").take(index), batch.column("doc_id").take(index), pa.array(values[at].view(np.int64)), pa.array(at - begin[which])]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["k", "doc_id", "seed", "position"])
+                at, which, values = passing(hashes, begin, counts)
+                if not len(at):
+                    continue
+                first = np.flatnonzero((np.diff(at, prepend=at[0] - 1) > 2 * window) | (np.diff(which, prepend=-1) != 0))
+                rows = []
+                for i, j in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+                    w = int(which[i])
+                    low = max(int(at[i]) - window, int(begin[w]))
+                    high = min(int(at[j - 1]) + window, int(begin[w] + counts[w]))
+                    rows.append((keys[a + w].as_py(), ids[a + w].as_py(), low - int(begin[w]), hashes[low:high].view(np.int64), values[i:j].view(np.int64), at[i:j] - begin[w]))
+                long, many = pa.int64(), pa.list_(pa.int64())
+                arrays = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (long, long, long, many, many, many), strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", pieces.key().alias("k"))
-    return source.mapInArrow(scan, schema)
+    return keep(source.mapInArrow(scan, schema))
 
 
 def verify(text: np.ndarray, item: np.ndarray, shift: int, hits: list[int], window: int, similarity: float) -> tuple[int, int, int] | None:
@@ -158,36 +183,40 @@ def verify(text: np.ndarray, item: np.ndarray, shift: int, hits: list[int], wind
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, k, first_token, end_token, n_equal): verified overlaps, the best shift per row and item.
+    """(doc_id, item_id, k, first_token, end_token, n_equal): the best verified overlap of each text and item.
 
     ``k`` is the hash of the row's id and text.
     """
     items = item_table(benchmark)
     table = seed_table(items)
-    hits = possible_hits(docs, table).join(table, "seed")
-    shift = (F.col("position") - F.col("at")).alias("shift")
-    # a few positions say where to look; windows around them cover every hit between
-    aligned = hits.groupBy("k", "doc_id", "item", shift).agg(F.sort_array(F.collect_set("position")).alias("hits"))
-    wanted = keep(aligned.join(items, "item").select("k", "doc_id", "item_id", "shift", "hits", "tokens"))
-
-    def check(k, text, found):
-        hashes = token_hashes(tokens(text))
-        rows = []
-        for w in found:
-            item = np.array(w["tokens"], dtype=np.int64).view(np.uint64)
-            if overlap := verify(hashes, item, w["shift"], w["hits"], window, similarity):
-                rows.append((w["doc_id"], w["item_id"], k, *overlap))
-        return rows
-
+    found = stretches(docs, table, window)
+    each = found.select("k", "start", F.inline(F.arrays_zip("seeds", "positions"))).withColumnRenamed("seeds", "seed")
+    shift = (F.col("positions") - F.col("at")).alias("shift")
+    aligned = each.join(table, "seed").groupBy("k", "start", "item", shift).agg(F.sort_array(F.collect_set("positions")).alias("hits"))
+    known = items.select("item", "item_id", F.col("tokens").alias("item_tokens"))
+    rows = aligned.join(known, "item").join(found.select("k", "doc_id", "start", "tokens"), ["k", "start"])
     schema = "doc_id long, item_id long, k long, first_token long, end_token long, n_equal long"
-    found = pieces.with_text(wanted, docs, schema, check)
+
+    def check(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                text, item = (np.array(r[c], dtype=np.int64) for c in ("tokens", "item_tokens"))
+                if overlap := verify(text, item, r["shift"] - r["start"], [p - r["start"] for p in r["hits"]], window, similarity):
+                    out.append((r["doc_id"], r["item_id"], r["k"], overlap[0] + r["start"], overlap[1] + r["start"], overlap[2]))
+            if out:
+                arrays = [pa.array(v, pa.int64()) for v in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in schema.split(", ")])
+
+    overlaps = rows.select("doc_id", "item_id", "k", "start", "shift", "hits", "tokens", "item_tokens").mapInArrow(check, schema)
     place = F.max(F.struct("n_equal", (-F.col("first_token")).alias("first"), "end_token")).alias("best")
-    best = found.groupBy("doc_id", "item_id", "k").agg(place)
+    best = overlaps.groupBy("doc_id", "item_id", "k").agg(place)
     return best.select("doc_id", "item_id", "k", (-F.col("best.first")).alias("first_token"), "best.end_token", "best.n_equal")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without an overlap, all columns kept."""
     name = "__contaminated_key"
-    found = contaminated(docs, benchmark, window, similarity).select(F.col("k").alias(name))
-    return docs.join(found, pieces.key() == F.col(name), "left_anti")
+    found = keep(contaminated(docs, benchmark, window, similarity).select(F.col("k").alias(name)).distinct())
+    # the same join at every size: the list grows with the corpus, so it is never broadcast
+    return docs.join(found.hint("merge"), pieces.key() == F.col(name), "left_anti")
