@@ -239,6 +239,10 @@ def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 3, shard_poin
     judged = rows.join(best, "root").select("k", (F.col("order") == F.col("best")).alias("stays"))
     counts = keep(judged.groupBy("k", "stays").agg(F.count("*").alias("n")).filter("n > 1 or not stays"))
     name = "__near_key"
-    gone, twice = counts.filter("not stays").select(F.col("k").alias(name)), counts.filter("stays").select(F.col("k").alias(name))
-    kept = docs.withColumn(name, key()).join(gone, name, "left_anti")
-    return kept.join(twice, name, "left_anti").union(kept.join(twice, name, "left_semi").dropDuplicates([name])).drop(name)
+    # the same join at every size: the list grows with the corpus, so it is never broadcast
+    listed = counts.select(F.col("k").alias(name), "stays")
+    marked = docs.withColumn(name, key()).join(listed.withColumnRenamed("stays", f"{name}_stays").hint("merge"), name, "left")
+    kept = marked.filter(F.col(f"{name}_stays").isNull()).select(*docs.columns)
+    if listed.filter("stays").isEmpty():
+        return kept
+    return kept.union(marked.filter(F.col(f"{name}_stays")).dropDuplicates([name]).select(*docs.columns))
