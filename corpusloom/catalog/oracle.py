@@ -246,7 +246,7 @@ edge AS (SELECT dep.project, s.idx AS src, t.dst, dep.pos, dep.dependency FROM d
 loose AS (SELECT * FROM comps c WHERE (contains(type, 'Main') OR contains(type, 'Entry'))
   AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.project = c.project AND e.name = c.name))"""
 COUNTS = """
-counts AS (SELECT c.project, c.file_id, c.name, c.type, (SELECT count(*) FROM fn WHERE fn.file_id = c.file_id AND fn.pos < 15) AS functions,
+counts AS (SELECT c.project, c.file_id, c.name, c.type, (SELECT count(*) FROM fn WHERE fn.file_id = c.file_id) AS functions,
   (SELECT count(*) FROM cls WHERE cls.file_id = c.file_id AND is_internal) AS internal_deps,
   (SELECT count(*) FROM cls WHERE cls.file_id = c.file_id AND NOT is_internal) AS external_deps FROM comps c)"""
 PROJECT_DEPS = """
@@ -258,7 +258,7 @@ links AS (SELECT project, type, name, min(file_id) AS first_file_id, arg_min(pos
   SELECT project, file_id, pos, 'Database' AS type, connection AS name FROM dbc UNION ALL SELECT project, file_id, pos, 'API', connection FROM apc) GROUP BY project, type, name)"""
 METRICS = f"""
 metrics AS (SELECT project, count(*) AS components,
-  CAST(sum((SELECT count(*) FROM fn WHERE fn.file_id = f.file_id AND fn.pos < 15)) AS BIGINT) AS total_functions,
+  CAST(sum((SELECT count(*) FROM fn WHERE fn.file_id = f.file_id)) AS BIGINT) AS total_functions,
   count(*) FILTER (WHERE {ENTRY}) AS entry_points,
   (SELECT count(*) FROM links l WHERE l.project = f.project AND type = 'Database') AS db_connections,
   (SELECT count(*) FROM links l WHERE l.project = f.project AND type = 'API') AS api_connections
@@ -267,7 +267,7 @@ DRAWN = f"""
 drawn AS (SELECT c.project, c.idx, fn.pos AS slot_no, CAST(fn.pos + 1 AS VARCHAR) AS slot, {component('fn.name')} || '()' AS label
     FROM fn JOIN comps c ON c.file_id = fn.file_id WHERE fn.pos < 2
   UNION ALL SELECT project, idx, 2, 'MORE', CAST(functions - 2 AS VARCHAR) || ' more funcs' FROM (
-    SELECT c.project, c.idx, least(count(*), 15) AS functions FROM fn JOIN comps c ON c.file_id = fn.file_id GROUP BY ALL) WHERE functions > 2)"""
+    SELECT c.project, c.idx, count(*) AS functions FROM fn JOIN comps c ON c.file_id = fn.file_id GROUP BY ALL) WHERE functions > 2)"""
 ALL_GRAPH = ",".join([FILES, FUNCTION_ROWS, DEPENDENCY_ROWS, COMPONENTS, CLASSIFIED, EDGES, COUNTS, PROJECT_DEPS, DRAWN])
 ALL_LINKS = ",".join([DB_CONNECTION_ROWS, API_CONNECTION_ROWS, LINKS])
 COMP_LABEL = f"{component('name')} || ' - ' || replace(type, '\"', '\\\"')"

@@ -277,12 +277,12 @@ def project_connections(spark, sf):
 
 @register
 def component_counts(spark, sf):
-    return graph.component_counts(structure(samples.spread_files(spark, sf), "name", "type", "functions", "dependencies"))
+    return graph.component_counts(structure(samples.spread_files(spark, sf), "name", "type", "n_functions", "dependencies"))
 
 
 @register
 def component_summary(spark, sf):
-    return graph.component_summary(structure(samples.spread_files(spark, sf), "name", "type", "functions", "dependencies"))
+    return graph.component_summary(structure(samples.spread_files(spark, sf), "name", "type", "n_functions", "dependencies"))
 
 
 @register
@@ -300,7 +300,7 @@ def start_edges(spark, sf):
     return graph.start_edges(structure(samples.spread_files(spark, sf), "relative_path", "name", "type", "is_entry"))
 
 
-GRAPH_COLUMNS = ["relative_path", "name", "type", "functions", "dependencies", "is_entry"]
+GRAPH_COLUMNS = ["relative_path", "name", "type", "functions", "n_functions", "dependencies", "is_entry"]
 
 
 @register

@@ -108,8 +108,12 @@ def api_connections(text: Column) -> Column:
 
 
 def extract_structure(files: DataFrame, text: str = "content", path: str = "relative_path", **dependency_options) -> DataFrame:
-    """One narrow record per file, without its text: the input of all graph operators."""
+    """One narrow record per file, without its text: the input of all graph operators.
+
+    ``functions`` holds the first fifteen, ``n_functions`` counts all.
+    """
     body, where = F.col(text), F.col(path)
+    files = files.withColumn("_names", function_names(body, None))
     return files.select(
         "project",
         "file_id",
@@ -117,7 +121,10 @@ def extract_structure(files: DataFrame, text: str = "content", path: str = "rela
         *(["language"] if "language" in files.columns else []),
         stem(where).alias("name"),
         classify.component_type(where, body).alias("type"),
-        functions(body).alias("functions"),
+        F.transform(
+            F.slice("_names", 1, MAX_FUNCTIONS_PER_FILE), lambda n: F.struct(n.alias("name"), classify.function_type(n, body).alias("type"))
+        ).alias("functions"),
+        F.size("_names").cast("long").alias("n_functions"),
         dependencies(body, **dependency_options).alias("dependencies"),
         databases(body).alias("databases"),
         apis(body).alias("apis"),

@@ -79,7 +79,7 @@ def component_counts(records: DataFrame) -> DataFrame:
         F.count_if("is_internal").alias("internal_deps"), F.count_if(~F.col("is_internal")).alias("external_deps")
     )
     return (
-        records.select("project", "file_id", "name", "type", F.size("functions").cast("long").alias("functions"))
+        records.select("project", "file_id", "name", "type", F.col("n_functions").alias("functions"))
         .join(per_file, "file_id", "left")
         .fillna(0, ["internal_deps", "external_deps"])
     )
@@ -89,7 +89,7 @@ def project_metrics(records: DataFrame) -> DataFrame:
     """Components, functions, entry points and connections of each project."""
     totals = records.groupBy("project").agg(
         F.count("*").alias("components"),
-        F.sum(F.size("functions").cast("long")).alias("total_functions"),
+        F.sum("n_functions").alias("total_functions"),
         F.count_if("is_entry").alias("entry_points"),
     )
     links = project_connections(records).groupBy("project").agg(
@@ -98,21 +98,21 @@ def project_metrics(records: DataFrame) -> DataFrame:
     return totals.join(links, "project", "left").fillna(0, ["db_connections", "api_connections"])
 
 
-def index_components(records: DataFrame, levels: int = 1) -> DataFrame:
+def index_components(records: DataFrame) -> DataFrame:
     """(project, idx, file_id, name, type) with components numbered from 1."""
-    numbered = ordinal(records.select("project", "file_id", "name", "type"), ["project"], "file_id", levels=levels)
+    numbered = ordinal(records.select("project", "file_id", "name", "type"), ["project"], "file_id")
     return numbered.withColumn("idx", F.col("ord") + 1).drop("ord")
 
 
-def index_entries(records: DataFrame, levels: int = 1) -> DataFrame:
+def index_entries(records: DataFrame) -> DataFrame:
     """Entry points numbered from 1 in file order."""
     entries = records.filter("is_entry").select("project", "file_id", "name", F.col("relative_path").alias("file"))
-    return ordinal(entries, ["project"], "file_id", levels=levels).withColumn("idx", F.col("ord") + 1).drop("ord")
+    return ordinal(entries, ["project"], "file_id").withColumn("idx", F.col("ord") + 1).drop("ord")
 
 
-def indexes(records: DataFrame, levels: int = 1) -> tuple[DataFrame, DataFrame]:
+def indexes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Component and entry numbers, computed once: every part of the graph refers to them."""
-    return materialize(index_components(records, levels)), materialize(index_entries(records, levels))
+    return materialize(index_components(records)), materialize(index_entries(records))
 
 
 def component_edges(records: DataFrame, components: DataFrame | None = None) -> DataFrame:
@@ -188,7 +188,7 @@ def _function_rows(records: DataFrame, components: DataFrame) -> DataFrame:
         F.slice("functions", 1, MAX_FUNCTIONS_DRAWN),
         lambda f, i: F.struct((i + 1).cast("string").alias("slot"), F.concat(safety.display_name(f["name"]), F.lit("()")).alias("label")),
     )
-    extra = F.size("functions") - MAX_FUNCTIONS_DRAWN
+    extra = F.col("n_functions") - MAX_FUNCTIONS_DRAWN
     more = F.array(F.struct(F.lit("MORE").alias("slot"), F.concat(extra.cast("string"), F.lit(" more funcs")).alias("label")))
     drawn = records.select("file_id", F.when(extra > 0, F.concat(shown, more)).otherwise(shown).alias("_drawn")).filter(F.size("_drawn") > 0)
     return components.join(drawn, "file_id").select("project", "idx", F.posexplode("_drawn").alias("slot_no", "_f")).select(
@@ -196,9 +196,9 @@ def _function_rows(records: DataFrame, components: DataFrame) -> DataFrame:
     )
 
 
-def graph_lines(records: DataFrame, levels: int = 1) -> DataFrame:
+def graph_lines(records: DataFrame) -> DataFrame:
     """The diagram as lines; (section, i, j, k) is their order within a project."""
-    components, entries = indexes(records, levels)
+    components, entries = indexes(records)
     comp = F.concat(F.lit("    COMP"), F.col("idx"))
     shape = classify.node_shape(F.col("type"))
 

@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prompting
-from .scale import lookup_join
 
 # Own wording; the placeholders are fixed.
 DEFAULT_TEMPLATES = {
@@ -17,6 +16,7 @@ DEFAULT_TEMPLATES = {
 }
 FALLBACK_TEMPLATE = "Explain this {{language}} file.\n\nFile: {{filePath}}\n\n{{codeContent}}\n\nAnswer in markdown."
 MAX_TEMPLATES = 100
+MAX_TEMPLATE_CHARS = 1_000_000
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
@@ -34,19 +34,17 @@ def choose_templates(templates: DataFrame) -> DataFrame:
 def pick_template(rows: DataFrame, templates: DataFrame, mode: str = "mode") -> DataFrame:
     """Add ``template`` to rows with a mode column: user, else default, else the fallback.
 
-    All rows may have the same mode, which would make one task of a shuffled join. Up to
-    ``MAX_TEMPLATES`` modes, become a constant of the plan;
-    more are joined with the hot modes split.
+    All rows may have the same mode, which would make one task of a shuffled join, so the
+    templates become a constant of the plan. There is one per mode; more than
+    ``MAX_TEMPLATES`` modes or ``MAX_TEMPLATE_CHARS`` characters are an error.
     """
     chosen = choose_templates(templates)
     resolved = prompting.resolve_mode(F.col(mode))
-    few = chosen.limit(MAX_TEMPLATES + 1).collect()
-    if len(few) > MAX_TEMPLATES:
-        keyed = rows.withColumn("_mode", resolved).withColumn("_row", F.monotonically_increasing_id())
-        found = lookup_join(keyed, chosen.withColumnRenamed("mode", "_mode"), ["_mode"], "_row").drop("_mode", "_row")
-    else:
-        known = F.create_map(*[F.lit(value) for row in few for value in (row["mode"], row["template"])]) if few else None
-        found = rows.withColumn("template", F.lit(None).cast("string") if known is None else F.try_element_at(known, resolved))
+    few = chosen.select("mode", F.left("template", F.lit(MAX_TEMPLATE_CHARS + 1)).alias("template")).limit(MAX_TEMPLATES + 1).collect()
+    if len(few) > MAX_TEMPLATES or sum(len(row["template"] or "") for row in few) > MAX_TEMPLATE_CHARS:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates or {MAX_TEMPLATE_CHARS} characters of templates")
+    known = F.create_map(*[F.lit(value) for row in few for value in (row["mode"], row["template"])]) if few else None
+    found = rows.withColumn("template", F.lit(None).cast("string") if known is None else F.try_element_at(known, resolved))
     return found.withColumn("template", F.coalesce("template", F.lit(FALLBACK_TEMPLATE)))
 
 

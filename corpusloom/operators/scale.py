@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 16
+#: Levels of blocks of blocks: 2**16 rows, blocks and runs at most in a window, whatever the 64-bit ids are.
+LEVELS = 3
 NULL_SALTS = 4096
 
 
@@ -41,14 +43,14 @@ def _block_starts(blocks: DataFrame, group: list[str], levels: int) -> DataFrame
     )
 
 
-def running_start(df: DataFrame, group: Sequence[str], order_id: str, weight: Column | None = None, levels: int = 1) -> DataFrame:
+def running_start(df: DataFrame, group: Sequence[str], order_id: str, weight: Column | None = None, levels: int = LEVELS) -> DataFrame:
     """Add ``_start``, the sum of weights of earlier ids, and ``_total``, that of the group.
 
     Rows are summed inside blocks of 2**16 consecutive ids and shifted by the sum of
-    earlier blocks, so a window never sees more than one block. For counters, which corpus
-    ids are, there are few blocks and one level of block sums is enough; ``levels=3`` bounds
-    every window also for ids spread over the 64-bit range, such as hashes. The group columns must not be NULL; ``df`` is
-    read twice and should be narrow.
+    earlier blocks, so a window never sees more than one block. The sums of blocks are taken
+    in the same way, ``levels`` deep; three levels bound every window also for ids spread over
+    the 64-bit range, such as hashes. The group columns must not be NULL; ``df`` is read twice
+    and should be narrow.
     """
     group = list(group)
     weighted = df.withColumn("_w", F.lit(1) if weight is None else weight).withColumn("_block", F.shiftright(order_id, BLOCK_BITS))
@@ -70,7 +72,7 @@ def ordinal(
     out: str = "ord",
     total: str | None = None,
     within: str | None = None,
-    levels: int = 1,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """Number the rows of each group 0, 1, 2, … in the order of an integer id.
 
@@ -94,11 +96,39 @@ def ordinal(
     return numbered.drop("_start", "_total")
 
 
-def neighbours(df: DataFrame, group: Sequence[str], order_id: str, value: str) -> DataFrame:
+def _beside(blocks: DataFrame, group: list[str], levels: int) -> DataFrame:
+    """(group, _block, _before, _after): the last value before and the first after each block.
+
+    ``blocks`` holds (group, _block, _first, _last). A level looks inside runs of
+    2**BLOCK_BITS blocks and asks the next level for what lies beside the run.
+    """
+    if levels == 0:
+        ordered = Window.partitionBy(*group).orderBy("_block")
+        return blocks.select(*group, "_block", F.lag("_last").over(ordered).alias("_before"), F.lead("_first").over(ordered).alias("_after"))
+    runs = blocks.withColumn("_run", F.shiftright("_block", BLOCK_BITS))
+    inside = Window.partitionBy(*group, "_run").orderBy("_block")
+    ends = runs.groupBy(*group, "_run").agg(F.min_by("_first", "_block").alias("_first"), F.max_by("_last", "_block").alias("_last"))
+    outer = _beside(ends.withColumnRenamed("_run", "_block"), group, levels - 1)
+    outer = outer.select(*group, F.col("_block").alias("_run"), F.col("_before").alias("_run_before"), F.col("_after").alias("_run_after"))
+    return (
+        runs.withColumn("_before", F.lag("_last").over(inside))
+        .withColumn("_after", F.lead("_first").over(inside))
+        .withColumn("_is_first", F.row_number().over(inside) == 1)
+        .withColumn("_is_last", F.lead("_block").over(inside).isNull())
+        .join(outer, [*group, "_run"])
+        .select(
+            *group, "_block", F.when(F.col("_is_first"), F.col("_run_before")).otherwise(F.col("_before")).alias("_before"),
+            F.when(F.col("_is_last"), F.col("_run_after")).otherwise(F.col("_after")).alias("_after"),
+        )
+    )
+
+
+def neighbours(df: DataFrame, group: Sequence[str], order_id: str, value: str, levels: int = LEVELS) -> DataFrame:
     """Add ``prev_<value>`` and ``next_<value>`` in id order within each group.
 
     Inside a block these are ``lag`` and ``lead``; the first and last row of a block look
-    at the edge rows of the blocks beside it, of which there is one per block.
+    at the edge rows of the blocks beside it, which are found level by level as in
+    ``running_start``.
     """
     group = list(group)
     prev, nxt = f"prev_{value}", f"next_{value}"
@@ -108,10 +138,7 @@ def neighbours(df: DataFrame, group: Sequence[str], order_id: str, value: str) -
         .groupBy(*group, "_block")
         .agg(F.min_by(value, order_id).alias("_first"), F.max_by(value, order_id).alias("_last"))
     )
-    across = Window.partitionBy(*group).orderBy("_block")
-    edges = edges.select(
-        *group, "_block", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after")
-    )
+    edges = _beside(edges, group, levels - 1)
     here = Window.partitionBy(*group, "_block").orderBy(order_id)
     return (
         blocked.withColumn(prev, F.lag(value).over(here))
@@ -147,14 +174,17 @@ def lookup_join(
     """Join many ``rows`` to a ``lookup`` with one row per key, whatever the key skew.
 
     Keys with more than ``rows_per_task`` rows are split: their rows get one of as many
-    salts as tasks are wanted, and only their lookup rows are repeated, once per salt.
-    At most ``count(rows) / rows_per_task`` keys can be hot, which bounds the broadcast
-    list. Rows with a NULL key match nothing and are spread over all tasks. ``rows`` is
-    read twice, so pass a table or a materialized frame when it is costly to compute.
+    salts as tasks are wanted, and only their lookup rows are repeated, once per salt. The
+    broadcast list has the largest such keys, as many as there are shuffle partitions at
+    most; a key beyond it has less than an average partition's rows. Rows with a NULL key
+    match nothing and are spread over all tasks. ``rows`` is read twice, so pass a table or
+    a materialized frame when it is costly to compute.
     """
     keys = list(keys)
     load = rows.groupBy(*keys).agg(F.count("*").alias("_load"))
-    hot = load.filter(F.col("_load") > rows_per_task).select(
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = load.filter(F.col("_load") > rows_per_task).orderBy(F.desc("_load"), *keys).limit(most)
+    hot = heavy.select(
         *keys, F.ceil(F.col("_load") / rows_per_task).cast("int").alias("_parts")
     )
     spread = F.col(spread) if isinstance(spread, str) else spread

@@ -40,17 +40,22 @@ class RunConfig:
         return {"mode": self.mode, "level": self.level, "provider": self.provider, "model": self.model}
 
 
+ID = ["project", "file_id"]
+
+
 def spread_calls(prompts: DataFrame, config: RunConfig) -> DataFrame:
-    """Share slow calls out evenly. The fixed number keeps adaptive execution from merging
-    partitions that are small in bytes but long in calls."""
-    count = config.partitions or int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return prompts.repartition(count, "file_id")
+    """Deal the calls out to ``partitions`` tasks, if the run asks for a number.
+
+    Few rows with slow calls want more tasks than their bytes would get; without a number
+    the prompts stay where they are, and their texts are not shuffled again.
+    """
+    return prompts.repartition(config.partitions, *ID) if config.partitions else prompts
 
 
 def call_model(rows: DataFrame, templates: DataFrame, client_factory: Callable[[], Client], config: RunConfig) -> DataFrame:
     """Prompt and answer each row once; the answers are kept in the shared folder."""
     prompts = build_prompts(rows.withColumn("mode", F.lit(config.mode)), templates, F.lit(config.level))
-    sent = prompts.select("project", "file_id", "relative_path", "language", "input_tokens", "prompt")
+    sent = prompts.select(*ID, "relative_path", "language", "file_hash", "input_tokens", "prompt")
     of_project = MODE_ALIASES.get(config.mode, config.mode) in PROJECT_MODES
     answered = infer(
         spread_calls(sent, config), client_factory, config.concurrency, config.attempts, config.delay,
@@ -63,26 +68,22 @@ def call_model(rows: DataFrame, templates: DataFrame, client_factory: Callable[[
 def cache_rows(answered: DataFrame, looked_up: DataFrame, config: RunConfig) -> DataFrame:
     """Cache rows of the successful answers."""
     parts = F.struct(*[F.lit(v).alias(k) for k, v in config.key_parts().items()])
-    keys = looked_up.select("file_id", "cache_key", "file_hash", "file_size", "mtime_ms")
+    keys = looked_up.select(*ID, "cache_key", "file_size", "mtime_ms")
     return (
         answered.filter(F.col("error").isNull())
-        .select("file_id", "explanation")
-        .join(keys, "file_id")
+        .select(*ID, "file_hash", "explanation")
+        .join(keys, ID)
         .select("cache_key", "file_hash", "file_size", "mtime_ms", "explanation", F.current_timestamp().alias("created_at"), parts.alias("config"))
     )
 
 
 def unanswered(keyed: DataFrame, looked_up: DataFrame) -> DataFrame:
-    """The rows the cache cannot answer, picked by the shorter list of ids.
+    """The rows the cache cannot answer, with the hash of their content.
 
-    A run over a warm cache keeps the few misses, a first run drops the few hits; either
-    list is usually small enough for the texts to stay where they are.
+    The one join that meets the texts; they are hashed where they are read for the prompt.
     """
-    missed = F.col("cache_status") == "miss"
-    counts = looked_up.agg(F.count_if(missed).alias("misses"), F.count_if(~missed).alias("hits")).first()
-    if counts["misses"] <= counts["hits"]:
-        return keyed.join(looked_up.filter(missed).select("file_id"), "file_id", "left_semi")
-    return keyed.join(looked_up.filter(~missed).select("file_id"), "file_id", "left_anti")
+    missed = keyed.join(looked_up.filter("cache_status = 'miss'").select(*ID), ID, "left_semi")
+    return missed if "file_hash" in missed.columns else missed.withColumn("file_hash", F.sha2("content", 256))
 
 
 def answer_with_cache(
@@ -91,14 +92,15 @@ def answer_with_cache(
     """Answers for all rows, calling the model only for those the cache cannot answer.
 
     ``keyed`` needs (project, file_id, relative_path, language, cache_key, file_size,
-    mtime_ms), its ``content`` or ``file_hash``, and what its template asks for.
+    mtime_ms), its ``content`` or ``file_hash``, and what its template asks for. A run over
+    an unchanged corpus is answered from metadata; no content is read.
     """
-    looked_up = materialize(caching.cache_lookup(keyed, cache, config.use_cache))
+    looked_up = materialize(caching.cache_lookup(keyed, cache, config.use_cache, metadata_first=config.use_cache))
     answered = call_model(unanswered(keyed, looked_up), templates, client_factory, config)
 
-    known = looked_up.filter("cache_status <> 'miss'").select("file_id", F.col("cached_explanation").alias("explanation"))
-    reused = keyed.select("project", "file_id", "relative_path", "language").join(known, "file_id").withColumn("cached", F.lit(True))
-    results = answered.withColumn("cached", F.lit(False)).unionByName(reused, allowMissingColumns=True)
+    known = looked_up.filter("cache_status <> 'miss'").select(*ID, F.col("cached_explanation").alias("explanation"))
+    reused = keyed.select(*ID, "relative_path", "language").join(known, ID).withColumn("cached", F.lit(True))
+    results = answered.drop("file_hash").withColumn("cached", F.lit(False)).unionByName(reused, allowMissingColumns=True)
     fresh = cache_rows(answered, looked_up, config)
     return results, fresh.unionByName(caching.refreshed(looked_up, cache), allowMissingColumns=True)
 
@@ -114,8 +116,9 @@ def explain_corpus(
     """Answers for all files, and the cache rows to upsert.
 
     ``files`` needs (project, file_id, relative_path, content, file_size, mtime_ms), with
-    ``file_id`` unique. Only files whose content is not answered yet reach the model.
+    ``file_id`` unique in its project. Only files whose content is not answered yet reach the
+    model. Answers are kept under the full path, or project and relative path where there is none.
     """
-    path = F.col("relative_path") if key_path is None else key_path
+    path = caching.full_path(files) if key_path is None else key_path
     keyed = caching.with_cache_key(detect_language(files), path, config.key_parts())
     return answer_with_cache(keyed, cache, templates, client_factory, config)

@@ -7,15 +7,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, paths, text
-from ..functions.fixed import MODE_ALIASES, PROJECT_MODES
+from ..functions.fixed import MODE_ALIASES, PROJECT_ERROR_PREFIX, PROJECT_MODES
+from ..functions.prompting import estimate_tokens
 from ..operators.cache import CACHE_SCHEMA, with_cache_key
 from ..operators.corpus import by_directory, detect_language, key_files, tech_stack
 from ..operators.infer import Client
-from ..operators.scale import lookup_join, ordinal
+from ..operators.scale import lookup_join, ordinal, running_start
 from ..session import materialize
 from .explain import RunConfig, answer_with_cache, explain_corpus
 
-FILES_PER_PROMPT = 5000
+#: Estimated tokens that the listing of one prompt may have.
+TOKENS_PER_PROMPT = 100_000
 
 
 def overview_rows(files: DataFrame) -> DataFrame:
@@ -34,12 +36,18 @@ def attach_summaries(rows: DataFrame, summaries: DataFrame) -> DataFrame:
     return joined.withColumn("summary", F.coalesce(F.nullif("_found", F.lit("")), "purpose")).drop("_found")
 
 
-def codebase_summary(files: DataFrame) -> DataFrame:
+def listing_line(file_name: Column) -> Column:
+    return F.concat(F.lit("- **"), file_name, F.lit("** ("), "language", F.lit("): "), "summary", F.lit("\n"))
+
+
+def codebase_summary(files: DataFrame, about: DataFrame | None = None) -> DataFrame:
     """The summary document of each project as ordered pieces of text.
 
     ``files`` holds ``overview_rows`` with their ``summary``. Joining the pieces in
-    (section, i, j, k) order gives the document; no piece grows with the project.
+    (section, i, j, k) order gives the document; no piece grows with the project. Stack and
+    key files are taken from the rows of ``about`` where the listing is one of parts.
     """
+    about = files if about is None else about
     projects = files.select("project").distinct()
 
     def pieces(df: DataFrame, section: int, i, j, k, value: Column) -> DataFrame:
@@ -47,12 +55,12 @@ def codebase_summary(files: DataFrame) -> DataFrame:
         return df.select("project", F.lit(section).alias("section"), *keys, value.alias("piece"))
 
     listing = by_directory(files).join(files.select("project", "file_id", "language", "summary"), ["project", "file_id"])
-    line = F.concat(F.lit("- **"), "file_name", F.lit("** ("), "language", F.lit("): "), "summary", F.lit("\n"))
+    line = listing_line(F.col("file_name"))
     dirs = listing.groupBy("project", "dir", "dir_first").agg(F.count("*").alias("_n"))
-    stack = tech_stack(files)
+    stack = tech_stack(about)
     is_language = F.col("kind") == "language"
     stack_title = F.when(is_language, "- **Languages**: ").otherwise("- **File Types**: ")
-    keyed = key_files(files)
+    keyed = key_files(about)
     source = F.concat(
         F.lit("### "), "relative_path", F.lit("\n\n```"), "language", F.lit("\n"), F.col("preview"), F.lit("\n```\n\n")
     )
@@ -78,13 +86,13 @@ def codebase_summary(files: DataFrame) -> DataFrame:
 
 
 def whole_documents(pieces: DataFrame) -> DataFrame:
-    """One text per project. Only for projects already cut to ``FILES_PER_PROMPT`` files."""
+    """One text per project. Only for projects whose listing fits a prompt."""
     ordered = F.array_sort(F.collect_list(F.struct("section", "i", "j", "k", "piece")))
     return pieces.groupBy("project").agg(ordered.alias("_p")).select("project", F.array_join("_p.piece", "").alias("codebase_summary"))
 
 
 def project_answers(
-    files: DataFrame, cache: DataFrame, templates: DataFrame, client_factory: Callable[[], Client], config: RunConfig
+    files: DataFrame, cache: DataFrame, templates: DataFrame, client_factory: Callable[[], Client], config: RunConfig, about: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """One answer per project from files that carry their summaries; each project fits one prompt.
 
@@ -94,7 +102,7 @@ def project_answers(
     mode = MODE_ALIASES.get(config.mode, config.mode)
     label, slug = PROJECT_MODES[mode]
     body = F.col("codebase_summary")
-    documents = materialize(whole_documents(codebase_summary(files))).select(
+    documents = materialize(whole_documents(codebase_summary(files, about))).select(
         "project", F.xxhash64("project").alias("file_id"), F.lit(label).alias("relative_path"), F.lit(mode).alias("language"), "codebase_summary",
         F.octet_length(body).cast("long").alias("file_size"), F.lit(None).cast("long").alias("mtime_ms"), F.sha2(body, 256).alias("file_hash"),
     )
@@ -102,20 +110,38 @@ def project_answers(
     return answer_with_cache(keyed, cache, templates, client_factory, config)
 
 
+def prompt_sizes(rows: DataFrame, tokens_per_prompt: int) -> DataFrame:
+    """(project, file_id, fits, part): whether a project's listing fits one prompt, else the part each row goes to.
+
+    Parts are runs of rows of about ``tokens_per_prompt`` tokens, two rows at least, so that
+    every round has at most half as many rows as the one before. Kept as a table.
+    """
+    tokens = estimate_tokens(listing_line(paths.basename(F.col("relative_path"))))
+    sized = running_start(rows.select("project", "file_id", tokens.alias("_tokens")), ["project"], "file_id", F.col("_tokens"))
+    sized = sized.select("project", "file_id", F.col("_start").alias("_from"), F.col("_total").alias("_sum"))
+    numbered = ordinal(sized, ["project"], "file_id", total="_rows")
+    fits = (F.col("_sum") <= tokens_per_prompt) | (F.col("_rows") == 1)
+    part = F.least(F.floor(F.col("_from") / tokens_per_prompt), F.floor(F.col("ord") / 2)).cast("long")
+    return materialize(numbered.select("project", "file_id", fits.alias("fits"), part.alias("part")))
+
+
 def summarize_projects(
     files: DataFrame,
     templates: DataFrame,
     client_factory: Callable[[], Client],
     config: RunConfig = RunConfig(mode="architecture"),
-    files_per_prompt: int = FILES_PER_PROMPT,
+    tokens_per_prompt: int = TOKENS_PER_PROMPT,
     cache: DataFrame | None = None,
     key_path: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Summarise files, then projects: one answer per project, and the cache rows to upsert.
 
-    A project of up to ``files_per_prompt`` files is described from one prompt. A larger one
-    is described in parts of that size first, and the parts' answers take the place of the
-    file summaries in the next round, so no prompt and no task holds a whole large project.
+    A project whose listing of files has up to ``tokens_per_prompt`` estimated tokens is
+    described from one prompt, whatever else is in the run. A larger one is described in
+    parts first, and the parts' answers take the place of the file summaries in the next
+    round; its stack and key files always come from its files. ``rounds`` says how many
+    rounds a project took. When parts fail, the project gets an error row that counts them
+    in ``failed_parts``. The number of rounds grows with the logarithm of the largest project.
     """
     spark = files.sparkSession
     cache = spark.createDataFrame([], CACHE_SCHEMA) if cache is None else cache
@@ -124,24 +150,41 @@ def summarize_projects(
         files = files.withColumn("file_size", F.octet_length("content").cast("long")).withColumn("mtime_ms", F.lit(None).cast("long"))
     answers, fresh = explain_corpus(files, cache, templates, client_factory, replace(config, mode="summary"), key_path)
     summaries = answers.select("project", "relative_path", "file_id", F.col("explanation").alias("summary"))
-    current = materialize(attach_summaries(overview_rows(detect_language(files)), summaries))
+    original = materialize(attach_summaries(overview_rows(detect_language(files)), summaries))
+    mode = MODE_ALIASES.get(config.mode, config.mode)
+    current, described, rounds = original, None, 1
     while True:
-        sized = ordinal(current.select("project", "file_id"), ["project"], "file_id", total="_size").withColumn(
-            "_part", F.floor(F.col("ord") / files_per_prompt).cast("long")
-        )
-        largest = sized.agg(F.max("_size")).first()[0] or 0
-        if largest <= files_per_prompt:
-            described, more = project_answers(current, cache, templates, client_factory, config)
-            return described, fresh.unionByName(more, allowMissingColumns=True)
-        part = F.concat(F.lit("part "), F.col("_part").cast("string"))
-        named = materialize(sized.select("project", "file_id", "_part", F.concat("project", F.lit("/"), part).alias("_name")))
+        sizes = prompt_sizes(current, tokens_per_prompt)
+        ready = sizes.filter("fits").select("project", "file_id")
+        rows = current.join(ready, ["project", "file_id"], "left_semi")
+        about = original.join(ready.select("project").distinct(), "project", "left_semi") if rounds > 1 else None
+        done, more = project_answers(rows, cache, templates, client_factory, config, about)
+        done = done.withColumn("rounds", F.lit(rounds)).withColumn("failed_parts", F.lit(0).cast("long"))
+        described = done if described is None else described.unionByName(done, allowMissingColumns=True)
+        fresh = fresh.unionByName(more, allowMissingColumns=True)
+        large = sizes.filter("not fits")
+        if large.isEmpty():
+            return described, fresh
+        part = F.concat(F.lit("part "), F.col("part").cast("string"))
+        named = materialize(large.select("project", "file_id", "part", F.concat("project", F.lit("/"), part).alias("_name")))
         parts = current.join(named, ["project", "file_id"]).withColumn("project", F.col("_name"))
         partial, more = project_answers(parts, cache, templates, client_factory, config)
         fresh = fresh.unionByName(more, allowMissingColumns=True)
-        answered = partial.select(F.col("project").alias("_name"), "language", F.col("explanation").alias("summary"))
+        answered = partial.select(F.col("project").alias("_name"), "language", "error", F.col("explanation").alias("summary"))
+        found = materialize(named.select("project", "part", "_name").distinct().join(answered, "_name"))
+        counts = found.groupBy("project").agg(F.count_if(F.col("error").isNotNull()).alias("failed_parts"), F.count("*").alias("_parts"))
+        failed = materialize(counts.filter("failed_parts > 0"))
+        reason = F.concat(F.col("failed_parts").cast("string"), F.lit(" of "), F.col("_parts").cast("string"), F.lit(" parts failed"))
+        errors = failed.select(
+            "project", F.xxhash64("project").alias("file_id"), F.lit(PROJECT_MODES[mode][0]).alias("relative_path"), F.lit(mode).alias("language"),
+            F.concat(F.lit(PROJECT_ERROR_PREFIX.format(mode=config.mode)), reason).alias("explanation"), reason.alias("error"),
+            F.lit(False).alias("cached"), F.lit(rounds).alias("rounds"), "failed_parts",
+        )
+        described = described.unionByName(errors, allowMissingColumns=True)
         current = materialize(
-            named.select("project", "_part", "_name").distinct().join(answered, "_name").select(
-                "project", F.col("_part").alias("file_id"), part.alias("relative_path"), "language",
-                F.lit(None).cast("string").alias("preview"), "summary",
+            found.join(failed.select("project"), "project", "left_anti").select(
+                "project", F.col("part").alias("file_id"), part.alias("relative_path"), "language",
+                F.lit(None).cast("string").alias("purpose"), F.lit(None).cast("string").alias("preview"), "summary",
             )
         )
+        rounds += 1

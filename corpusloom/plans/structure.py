@@ -19,7 +19,7 @@ def structure(files: DataFrame, *columns: str, **dependency_options) -> DataFram
 
 def project_metrics(files: DataFrame) -> DataFrame:
     """Metrics per project, straight from the files."""
-    return graph.project_metrics(structure(files, "functions", "is_entry", "db_connections", "api_connections"))
+    return graph.project_metrics(structure(files, "n_functions", "is_entry", "db_connections", "api_connections"))
 
 
 def analyze(files: DataFrame) -> dict[str, DataFrame]:

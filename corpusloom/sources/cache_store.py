@@ -1,52 +1,101 @@
 """The answer cache as a folder of parquet versions on shared storage."""
 
+from typing import NamedTuple
+from uuid import uuid4
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cache import CACHE_SCHEMA
 
+VERSION = "seq long, run string, batch long"
+
+
+class Run(NamedTuple):
+    """One writer of versions: its place in the order of runs, and its own name."""
+
+    seq: int
+    name: str
+
+    def folder(self, batch: int) -> str:
+        return f"seq={self.seq}/run={self.name}/batch={batch}"
+
+
+def read_versions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows below ``path`` with their version; none where the folder does not exist yet."""
+    full = spark.createDataFrame([], f"{schema}, {VERSION}").schema
+    try:
+        return spark.read.schema(full).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], full)
+
+
+def begin_run(spark: SparkSession, path: str, checkpoint: str | None = None) -> Run:
+    """A run that comes after everything written below ``path`` so far.
+
+    With a checkpoint the run is noted there: started again from it, it is the same run and
+    replaces what its batches wrote; a new checkpoint is a new run and replaces nothing.
+    """
+    note = f"{checkpoint}/corpusloom-run"
+    if checkpoint:
+        try:
+            return Run(*spark.read.schema("seq long, name string").parquet(note).first())
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    last = read_versions(spark, path, "written int").agg(F.max("seq")).first()[0] or 0
+    run = Run(last + 1, uuid4().hex)
+    if checkpoint:
+        spark.createDataFrame([run], "seq long, name string").coalesce(1).write.parquet(note)
+    return run
+
 
 class CacheStore:
     """Keyed answers, written as one folder per version; the latest version of a key counts.
 
-    A run adds only its own rows, so its cost follows what changed, and writing a version
-    again (after a failure, or a replayed stream batch) gives the same folder again.
+    Versions are ordered by run, then by batch inside a run. A run adds only its own rows,
+    and writing a batch again (after a failure, or a replayed stream batch) replaces that
+    batch of that run and nothing else. Reading folds all versions, so fold a store that has
+    gathered many with ``compact``.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
 
-    def _versions(self) -> DataFrame:
-        schema = self.spark.createDataFrame([], CACHE_SCHEMA + ", version long").schema
-        try:
-            return self.spark.read.schema(schema).parquet(self.path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
+    def begin(self, checkpoint: str | None = None) -> Run:
+        return begin_run(self.spark, self.path, checkpoint)
 
-    def read(self, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
-        """The cache as it stands, or as it stood before a version; only some keys when given.
+    def read(self, before: Run | None = None, batch: int = 0, keys: DataFrame | None = None) -> DataFrame:
+        """The cache as it stands, or as batch ``batch`` of a run sees it; only some keys when given.
 
-        Giving the keys that will be looked up keeps the answers of all others out of the
-        shuffle that finds the latest version.
+        A run sees what runs before it wrote and its own earlier batches. Giving the keys
+        that will be looked up keeps the answers of all others out of the shuffle that finds
+        the latest version.
         """
-        versions = self._versions()
+        versions = read_versions(self.spark, self.path, CACHE_SCHEMA)
         if before is not None:
-            versions = versions.filter(F.col("version") < before)
+            own = (F.col("run") == before.name) & (F.col("batch") < batch)
+            versions = versions.filter((F.col("seq") < before.seq) | own)
         if keys is not None:
             versions = versions.join(keys.select("cache_key"), "cache_key", "left_semi")
-        columns = [c for c in versions.columns if c not in ("cache_key", "version")]
-        latest = versions.groupBy("cache_key").agg(F.max_by(F.struct(*columns), "version").alias("entry"))
+        columns = [c for c in versions.columns if c not in ("cache_key", "seq", "run", "batch")]
+        # equal keys inside one version: the largest row, so that every reader sees the same
+        order = F.struct("seq", "run", "batch", "file_hash", "mtime_ms", "explanation")
+        latest = versions.groupBy("cache_key").agg(F.max_by(F.struct(*columns), order).alias("entry"))
         return latest.select("cache_key", "entry.*")
 
-    def write(self, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/version={version}")
+    def write(self, rows: DataFrame, run: Run | None = None, batch: int = 0) -> Run:
+        """Write one version; without a run it is a run of its own, after all others."""
+        run = run or self.begin()
+        rows.write.mode("overwrite").parquet(f"{self.path}/{run.folder(batch)}")
+        return run
 
-    def compact(self, into: str, version: int = 0) -> "CacheStore":
+    def compact(self, into: str) -> "CacheStore":
         """A new store holding only the latest row of every key."""
         store = CacheStore(self.spark, into)
-        store.write(self.read(), version)
+        store.write(self.read())
         return store

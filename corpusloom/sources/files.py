@@ -154,23 +154,36 @@ def scan_files(
     return reduce(DataFrame.unionByName, [one(number, base) for number, base in enumerate(sources)])
 
 
+def skipped_files(
+    spark: SparkSession, source: str, exts: Sequence[str] = CODE_EXTENSIONS, excludes: Sequence[str] = EXCLUDES, max_mb: float = MAX_FILE_SIZE_MB, force: bool = False
+) -> DataFrame:
+    """(path, size) of files below a path that a scan leaves out for their size alone."""
+
+    def keep(listed: DataFrame) -> DataFrame:
+        large = listed.filter(F.col("length") > int(max_mb * 1024 * 1024))
+        return large.filter(paths.included(_below(F.col("path"), source), exts, excludes, force=force))
+
+    return _sources(spark, source, keep, content=False).select("path", F.col("length").alias("size"))
+
+
 def in_path_order(files: DataFrame) -> DataFrame:
     """Replace the hashed ``file_id`` of a scan by 0, 1, 2, … in (project, path) order.
 
     Only the paths are sorted, over all tasks; the sorted list is kept in the shared
     folder, so the numbers cannot change when an executor is lost.
     """
-    keys = ["project", "relative_path", "file_id"]
+    keys = ["project", "relative_path", "path", "file_id"]
     listed = files.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = materialize(
-        listed.select("file_id", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+        listed.select("path", "file_id", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
     )
     parts = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
     # one row per partition of the sort
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("_part", "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = placed.join(starts, "_part").select("file_id", (F.col("_start") + F.col("_at") - F.col("_from")).alias("_id"))
-    return files.join(numbered, "file_id").withColumn("file_id", F.col("_id")).drop("_id")
+    numbered = placed.join(starts, "_part").select("path", "file_id", (F.col("_start") + F.col("_at") - F.col("_from")).alias("_id"))
+    # path and hash together are unique, also where two hashes are equal
+    return files.join(numbered, ["path", "file_id"]).withColumn("file_id", F.col("_id")).drop("_id").select(*files.columns)
 
 
 def count_files(spark: SparkSession, source: str, exts: Sequence[str] = CODE_EXTENSIONS, excludes: Sequence[str] = EXCLUDES, force: bool = False) -> int:

@@ -4,20 +4,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-SPREAD_LIMIT = 1 << 30
-
-
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def read_spread(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """A table for costly per-row work. One of up to a gigabyte, which may sit in a single
-    row group, is dealt out to all cores first; a larger one is read as it is split on disk."""
-    table = read_table(spark, folder, name)
-    listing = spark.read.format("binaryFile").load(f"{folder}/{name}.parquet")
-    size = listing.agg(F.sum("length")).first()[0] or 0
-    return table.repartition(spark.sparkContext.defaultParallelism, key) if size <= SPREAD_LIMIT else table
+    """A table for costly per-row work, dealt out by key to all shuffle partitions.
+
+    For tables written as few large row groups, which a scan cannot split. It is the same
+    plan at every size and shuffles the table once; read a table of many row groups with
+    ``read_table``, whose scan is split by ``spark.sql.files.maxPartitionBytes``.
+    """
+    return read_table(spark, folder, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def as_corpus(df: DataFrame, key: str | Column, path: str | Column, text: str | Column, project: str | Column) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.cache import with_cache_key
+from ..operators.cache import full_path, with_cache_key
 from ..operators.infer import Client
 from ..plans.explain import RunConfig, explain_corpus
-from ..sources.cache_store import CacheStore
+from ..sources.cache_store import CacheStore, begin_run
 
 
 def file_stream(spark: SparkSession, folder: str, schema: str | StructType, max_files: int | None = None) -> DataFrame:
@@ -29,26 +29,32 @@ def explain_stream(
     templates: DataFrame,
     client_factory: Callable[[], Client],
     config: RunConfig = RunConfig(),
+    key_path: Column | None = None,
 ) -> StreamingQuery:
     """Explain each batch of arriving files and add its answers to the cache.
 
-    A batch reads the cache as it stood before the batch and writes its own version, results
-    and cache rows alike, so a batch that is run again replaces exactly what it wrote.
+    A batch reads the cache as the runs before left it, with the run's own earlier batches,
+    and writes its own version, results and cache rows alike, so a batch that is run again
+    replaces exactly what it wrote. A new checkpoint is a new run over the same store.
     """
+    own = store.begin(checkpoint)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1
-        keys = with_cache_key(batch, F.col("relative_path"), config.key_parts())
-        known = store.read(before=version, keys=keys)
-        results, fresh = explain_corpus(batch, known, templates, client_factory, config)
-        results.write.mode("overwrite").parquet(f"{out}/version={version}")
-        store.write(fresh, version)
+        keys = with_cache_key(batch, full_path(batch) if key_path is None else key_path, config.key_parts())
+        known = store.read(before=own, batch=batch_id, keys=keys)
+        results, fresh = explain_corpus(batch, known, templates, client_factory, config, key_path)
+        results.write.mode("overwrite").parquet(f"{out}/{own.folder(batch_id)}")
+        store.write(fresh, own, batch_id)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def usage_stream(results: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Running totals per project over a stream of results; each batch writes the totals it changed."""
+    """Running totals per project over a stream of results; each batch writes the totals it changed.
+
+    A new checkpoint counts from the start again, in a run that comes after all others.
+    """
+    own = begin_run(results.sparkSession, out, checkpoint)
     totals = results.groupBy("project").agg(
         F.count("*").alias("files"),
         F.sum(F.when(F.col("cached"), 1).otherwise(0)).alias("cached_files"),
@@ -57,7 +63,7 @@ def usage_stream(results: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/version={batch_id + 1}")
+        batch.write.mode("overwrite").parquet(f"{out}/{own.folder(batch_id)}")
 
     return (
         totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -65,7 +71,9 @@ def usage_stream(results: DataFrame, out: str, checkpoint: str) -> StreamingQuer
 
 
 def latest_usage(spark: SparkSession, out: str) -> DataFrame:
-    """The newest totals of every project written by ``usage_stream``."""
+    """The newest totals of every project written by ``usage_stream``, from the files of the last run only."""
     versions = spark.read.parquet(out)
-    columns = [c for c in versions.columns if c not in ("project", "version")]
-    return versions.groupBy("project").agg(F.max_by(F.struct(*columns), "version").alias("t")).select("project", "t.*")
+    last = versions.agg(F.max(F.struct("seq", "run")).alias("v")).select("v.*").first()
+    columns = [c for c in versions.columns if c not in ("project", "seq", "run", "batch")]
+    current = versions.filter((F.col("seq") == last["seq"]) & (F.col("run") == last["run"]))
+    return current.groupBy("project").agg(F.max_by(F.struct(*columns), "batch").alias("t")).select("project", "t.*")

@@ -145,10 +145,13 @@ def test_cache_store_versions(spark, tmp_path):
     store = CacheStore(spark, str(tmp_path / "cache"))
     assert store.read().count() == 0
     entry = "cache_key string, file_hash string, file_size long, mtime_ms long, explanation string"
-    store.write(spark.createDataFrame([("a", "h", 1, 1, "one"), ("b", "h", 1, 1, "b")], entry), 1)
-    store.write(spark.createDataFrame([("a", "h2", 1, 1, "two")], entry), 2)
+    store.write(spark.createDataFrame([("a", "h", 1, 1, "one"), ("b", "h", 1, 1, "b")], entry))
+    second = store.write(spark.createDataFrame([("a", "h2", 1, 1, "two")], entry))
     assert rows(store.read(), "cache_key", "explanation") == [("a", "two"), ("b", "b")]
-    assert rows(store.read(before=2), "cache_key", "explanation") == [("a", "one"), ("b", "b")]
+    assert rows(store.read(before=second), "cache_key", "explanation") == [("a", "one"), ("b", "b")]
+    store.write(spark.createDataFrame([("a", "h3", 1, 1, "again")], entry), second)  # the same version, written again
+    assert rows(store.read(), "cache_key", "explanation") == [("a", "again"), ("b", "b")]
+    store.write(spark.createDataFrame([("a", "h2", 1, 1, "two")], entry), second)
     small = store.compact(str(tmp_path / "compacted"))
     assert rows(small.read(), "cache_key", "explanation") == [("a", "two"), ("b", "b")]
 
@@ -158,7 +161,7 @@ def test_second_run_is_all_hits(spark, files, tmp_path):
     templates = samples.templates(spark)
     results, fresh = explain.explain_corpus(files, store.read(), templates, lambda: lambda row: "ok " + row["relative_path"], CONFIG, F.col("key_path"))
     assert results.filter("cached").count() == 0
-    store.write(fresh, 1)
+    store.write(fresh)
 
     def no_calls():
         def call(row):
@@ -175,6 +178,53 @@ def test_second_run_is_all_hits(spark, files, tmp_path):
     assert rows(third.filter("NOT cached"), "file_id", "explanation") == [(5, "new")]
 
 
+def test_projects_with_equal_paths_keep_their_own_answers(spark):
+    data = [(0, "a", "src/index.js", "one", 3, 5), (0, "b", "src/index.js", "two", 3, 5)]
+    df = spark.createDataFrame(data, "file_id long, project string, relative_path string, content string, file_size long, mtime_ms long")
+    first, fresh = explain.explain_corpus(df, spark.createDataFrame([], cache.CACHE_SCHEMA), samples.templates(spark), lambda: lambda row: "ans " + row["project"], CONFIG)
+    assert rows(first, "project", "explanation") == [("a", "ans a"), ("b", "ans b")]
+    store = materialize(fresh)
+    assert store.select("cache_key").distinct().count() == 2
+    again, _ = explain.explain_corpus(df, store, samples.templates(spark), broken_client, CONFIG)
+    assert rows(again.filter("cached"), "project", "explanation") == [("a", "ans a"), ("b", "ans b")]
+    placed = df.withColumn("path", F.concat(F.lit("/x/"), "project", F.lit("/"), "relative_path")).withColumn("project", F.lit("app"))
+    placed = placed.withColumn("file_id", F.xxhash64("path"))
+    keys = cache.with_cache_key(placed, cache.full_path(placed), CONFIG.key_parts())
+    assert keys.select("cache_key").distinct().count() == 2
+
+
+def broken_client():
+    def call(row):
+        raise AssertionError("the model was called")
+
+    return call
+
+
+def test_two_contents_under_one_key_are_an_error(spark):
+    entry = "cache_key string, file_hash string, file_size long, mtime_ms long, explanation string"
+    fresh = spark.createDataFrame([("k", "h1", 1, 1, "a"), ("k", "h2", 1, 1, "b")], entry)
+    with pytest.raises(Exception, match="two contents share the cache key k"):
+        cache.cache_upsert(fresh.limit(0), fresh).collect()
+
+
+def test_a_warm_run_reads_no_content(spark, files):
+    keyed = cache.with_cache_key(files, F.col("key_path"), CONFIG.key_parts())
+    known = keyed.select("cache_key", F.sha2("content", 256).alias("file_hash"), "file_size", "mtime_ms", F.lit("x").alias("explanation"))
+    seed = materialize(known)
+    looked = cache.cache_lookup(keyed, seed, metadata_first=True)
+    assert "content" not in looked._jdf.queryExecution().optimizedPlan().toString() and "sha2" not in looked._jdf.queryExecution().toString()
+    assert looked.filter("cache_status <> 'hit'").count() == 0
+
+
+def test_texts_are_shuffled_once_for_misses(spark, files, monkeypatch):
+    seen = []
+    kept = explain.call_model
+    monkeypatch.setattr(explain, "call_model", lambda rows, *args: (seen.append(rows), kept(rows, *args))[1])
+    explain.explain_corpus(files.repartition(4), samples.cache_seed(files), samples.templates(spark), samples.stub_client, CONFIG, F.col("key_path"))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 1
+
+
 def test_secrets_are_not_stored(spark, files):
     _, fresh = explain.explain_corpus(files, samples.cache_seed(files), samples.templates(spark), samples.stub_client, CONFIG, F.col("key_path"))
     assert set(fresh.select("config.*").columns) == {"mode", "level", "provider", "model"}
@@ -196,14 +246,15 @@ def test_template_precedence(spark, tmp_path):
     assert built.prompt == "mine c\nline two\n\nIMPORTANT: Always respond in markdown format."
 
 
-def test_many_templates_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(prompts, "MAX_TEMPLATES", 2)
+def test_templates_are_bounded(spark, monkeypatch):
     modes = spark.createDataFrame([(m,) for m in ("explain", "arch", "other")] * 4, "mode string")
     got = prompts.pick_template(modes, samples.templates(spark))
     expected = {"explain": samples.USER_TEMPLATE, "arch": prompts.DEFAULT_TEMPLATES["architecture"], "other": prompts.FALLBACK_TEMPLATE}
     assert rows(got, "mode", "template") == sorted(list(expected.items()) * 4)
-    monkeypatch.setattr(prompts, "MAX_TEMPLATES", 100)
-    assert rows(prompts.pick_template(modes, samples.templates(spark)), "mode", "template") == rows(got, "mode", "template")
+    for name in ("MAX_TEMPLATES", "MAX_TEMPLATE_CHARS"):
+        with monkeypatch.context() as patch, pytest.raises(ValueError):
+            patch.setattr(prompts, name, 2)
+            prompts.pick_template(modes, samples.templates(spark))
     assert prompts.pick_template(modes, samples.templates(spark).limit(0)).select("template").distinct().first()[0] == prompts.FALLBACK_TEMPLATE
 
 
@@ -290,11 +341,40 @@ def test_large_projects_are_described_in_rounds(spark, sf_dir):
     files = samples.files(spark, sf_dir).filter("project in ('src0', 'src1')")
     config = explain.RunConfig(mode="architecture", attempts=0, delay=0.0)
     whole, _ = overview.summarize_projects(files, samples.templates(spark), echo_client, config)
-    rounds, _ = overview.summarize_projects(files, samples.templates(spark), echo_client, config, files_per_prompt=4)
-    assert rows(whole, "project") == rows(rounds, "project") == [("src0",), ("src1",)]
+    rounds, _ = overview.summarize_projects(files, samples.templates(spark), echo_client, config, tokens_per_prompt=60)
+    assert rows(whole, "project", "rounds") == [("src0", 1), ("src1", 1)]
+    assert rows(rounds, "project") == [("src0",), ("src1",)] and min(r.rounds for r in rounds.collect()) > 1
     first, last = whole.filter("project = 'src0'").first().explanation, rounds.filter("project = 'src0'").first().explanation
     for path in [r.relative_path for r in files.filter("project = 'src0'").collect()]:
         assert f"about {path}" in first and f"about {path}" in last
+    assert first[first.index("## Technology Stack"):] == last[last.rindex("## Technology Stack"):]  # from the files in every round
+
+
+def test_a_large_project_does_not_change_a_small_one(spark, sf_dir):
+    source = samples.files(spark, sf_dir)
+    small = source.filter("project = 'src1'").limit(2).withColumn("project", F.lit("small"))
+    config = explain.RunConfig(mode="architecture", attempts=0, delay=0.0)
+    alone, _ = overview.summarize_projects(small, samples.templates(spark), echo_client, config, tokens_per_prompt=60)
+    both, _ = overview.summarize_projects(small.union(source.filter("project = 'src0'")), samples.templates(spark), echo_client, config, tokens_per_prompt=60)
+    beside = both.filter("project = 'small'")
+    assert rows(alone, "explanation", "rounds") == rows(beside, "explanation", "rounds")
+    assert both.filter("project = 'src0'").first().rounds > 1
+
+
+def test_failed_parts_are_told(spark, sf_dir):
+    def broken_parts():
+        def call(row):
+            if "/part 1" in row["project"]:
+                raise ValueError("down")
+            return "fine"
+
+        return call
+
+    files = samples.files(spark, sf_dir).filter("project in ('src0', 'src1')")
+    config = explain.RunConfig(mode="architecture", attempts=0, delay=0.0)
+    answers, _ = overview.summarize_projects(files, samples.templates(spark), broken_parts, config, tokens_per_prompt=60)
+    for r in answers.collect():
+        assert r.failed_parts == 1 and r.error.startswith("1 of ") and r.explanation.endswith("parts failed")
 
 
 def test_project_answers_are_cached(spark, sf_dir, tmp_path):
@@ -303,7 +383,7 @@ def test_project_answers_are_cached(spark, sf_dir, tmp_path):
     store = CacheStore(spark, str(tmp_path / "cache"))
     answers, fresh = overview.summarize_projects(files, samples.templates(spark), echo_client, config)
     assert fresh.count() == files.count() + 2 and answers.filter("cached").count() == 0
-    store.write(fresh, 1)
+    store.write(fresh)
     again, _ = overview.summarize_projects(files, samples.templates(spark), echo_client, config, cache=store.read())
     assert again.filter("cached").count() == 2 and rows(again, "project", "explanation") == rows(answers, "project", "explanation")
 
@@ -414,6 +494,30 @@ def test_stream_equals_batch(spark, files, tmp_path):
     assert rows(usage, "project", "files", "input_tokens") == rows(expected, "project", "files", "input_tokens")
 
 
+def test_three_checkpoints_share_one_store(spark, files, tmp_path):
+    base, templates = str(tmp_path), samples.templates(spark)
+    plain = files.drop("key_path").filter("file_id % 50 <> 7")
+    store = CacheStore(spark, f"{base}/cache")
+
+    def run(name, subset, client):
+        subset.coalesce(1).write.mode("append").parquet(f"{base}/in-{name}")
+        arriving = incremental.file_stream(spark, f"{base}/in-{name}", plain.schema)
+        incremental.explain_stream(arriving, store, f"{base}/out-{name}", f"{base}/check-{name}", templates, client, CONFIG).awaitTermination()
+        return spark.read.parquet(f"{base}/out-{name}")
+
+    first = run("one", plain.filter("file_id < 20"), samples.stub_client)
+    assert first.filter("cached").count() == 0
+    second = run("two", plain.filter("file_id < 21"), samples.stub_client)
+    assert second.filter("not cached").select("file_id").collect() == [(20,)]
+    run("three", plain.filter("file_id between 40 and 45"), samples.stub_client)
+    every = plain.filter("file_id < 21 or file_id between 40 and 45")
+    assert store.read().count() == every.count()  # nothing is lost
+    again = run("four", every, broken_client)
+    assert again.filter("cached").count() == every.count()
+    grown = run("one", plain.filter("file_id = 30"), samples.stub_client)  # the first checkpoint goes on
+    assert grown.count() == first.count() + 1 and store.read().count() == every.count() + 1
+
+
 def session_like(master, folder):
     """Stands in for a session on a cluster."""
     chosen = []

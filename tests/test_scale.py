@@ -89,3 +89,27 @@ def test_first_n(spark):
     groups = {r[0] for r in rows}
     assert got == sorted((g, i) for g in groups for i in sorted(r[1] for r in rows if r[0] == g)[:3])
 
+
+
+@pytest.mark.parametrize("call", ["ordinal", "neighbours"])
+def test_windows_stay_small_for_hashed_ids(spark, monkeypatch, call):
+    """One hot project of hashed ids: no window partition is larger than a block."""
+    monkeypatch.setattr(scale, "BLOCK_BITS", 4)  # blocks of 16, so that few rows show it
+    monkeypatch.setattr(scale, "LEVELS", 3)
+    df = spark.range(40).select(F.lit("p").alias("g"), (F.pmod(F.xxhash64("id"), F.lit(1 << 16))).alias("id")).distinct()
+    blocks = [F.shiftright("id", 4 * k) for k in range(4)]
+    for inner, outer in zip(blocks, blocks[1:], strict=False):
+        assert df.select(inner.alias("i"), outer.alias("o")).distinct().groupBy("o").count().agg(F.max("count")).first()[0] <= 16
+    ids = sorted(r.id for r in df.collect())
+    if call == "ordinal":
+        assert {r.id: r.ord for r in scale.ordinal(df, ["g"], "id", levels=3).collect()} == {i: k for k, i in enumerate(ids)}
+    else:
+        got = {r.id: (r.prev_id, r.next_id) for r in scale.neighbours(df, ["g"], "id", "id", levels=3).collect()}
+        assert got == {i: (ids[k - 1] if k else None, ids[k + 1] if k + 1 < len(ids) else None) for k, i in enumerate(ids)}
+
+
+def test_defaults_bound_every_window(spark):
+    df = spark.range(10).select(F.lit("p").alias("g"), F.xxhash64("id").alias("id"))
+    for made in (scale.ordinal(df, ["g"], "id"), scale.neighbours(df, ["g"], "id", "id")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("shiftright") >= scale.LEVELS
