@@ -2,10 +2,10 @@
 
 from ..functions import fixed
 from ..functions.dialect import WHITE_SPACE, any_of, re2
-from ..functions.paths import glob_regex, ignore_regex
 from ..operators.prompts import DEFAULT_TEMPLATES, FALLBACK_TEMPLATE
 from ..sources.tables import DIRS, EXTS, STEMS
-from .samples import IGNORE_RULES, USER_TEMPLATE
+from .samples import USER_TEMPLATE
+from .stored import ROUND_TOKENS
 
 
 def q(value: str) -> str:
@@ -94,13 +94,13 @@ described AS (SELECT f.*, coalesce(l.language, 'plaintext') AS language FROM fil
 
 def included(match: str = "substring") -> str:
     literals = [p for p in fixed.EXCLUDES if "*" not in p]
-    globs = [glob_regex(p) for p in fixed.EXCLUDES if "*" in p]
+    globs = [p.replace("_", "\\_").replace("*", "%") for p in fixed.EXCLUDES if "*" in p]
     if match == "segment":
         literal = " OR ".join(f"contains('/' || relative_path || '/', {q('/' + p + '/')})" for p in literals)
     else:
         literal = " OR ".join(f"contains(relative_path, {q(p)})" for p in literals)
     name = base("relative_path")
-    glob = " OR ".join(f"regexp_full_match({name}, {q('(?s)' + g)})" for g in globs)
+    glob = " OR ".join(f"{name} LIKE {q(g)} ESCAPE '\\'" for g in globs)
     return (
         f"NOT starts_with({name}, {q(fixed.OUTPUT_PREFIX)}) AND lower({raw_ext('relative_path')}) IN ({words(fixed.CODE_EXTENSIONS)}) "
         f"AND NOT ({literal}) AND NOT ({glob})"
@@ -412,9 +412,9 @@ def sql(ctes: str | None, select: str) -> str:
     return f"WITH {ctes}\n{select}" if ctes else select
 
 
-IGNORED = "CASE" + "".join(
-    f" WHEN regexp_matches(relative_path, {q(ignore_regex(rule)[0])}) THEN {str(ignore_regex(rule)[1]).lower()}" for rule in reversed(IGNORE_RULES)
-) + " ELSE false END"
+# what the three ignore rules of the samples mean, last rule first
+IGNORED = """CASE WHEN starts_with(relative_path, 'docs/index_0') THEN false WHEN starts_with(relative_path, 'docs/') THEN true
+  WHEN contains('/' || relative_path, '/node_modules/') THEN true ELSE false END"""
 
 MODE_OF_FIVE = "['explain', 'issues', 'linebyline', 'summary', 'nosuchmode'][CAST(file_id % 5 AS INT) + 1]"
 PROMPT_OF_MODE = "CASE mode " + "".join(
@@ -680,6 +680,55 @@ ORACLE = {
     "merge_structs": (
         "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'new' ELSE event_type END AS a, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS x, value AS y, 'z' AS z FROM events"
     ),
+    "scanned_files": sql(
+        f"{FILES}, placed AS (SELECT {KEY_PATH} AS relative_path, content FROM files)",
+        f"SELECT relative_path, strlen(content) AS file_size, md5(content) AS content_md5 FROM placed WHERE {included()}",
+    ),
+    "scan_counts": sql(
+        FILES,
+        f"SELECT 'all' AS scope, count(*) AS files FROM files WHERE {included()} UNION ALL SELECT 'src1', count(*) FROM files WHERE project = 'src1' AND {included()} UNION ALL SELECT 'missing', 0",
+    ),
+    "scan_union": sql(
+        f"{FILES}, placed AS (SELECT project, CAST(file_id AS VARCHAR) || '/' || relative_path AS relative_path FROM files WHERE project IN ('src0', 'src2'))",
+        f"SELECT project, relative_path, CASE project WHEN 'src0' THEN 2 ELSE 1 END AS times FROM placed WHERE {included()}",
+    ),
+    "scan_skipped": sql(FILES, f"SELECT {base('relative_path')} AS file_name, strlen(content) AS size FROM files WHERE strlen(content) > 4194 AND {included()}"),
+    "scan_in_order": sql(
+        f"{FILES}, placed AS (SELECT {KEY_PATH} AS relative_path FROM files)",
+        f"SELECT row_number() OVER (ORDER BY encode(relative_path)) - 1 AS file_id, relative_path FROM placed WHERE {included()}",
+    ),
+    "decoded_text": "SELECT doc_id, text || chr(65533) || chr(65533) AS decoded FROM documents",
+    "loaded_templates": "SELECT CAST(doc_id AS VARCHAR) AS mode, md5(CASE WHEN doc_id % 2 = 0 THEN 'user ' ELSE '' END || text) AS template_md5 FROM documents",
+    "written_results": sql(f"{FILES}, {DESCRIBED}", "SELECT project, file_id, relative_path, language FROM described"),
+    "written_report": sql(
+        f"{FILES}, results AS (SELECT DISTINCT project, 0 AS file_id, 'Project Architecture' AS relative_path, 'architecture' AS language, {q(fixed.OFFLINE_PROJECT)} AS explanation FROM files)",
+        f"SELECT project, html AS line FROM ({sections('results', False)})",
+    ),
+    "cache_store_latest": sql(
+        f"{FILES}, {SIDE}, {SEED}", "SELECT cache_key, CASE WHEN file_size % 2 = 0 THEN 'newer ' ELSE '' END || explanation AS explanation FROM seed"
+    ),
+    "cache_same_path_projects": (
+        "SELECT p AS project, doc_id AS file_id, 'ans ' || p || '/src/' || CAST(doc_id AS VARCHAR) || '.js' AS explanation, true AS cached FROM documents, (VALUES ('a'), ('b')) AS t(p)"
+    ),
+    "retried_answers": sql(
+        FILES,
+        "SELECT project, file_id, CASE WHEN file_id % 4 = 3 THEN 'Error generating explanation: busy' ELSE 'answer ' || CAST(file_id AS VARCHAR) END AS explanation, "
+        "CASE WHEN file_id % 4 = 3 THEN 'busy' END AS error, least(file_id % 4 + 1, 3) AS attempts FROM files",
+    ),
+    "observed_progress": sql(EXPLAINED, "SELECT count(*) AS completed, count(error) AS failed, count(*) FILTER (WHERE cached) AS cached FROM explained"),
+    "project_summaries_rounds": sql(
+        f"""{FILES}, {DESCRIBED}, {answered(SUMMARY_PROMPT)},
+        firsts AS (SELECT project AS sp, relative_path AS sr, arg_min(explanation, file_id) AS summary FROM answers GROUP BY project, relative_path),
+        lines AS (SELECT d.project, '- **' || {base('relative_path')} || '** (' || language || '): ' || f.summary || chr(10) AS line
+          FROM described d JOIN firsts f ON f.sp = d.project AND f.sr = d.relative_path)""",
+        f"SELECT project, CASE WHEN sum({tokens('line')}) <= {ROUND_TOKENS} OR count(*) = 1 THEN 1 ELSE 2 END AS rounds, 0 AS failed_parts, true AS answered FROM lines GROUP BY project",
+    ),
+    "stream_results": sql(EXPLAINED, "SELECT project, file_id, relative_path, language, explanation, cached, error FROM explained"),
+    "stream_cache": sql(
+        f"""{EXPLAINED}, fresh AS (SELECT l.cache_key, l.file_hash, l.file_size, l.mtime_ms, e.explanation FROM explained e JOIN looked l ON l.file_id = e.file_id
+          WHERE l.cache_status = 'refresh' OR (l.cache_status = 'miss' AND e.error IS NULL))""",
+        "SELECT * FROM fresh UNION ALL SELECT cache_key, file_hash, file_size, mtime_ms, explanation FROM seed WHERE cache_key NOT IN (SELECT cache_key FROM fresh)",
+    ),
     "stream_usage": sql(
         f"{FILES}, {DESCRIBED}, keyed_rows AS (SELECT * REPLACE ({KEY_PATH} AS relative_path) FROM described), {answered(EXPLAIN_PROMPT, 'keyed_rows')}",
         "SELECT project, count(*) AS files, 0 AS cached_files, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM answers GROUP BY project",

@@ -15,9 +15,10 @@ from ..sources.cache_store import CacheStore
 from ..sources.tables import read_spread, read_table
 from ..streaming import incremental
 from . import samples
+from .stored import STORED
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = dict(STORED)
 ID = ["project", "file_id"]
 
 
@@ -685,7 +686,7 @@ def stream_usage(spark, sf):
 
     base = f"{shared_folder(spark)}/stream-{uuid4().hex}"
     files = samples.file_side(samples.files(spark, sf)).drop("relative_path").withColumnRenamed("key_path", "relative_path")
-    files.repartition(3, "file_id").write.parquet(f"{base}/in")
+    files.write.option("maxRecordsPerFile", max(1, files.count() // 3)).parquet(f"{base}/in")
     store = CacheStore(spark, f"{base}/cache")
     arriving = incremental.file_stream(spark, f"{base}/in", files.schema, max_files=1)
     incremental.explain_stream(

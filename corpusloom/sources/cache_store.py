@@ -3,7 +3,6 @@
 from typing import NamedTuple
 from uuid import uuid4
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +21,16 @@ class Run(NamedTuple):
         return f"seq={self.seq}/run={self.name}/batch={batch}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, on whatever store its path names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_versions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All rows below ``path`` with their version; none where the folder does not exist yet."""
     full = spark.createDataFrame([], f"{schema}, {VERSION}").schema
-    try:
-        return spark.read.schema(full).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(path) if exists(spark, path) else spark.createDataFrame([], full)
 
 
 def begin_run(spark: SparkSession, path: str, checkpoint: str | None = None) -> Run:
@@ -40,12 +40,8 @@ def begin_run(spark: SparkSession, path: str, checkpoint: str | None = None) ->
     replaces what its batches wrote; a new checkpoint is a new run and replaces nothing.
     """
     note = f"{checkpoint}/corpusloom-run"
-    if checkpoint:
-        try:
-            return Run(*spark.read.schema("seq long, name string").parquet(note).first())
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+    if checkpoint and exists(spark, note):
+        return Run(*spark.read.schema("seq long, name string").parquet(note).first())
     last = read_versions(spark, path, "written int").agg(F.max("seq")).first()[0] or 0
     run = Run(last + 1, uuid4().hex)
     if checkpoint:
