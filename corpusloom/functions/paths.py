@@ -145,6 +145,20 @@ def ignored_by(path: Column, rules: Sequence[str]) -> Column:
     return verdict
 
 
+def ignored_in_tree(path: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """Ignore rules of several folders, as (folder, rule), folders before those inside them.
+
+    A rule sees the path below its folder, ``""`` for the top; the last rule that matches decides.
+    """
+    verdict = F.lit(False)
+    for folder, rule in rules:
+        regex, ignored = ignore_regex(rule)
+        below = path.substr(F.lit(len(folder) + 2), F.length(path)) if folder else path
+        hit = below.rlike(regex)
+        verdict = F.when(path.startswith(folder + "/") & hit if folder else hit, F.lit(ignored)).otherwise(verdict)
+    return verdict
+
+
 def is_key_file(path: Column) -> Column:
     return contains_any(path, KEY_FILE_PARTS)
 

@@ -17,6 +17,10 @@ from ..functions.fixed import CODE_EXTENSIONS, EXCLUDES, MAX_FILE_SIZE_MB, OUTPU
 from ..session import materialize
 
 
+IGNORE_FILE = ".gitignore"
+MAX_IGNORE_RULES = 2000
+
+
 def decode_text(content: Column) -> Column:
     """UTF-8 text of raw bytes, bad bytes becoming replacement characters."""
     return F.make_valid_utf8(content.cast("string"))
@@ -103,8 +107,43 @@ def _sources(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFra
 
 def load_ignore_rules(path: str) -> list[str]:
     """The rules of one ignore file, in order, for ``scan_files(ignore_rules=...)``."""
-    lines = read_bytes(path).decode("utf-8", "replace").splitlines()
-    return [line.strip() for line in lines if line.strip() and not line.startswith("#")]
+    return _rule_lines(read_bytes(path).decode("utf-8", "replace"))
+
+
+def find_ignore_rules(spark: SparkSession, base: str, name: str = IGNORE_FILE) -> list[tuple[str, str]]:
+    """(folder, rule) of every ignore file below ``base``, outer folders first.
+
+    Folders with a leading dot are not looked into. The rules become part of the scan's
+    plan, so more than ``MAX_IGNORE_RULES`` are an error; scan such a tree in parts.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    root = hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rules: list[tuple[str, str]] = []
+    if not fs.exists(root) or fs.getFileStatus(root).isFile():
+        return rules
+    top = fs.getFileStatus(root).getPath().toString()
+    level = _unglobbed(top)
+    while True:
+        for status in fs.globStatus(hadoop.fs.Path(f"{level}/{name}")) or []:
+            folder = status.getPath().getParent().toString().removeprefix(top).strip("/")
+            if "/." in f"/{folder}":
+                continue
+            stream = fs.open(status.getPath())
+            try:
+                text = bytes(hadoop.io.IOUtils.readFullyToByteArray(stream)).decode("utf-8", "replace")
+            finally:
+                stream.close()
+            rules += [(folder, rule) for rule in _rule_lines(text)]
+            if len(rules) > MAX_IGNORE_RULES:
+                raise ValueError(f"more than {MAX_IGNORE_RULES} ignore rules below {base}")
+        if not len(fs.globStatus(hadoop.fs.Path(level + "/*")) or []):
+            return rules
+        level += "/*"
+
+
+def _rule_lines(text: str) -> list[str]:
+    return [line.strip() for line in text.splitlines() if line.strip() and not line.startswith("#")]
 
 
 def _below(path: Column, base: str) -> Column:
@@ -124,22 +163,26 @@ def scan_files(
     project: str | None = None,
     ignore_rules: Sequence[str] = (),
     prefix: str = OUTPUT_PREFIX,
+    ignore_files: bool = True,
 ) -> DataFrame:
     """One row per accepted file below each path, duplicates between paths kept.
 
     ``force`` takes a named file whatever its extension. A missing path raises. The path
-    and size rules run on listing metadata, before any content is read. ``file_id`` is a
+    and size rules run on listing metadata, before any content is read. Ignore files found in
+    the scanned folders apply below their own folder, after ``ignore_rules``. ``file_id`` is a
     hash of the path, the same on every run (``in_path_order`` gives counters instead).
     """
     sources = [sources] if isinstance(sources, str) else list(sources)
 
     def one(number: int, base: str) -> DataFrame:
+        rules = [("", rule) for rule in ignore_rules] + (find_ignore_rules(spark, base) if ignore_files else [])
+
         def keep(listed: DataFrame) -> DataFrame:
             relative = _below(F.col("path"), base)
             if max_mb is not None:
                 listed = limit_size(listed, max_mb)
             kept = listed.filter(paths.included(relative, exts, excludes, prefix, force))
-            return kept.filter(~paths.ignored_by(relative, ignore_rules)) if ignore_rules else kept
+            return kept.filter(~paths.ignored_in_tree(relative, rules)) if rules else kept
 
         return _sources(spark, base, keep).select(
             F.xxhash64("path", F.lit(number)).alias("file_id"),

@@ -39,7 +39,7 @@ def names(df):
 
 
 SCANNED = [
-    "_private/deep/_x.js", "_private/y.js", "file1.js", "my dir/sp ace.ts", "pkg/_[id].js", "pkg/__init__.py",
+    "_private/y.js", "file1.js", "my dir/sp ace.ts", "pkg/_[id].js", "pkg/__init__.py",
     "src/Big.JAVA", "src/bad.go", "src/blog/post.js", "src/file2.py",
 ]
 EXCLUDE = ["node_modules", ".git", "*.log"]
@@ -94,18 +94,18 @@ def test_bad_bytes_are_replaced(spark, tree):
 
 
 def test_ignore_rules_last_match_wins(spark, tree):
-    kept = source.scan_files(spark, tree, excludes=EXCLUDE, ignore_rules=["src/*", "!src/*.py", "/file1.js", "_*"])
+    kept = source.scan_files(spark, tree, excludes=EXCLUDE, ignore_rules=["src/*", "!src/*.py", "/file1.js", "_*"], ignore_files=False)
     assert names(kept) == ["my dir/sp ace.ts", "src/file2.py"]
     rules = source.load_ignore_rules(f"{tree}/.gitignore")
     assert rules == ["_private/", "!_private/y.js"]
-    kept = names(source.scan_files(spark, tree, excludes=EXCLUDE, ignore_rules=rules))
-    assert kept == [name for name in SCANNED if name != "_private/deep/_x.js"]
+    assert names(source.scan_files(spark, tree, excludes=EXCLUDE, ignore_rules=rules, ignore_files=False)) == SCANNED
+    assert names(source.scan_files(spark, tree, excludes=EXCLUDE, ignore_files=False)) == ["_private/deep/_x.js", *SCANNED]
 
 
 def test_path_order(spark, tree):
     ordered = source.in_path_order(source.scan_files(spark, tree, excludes=EXCLUDE))
     rows = sorted((r.file_id, r.relative_path) for r in ordered.select("file_id", "relative_path").collect())
-    assert [r[0] for r in rows] == list(range(10)) and [r[1] for r in rows] == names(ordered)
+    assert [r[0] for r in rows] == list(range(len(SCANNED))) and [r[1] for r in rows] == names(ordered)
 
 
 def test_languages(spark):
@@ -140,3 +140,34 @@ def test_wildcards_all_apply_and_escape(column):
     p = F.col("p")
     rows = [("d/a.log",), ("d/alog",), ("x.env.local",), ("d.log/a.js",)]
     assert column(rows, "p string", paths.exclude_glob(p, ["x", "*.log", "y", "*.env.*"])) == [True, False, True, False]
+
+
+def test_ignore_files_apply_below_their_folder(spark, tmp_path):
+    names = ["a.js", "keep/a.js", "keep/b.js", "out/x.js", "sub/a.js", "sub/out/x.js", "sub/deep/c.js", "sub/deep/d.js", ".hidden/e.js", "lone.js"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / ".gitignore").write_text("# comment\nout/\n/lone.js\n\n")
+    (tmp_path / "keep" / ".gitignore").write_text("a.js\n")
+    (tmp_path / "sub" / ".gitignore").write_text("deep/*\n!deep/d.js\n!out/\n")
+    (tmp_path / ".hidden" / ".gitignore").write_text("*\n")
+    found = source.scan_files(spark, str(tmp_path), project="p")
+    got = sorted(r.relative_path for r in found.select("relative_path").collect())
+    assert got == ["a.js", "keep/b.js", "sub/a.js", "sub/deep/d.js", "sub/out/x.js"]
+    everything = source.scan_files(spark, str(tmp_path), project="p", ignore_files=False)
+    assert everything.count() == len(names) - 1
+
+
+def test_too_many_ignore_rules_are_an_error(spark, tmp_path, monkeypatch):
+    (tmp_path / ".gitignore").write_text("a\nb\nc\n")
+    monkeypatch.setattr(source, "MAX_IGNORE_RULES", 2)
+    with pytest.raises(ValueError):
+        source.find_ignore_rules(spark, str(tmp_path))
+
+
+def test_files_left_out_for_their_size_are_told(spark, tmp_path):
+    (tmp_path / "big.js").write_text("x" * 3000)
+    (tmp_path / "small.js").write_text("x")
+    (tmp_path / "big.txt.bin").write_text("x" * 3000)
+    found = source.skipped_files(spark, str(tmp_path), max_mb=0.001).collect()
+    assert [(r.path.rsplit("/", 1)[-1], r.size) for r in found] == [("big.js", 3000)]
