@@ -17,6 +17,7 @@ number; an empty table gives an empty result; other columns are not carried.
 """
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,33 +39,36 @@ BLOCK = 1 << 20
 HASHES = 1 << 17
 
 
-def shingle_hashes(text: bytes, length: int, seed: int = 42) -> list[int]:
+def shingle_hashes(text: bytes, length: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle, at most ``HASHES`` at a time."""
     words = text.lower().split()
     if not words:
-        return []
+        return
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= length:
-        return [xxhash.xxh64_intdigest(joined, seed)]
+        yield np.array([digest(joined, seed)], dtype=np.uint64)
+        return
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
-    starts = ends - sizes + 1
-    digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[length - 1 :].tolist(), strict=False)]
+    starts, ends = (ends - sizes + 1)[: len(words) - length + 1], ends[length - 1 :]
+    for first in range(0, len(starts), HASHES):
+        part = zip(starts[first : first + HASHES].tolist(), ends[first : first + HASHES].tolist(), strict=True)
+        yield np.array([digest(joined[a:b], seed) for a, b in part], dtype=np.uint64)
 
 
-def majority(hashes: np.ndarray) -> np.ndarray:
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
     """How many hashes have each bit."""
-    total = np.zeros(64, dtype=np.int64)
-    for first in range(0, len(hashes), HASHES):
-        part = np.ascontiguousarray(hashes[first : first + HASHES].astype("<u8"))
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return total
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
 
 
 def fingerprint(text: bytes, length: int = 3) -> int:
-    hashes = np.array(shingle_hashes(text, length), dtype=np.uint64)
-    bits = majority(hashes) * 2 > len(hashes)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    total, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, length):
+        total += bit_counts(hashes)
+        n += len(hashes)
+    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
