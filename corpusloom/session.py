@@ -1,5 +1,7 @@
 """Session settings and the shared folder that cuts lineage."""
 
+import atexit
+import shutil
 import tempfile
 from uuid import uuid4
 
@@ -32,7 +34,7 @@ def build_session(master: str | None = None, cores: int | None = None, app: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a scratch folder only in local mode."""
+    """The folder named by ``spark.checkpoint.dir``; in local mode without one, a scratch folder of this process."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -42,7 +44,9 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
+        scratch = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, scratch, ignore_errors=True)
+        context.setCheckpointDir(scratch)
     return context.getCheckpointDir()
 
 
