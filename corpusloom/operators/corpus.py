@@ -112,10 +112,10 @@ def tech_stack(files: DataFrame) -> DataFrame:
     return ordinal(seen, ["project", "kind"], "first_file_id")
 
 
-def by_directory(files: DataFrame) -> DataFrame:
-    """Directory listing as rows: order by (dir_first, file_id) to print it."""
+def by_directory(files: DataFrame, *carried: str) -> DataFrame:
+    """Directory listing as rows: order by (dir_first, file_id) to print it. Other columns can be carried along."""
     path = F.col("relative_path")
-    listed = files.select("project", "file_id", paths.dirname(path).alias("dir"), paths.basename(path).alias("file_name"))
+    listed = files.select("project", "file_id", paths.dirname(path).alias("dir"), paths.basename(path).alias("file_name"), *carried)
     dirs = listed.groupBy("project", "dir").agg(F.count("*").alias("dir_files"), F.min("file_id").alias("dir_first"))
     shown = F.when(F.col("dir") == ".", "Root Directory").otherwise(F.col("dir"))
     return lookup_join(listed, dirs, ["project", "dir"], "file_id").withColumn("dir", shown)

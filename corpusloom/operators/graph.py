@@ -41,19 +41,21 @@ def external_dependencies(records: DataFrame) -> DataFrame:
     return dependency_rows(records).select("project", "dependency").distinct().subtract(names)
 
 
-def project_dependencies(records: DataFrame) -> DataFrame:
+def project_dependencies(records: DataFrame, classified: DataFrame | None = None) -> DataFrame:
     """Distinct dependencies per project, numbered in first-seen order within their kind.
 
     Repeats are dropped before the join, so a dependency of every file is one row there.
+    ``classified``, the kept rows of ``classify_dependencies``, saves that join.
     """
-    seen = (
-        dependency_rows(records)
-        .groupBy("project", "dependency")
-        .agg(F.min(F.struct("file_id", "pos")).alias("first"))
-        .select("project", "dependency", F.col("first.file_id").alias("first_file_id"), F.col("first.pos").alias("first_pos"))
-    )
-    names = component_names(records).select("project", F.col("name").alias("dependency"), F.lit("internal").alias("kind"))
-    kinds = seen.join(names, ["project", "dependency"], "left").withColumn("kind", F.coalesce("kind", F.lit("external")))
+    first = F.min(F.struct("file_id", "pos")).alias("first")
+    place = [F.col("first.file_id").alias("first_file_id"), F.col("first.pos").alias("first_pos")]
+    if classified is None:
+        seen = dependency_rows(records).groupBy("project", "dependency").agg(first).select("project", "dependency", *place)
+        names = component_names(records).select("project", F.col("name").alias("dependency"), F.lit("internal").alias("kind"))
+        kinds = seen.join(names, ["project", "dependency"], "left").withColumn("kind", F.coalesce("kind", F.lit("external")))
+    else:
+        kind = F.when(F.bool_or("is_internal"), "internal").otherwise("external").alias("kind")
+        kinds = classified.groupBy("project", "dependency").agg(first, kind).select("project", "dependency", *place, "kind")
     return ordinal(kinds, ["project", "kind"], "first_file_id", total="n_unique", within="first_pos")
 
 
@@ -73,14 +75,15 @@ def project_connections(records: DataFrame) -> DataFrame:
     )
 
 
-def component_counts(records: DataFrame) -> DataFrame:
+def component_counts(records: DataFrame, classified: DataFrame | None = None) -> DataFrame:
     """Functions, internal and external dependencies of each component."""
-    per_file = classify_dependencies(records).groupBy("file_id").agg(
+    classified = classify_dependencies(records) if classified is None else classified
+    per_file = classified.groupBy("project", "file_id").agg(
         F.count_if("is_internal").alias("internal_deps"), F.count_if(~F.col("is_internal")).alias("external_deps")
     )
     return (
         records.select("project", "file_id", "name", "type", F.col("n_functions").alias("functions"))
-        .join(per_file, "file_id", "left")
+        .join(per_file, ["project", "file_id"], "left")
         .fillna(0, ["internal_deps", "external_deps"])
     )
 
@@ -120,8 +123,8 @@ def component_edges(records: DataFrame, components: DataFrame | None = None) ->
     components = index_components(records) if components is None else components
     targets = components.groupBy("project", F.col("name").alias("dependency")).agg(F.max("idx").alias("dst"))
     linked = lookup_join(dependency_rows(records), targets, ["project", "dependency"], "file_id", "inner")
-    own = components.select("file_id", F.col("idx").alias("src"))
-    return linked.join(own, "file_id").filter("src != dst").select("project", "src", "dst", "pos", "dependency")
+    own = components.select("project", "file_id", F.col("idx").alias("src"))
+    return linked.join(own, ["project", "file_id"]).filter("src != dst").select("project", "src", "dst", "pos", "dependency")
 
 
 def start_edges(records: DataFrame, components: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
@@ -190,8 +193,8 @@ def _function_rows(records: DataFrame, components: DataFrame) -> DataFrame:
     )
     extra = F.col("n_functions") - MAX_FUNCTIONS_DRAWN
     more = F.array(F.struct(F.lit("MORE").alias("slot"), F.concat(extra.cast("string"), F.lit(" more funcs")).alias("label")))
-    drawn = records.select("file_id", F.when(extra > 0, F.concat(shown, more)).otherwise(shown).alias("_drawn")).filter(F.size("_drawn") > 0)
-    return components.join(drawn, "file_id").select("project", "idx", F.posexplode("_drawn").alias("slot_no", "_f")).select(
+    drawn = records.select("project", "file_id", F.when(extra > 0, F.concat(shown, more)).otherwise(shown).alias("_drawn")).filter(F.size("_drawn") > 0)
+    return components.join(drawn, ["project", "file_id"]).select("project", "idx", F.posexplode("_drawn").alias("slot_no", "_f")).select(
         "project", "idx", "slot_no", "_f.slot", "_f.label"
     )
 
@@ -277,6 +280,7 @@ def dependency_summary(records: DataFrame, per_part: int = 1000) -> DataFrame:
 
 def architecture_report(records: DataFrame) -> DataFrame:
     """The component report as ordered rows: title, component table, badges, metrics."""
+    classified = materialize(classify_dependencies(records))
 
     def cells(*values: Column) -> Column:
         return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), v.cast("string"), F.lit("</td>")) for v in values], F.lit("</tr>"))
@@ -288,7 +292,7 @@ def architecture_report(records: DataFrame) -> DataFrame:
         primary_language(records), "overview", 0, F.lit(0),
         F.concat(F.lit("<h1>Project structure ("), F.upper("language"), F.lit(")</h1>")),
     )
-    components = ordinal(component_counts(records), ["project"], "file_id")
+    components = ordinal(materialize(component_counts(records, classified)), ["project"], "file_id")
     table = rows(
         components, "components", 1, F.col("ord"),
         cells(
@@ -296,7 +300,7 @@ def architecture_report(records: DataFrame) -> DataFrame:
             F.concat(F.col("internal_deps").cast("string"), F.lit(" int")), F.concat(F.col("external_deps").cast("string"), F.lit(" ext")),
         ),
     )
-    deps = project_dependencies(records)
+    deps = project_dependencies(records, classified)
     badges = rows(
         deps, "dependencies", 2, F.col("ord") * 2 + F.when(F.col("kind") == "external", 0).otherwise(1),
         F.concat(F.lit('<span class="'), "kind", F.lit('"><code>'), text.plain_label(F.col("dependency")), F.lit("</code></span>")),

@@ -54,7 +54,7 @@ def codebase_summary(files: DataFrame, about: DataFrame | None = None) -> DataFr
         keys = [(F.lit(v) if isinstance(v, int) else v).cast("long").alias(n) for n, v in (("i", i), ("j", j), ("k", k))]
         return df.select("project", F.lit(section).alias("section"), *keys, value.alias("piece"))
 
-    listing = by_directory(files).join(files.select("project", "file_id", "language", "summary"), ["project", "file_id"])
+    listing = by_directory(files, "language", "summary")
     line = listing_line(F.col("file_name"))
     dirs = listing.groupBy("project", "dir", "dir_first").agg(F.count("*").alias("_n"))
     stack = tech_stack(about)
