@@ -25,7 +25,7 @@ MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1
 POSITION = 20
 CHUNK = 1 << 19
 #: Buckets with more distinct pieces are compared window by window.
-HOT = 1024
+HOT = 8192
 
 PIECE = "m long, h long, k long, doc_id long, start long, windows int, left int"
 
