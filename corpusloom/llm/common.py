@@ -79,6 +79,22 @@ def held_out(remainder: int, modulus: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def thinned(df: DataFrame, column: str, share) -> DataFrame:
+    """About ``share`` of the rows, chosen by a hash of the column; the same ones on every run."""
+    place = F.pmod(F.xxhash64(column, F.lit("sample")), F.lit(1_000_000_000))
+    return df.filter(place < share * 1_000_000_000)
+
+
+def bounded_sample(df: DataFrame, column: str, rows: int, total: int | None = None) -> DataFrame:
+    """At most ``rows`` rows, those with the smallest hash of the column.
+
+    Of a large frame four times as many are taken first, so that the ordering sees few rows
+    however many tasks there are. ``df`` is read twice unless its ``total`` is given.
+    """
+    total = df.count() if total is None else total
+    return thinned(df, column, min(1.0, 4 * rows / max(1, total))).orderBy(F.xxhash64(column), column).limit(rows)
+
+
 def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indexes start, start + 1, ... of every range, one range after the other."""
     before = np.cumsum(lengths) - lengths

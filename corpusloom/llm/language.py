@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import short_batches, text_bytes
+from .common import short_batches, text_bytes, thinned
 from .toxicity import letters_only, logistic
 
 ROWS = 2400
@@ -159,7 +159,10 @@ def fit(docs: DataFrame, rows: int = ROWS) -> Model:
     counts = known.groupBy("lang").count().collect()  # one row per language
     each = max(2, rows // max(1, len(counts)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= each)
+    # of a large language four times as many are ranked, so that no task ranks a whole language
+    shares = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 4 * each / r["count"]))]) if counts else None
+    some = known.select("doc_id", "lang") if shares is None else thinned(known.select("doc_id", "lang"), "doc_id", shares[F.col("lang")])
+    chosen = some.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= each)
     chosen = chosen.select(F.col("doc_id").alias("_id")).dropDuplicates()
     sample = known.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # ``rows`` ids at most
 

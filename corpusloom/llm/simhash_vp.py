@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, short_batches, text_bytes
+from .common import bounded_sample, keep, short_batches, text_bytes
 from .components import star_roots
 from .pieces import key
 
@@ -191,10 +191,11 @@ def link(points: np.ndarray, queries: np.ndarray, values: np.ndarray, max_bits:
 def similar_links(points: DataFrame, max_bits: int = 3, shard_points: int = SHARD_POINTS) -> DataFrame:
     """Links (a, b) that connect exactly the points, distinct values of ``fp``, within ``max_bits`` of each other."""
     spark = points.sparkSession
-    shards = min(MAX_SHARDS, max(1, 2 ** math.ceil(math.log2(max(1, points.count() / shard_points)))))
+    total = points.count()
+    shards = min(MAX_SHARDS, max(1, 2 ** math.ceil(math.log2(max(1, total / shard_points)))))
     nodes = []
     if shards > 1:  # SAMPLED points per shard, a small part of all
-        sample = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLED * shards).collect()
+        sample = bounded_sample(points.select("fp"), "fp", SAMPLED * shards, total).collect()
         nodes = build_tree(np.array([r[0] for r in sample], dtype=np.int64).view(np.uint64), shards)
     tree = spark.sparkContext.broadcast(nodes)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, text_bytes
+from .common import bounded_sample, short_batches, text_bytes
 
 ROWS, WINDOWS, FOLDS = 8000, 1500, 4
 WORDS, GRAM = 8, 6
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     short_batches(spark)
     table = letters_only()
     chosen = labels.filter("doc_id is not null and label is not null").dropDuplicates(["doc_id"])
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("_labelled"), F.col("label").cast("int").alias("label"))
+    chosen = bounded_sample(chosen, "doc_id", rows).select(F.col("doc_id").alias("_labelled"), F.col("label").cast("int").alias("label"))
     source = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled"))  # ``rows`` rows at most
 
     def cut(batches):
