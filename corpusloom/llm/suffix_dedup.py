@@ -53,6 +53,8 @@ def gram_hashes(data: bytes) -> np.ndarray:
 
 
 def piece_table(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    if length <= GRAM:
+        raise ValueError(f"strings are longer than {GRAM} bytes")
     short_batches(docs.sparkSession)
     names = [f.split()[0] for f in pieces.PIECE.split(", ")]
 
@@ -91,6 +93,7 @@ def shared_strings(texts: list[bytes], left: list[int], windows: list[int], leng
     ``left`` is the anchor's place in the piece; pieces are aligned there.
     """
     n, most = len(texts), max(left)
+    kind = np.uint8 if length < 1 << 8 else np.uint16 if length < 1 << 16 else np.uint32
     begin = most - np.array(left, dtype=np.int64)
     end = begin + np.array([len(t) for t in texts])
     width = int(end.max())
@@ -105,17 +108,17 @@ def shared_strings(texts: list[bytes], left: list[int], windows: list[int], leng
         by_end = np.argsort(end, kind="stable")
         for ids in np.split(by_end, np.flatnonzero(np.diff(end[by_end])) + 1):
             ending[end[ids[0]]] = ids
-        order, common = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+        order, common = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=kind)
         for column in range(width - 1, -1, -1):
             symbol = np.fromfile(symbols, np.uint8, n)
             new = ending[column + 1]
             ids = np.concatenate([new, order])
-            prefix = np.concatenate([np.zeros(len(new), np.uint8), common, np.zeros(1, np.uint8)])
+            prefix = np.concatenate([np.zeros(len(new), kind), common, np.zeros(1, kind)])
             place = np.flatnonzero(begin[ids] <= column)
             transform = symbol[ids[place]]
             sort = np.argsort(transform, kind="stable")
             place, sorted_symbols = place[sort], transform[sort]
-            order, common = ids[place], np.zeros(len(place), np.uint8)
+            order, common = ids[place], np.zeros(len(place), kind)
             agree = np.flatnonzero(sorted_symbols[1:] == sorted_symbols[:-1]) if len(place) else np.zeros(0, np.int64)
             if len(agree):
                 between = np.empty(2 * len(agree), dtype=np.int64)
@@ -125,19 +128,16 @@ def shared_strings(texts: list[bytes], left: list[int], windows: list[int], leng
             for part in (np.array([len(order)], np.int64), order.astype(np.int32), common, transform):
                 part.tofile(rounds)
         rounds.seek(0)
-        marks = [np.zeros(w, dtype=bool) for w in windows]
         flat = np.zeros(sum(windows), dtype=bool)
         base = np.cumsum(windows) - windows
         for column in range(width - 1, -1, -1):
             size = int(np.fromfile(rounds, np.int64, 1)[0])
-            order, common = np.fromfile(rounds, np.int32, size), np.fromfile(rounds, np.uint8, size)
-            np.fromfile(rounds, np.uint8, size)
+            order, common = np.fromfile(rounds, np.int32, size), np.fromfile(rounds, kind, size)
+            np.fromfile(rounds, np.uint8, size)  # the transform itself is not needed here
             full = np.append(common >= length, False)
             found = order[full[:-1] | full[1:]]
             flat[base[found] + column - begin[found]] = True
-    for i, w in enumerate(windows):
-        marks[i] = flat[base[i] : base[i] + w]
-    return marks
+    return [flat[b : b + w] for b, w in zip(base.tolist(), windows, strict=True)]
 
 
 def runs_of(marks: np.ndarray) -> list[tuple[int, int]]:

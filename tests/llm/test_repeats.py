@@ -75,6 +75,13 @@ def test_words_of_odd_rows(odd, hot):
     assert ordered(found) == ordered(words_expected(rows))
 
 
+@pytest.mark.parametrize("length", [40, 300])
+def test_other_lengths(odd, length):
+    rows, table = odd
+    found = suffix_dedup.removal(table, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert ordered(found) == ordered(bytes_expected(rows, length))
+
+
 def test_empty_tables(odd):
     _, table = odd
     assert suffix_dedup.removal(table.limit(0)).count() == 0
