@@ -14,7 +14,6 @@ MAX_FUNCTIONS_PER_FILE = 15
 MAX_FUNCTIONS_DRAWN = 2
 MAX_KEY_FILES = 5
 PREVIEW_CHARS = 1000
-RESPONSE_PREVIEW_CHARS = 200
 CHARS_PER_TOKEN = 4
 
 # --- Fixed values: names of our own output files and work folder ------------------------
@@ -267,7 +266,6 @@ HTML_TABLE = r"(?i)<table[^>]*>[\s\S]*?<\/table>"
 HTML_TAG = r"<[^>]*>"
 
 # --- Fixed values: modes, labels, phrases -----------------------------------------------------------
-MODES = ["explain", "issues", "linebyline", "summary", "architecture", "onboarding"]
 MODE_ALIASES = {"arch": "architecture"}
 PROJECT_MODES = {
     "architecture": ("Project Architecture", "project-architecture"),
@@ -281,8 +279,9 @@ PROMPT_SUFFIX = "\n\nIMPORTANT: Always respond in markdown format."
 TRUNCATION_MARK = "\n... (truncated)"
 ERROR_PREFIX = "Error generating explanation: "
 PROJECT_ERROR_PREFIX = "Error generating {mode} analysis: "
-SYSTEM_FILE = "You are a helpful assistant that provides detailed code explanations."
-SYSTEM_PROJECT = "You are a helpful assistant that provides detailed code analysis and documentation."
+# own wording
+SYSTEM_FILE = "Explain source files to the people who have to read them."
+SYSTEM_PROJECT = "Describe whole code bases to the people who work on them."
 NO_EXPLANATION = "No explanation available."
 OFFLINE_FILE = "Offline mode: AI explanation not available. Please provide an API key to get AI-powered explanations."
 OFFLINE_PROJECT = (

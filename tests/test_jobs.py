@@ -332,7 +332,7 @@ def test_progress_and_batches(spark):
 
 def echo_client():
     def call(row):
-        return f"about {row['relative_path']}" if "analysis and documentation" not in row["system"] else row["prompt"]
+        return f"about {row['relative_path']}" if "whole code bases" not in row["system"] else row["prompt"]
 
     return call
 
