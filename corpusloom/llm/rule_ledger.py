@@ -5,7 +5,8 @@ is set where rule *k* fails. A policy is a version and the set of rules it enfor
 ``apply_policy`` and ``ablations`` only look at bits and never at texts again.
 
 Words are runs of anything but space and the characters 9 to 13; a null text has none. Lines
-are split at line feeds and count when they hold a word. An empty table gives an empty ledger;
+are split at line feeds and count when they hold a word. A text is measured inside its row, so
+a text takes memory in proportion to its own length. An empty table gives an empty ledger;
 rows that share a ``doc_id`` stay separate; other columns of ``docs`` are not carried.
 """
 
