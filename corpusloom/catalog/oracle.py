@@ -4,7 +4,7 @@ from ..functions import fixed
 from ..functions.dialect import WHITE_SPACE, any_of, re2
 from ..operators.prompts import DEFAULT_TEMPLATES, FALLBACK_TEMPLATE
 from ..sources.tables import DIRS, EXTS, STEMS
-from .samples import USER_TEMPLATE
+from .samples import ENTRY_LIKE_NAMES, USER_TEMPLATE
 from .stored import ROUND_TOKENS
 
 
@@ -528,6 +528,30 @@ ORACLE = {
         "SELECT project, idx, CAST(idx AS VARCHAR) || '. **' || name || '** (' || type || ') - ' || CAST(functions AS VARCHAR) || ' functions, ' || CAST(internal_deps AS VARCHAR) || ' internal deps, ' "
         "|| CAST(external_deps AS VARCHAR) || ' external deps' AS line FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY file_id) AS idx FROM counts)",
     ),
+    "named_entry_points": (
+        f"SELECT doc_id, path AS relative_path, lower(name) IN ('index', 'main', 'app', 'program', 'start', 'run', 'init', 'bootstrap') OR starts_with(lower(name), 'main.') "
+        f"OR starts_with(lower(name), 'app.') OR starts_with(lower(name), 'index.') AS is_entry "
+        f"FROM (SELECT doc_id, name, 'src/' || name AS path FROM (SELECT doc_id, [{words(ENTRY_LIKE_NAMES)}][CAST(doc_id % {len(ENTRY_LIKE_NAMES)} AS INT) + 1] AS name FROM documents))"
+    ),
+    "own_output_files": sql(
+        f"{FILES}, renamed AS (SELECT project, file_id, 'src/' || CASE WHEN file_id % 3 = 0 THEN 'corpusloom-output-' ELSE 'x-' END || {base('relative_path')} AS relative_path FROM files)",
+        f"SELECT project, file_id, relative_path FROM renamed WHERE {included()}",
+    ),
+    "diagram_validity": (
+        "SELECT doc_id AS file_id, doc_id % 4 IN (0, 3) OR contains(t, 'flowchart') OR contains(t, 'graph') OR contains(t, 'pie') OR contains(t, 'gantt') OR contains(t, 'journey') AS is_valid "
+        "FROM (SELECT doc_id, left(text, 40) AS t FROM documents) WHERE doc_id % 4 <> 2"
+    ),
+    "hot_key_lookup": (
+        "SELECT d.doc_id, d.source, s.good FROM documents d LEFT JOIN (SELECT source, CAST(sum(quality) AS BIGINT) AS good FROM documents JOIN labels USING (doc_id) GROUP BY source) s ON s.source = d.source"
+    ),
+    "dependency_parts": sql(
+        f"{ALL_GRAPH}, parts AS (SELECT project, kind, CAST(floor(ord / 2) AS BIGINT) AS part, string_agg('<code>' || translate(dependency, '<>&', '') || '</code>', ', ' ORDER BY ord) AS body FROM pdep GROUP BY ALL), "
+        "sizes AS (SELECT project, kind, count(*) AS n FROM pdep GROUP BY ALL)",
+        "SELECT p.project, k.kind, coalesce(d.part, 0) AS part, CASE WHEN d.part IS NULL THEN '**' || upper(left(k.kind, 1)) || k.kind[2:] || ' Dependencies:** None detected' "
+        "WHEN d.part = 0 THEN '**' || upper(left(k.kind, 1)) || k.kind[2:] || ' Dependencies (' || CAST(s.n AS VARCHAR) || ' unique):** ' || d.body ELSE ', ' || d.body END AS text "
+        "FROM (SELECT DISTINCT project FROM files) p CROSS JOIN (VALUES ('external'), ('internal')) k(kind) "
+        "LEFT JOIN parts d ON d.project = p.project AND d.kind = k.kind LEFT JOIN sizes s ON s.project = p.project AND s.kind = k.kind",
+    ),
     "dependency_summary": sql(
         ALL_GRAPH,
         "SELECT p.project, k.kind, 0 AS part, CASE WHEN count(d.dependency) = 0 THEN '**' || upper(left(k.kind, 1)) || k.kind[2:] || ' Dependencies:** None detected' "

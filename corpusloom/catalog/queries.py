@@ -246,6 +246,51 @@ def purposes(spark, sf):
     return samples.files(spark, sf).select(*ID, classify.purpose(F.col("relative_path"), F.col("content")).alias("purpose"))
 
 
+# --- rules on names and blocks that the derived corpus does not have --------------------------------
+
+
+@register
+def named_entry_points(spark, sf):
+    """Every name and prefix that makes an entry point, in mixed case, beside names that do not."""
+    names = F.array(*[F.lit(n) for n in samples.ENTRY_LIKE_NAMES])
+    named = F.concat(F.lit("src/"), F.element_at(names, (F.col("doc_id") % len(samples.ENTRY_LIKE_NAMES) + 1).cast("int")))
+    rows = read_table(spark, sf, "documents").select("doc_id", named.alias("relative_path"))
+    return rows.select("doc_id", "relative_path", classify.is_entry_point(F.col("relative_path"), F.lit("")).alias("is_entry"))
+
+
+@register
+def own_output_files(spark, sf):
+    """Files of which every third is named like our own output."""
+    name = F.when(F.col("file_id") % 3 == 0, F.lit("corpusloom-output-")).otherwise("x-")
+    renamed = samples.files(spark, sf).select(*ID, F.concat(F.lit("src/"), name, paths.basename(F.col("relative_path"))).alias("relative_path"))
+    return corpus.include_files(renamed)
+
+
+@register
+def diagram_validity(spark, sf):
+    """Diagram blocks made from the documents: of a known kind, of none, and blank."""
+    kinds = F.array(F.lit("graph TD\n"), F.lit("nothing known\n"), F.lit(" \n"), F.lit("pie\n"))
+    kind = F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int"))
+    body = F.concat(kind, F.when(F.trim(F.replace(kind, F.lit("\n"))) == "", "").otherwise(F.translate(F.left("text", F.lit(40)), "`", "")))
+    content = F.concat(F.lit("a ```mermaid\n"), body, F.lit("``` b"))
+    docs = read_table(spark, sf, "documents").select(F.lit("p").alias("project"), F.col("doc_id").alias("file_id"), content.alias("content"))
+    return blocks.extract_diagrams(docs).select("file_id", "is_valid")
+
+
+@register
+def hot_key_lookup(spark, sf):
+    """The lookup join with every source hot, so that all of its keys are split."""
+    docs, labels = read_table(spark, sf, "documents").select("doc_id", "source"), read_table(spark, sf, "labels")
+    sums = docs.join(labels, "doc_id").groupBy("source").agg(F.sum("quality").cast("long").alias("good"))
+    return lookup_join(docs, sums, ["source"], "doc_id", rows_per_task=5).select("doc_id", "source", "good")
+
+
+@register
+def dependency_parts(spark, sf):
+    """The dependency text in parts of two names each."""
+    return graph.dependency_summary(structure(samples.spread_files(spark, sf), "name", "dependencies"), per_part=2)
+
+
 # --- graph ------------------------------------------------------------------------------------------
 
 
