@@ -614,7 +614,7 @@ ORACLE = {
     "infer_stub": sql(
         f"{FILES}, {DESCRIBED}, {answered(EXPLAIN_PROMPT)}", "SELECT project, file_id, explanation, error, 1 AS attempts, input_tokens, output_tokens FROM answers"
     ),
-    "map_batches": sql(FILES, "SELECT file_id, relative_path, upper(relative_path) AS shout FROM files"),
+    "map_batches": "SELECT doc_id, strip_accents(text) AS plain FROM documents",
     "answered_only": sql(f"{FILES}, {DESCRIBED}, {answered(EXPLAIN_PROMPT)}", "SELECT project, file_id, explanation FROM answers WHERE error IS NULL"),
     "explain_corpus_stub": sql(EXPLAINED, "SELECT project, file_id, relative_path, language, explanation, cached, error FROM explained"),
     "explain_corpus_cache": sql(

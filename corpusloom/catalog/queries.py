@@ -469,8 +469,14 @@ def infer_stub(spark, sf):
 
 @register
 def map_batches(spark, sf):
-    rows = samples.files(spark, sf).select("file_id", "relative_path")
-    return infer.map_batches(rows, lambda pdf: pdf.assign(shout=pdf["relative_path"].str.upper()), "file_id long, relative_path string, shout string")
+    """Texts without accents, for which Spark has no function."""
+
+    def plain(pdf):
+        from unicodedata import combining, normalize
+
+        return pdf.assign(plain=["".join(c for c in normalize("NFD", t) if not combining(c)) for t in pdf["text"]])[["doc_id", "plain"]]
+
+    return infer.map_batches(read_table(spark, sf, "documents").select("doc_id", "text"), plain, "doc_id long, plain string")
 
 
 @register

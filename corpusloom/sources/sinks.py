@@ -25,8 +25,12 @@ def write_report(sections: DataFrame, path: str, partitions: int | None = None)
 
 
 def write_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write the result table, one folder per project, large projects in many files."""
-    results.write.mode("overwrite").partitionBy("project").format(fmt).save(path)
+    """Write the result table, one folder per project, large projects in many files.
+
+    Rows are range-partitioned by project first, so a task writes few projects, not one file for each.
+    """
+    keys = ["project", *(["file_id"] if "file_id" in results.columns else [])]
+    results.repartitionByRange(*keys).write.mode("overwrite").partitionBy("project").format(fmt).save(path)
 
 
 def write_bytes(path: str, data: bytes) -> None:
