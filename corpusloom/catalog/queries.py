@@ -271,7 +271,7 @@ def diagram_validity(spark, sf):
     """Diagram blocks made from the documents: of a known kind, of none, and blank."""
     kinds = F.array(F.lit("graph TD\n"), F.lit("nothing known\n"), F.lit(" \n"), F.lit("pie\n"))
     kind = F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int"))
-    body = F.concat(kind, F.when(F.trim(F.replace(kind, F.lit("\n"))) == "", "").otherwise(F.translate(F.left("text", F.lit(40)), "`", "")))
+    body = F.concat(kind, F.when(F.trim(F.replace(kind, F.lit("\n"))) == "", "").otherwise(F.translate("text", "`", "")))
     content = F.concat(F.lit("a ```mermaid\n"), body, F.lit("``` b"))
     docs = read_table(spark, sf, "documents").select(F.lit("p").alias("project"), F.col("doc_id").alias("file_id"), content.alias("content"))
     return blocks.extract_diagrams(docs).select("file_id", "is_valid")
