@@ -118,11 +118,11 @@ def distinct(pieces: DataFrame) -> DataFrame:
 def with_text(each: DataFrame, docs: DataFrame, columns: str, take: Callable) -> DataFrame:
     """Rows that ``take(text, wanted pieces of the document)`` makes where the places of ``each`` lie.
 
-    Copies of a document share its key, so texts are reduced to one per key on the way.
+    Rows with equal id and text share a key, and texts are reduced to one per key before the join.
     """
     wanted = F.collect_list(F.struct(*[c for c in each.columns if c != "k"])).alias("wanted")
     grouped = each.groupBy("k").agg(wanted)
-    texts = docs.select(key().alias("_k"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select(key().alias("_k"), F.col("text").cast("binary").alias("text")).dropDuplicates(["_k"])
     joined = texts.join(grouped, F.col("_k") == F.col("k")).select("k", "text", "wanted")
 
     def run(batches):

@@ -214,8 +214,8 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, hot: int = pieces.HOT) -> DataFrame:
-    """All columns of ``docs`` and SPANS, the ranges found in each text; null where there is none."""
-    spans = repeated_runs(docs, length, hot).groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias(SPANS))
+    """All columns of ``docs`` and SPANS, the ranges found in each text, each once; null where there is none."""
+    spans = repeated_runs(docs, length, hot).groupBy("k").agg(F.collect_set(F.struct("first", "last")).alias(SPANS))
     return docs.withColumn(KEY, pieces.key()).join(spans.withColumnRenamed("k", KEY), KEY, "left").drop(KEY)
 
 

@@ -167,7 +167,7 @@ def removal(docs: DataFrame, size: int = SIZE, hot: int = pieces.HOT) -> DataFra
 
     short_batches(docs.sparkSession)
     key, ranges, result = "__piece_key", "__piece_spans", "__piece_result"
-    spans = repeated_words(docs, size, hot).groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias(ranges))
+    spans = repeated_words(docs, size, hot).groupBy("k").agg(F.collect_set(F.struct("first", "last")).alias(ranges))
     keyed = docs.select("doc_id", "text").withColumn(key, pieces.key())
     marked = keyed.join(spans.withColumnRenamed("k", key), key, "left")
     return marked.select("doc_id", apply(F.col("text").cast("binary"), ranges).alias(result)).select("doc_id", f"{result}.*")

@@ -138,3 +138,18 @@ def test_registered_queries(spark, sf_dir):
     assert ordered(found) == ordered(bytes_expected(rows))
     found = queries.QUERIES["op5_superkmer_dedup"](spark, sf_dir).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert ordered(found) == ordered(words_expected(rows))
+
+
+def test_repeated_rows_are_fetched_and_cut_once(spark):
+    chance = random.Random(5)
+    text = " ".join(str(chance.randrange(10**6)) for _ in range(300))
+    rows = [(1, text)] * 40 + [(None, text)] * 30 + [(2, text[:1200]), (3, "x " * 300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    each = pieces.distinct(pieces.repeated(suffix_dedup.piece_table(table, 200)))
+    fetched = pieces.with_text(each.select("k", "m", "h"), table, "m long, h long", lambda k, t, wanted: [(w["m"], w["h"]) for w in wanted])
+    assert fetched.count() == each.count()
+    spans = suffix_dedup.with_spans(table).filter("doc_id = 1").select(suffix_dedup.SPANS).first()[0]
+    assert len(spans) == len({(s["first"], s["last"]) for s in spans})
+    found = suffix_dedup.removal(table).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert ordered(found) == ordered(bytes_expected(rows))
+    assert ordered(superkmer.removal(table).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == ordered(words_expected(rows))
