@@ -708,6 +708,11 @@ ORACLE = {
         f"{FILES}, placed AS (SELECT {KEY_PATH} AS relative_path, content FROM files)",
         f"SELECT relative_path, strlen(content) AS file_size, md5(content) AS content_md5 FROM placed WHERE {included()}",
     ),
+    "scan_ignored": sql(
+        f"{FILES}, placed AS (SELECT file_id, relative_path AS inner_path, content, {KEY_PATH} AS relative_path FROM files)",
+        f"SELECT relative_path, strlen(content) AS file_size FROM placed WHERE {included()} AND NOT CASE WHEN file_id % 7 = 0 AND regexp_matches(inner_path, '^src/[^/]*[.]py$') THEN false "
+        "WHEN file_id % 7 = 0 AND ends_with(inner_path, '.js') THEN true WHEN file_id % 10 = 0 THEN true WHEN contains('/' || inner_path, '/core/') THEN false ELSE ends_with(inner_path, '.py') END",
+    ),
     "scan_counts": sql(
         FILES,
         f"SELECT 'all' AS scope, count(*) AS files FROM files WHERE {included()} UNION ALL SELECT 'src1', count(*) FROM files WHERE project = 'src1' AND {included()} UNION ALL SELECT 'missing', 0",

@@ -45,6 +45,21 @@ def scanned_files(spark, sf):
     return found.select("relative_path", "file_size", F.md5("content").alias("content_md5"))
 
 
+@register
+def scan_ignored(spark, sf):
+    """Ignore files at the top, in every project and in every seventh document's folder."""
+    base, files = _written_corpus(spark, sf), samples.files(spark, sf)
+    nested = [
+        (spark.range(1).select(F.lit("")), samples.TOP_IGNORES),
+        (files.select(F.concat("project", F.lit("/"))).distinct(), samples.PROJECT_IGNORES),
+        (files.filter("file_id % 7 = 0").select(F.concat("project", F.lit("/"), F.col("file_id").cast("string"), F.lit("/"))), samples.FILE_IGNORES),
+    ]
+    for folders, rules in nested:
+        folder = F.concat(F.col(folders.columns[0]), F.lit(scans.IGNORE_FILE))
+        sinks.write_files(folders.select(folder.alias("relative_path"), F.lit(rules).alias("content")), base)
+    return scans.scan_files(spark, base, project="all").select("relative_path", "file_size")
+
+
 @register
 def scan_counts(spark, sf):
     base = _written_corpus(spark, sf)

@@ -14,6 +14,7 @@ from pyspark.sql.types import BinaryType, StructType
 
 from ..functions import paths
 from ..functions.fixed import CODE_EXTENSIONS, EXCLUDES, MAX_FILE_SIZE_MB, OUTPUT_PREFIX
+from ..operators.scale import lookup_join
 from ..session import materialize
 
 
@@ -110,38 +111,75 @@ def load_ignore_rules(path: str) -> list[str]:
     return _rule_lines(read_bytes(path).decode("utf-8", "replace"))
 
 
-def find_ignore_rules(spark: SparkSession, base: str, name: str = IGNORE_FILE) -> list[tuple[str, str]]:
-    """(folder, rule) of every ignore file below ``base``, outer folders first.
-
-    Folders with a leading dot are not looked into. The rules become part of the scan's
-    plan, so more than ``MAX_IGNORE_RULES`` are an error; scan such a tree in parts.
-    """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop
-    root = hadoop.fs.Path(base)
+def _ignore_files(spark: SparkSession, base: str, name: str) -> Iterator[tuple[str, str]]:
+    """(folder, path) of every ignore file below ``base``, outer folders first; not in folders with a leading dot."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(base)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rules: list[tuple[str, str]] = []
     if not fs.exists(root) or fs.getFileStatus(root).isFile():
-        return rules
+        return
     top = fs.getFileStatus(root).getPath().toString()
     level = _unglobbed(top)
     while True:
-        for status in fs.globStatus(hadoop.fs.Path(f"{level}/{name}")) or []:
+        for status in fs.globStatus(hadoop.Path(f"{level}/{name}")) or []:
             folder = status.getPath().getParent().toString().removeprefix(top).strip("/")
-            if "/." in f"/{folder}":
-                continue
-            stream = fs.open(status.getPath())
-            try:
-                text = bytes(hadoop.io.IOUtils.readFullyToByteArray(stream)).decode("utf-8", "replace")
-            finally:
-                stream.close()
-            rules += [(folder, rule) for rule in _rule_lines(text)]
-            if len(rules) > MAX_IGNORE_RULES:
-                raise ValueError(f"more than {MAX_IGNORE_RULES} ignore rules below {base}")
-        if not len(fs.globStatus(hadoop.fs.Path(level + "/*")) or []):
-            return rules
+            if status.isFile() and "/." not in f"/{folder}":
+                yield folder, status.getPath().toString()
+        if not len(fs.globStatus(hadoop.Path(level + "/*")) or []):
+            return
         level += "/*"
 
 
+def find_ignore_rules(spark: SparkSession, base: str, name: str = IGNORE_FILE) -> list[tuple[str, str]]:
+    """(folder, rule) of every ignore file below ``base``, outer folders first, as a list on the driver.
+
+    For ``paths.ignored_in_tree``, which makes them part of a plan, so more than
+    ``MAX_IGNORE_RULES`` are an error; ``scan_files`` takes any number from ``ignore_table``.
+    """
+    rules: list[tuple[str, str]] = []
+    for folder, path in _ignore_files(spark, base, name):
+        rules += [(folder, rule) for rule in load_ignore_rules(path)]
+        if len(rules) > MAX_IGNORE_RULES:
+            raise ValueError(f"more than {MAX_IGNORE_RULES} ignore rules below {base}")
+    return rules
+
+
+def ignore_table(spark: SparkSession, base: str, name: str = IGNORE_FILE) -> DataFrame | None:
+    """(folder, rules) of every ignore file below ``base``, any number of them; None when there is none.
+
+    The files are read inside the tasks. ``rules`` are the regex and the verdict of each line, in order.
+    """
+    found = list(_ignore_files(spark, base, name))
+    if not found:
+        return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for folder, path in zip(rows["folder"], rows["path"], strict=True):
+                rules = [dict(zip(("regex", "ignored"), paths.ignore_regex(rule), strict=True)) for rule in load_ignore_rules(path)]
+                yield pd.DataFrame({"folder": [folder], "rules": [rules]})
+
+    listed = spark.createDataFrame(found, "folder string, path string")
+    return materialize(listed.mapInPandas(run, "folder string, rules array<struct<regex:string,ignored:boolean>>"))
+
+
+def _dropped(listed: DataFrame, relative: Column, table: DataFrame, first: Column) -> DataFrame:
+    """Paths that are ignored: the innermost folder with a matching rule decides, by its last match, else ``first``.
+
+    Every file meets the rules of each folder above it; only paths are joined.
+    """
+    parts = F.split("_relative", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    files = materialize(listed.select("path", relative.alias("_relative"), first.alias("_first")))
+    pairs = files.select("path", "_relative", F.posexplode(above).alias("_depth", "folder"))
+    met = lookup_join(pairs, table, ["folder"], "path", "inner")
+    below = F.when(F.col("folder") == "", F.col("_relative")).otherwise(F.expr("substr(_relative, length(folder) + 2)"))
+    hits = F.filter("rules", lambda rule: F.regexp_like(below, rule["regex"]))
+    judged = met.select("path", "_depth", F.try_element_at(hits, F.lit(-1))["ignored"].alias("_ignored")).filter(F.col("_ignored").isNotNull())
+    verdicts = judged.groupBy("path").agg(F.max_by("_ignored", "_depth").alias("_ignored"))
+    return files.join(verdicts, "path", "left").filter(F.coalesce("_ignored", "_first")).select("path")
+
+
 def _rule_lines(text: str) -> list[str]:
     return [line.strip() for line in text.splitlines() if line.strip() and not line.startswith("#")]
 
@@ -169,20 +207,24 @@ def scan_files(
 
     ``force`` takes a named file whatever its extension. A missing path raises. The path
     and size rules run on listing metadata, before any content is read. Ignore files found in
-    the scanned folders apply below their own folder, after ``ignore_rules``. ``file_id`` is a
+    the scanned folders, however many, apply below their own folder, after ``ignore_rules``; their
+    rules are a table that is joined to paths. ``file_id`` is a
     hash of the path, the same on every run (``in_path_order`` gives counters instead).
     """
     sources = [sources] if isinstance(sources, str) else list(sources)
 
     def one(number: int, base: str) -> DataFrame:
-        rules = [("", rule) for rule in ignore_rules] + (find_ignore_rules(spark, base) if ignore_files else [])
+        table = ignore_table(spark, base) if ignore_files else None
 
         def keep(listed: DataFrame) -> DataFrame:
             relative = _below(F.col("path"), base)
             if max_mb is not None:
                 listed = limit_size(listed, max_mb)
             kept = listed.filter(paths.included(relative, exts, excludes, prefix, force))
-            return kept.filter(~paths.ignored_in_tree(relative, rules)) if rules else kept
+            first = paths.ignored_by(relative, ignore_rules)
+            if table is None:
+                return kept.filter(~first) if ignore_rules else kept
+            return kept.join(_dropped(kept, relative, table, first), "path", "left_anti")
 
         return _sources(spark, base, keep).select(
             F.xxhash64("path", F.lit(number)).alias("file_id"),

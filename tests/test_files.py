@@ -171,3 +171,21 @@ def test_files_left_out_for_their_size_are_told(spark, tmp_path):
     (tmp_path / "big.txt.bin").write_text("x" * 3000)
     found = source.skipped_files(spark, str(tmp_path), max_mb=0.001).collect()
     assert [(r.path.rsplit("/", 1)[-1], r.size) for r in found] == [("big.js", 3000)]
+
+
+def test_any_number_of_ignore_files_can_be_scanned(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source, "MAX_IGNORE_RULES", 20)
+    (tmp_path / ".gitignore").write_text("*.tmp.js\nlost/\n")
+    for k in range(12):
+        for name in ("a.js", "b.js", "c.tmp.js", "_d.js", "in/a.js", "in/e.tmp.js", "lost/x.js"):
+            (tmp_path / f"repo{k}" / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / f"repo{k}" / name).write_text("x")
+        (tmp_path / f"repo{k}" / ".gitignore").write_text("/a.js\n!c.tmp.js\n_d.js\n" if k % 2 else "b.js\n!b.js\n*\n!in/*\n")
+        (tmp_path / f"repo{k}" / "in" / ".gitignore").write_text("a.js\n!e.tmp.js\n" if k % 3 else "# none\n")
+    found = names(source.scan_files(spark, str(tmp_path), project="p", excludes=[], ignore_rules=["b.js"]))
+    expected = []
+    for k in range(12):
+        kept = {"c.tmp.js", "in/a.js"} if k % 2 else {"in/a.js", "in/e.tmp.js"}
+        kept = (kept - {"in/a.js"} | {"in/e.tmp.js"}) if k % 3 else kept
+        expected += [f"repo{k}/{name}" for name in kept]
+    assert found == sorted(expected)
