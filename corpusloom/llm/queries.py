@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, gam, language, suffix_dedup, superkmer, toxicity
+from . import periodic_runs as runs
 from .common import documents, held_out
 from .huffman_ids import read_ids, write_ids
 from .packing import pack_documents
@@ -115,3 +116,25 @@ def op10_language(spark, sf):
     docs, held = documents(spark, sf), held_out(2, 4)
     model = language.fit(docs.filter(~held))
     return language.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "family")
+
+
+@register
+def op11_periodic_runs(spark, sf):
+    """Runs of every document, a tenth of which first repeat a stretch of themselves up to their end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = documents(spark, sf).select(
+        "doc_id", "text", (F.floor(h / 10) % 2**31).cast("int").alias("g"), F.coalesce(h % 10 == 0, F.lit(False)).alias("looped")
+    )
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    split = docs.filter("looped").select("doc_id", "text", "g", words.alias("words")).withColumn("n", F.size("words"))
+    a, p = F.expr("g % n"), F.expr("cast(1 + floor((n - g % n) / (3 + g % 8)) as int)")
+    loop = F.expr("array_join(concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), 4 + g % 8)), 1, n - a)), ' ')")
+    placed = split.withColumn("a", F.when(F.col("n") > 0, a).otherwise(0)).withColumn("p", F.when(F.col("n") > 0, p).otherwise(1))
+    looped = placed.select("doc_id", F.when(F.col("n") > 0, loop).otherwise(F.col("text")).alias("text"))
+    found = runs.periodic_runs(docs.filter("not looped").select("doc_id", "text").unionByName(looped))
+    best = found.withColumn("best", runs.densest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(runs.listing(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
