@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gam, language, suffix_dedup, superkmer, toxicity
+from . import collocations, decontaminate, gam, language, suffix_dedup, superkmer, toxicity
 from . import periodic_runs as runs
 from .common import documents, held_out
 from .huffman_ids import read_ids, write_ids
@@ -138,3 +138,38 @@ def op11_periodic_runs(spark, sf):
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(runs.listing(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
     )
+
+
+@register
+def op13_collocations(spark, sf):
+    return collocations.collocations(documents(spark, sf))
+
+
+ORACLE["op13_collocations"] = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM t),
+g AS (
+  SELECT lang, k AS words, array_to_string(ws[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM (SELECT lang, ws, unnest(range(1, 5)) AS k FROM p))),
+f AS (SELECT lang, words, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(ws)) AS n FROM p GROUP BY lang),
+cut AS (
+  SELECT lang, words, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') AS x,
+         array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') AS y
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM f WHERE words > 1)),
+s AS (
+  SELECT cut.lang, cut.words, cut.phrase, a, k, fx.f AS l, fy.f AS r, (CAST(2000000 AS HUGEINT) * a) // (CAST(fx.f AS HUGEINT) + fy.f) AS score
+  FROM cut JOIN f fx ON fx.lang = cut.lang AND fx.phrase = x JOIN f fy ON fy.lang = cut.lang AND fy.phrase = y),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_phrases AS (
+  SELECT lang, f, array_to_string(string_split(phrase, ' ')[i : i + w - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, words - w + 2)) AS i FROM (SELECT *, unnest(range(2, words)) AS w FROM f WHERE words > 2))),
+around AS (SELECT lang, phrase, max(f) AS longer FROM inner_phrases GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN around USING (lang, phrase) WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+       CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
