@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, gam, language, suffix_dedup, superkmer, toxicity
+from . import collocations, cover_search, decontaminate, gam, language, suffix_dedup, superkmer, toxicity
 from . import periodic_runs as runs
 from .common import documents, held_out
 from .huffman_ids import read_ids, write_ids
@@ -173,3 +173,27 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
        CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
 """
+
+
+@register
+def op12_cover_search(spark, sf):
+    """Vectors with a null or non-finite component take no part."""
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("long"))
+    vectors = table.filter(finite).select("vec_id", whole.alias("vector"))
+    return cover_search.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+ORACLE["op12_cover_search"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
