@@ -18,6 +18,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -223,30 +224,27 @@ def exact_counts(texts: DataFrame, pairs: Filter, known: Filter, longest: int, l
     shared = texts.sparkSession.sparkContext.broadcast((pairs, known))
     names = ["lang", "words", "phrase", "f"]
 
+    def batches_of(lang, n, phrase, f):
+        yield from pa.table([lang, pa.array(np.full(len(lang), n, dtype=np.int32)), phrase, pa.array(f, pa.int64()) if isinstance(f, np.ndarray) else f], names).to_batches()
+
     def count(batches):
         pairs, known = shared.value
         for coded in _chunks(batches):
-            ids, vocabulary, rows = coded.ids.astype(np.int64), coded.words, []
+            ids, langs = coded.ids.astype(np.int64), pa.array([lang for lang, _ in coded.words], pa.string())
+            words = pa.array([word for _, word in coded.words], pa.binary()).cast(pa.string())
+            often = pa.table({"lang": langs, "f": np.bincount(ids, minlength=len(words))}).slice(1).group_by("lang").aggregate([("f", "sum")])
+            yield from batches_of(often["lang"], 0, pa.array([""] * len(often)), often["f_sum"])
             name = ids
-            total: dict[str, int] = {}
-            often = np.bincount(ids, minlength=len(vocabulary)).tolist()
-            for (lang, _), f in zip(vocabulary[1:], often[1:], strict=True):
-                total[lang] = total.get(lang, 0) + f
-            rows += [(lang, 0, b"", f) for lang, f in total.items()]
             for n, value, whole in _alive(coded, longest, pairs):
                 alive = whole if n == 2 else whole & (pairs if n == 1 else known).passes(value)
                 at = np.flatnonzero(alive)
-                key = ids[at] if n == 1 else name[at] * len(vocabulary) + ids[at + n - 1]
+                key = ids[at] if n == 1 else name[at] * len(words) + ids[at + n - 1]
                 _, first, number, f = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 name = np.zeros(len(value), dtype=np.int64)
                 name[at] = number if n > 1 else key
-                spans = ids[at[first][:, None] + np.arange(n)] if len(at) else np.zeros((0, n), np.int64)
-                for span, often in zip(spans.tolist(), f.tolist(), strict=True):
-                    rows.append((vocabulary[span[0]][0], n, b" ".join([vocabulary[w][1] for w in span]), often))
-            if rows:
-                lang, words, phrase, f = zip(*rows, strict=True)
-                arrays = [pa.array(lang, pa.string()), pa.array(words, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(f, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                spans = [ids[at[first] + k] for k in range(n)]
+                phrase = pc.binary_join_element_wise(*(words.take(pa.array(span)) for span in spans), " ")
+                yield from batches_of(langs.take(pa.array(spans[0])), n, phrase, f)
 
     counted = texts.mapInArrow(count, "lang string, words int, phrase string, f long").groupBy(*names[:3]).agg(F.sum("f").alias("f"))
     return keep(counted.filter((F.col("f") >= least) | (F.col("words") == 0)))
