@@ -275,6 +275,19 @@ COMP_LABEL = f"{component('name')} || ' - ' || replace(type, '\"', '\\\"')"
 # --- cache, prompts, answers ---------------------------------------------------------------------------
 
 KEY_PATH = "project || '/' || CAST(file_id AS VARCHAR) || '/' || relative_path"
+PLACE = "project || '/' || CASE WHEN file_id % 13 = 0 THEN '_' ELSE '' END || CAST(file_id AS VARCHAR) || CASE WHEN file_id % 11 = 0 THEN ':v' ELSE '' END || '/' || relative_path"
+PLACED = f"placed AS (SELECT file_id, project, relative_path AS inner_path, content, {PLACE} AS relative_path, {PLACE} AS whole_path FROM files)"
+
+
+def ignored_file(top: bool = True) -> str:
+    """An ignored folder is final; else the file's own folder decides, then its project, then the top."""
+    return f"""(CASE WHEN file_id % 10 = 0 AND file_id % 11 <> 0 THEN true
+      WHEN file_id % 7 = 0 AND starts_with(inner_path, 'docs/') THEN true
+      WHEN file_id % 7 = 0 AND regexp_matches(inner_path, '^src/[^/]*[.]py$') THEN false
+      WHEN file_id % 7 = 0 AND ends_with(inner_path, '.js') THEN true
+      ELSE ends_with(inner_path, '.py') AND {top} END)"""
+
+
 SIDE = f"side AS (SELECT *, strlen(content) AS file_size, 1704067200000 + file_id * 1000 AS mtime_ms, {KEY_PATH} AS key_path, md5({KEY_PATH} || '-explain-beginner-stub-stub-1') AS cache_key FROM files)"
 SEED = """
 seed AS (SELECT cache_key, CASE WHEN file_id % 4 = 2 THEN sha256('stale' || content) ELSE sha256(content) END AS file_hash, file_size,
@@ -705,26 +718,25 @@ ORACLE = {
         "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'new' ELSE event_type END AS a, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS x, value AS y, 'z' AS z FROM events"
     ),
     "scanned_files": sql(
-        f"{FILES}, placed AS (SELECT {KEY_PATH} AS relative_path, content FROM files)",
-        f"SELECT relative_path, strlen(content) AS file_size, md5(content) AS content_md5 FROM placed WHERE {included()}",
-    ),
-    "scan_ignored": sql(
-        f"{FILES}, placed AS (SELECT file_id, relative_path AS inner_path, content, {KEY_PATH} AS relative_path FROM files)",
-        f"SELECT relative_path, strlen(content) AS file_size FROM placed WHERE {included()} AND NOT CASE WHEN file_id % 7 = 0 AND regexp_matches(inner_path, '^src/[^/]*[.]py$') THEN false "
-        "WHEN file_id % 7 = 0 AND ends_with(inner_path, '.js') THEN true WHEN file_id % 10 = 0 THEN true WHEN contains('/' || inner_path, '/core/') THEN false ELSE ends_with(inner_path, '.py') END",
+        f"{FILES}, {PLACED}", f"SELECT relative_path, strlen(content) AS file_size, md5(content) AS content_md5 FROM placed WHERE {included()}"
     ),
+    "scan_ignored": sql(f"{FILES}, {PLACED}", f"SELECT relative_path, 32 AS file_size, md5(content) AS content_md5 FROM placed WHERE {included()} AND NOT {ignored_file()}"),
     "scan_counts": sql(
-        FILES,
-        f"SELECT 'all' AS scope, count(*) AS files FROM files WHERE {included()} UNION ALL SELECT 'src1', count(*) FROM files WHERE project = 'src1' AND {included()} UNION ALL SELECT 'missing', 0",
+        f"{FILES}, {PLACED}, found AS (SELECT * FROM placed WHERE {included()}), below AS (SELECT * REPLACE (substr(relative_path, 6) AS relative_path) FROM placed WHERE project = 'src1')",
+        f"SELECT 'all' AS scope, count(*) AS files FROM found WHERE NOT {ignored_file()} UNION ALL "
+        f"SELECT 'src1', count(*) FROM below WHERE {included()} AND NOT {ignored_file(False)} UNION ALL SELECT 'missing', 0",
     ),
     "scan_union": sql(
-        f"{FILES}, placed AS (SELECT project, CAST(file_id AS VARCHAR) || '/' || relative_path AS relative_path FROM files WHERE project IN ('src0', 'src2'))",
-        f"SELECT project, relative_path, CASE project WHEN 'src0' THEN 2 ELSE 1 END AS times FROM placed WHERE {included()}",
+        f"{FILES}, {PLACED}, below AS (SELECT * REPLACE (substr(relative_path, 6) AS relative_path) FROM placed WHERE project = 'src0')",
+        f"SELECT whole_path, content, count(*) AS times, count(*) AS ids FROM (SELECT whole_path, md5(content) AS content FROM placed WHERE {included()} "
+        f"UNION ALL SELECT whole_path, md5(content) FROM below WHERE {included()}) GROUP BY ALL",
+    ),
+    "scan_skipped": sql(
+        f"{FILES}, {PLACED}", f"SELECT whole_path, strlen(content) AS size FROM placed WHERE strlen(content) > 4194 AND {included()} AND NOT {ignored_file()}"
     ),
-    "scan_skipped": sql(FILES, f"SELECT {base('relative_path')} AS file_name, strlen(content) AS size FROM files WHERE strlen(content) > 4194 AND {included()}"),
     "scan_in_order": sql(
-        f"{FILES}, placed AS (SELECT {KEY_PATH} AS relative_path FROM files)",
-        f"SELECT row_number() OVER (ORDER BY encode(relative_path)) - 1 AS file_id, relative_path FROM placed WHERE {included()}",
+        f"{FILES}, {PLACED}",
+        f"SELECT row_number() OVER (ORDER BY encode(relative_path)) - 1 AS file_id, relative_path, md5(content) AS content_md5 FROM placed WHERE {included()}",
     ),
     "decoded_text": "SELECT doc_id, text || chr(65533) || chr(65533) AS decoded FROM documents",
     "loaded_templates": "SELECT CAST(doc_id AS VARCHAR) AS mode, md5(CASE WHEN doc_id % 2 = 0 THEN 'user ' ELSE '' END || text) AS template_md5 FROM documents",

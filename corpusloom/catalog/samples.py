@@ -11,7 +11,7 @@ from ..sources.tables import as_corpus, code_corpus, read_spread, read_table
 USER_TEMPLATE = "Tell {{levelDescription}} about {{language}} file {{filePath}}.\n{{codeContent}}\n$& {{other}}"
 ENTRY_LIKE_NAMES = ["index", "Main", "app", "program", "start", "run", "init", "bootstrap", "main.js", "APP.py", "index.html", "mainframe.js", "my_app.py", "x.js"]
 IGNORE_RULES = ["node_modules/", "docs/*", "!docs/index_0*"]
-TOP_IGNORES, PROJECT_IGNORES, FILE_IGNORES = "core/\n*.py\n", "!core/\n/*0/\n", "*.js\n!src/*.py\n"
+TOP_IGNORES, PROJECT_IGNORES, FILE_IGNORES = "core/\n*.py\n", "!core/\n/*0/\n", "*.js\n!src/*.py\ndocs/\n!docs/*.rs\n"
 CONFIG = RunConfig(attempts=0, delay=0.0)
 
 

@@ -2,7 +2,7 @@
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus, infer, prompts, report
@@ -31,60 +31,74 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
 
 
-def _written_corpus(spark: SparkSession, sf: str) -> str:
-    """The code corpus as files: project/file_id/relative_path."""
-    base = _folder(spark, "corpus")
-    place = F.concat_ws("/", "project", F.col("file_id").cast("string"), "relative_path")
-    sinks.write_files(samples.files(spark, sf).select(place.alias("relative_path"), "content"), base)
-    return base
+def _place() -> Column:
+    """project/folder of the file/relative path; some folders start with an underscore, some hold a colon."""
+    number = F.col("file_id").cast("string")
+    folder = F.concat(F.when(F.col("file_id") % 13 == 0, "_").otherwise(""), number, F.when(F.col("file_id") % 11 == 0, ":v").otherwise(""))
+    return F.concat_ws("/", "project", folder, "relative_path")
 
 
-@register
-def scanned_files(spark, sf):
-    found = scans.scan_files(spark, _written_corpus(spark, sf), project="all")
-    return found.select("relative_path", "file_size", F.md5("content").alias("content_md5"))
+def _written_corpus(spark: SparkSession, sf: str, body: Column | None = None) -> str:
+    """The code corpus as files; queries that only look at paths give a short body."""
+    base = _folder(spark, "corpus")
+    files = samples.files(spark, sf).withColumn("place", _place())
+    sinks.write_files(files.select(F.col("place").alias("relative_path"), F.col("content") if body is None else body.alias("content")), base)
+    return base
 
 
-@register
-def scan_ignored(spark, sf):
+def _ignored_corpus(spark: SparkSession, sf: str, body: Column | None = None) -> str:
     """Ignore files at the top, in every project and in every seventh document's folder."""
-    base, files = _written_corpus(spark, sf), samples.files(spark, sf)
+    base, files = _written_corpus(spark, sf, body), samples.files(spark, sf)
     nested = [
         (spark.range(1).select(F.lit("")), samples.TOP_IGNORES),
         (files.select(F.concat("project", F.lit("/"))).distinct(), samples.PROJECT_IGNORES),
-        (files.filter("file_id % 7 = 0").select(F.concat("project", F.lit("/"), F.col("file_id").cast("string"), F.lit("/"))), samples.FILE_IGNORES),
+        (files.filter("file_id % 7 = 0").select(F.regexp_extract(_place(), "^[^/]*/[^/]*/", 0)), samples.FILE_IGNORES),
     ]
     for folders, rules in nested:
         folder = F.concat(F.col(folders.columns[0]), F.lit(scans.IGNORE_FILE))
         sinks.write_files(folders.select(folder.alias("relative_path"), F.lit(rules).alias("content")), base)
-    return scans.scan_files(spark, base, project="all").select("relative_path", "file_size")
+    return base
+
+
+@register
+def scanned_files(spark, sf):
+    found = scans.scan_files(spark, _written_corpus(spark, sf), project="all")
+    return found.select("relative_path", "file_size", F.md5("content").alias("content_md5"))
+
+
+@register
+def scan_ignored(spark, sf):
+    found = scans.scan_files(spark, _ignored_corpus(spark, sf, F.md5("content")), project="all")
+    return found.select("relative_path", "file_size", F.col("content").alias("content_md5"))
 
 
 @register
 def scan_counts(spark, sf):
-    base = _written_corpus(spark, sf)
+    """The ignore files decide here too."""
+    base = _ignored_corpus(spark, sf, F.md5("content"))
     counts = [(name, scans.count_files(spark, f"{base}{below}")) for name, below in (("all", ""), ("src1", "/src1"), ("missing", "/none"))]
     return spark.createDataFrame(counts, "scope string, files long")
 
 
 @register
 def scan_union(spark, sf):
-    base = _written_corpus(spark, sf)
-    found = scans.scan_files(spark, [f"{base}/src0", f"{base}/src0", f"{base}/src2"])
-    return found.groupBy("project", "relative_path").agg(F.count("*").alias("times"))
+    """The whole corpus, and one of its folders again."""
+    base = _written_corpus(spark, sf, F.md5("content"))
+    found = scans.scan_files(spark, [base, f"{base}/src0"], project="all")
+    whole = F.regexp_replace("path", r"\A.*/corpus-[0-9a-f]{32}/", "")
+    return found.groupBy(whole.alias("whole_path"), "content").agg(F.count("*").alias("times"), F.count_distinct("file_id").alias("ids"))
 
 
 @register
 def scan_skipped(spark, sf):
-    base = _written_corpus(spark, sf)
-    skipped = scans.skipped_files(spark, base, max_mb=0.004)
-    return skipped.select(F.substring_index("path", "/", -1).alias("file_name"), "size")
+    skipped = scans.skipped_files(spark, _ignored_corpus(spark, sf), max_mb=0.004)
+    return skipped.select(F.regexp_replace("path", r"\A.*/corpus-[0-9a-f]{32}/", "").alias("whole_path"), "size")
 
 
 @register
 def scan_in_order(spark, sf):
-    found = scans.in_path_order(scans.scan_files(spark, _written_corpus(spark, sf), project="all"))
-    return found.select("file_id", "relative_path")
+    found = scans.scan_files(spark, _written_corpus(spark, sf, F.md5("content")), project="all", in_order=True)
+    return found.select("file_id", "relative_path", F.col("content").alias("content_md5"))
 
 
 @register

@@ -124,39 +124,57 @@ def included(
     )
 
 
-def ignore_regex(rule: str) -> tuple[str, bool]:
-    """One line of an ignore file as (path regex, ignored?)."""
+def ignore_pattern(rule: str) -> tuple[str, bool]:
+    """One line of an ignore file as (pattern for a whole path, ignored?); paths of folders end in a slash.
+
+    The pattern means the same in Java and Python. A rule with a slash before its end starts at the
+    ignore file's folder, any other one matches at any depth; a slash at its end asks for a folder.
+    """
     ignored = not rule.startswith("!")
-    body = rule.lstrip("!")
+    body = rule.removeprefix("!")
     anchored = "/" in body.rstrip("/")
-    parts = re.split(r"(\*\*/|\*\*|\*|\?)", body.strip("/"))
-    wild = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
-    regex = "".join(wild[p] if p in wild else re.sub(r"([.+^${}()|\[\]\\])", r"\\\1", p) for p in parts)
-    tail = "/.*" if body.endswith("/") else "(?:/.*)?"
-    return (r"(?s)\A" if anchored else r"(?s)\A(?:.*/)?") + regex + tail + r"\z", ignored
+    tail = "/" if body.endswith("/") else "/?"
+    parts = re.findall(r"\*\*/|/\*\*\Z|\*+|\?|\[[!^]?\]?[^\]/]*\]|\\.|.", body.strip("/"), re.S)
+
+    def spelled(k: int, part: str) -> str:
+        if part == "**/":
+            return "(?:.*/)?"
+        if part == "/**":
+            return "/.+"
+        if part[0] == "*":
+            alone = parts[k - 1][-1] == "/" if k else True
+            return "[^/]+" if alone and (parts[k + 1] == "/" if k + 1 < len(parts) else True) else "[^/]*"
+        if part == "?":
+            return "[^/]"
+        if part[0] == "[" and len(part) > 2:
+            inside = part[1:-1]
+            negated = inside[0] in "!^"
+            return ("[^/" if negated else "[") + re.sub(r"([\\\[\]&~|^])", r"\\\1", inside[1:] if negated else inside) + "]"
+        return re.sub(r"([.+^${}()|\[\]\\*?])", r"\\\1", part[1:] if part[0] == "\\" and len(part) > 1 else part)
+
+    if body.strip("/") == "**":
+        return ".+", ignored
+    return ("" if anchored else "(?:.*/)?") + "".join(spelled(k, p) for k, p in enumerate(parts)) + tail, ignored
 
 
 def ignored_by(path: Column, rules: Sequence[str]) -> Column:
-    """Ordered ignore rules, ``!`` re-includes, the last rule that matches decides."""
-    verdict = F.lit(False)
-    for rule in rules:
-        regex, ignored = ignore_regex(rule)
-        verdict = F.when(path.rlike(regex), F.lit(ignored)).otherwise(verdict)
-    return verdict
+    """Ordered ignore rules: ``!`` re-includes, the last rule that matches decides.
 
+    What lies below an ignored folder stays ignored, whatever matches it.
+    """
+    patterns = [(rf"(?s)\A(?:{pattern})\z", ignored) for pattern, ignored in map(ignore_pattern, rules)]
 
-def ignored_in_tree(path: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """Ignore rules of several folders, as (folder, rule), folders before those inside them.
+    def verdict(place: Column) -> Column:
+        result = F.lit(False)
+        for regex, ignored in patterns:
+            result = F.when(place.rlike(regex), F.lit(ignored)).otherwise(result)
+        return result
 
-    A rule sees the path below its folder, ``""`` for the top; the last rule that matches decides.
-    """
-    verdict = F.lit(False)
-    for folder, rule in rules:
-        regex, ignored = ignore_regex(rule)
-        below = path.substr(F.lit(len(folder) + 2), F.length(path)) if folder else path
-        hit = below.rlike(regex)
-        verdict = F.when(path.startswith(folder + "/") & hit if folder else hit, F.lit(ignored)).otherwise(verdict)
-    return verdict
+    if not patterns:
+        return F.lit(False)
+    parts = F.split(path, "/")
+    above = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: n > 0)
+    return F.exists(above, lambda n: verdict(F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/")))) | verdict(path)
 
 
 def is_key_file(path: Column) -> Column:

@@ -161,7 +161,7 @@ def dedupe_paths(files: DataFrame) -> DataFrame:
     """A distinct ``tree_path`` for every file: repeats get their file index as a suffix.
 
     The first holder of each path is found by a map-side minimum and matched back on the
-    unique ``file_id``, so a path shared by many files makes no large group.
+    file's (project, file_id), so a path shared by many files makes no large group.
     """
     path = F.col("relative_path")
     if "path" in files.columns:  # a file without a relative path goes by its full path, root cut off
@@ -169,14 +169,14 @@ def dedupe_paths(files: DataFrame) -> DataFrame:
     slashed = F.replace(path, F.lit("\\"), F.lit("/"))
     listed = files.select("project", "file_id", slashed.alias("relative_path"))
     firsts = (
-        listed.groupBy("project", "relative_path").agg(F.min("file_id").alias("file_id")).select("file_id", F.lit(True).alias("_first"))
+        listed.groupBy("project", "relative_path").agg(F.min("file_id").alias("file_id")).select("project", "file_id", F.lit(True).alias("_first"))
     )
     path, index = F.col("relative_path"), F.col("index").cast("string")
     folder = path.substr(F.lit(1), F.length(path) - F.length(paths.basename(path)))
     renamed = F.concat(folder, paths.stem(path), F.lit("_"), index, paths.raw_extension(path))
     return (
         ordinal(listed, ["project"], "file_id", out="index")
-        .join(firsts, "file_id", "left")
+        .join(firsts, ["project", "file_id"], "left")
         .withColumn("tree_path", F.when(F.col("_first"), path).otherwise(renamed))
         .drop("_first")
     )

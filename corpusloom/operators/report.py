@@ -29,10 +29,10 @@ def report_sections(results: DataFrame, mode: str = "explain") -> DataFrame:
     """
     shows_source = mode in SOURCE_SHOWN_MODES
     numbered = ordinal(results.select("project", "file_id"), ["project"], "file_id", out="ord")
-    bodies = results.select("file_id", "relative_path", "language", "explanation", *(["content"] if shows_source else []))
+    bodies = results.select("project", "file_id", "relative_path", "language", "explanation", *(["content"] if shows_source else []))
     bodies = unwrap_markdown(wrap_diagrams(bodies, "explanation", "explanation"), "explanation", "explanation")
     path = F.col("relative_path")
-    files = numbered.join(bodies, "file_id").select(
+    files = numbered.join(bodies, ["project", "file_id"]).select(
         "project", F.lit(1).alias("section"), "ord",
         section_html(F.col("ord"), path, F.col("language"), F.col("explanation"), F.col("content") if shows_source else None).alias("html"),
     )

@@ -1,25 +1,27 @@
-"""Files on shared storage, read in parallel by the built-in binary file source."""
+"""Files on shared storage: folders are listed and files are read inside the tasks."""
 
+import json
 import re
-from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
-from pathlib import Path
+from collections.abc import Iterator, Sequence
+from functools import lru_cache, reduce
+from itertools import islice
 
-import pandas as pd
-import pyarrow.fs
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructType
 
 from ..functions import paths
 from ..functions.fixed import CODE_EXTENSIONS, EXCLUDES, MAX_FILE_SIZE_MB, OUTPUT_PREFIX
-from ..operators.scale import lookup_join
 from ..session import materialize
-
+from . import storage
 
 IGNORE_FILE = ".gitignore"
-MAX_IGNORE_RULES = 2000
+#: Names a task lists before it hands the folders that are left to other tasks.
+LISTED = 20_000
+#: Bytes of files that one task reads.
+READ = 128 * 1024 * 1024
+LISTING = "number int, is_folder boolean, relative_path string, path string, length long, mtime_ms long, rules string"
 
 
 def decode_text(content: Column) -> Column:
@@ -28,167 +30,142 @@ def decode_text(content: Column) -> Column:
 
 
 def limit_size(df: DataFrame, max_mb: float = MAX_FILE_SIZE_MB, column: str = "length") -> DataFrame:
-    """Drop files above a size; on a scan the filter is answered from file metadata."""
+    """Drop files above a size; a scan applies it to its listing."""
     return df.filter(F.col(column) <= int(max_mb * 1024 * 1024))
 
 
-def _listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-
-
-def _underscored(spark: SparkSession, base: str) -> tuple[list[str], list[tuple]]:
-    """Folders, and files with time and length, below ``base`` whose names start with ``_``.
-
-    Spark's own listing takes such names for temporary output and leaves them out, which
-    would lose files like ``__init__.py``. They are looked up level by level.
-    """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(base)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    folders: list[str] = []
-    files: list[tuple] = []
-    if not fs.exists(root) or fs.getFileStatus(root).isFile():
-        return folders, files
-    top = fs.getFileStatus(root).getPath().toString()
-    level = _unglobbed(top)
-    while len(fs.globStatus(hadoop.Path(level + "/*")) or []):
-        for status in fs.globStatus(hadoop.Path(level + "/_*")) or []:
-            path = status.getPath().toString()
-            if "/." in path.removeprefix(top):
-                continue
-            if status.isDirectory():
-                folders.append(_unglobbed(path))
-            else:
-                files.append((path, status.getModificationTime(), status.getLen()))
-        level += "/*"
-    return folders, files
-
-
-def _unglobbed(path: str) -> str:
-    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
-
-
-def read_bytes(path: str) -> bytes:
-    """One whole file from local storage, HDFS, S3 or GCS."""
-    scheme, _, rest = path.rpartition(":")
-    if scheme in ("", "file"):
-        return Path("/" + rest.lstrip("/")).read_bytes()
-    authority, _, name = rest.lstrip("/").partition("/")
-    filesystem, base = pyarrow.fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{authority}/")
-    with filesystem.open_input_stream(f"{base.rstrip('/')}/{name}") as stream:
-        return stream.read()
-
+def rule_lines(text: str) -> list[str]:
+    """The rules of an ignore file's text, in order."""
+    lines = (re.sub(r"(?<!\\)\s+\Z", "", line) for line in text.splitlines())
+    return [line for line in lines if line and not line.startswith("#")]
 
-def _with_content(listed: DataFrame) -> DataFrame:
-    """Read listed files one at a time inside the tasks."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for i in range(len(rows)):
-                row = rows.iloc[i : i + 1]
-                yield row.assign(content=[read_bytes(row["path"].iloc[0])])
+def load_ignore_rules(path: str) -> list[str]:
+    """The rules of one ignore file, in order, for ``scan_files(ignore_rules=...)``."""
+    return rule_lines(storage.read_bytes(path).decode("utf-8", "replace"))
 
-    return listed.mapInPandas(run, StructType(list(listed.schema.fields)).add("content", BinaryType()))
 
+@lru_cache(maxsize=4096)
+def _compiled(rules: str) -> list[tuple[int, list[tuple[re.Pattern, bool]]]]:
+    """(length of the folder's path, patterns) of a chain of ignore files, the innermost first, the last rule first."""
+    chain = []
+    for folder, lines in reversed(json.loads(rules)):
+        patterns = [(re.compile(pattern, re.S), ignored) for pattern, ignored in map(paths.ignore_pattern, reversed(lines))]
+        chain.append((len(folder) + 1 if folder else 0, patterns))
+    return chain
 
-def _sources(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame], content: bool = True) -> DataFrame:
-    """Accepted files below a path, or the one file it names; names with a leading dot are left out."""
-    folders, files = _underscored(spark, path)
-    wanted = ["path", "modificationTime", "length"]
-    found = keep(_listing(spark, path))
-    if folders:
-        found = found.unionByName(keep(_listing(spark, folders)))
-    found = found.select(*wanted, *(["content"] if content else []))
-    if files:
-        times = spark.createDataFrame(files, "path string, ms long, length long")
-        listed = keep(times.select("path", F.timestamp_millis("ms").alias("modificationTime"), "length")).select(*wanted)
-        found = found.unionByName(_with_content(listed) if content else listed)
-    return found
 
+def is_ignored(relative: str, rules: str) -> bool:
+    """The verdict of a chain of ignore files on one path, folders with a slash at their end.
 
-def load_ignore_rules(path: str) -> list[str]:
-    """The rules of one ignore file, in order, for ``scan_files(ignore_rules=...)``."""
-    return _rule_lines(read_bytes(path).decode("utf-8", "replace"))
-
-
-def _ignore_files(spark: SparkSession, base: str, name: str) -> Iterator[tuple[str, str]]:
-    """(folder, path) of every ignore file below ``base``, outer folders first; not in folders with a leading dot."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(base)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root) or fs.getFileStatus(root).isFile():
-        return
-    top = fs.getFileStatus(root).getPath().toString()
-    level = _unglobbed(top)
-    while True:
-        for status in fs.globStatus(hadoop.Path(f"{level}/{name}")) or []:
-            folder = status.getPath().getParent().toString().removeprefix(top).strip("/")
-            if status.isFile() and "/." not in f"/{folder}":
-                yield folder, status.getPath().toString()
-        if not len(fs.globStatus(hadoop.Path(level + "/*")) or []):
-            return
-        level += "/*"
-
-
-def find_ignore_rules(spark: SparkSession, base: str, name: str = IGNORE_FILE) -> list[tuple[str, str]]:
-    """(folder, rule) of every ignore file below ``base``, outer folders first, as a list on the driver.
-
-    For ``paths.ignored_in_tree``, which makes them part of a plan, so more than
-    ``MAX_IGNORE_RULES`` are an error; ``scan_files`` takes any number from ``ignore_table``.
+    The innermost file with a rule that matches decides, by its last such rule. The folders above are
+    not looked at: a walk never enters an ignored one.
     """
-    rules: list[tuple[str, str]] = []
-    for folder, path in _ignore_files(spark, base, name):
-        rules += [(folder, rule) for rule in load_ignore_rules(path)]
-        if len(rules) > MAX_IGNORE_RULES:
-            raise ValueError(f"more than {MAX_IGNORE_RULES} ignore rules below {base}")
-    return rules
+    for start, patterns in _compiled(rules):
+        below = relative[start:]
+        for pattern, ignored in patterns:
+            if pattern.fullmatch(below):
+                return ignored
+    return False
 
 
-def ignore_table(spark: SparkSession, base: str, name: str = IGNORE_FILE) -> DataFrame | None:
-    """(folder, rules) of every ignore file below ``base``, any number of them; None when there is none.
+def _walk(base: str, folder: str, rules: str, ignore_files: bool, limit: int) -> Iterator[tuple[bool, str, str, int, int, str]]:
+    """(is_folder, path below base, path, length, time, rules) of the files below a folder, and of folders left for others.
 
-    The files are read inside the tasks. ``rules`` are the regex and the verdict of each line, in order.
+    Ignored folders are not listed. Names with a leading dot are left out.
     """
-    found = list(_ignore_files(spark, base, name))
-    if not found:
-        return None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for folder, path in zip(rows["folder"], rows["path"], strict=True):
-                rules = [dict(zip(("regex", "ignored"), paths.ignore_regex(rule), strict=True)) for rule in load_ignore_rules(path)]
-                yield pd.DataFrame({"folder": [folder], "rules": [rules]})
-
-    listed = spark.createDataFrame(found, "folder string, path string")
-    return materialize(listed.mapInPandas(run, "folder string, rules array<struct<regex:string,ignored:boolean>>"))
+    waiting, seen = [(folder, rules)], 0
+    while waiting:
+        folder, rules = waiting.pop()
+        place = f"{base}/{folder}".rstrip("/")
+        if seen >= limit:
+            yield True, folder, place, 0, 0, rules
+            continue
+        if ignore_files and (found := storage.entry(f"{place}/{IGNORE_FILE}")) and not found.is_folder:
+            if lines := load_ignore_rules(f"{place}/{IGNORE_FILE}"):
+                rules = json.dumps([*json.loads(rules), [folder, lines]])
+        for e in storage.entries(place):
+            seen += 1
+            relative = f"{folder}/{e.name}" if folder else e.name
+            if e.name.startswith(".") or is_ignored(f"{relative}/" if e.is_folder else relative, rules):
+                continue
+            if not e.is_folder:
+                yield False, relative, f"{place}/{e.name}", e.size, e.mtime_ms, ""
+            elif not (e.link and storage.leads_back(f"{place}/{e.name}")):
+                waiting.append((relative, rules))
 
 
-def _dropped(listed: DataFrame, relative: Column, table: DataFrame, first: Column) -> DataFrame:
-    """Paths that are ignored: the innermost folder with a matching rule decides, by its last match, else ``first``.
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the store that it lies on."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
-    Every file meets the rules of each folder above it; only paths are joined.
-    """
-    parts = F.split("_relative", "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    files = materialize(listed.select("path", relative.alias("_relative"), first.alias("_first")))
-    pairs = files.select("path", "_relative", F.posexplode(above).alias("_depth", "folder"))
-    met = lookup_join(pairs, table, ["folder"], "path", "inner")
-    below = F.when(F.col("folder") == "", F.col("_relative")).otherwise(F.expr("substr(_relative, length(folder) + 2)"))
-    hits = F.filter("rules", lambda rule: F.regexp_like(below, rule["regex"]))
-    judged = met.select("path", "_depth", F.try_element_at(hits, F.lit(-1))["ignored"].alias("_ignored")).filter(F.col("_ignored").isNotNull())
-    verdicts = judged.groupBy("path").agg(F.max_by("_ignored", "_depth").alias("_ignored"))
-    return files.join(verdicts, "path", "left").filter(F.coalesce("_ignored", "_first")).select("path")
 
+def list_files(
+    spark: SparkSession, sources: Sequence[str], keep: Column | None = None, ignore_rules: Sequence[str] = (), ignore_files: bool = True
+) -> DataFrame:
+    """(number, path, relative_path, length, mtime_ms) of the files below each source, kept.
 
-def _rule_lines(text: str) -> list[str]:
-    return [line.strip() for line in text.splitlines() if line.strip() and not line.startswith("#")]
-
+    Folders are listed level by level: a task walks below its folders until it has seen ``LISTED``
+    names and hands the rest on as rows of the next round, so one deep or wide tree is spread over all
+    tasks. The driver sees the number of folders that are left, never a path. ``keep``, a condition on
+    those columns, is applied as files are listed.
 
-def _below(path: Column, base: str) -> Column:
-    """Path under the scanned folder; the file name when the scan names one file."""
-    clean = base.rstrip("/")
-    at = F.instr(path, clean + "/")
-    return F.when(at > 0, path.substr(at + len(clean) + 1, F.length(path))).otherwise(paths.basename(path))
+    Ignore files apply below their folder, after ``ignore_rules``; an ignored folder is final, nothing below it is
+    listed. Rules travel with their folders. A missing source raises; a source that is a file is that file.
+    """
+    bases = [qualified(spark, source) for source in sources]
+    for base in bases:
+        if storage.entry(base) is None:
+            raise AnalysisException(f"[PATH_NOT_FOUND] Path does not exist: {base}.")
+    limit, tasks = LISTED, int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def rows(number: int, folder: str, rules: str):
+        base = bases[number]
+        here = None if folder else storage.entry(base)
+        if here is None or here.is_folder:
+            yield from _walk(base, folder, rules, ignore_files, limit)
+        elif not is_ignored(here.name, rules):
+            yield False, here.name, base, here.size, here.mtime_ms, ""
+
+    def run(batches):
+        for batch in batches:
+            for number, *place in zip(*(batch.column(c).to_pylist() for c in ("number", "relative_path", "rules")), strict=True):
+                found = rows(number, *place)
+                while part := list(islice(found, 8192)):
+                    columns = [pa.array([number] * len(part), pa.int32()), *(pa.array(v) for v in zip(*part, strict=True))]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = [field.split()[0] for field in LISTING.split(", ")]
+    rules = json.dumps([["", list(ignore_rules)]] if ignore_rules else [])
+    level = spark.createDataFrame([(n, True, "", base, 0, 0, rules) for n, base in enumerate(bases)], LISTING)
+    found, left = [level.filter("not is_folder")], len(bases)
+    while left:
+        listed = level.repartition(min(left, tasks)).mapInArrow(run, LISTING)
+        kept = materialize(listed if keep is None else listed.filter(F.col("is_folder") | keep))
+        found.append(kept.filter("not is_folder"))
+        level = kept.filter("is_folder")
+        left = level.count()
+    return reduce(DataFrame.unionByName, found).drop("is_folder", "rules")
+
+
+def with_content(listed: DataFrame) -> DataFrame:
+    """Listed files with their bytes, read one at a time inside the tasks."""
+    tasks = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = listed.agg(F.sum("length")).first()[0] or 0
+
+    def run(batches):
+        for batch in batches:
+            for n, path in enumerate(batch.column("path").to_pylist()):
+                content = pa.array([storage.read_bytes(path)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(n, 1).columns, content], names=[*batch.schema.names, "content"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listed.schema)
+    return listed.repartition(max(tasks, -(-size // READ)), "path").mapInArrow(run, f"{fields}, content binary")
+
+
+def _accepted(exts: Sequence[str], excludes: Sequence[str], prefix: str = OUTPUT_PREFIX, force: bool = False) -> Column:
+    return paths.included(F.col("relative_path"), exts, excludes, prefix, force)
 
 
 def scan_files(
@@ -202,59 +179,46 @@ def scan_files(
     ignore_rules: Sequence[str] = (),
     prefix: str = OUTPUT_PREFIX,
     ignore_files: bool = True,
+    in_order: bool = False,
 ) -> DataFrame:
     """One row per accepted file below each path, duplicates between paths kept.
 
-    ``force`` takes a named file whatever its extension. A missing path raises. The path
-    and size rules run on listing metadata, before any content is read. Ignore files found in
-    the scanned folders, however many, apply below their own folder, after ``ignore_rules``; their
-    rules are a table that is joined to paths. ``file_id`` is a
-    hash of the path, the same on every run (``in_path_order`` gives counters instead).
+    ``force`` takes a named file whatever its extension. A missing path raises. The path, size and
+    ignore rules are applied while folders are listed, before any content is read; the listing is kept
+    and contents are read when the rows are. ``file_id`` is a hash of the path, the same on every run;
+    ``in_order`` gives counters in path order instead, numbered before contents are read.
     """
     sources = [sources] if isinstance(sources, str) else list(sources)
-
-    def one(number: int, base: str) -> DataFrame:
-        table = ignore_table(spark, base) if ignore_files else None
-
-        def keep(listed: DataFrame) -> DataFrame:
-            relative = _below(F.col("path"), base)
-            if max_mb is not None:
-                listed = limit_size(listed, max_mb)
-            kept = listed.filter(paths.included(relative, exts, excludes, prefix, force))
-            first = paths.ignored_by(relative, ignore_rules)
-            if table is None:
-                return kept.filter(~first) if ignore_rules else kept
-            return kept.join(_dropped(kept, relative, table, first), "path", "left_anti")
-
-        return _sources(spark, base, keep).select(
-            F.xxhash64("path", F.lit(number)).alias("file_id"),
-            F.lit(project or base.rstrip("/").rsplit("/", 1)[-1]).alias("project"),
-            "path",
-            _below(F.col("path"), base).alias("relative_path"),
-            decode_text(F.col("content")).alias("content"),
-            F.col("length").alias("file_size"),
-            F.unix_millis("modificationTime").alias("mtime_ms"),
-        )
-
-    return reduce(DataFrame.unionByName, [one(number, base) for number, base in enumerate(sources)])
+    keep = _accepted(exts, excludes, prefix, force)
+    if max_mb is not None:
+        keep = keep & (F.col("length") <= int(max_mb * 1024 * 1024))
+    listed = list_files(spark, sources, keep, ignore_rules, ignore_files)
+    names = F.array(*[F.lit(project or source.rstrip("/").rsplit("/", 1)[-1]) for source in sources])
+    listed = listed.withColumns({"project": F.element_at(names, F.col("number") + 1), "file_id": F.xxhash64("path", "number")})
+    return with_content(in_path_order(listed) if in_order else listed).select(
+        "file_id", "project", "path", "relative_path", decode_text(F.col("content")).alias("content"), F.col("length").alias("file_size"), "mtime_ms"
+    )
 
 
 def skipped_files(
-    spark: SparkSession, source: str, exts: Sequence[str] = CODE_EXTENSIONS, excludes: Sequence[str] = EXCLUDES, max_mb: float = MAX_FILE_SIZE_MB, force: bool = False
+    spark: SparkSession,
+    source: str,
+    exts: Sequence[str] = CODE_EXTENSIONS,
+    excludes: Sequence[str] = EXCLUDES,
+    max_mb: float = MAX_FILE_SIZE_MB,
+    force: bool = False,
+    ignore_rules: Sequence[str] = (),
+    ignore_files: bool = True,
 ) -> DataFrame:
     """(path, size) of files below a path that a scan leaves out for their size alone."""
-
-    def keep(listed: DataFrame) -> DataFrame:
-        large = listed.filter(F.col("length") > int(max_mb * 1024 * 1024))
-        return large.filter(paths.included(_below(F.col("path"), source), exts, excludes, force=force))
-
-    return _sources(spark, source, keep, content=False).select("path", F.col("length").alias("size"))
+    keep = _accepted(exts, excludes, force=force) & (F.col("length") > int(max_mb * 1024 * 1024))
+    return list_files(spark, [source], keep, ignore_rules, ignore_files).select("path", F.col("length").alias("size"))
 
 
 def in_path_order(files: DataFrame) -> DataFrame:
-    """Replace the hashed ``file_id`` of a scan by 0, 1, 2, … in (project, path) order.
+    """Replace the hashed ``file_id`` of files by 0, 1, 2, … in (project, path) order.
 
-    Only the paths are sorted, over all tasks; the sorted list is kept in the shared
+    ``files`` is read twice; of a scan ask for ``in_order``, which numbers its listing. Only the paths are sorted, over all tasks; the sorted list is kept in the shared
     folder, so the numbers cannot change when an executor is lost.
     """
     keys = ["project", "relative_path", "path", "file_id"]
@@ -271,14 +235,19 @@ def in_path_order(files: DataFrame) -> DataFrame:
     return files.join(numbered, ["path", "file_id"]).withColumn("file_id", F.col("_id")).drop("_id").select(*files.columns)
 
 
-def count_files(spark: SparkSession, source: str, exts: Sequence[str] = CODE_EXTENSIONS, excludes: Sequence[str] = EXCLUDES, force: bool = False) -> int:
+def count_files(
+    spark: SparkSession,
+    source: str,
+    exts: Sequence[str] = CODE_EXTENSIONS,
+    excludes: Sequence[str] = EXCLUDES,
+    force: bool = False,
+    ignore_rules: Sequence[str] = (),
+    ignore_files: bool = True,
+) -> int:
     """Number of accepted files, from the listing alone; 0 for a missing path. No size limit."""
-    def keep(listed: DataFrame) -> DataFrame:
-        return listed.filter(paths.included(_below(F.col("path"), source), exts, excludes, force=force))
-
     try:
-        return _sources(spark, source, keep, content=False).count()
+        return list_files(spark, [source], _accepted(exts, excludes, force=force), ignore_rules, ignore_files).count()
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
+        if "PATH_NOT_FOUND" in str(error):
             return 0
         raise

@@ -1,12 +1,11 @@
 """Report and result sinks, one folder per project."""
 
-from pathlib import Path
-
 import pandas as pd
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import write_bytes
+
 
 def write_ordered_text(lines: DataFrame, path: str, order: list[str], column: str, partitions: int | None = None) -> None:
     """Write text lines per project in order.
@@ -33,29 +32,18 @@ def write_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:
     results.repartitionByRange(*keys).write.mode("overwrite").partitionBy("project").format(fmt).save(path)
 
 
-def write_bytes(path: str, data: bytes) -> None:
-    """One whole file on local storage, HDFS, S3 or GCS."""
-    scheme, _, rest = path.rpartition(":")
-    if scheme in ("", "file"):
-        target = Path("/" + rest.lstrip("/"))
-        target.parent.mkdir(parents=True, exist_ok=True)
-        target.write_bytes(data)
-        return
-    authority, _, name = rest.lstrip("/").partition("/")
-    filesystem, base = pyarrow.fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{authority}/")
-    with filesystem.open_output_stream(f"{base.rstrip('/')}/{name}") as stream:
-        stream.write(data)
-
-
 def write_files(files: DataFrame, folder: str) -> int:
     """Write each row's ``content`` as the file ``relative_path`` below a shared folder; the number of files.
 
-    Tasks write their own rows; a task that runs again writes the same files again.
+    Tasks write their own rows; a task that runs again writes the same files again. A path that
+    leaves the folder (``..``) is an error.
     """
 
     def run(batches):
         for rows in batches:
             for path, content in zip(rows["relative_path"], rows["content"], strict=True):
+                if ".." in path.split("/"):
+                    raise ValueError(f"{path} leaves the folder")
                 write_bytes(f"{folder}/{path}", (content or "").encode("utf-8", "surrogatepass"))
             yield pd.DataFrame({"written": [len(rows)]})
 
