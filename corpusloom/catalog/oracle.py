@@ -756,6 +756,21 @@ ORACLE = {
         "SELECT project, file_id, CASE WHEN file_id % 4 = 3 THEN 'Error generating explanation: busy' ELSE 'answer ' || CAST(file_id AS VARCHAR) END AS explanation, "
         "CASE WHEN file_id % 4 = 3 THEN 'busy' END AS error, least(file_id % 4 + 1, 3) AS attempts FROM files",
     ),
+    "resumed_answers": sql(
+        FILES,
+        "SELECT project, file_id, CASE WHEN file_id % 3 = 0 THEN 'second ' ELSE 'first ' END || md5(content) AS explanation, CAST(NULL AS VARCHAR) AS error, 1 AS attempts FROM files",
+    ),
+    "infer_odd_replies": sql(
+        f"{FILES}, kinds(k, reason, text, reported, tokens) AS (VALUES (0, 'NoneType', NULL, NULL, 0), (1, 'dict', NULL, NULL, 0), (2, 'int', NULL, NULL, 0), (3, 'dict', NULL, NULL, 0), "
+        "(4, NULL, 'ok', NULL, 1), (5, NULL, 'sur?rogate', 9, 9), (6, NULL, 'plain', NULL, 2))",
+        "SELECT project, file_id, coalesce(text, 'Error generating explanation: the reply has no text: ' || reason) AS explanation, 'the reply has no text: ' || reason AS error, "
+        "CAST(reported AS BIGINT) AS reported_tokens, CAST(tokens AS BIGINT) AS output_tokens FROM files JOIN kinds ON k = file_id % 7",
+    ),
+    "report_same_ids": sql(
+        f"{FILES}, {DESCRIBED}, results AS (SELECT * REPLACE (p AS project, p || content AS content), p || ' says ' || CAST(file_id AS VARCHAR) AS explanation "
+        "FROM described, (VALUES ('a'), ('b')) AS t(p))",
+        sections("results", True),
+    ),
     "observed_progress": sql(EXPLAINED, "SELECT count(*) AS completed, count(error) AS failed, count(*) FILTER (WHERE cached) AS cached FROM explained"),
     "project_summaries_rounds": sql(
         f"""{FILES}, {DESCRIBED}, {answered(SUMMARY_PROMPT)},

@@ -180,6 +180,46 @@ def retried_answers(spark, sf):
     return found.select(*ID, "explanation", "error", F.col("attempts").cast("long").alias("attempts"))
 
 
+@register
+def resumed_answers(spark, sf):
+    """A run whose client fails for every third document, and a later run that asks for the rest."""
+
+    def client(name, fails):
+        def call(row):
+            if fails and row["file_id"] % 3 == 0:
+                raise ValueError("down")
+            return f"{name} {row['prompt']}"
+
+        return lambda: call
+
+    asked, journal = samples.files(spark, sf).select(*ID, F.md5("content").alias("prompt")), _folder(spark, "journal")
+    infer.infer(asked, client("first", True), attempts=0, journal=journal).write.format("noop").mode("overwrite").save()
+    found = infer.infer(asked, client("second", False), attempts=0, journal=journal)
+    return found.select(*ID, "explanation", "error", F.col("attempts").cast("long").alias("attempts"))
+
+
+@register
+def infer_odd_replies(spark, sf):
+    """Replies without a text are errors of their row; counts that are no numbers are left out."""
+
+    def client():
+        replies = [None, {}, 7, {"text": None}, {"text": "ok", "total_tokens": "many"}, {"text": "sur\ud800rogate", "total_tokens": 9}, "plain"]
+        return lambda row: replies[row["file_id"] % 7]
+
+    asked = samples.files(spark, sf).select(*ID, F.md5("content").alias("prompt"))
+    return infer.infer(asked, client, attempts=0).select(*ID, "explanation", "error", "reported_tokens", "output_tokens")
+
+
+@register
+def report_same_ids(spark, sf):
+    """Two projects that hold the same file ids: each report has its own texts."""
+    rows = samples.described(spark, sf).withColumn("project", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    rows = rows.select(
+        *ID, "relative_path", "language", F.concat("project", F.lit(" says "), F.col("file_id").cast("string")).alias("explanation"), F.concat("project", "content").alias("content")
+    )
+    return report.report_sections(rows).withColumn("section", F.col("section").cast("long"))
+
+
 @register
 def observed_progress(spark, sf):
     """Counts observed while the rows are written for real."""

@@ -35,6 +35,9 @@ class RunConfig:
     attempts: int = RETRY_ATTEMPTS
     delay: float = RETRY_DELAY_SECONDS
     partitions: int | None = None
+    #: Calls a second of one partition, and the folder where answers are kept as they arrive (see ``infer``).
+    rate: float | None = None
+    journal: str | None = None
 
     def key_parts(self) -> dict[str, str]:
         return {"mode": self.mode, "level": self.level, "provider": self.provider, "model": self.model}
@@ -61,6 +64,7 @@ def call_model(rows: DataFrame, templates: DataFrame, client_factory: Callable[[
         spread_calls(sent, config), client_factory, config.concurrency, config.attempts, config.delay,
         SYSTEM_PROJECT if of_project else SYSTEM_FILE,
         PROJECT_ERROR_PREFIX.format(mode=config.mode) if of_project else ERROR_PREFIX,
+        config.rate, config.journal,
     )
     return materialize(answered.drop("prompt"))
 

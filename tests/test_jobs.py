@@ -2,8 +2,10 @@
 
 import os
 import sys
+import time
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -114,6 +116,8 @@ def test_path_collisions(spark):
     data = [(0, "p", "a/x.js"), (1, "p", "a/x.js"), (2, "p", "a\\x.js"), (3, "q", "a/x.js")]
     df = spark.createDataFrame(data, "file_id long, project string, relative_path string")
     assert rows(corpus.dedupe_paths(df), "file_id", "tree_path") == [(0, "a/x.js"), (1, "a/x_1.js"), (2, "a/x_2.js"), (3, "a/x.js")]
+    same_ids = spark.createDataFrame([(0, "p", "a.js"), (1, "p", "a.js"), (0, "q", "a.js"), (1, "q", "b.js")], df.schema)
+    assert rows(corpus.dedupe_paths(same_ids), "project", "file_id", "tree_path") == [("p", 0, "a.js"), ("p", 1, "a_1.js"), ("q", 0, "a.js"), ("q", 1, "b.js")]
 
 
 # --- cache ----------------------------------------------------------------------------------------
@@ -312,6 +316,85 @@ def test_infer_isolates_failures(spark):
     assert sorted(r.file_id for r in infer.drop_failed(infer.infer(df, counting_client, attempts=0, delay=0.0)).collect()) == [0, 3, 4]
 
 
+def test_odd_replies_are_errors_of_their_row(spark):
+    replies = [None, {}, 7, {"text": 3}, {"text": "ok", "completion_tokens": 2.5, "prompt_tokens": True}, b"bytes", ["x"], {"text": "\ud800"}, {"text": "n", "total_tokens": 2**70}]
+    df = spark.createDataFrame([(i, "p") for i in range(len(replies))], "file_id long, prompt string").repartition(3)
+    got = {r.file_id: r for r in infer.infer(df, lambda: lambda row: replies[row["file_id"]], attempts=1, delay=0.0).collect()}
+    for i in (0, 1, 2, 3, 5, 6):
+        assert got[i].error.startswith("the reply has no text") and got[i].explanation.endswith(got[i].error) and got[i].attempts == 2
+    assert (got[4].explanation, got[4].completion_tokens, got[4].prompt_tokens, got[7].explanation, got[8].reported_tokens) == ("ok", None, None, "?", None)
+
+    def no_client():
+        raise OSError("no key")
+
+    assert {r.error for r in infer.infer(df, no_client, attempts=0).collect()} == {"no client: no key"}
+
+
+def test_a_task_that_runs_again_asks_for_the_rest_only(tmp_path):
+    rows = pd.DataFrame({"file_id": range(40), "prompt": ["p"] * 40, "_request": [f"r{i}" for i in range(40)]})
+    asked = []
+
+    def client(dies_after):
+        def call(row):
+            if len(asked) >= dies_after:
+                raise KeyboardInterrupt  # the task ends here
+            asked.append(row["file_id"])
+            if row["file_id"] == 5:
+                raise ValueError("broken")
+            return f"answer {row['file_id']}"
+
+        return lambda: call
+
+    def run(factory):
+        return list(infer.answer_rows(iter([rows[:25], rows[25:]]), factory, 2, 0, 0.0, "s", None, infer.Journal(str(tmp_path / "part=3"))))
+
+    with pytest.raises(KeyboardInterrupt):
+        run(client(20))
+    first = len(asked)
+    assert 20 <= first <= 22
+    found = run(client(10**9))
+    assert len(asked) <= 40 + 4 and set(asked) == set(range(40))  # what was under way is asked again, nothing else
+    answers = [a for _, part in found for a in part]
+    assert [a["text"] for a in answers] == [None if i == 5 else f"answer {i}" for i in range(40)] and answers[5]["error"] == "broken"
+    again = len(asked)
+    run(client(0))
+    assert len(asked) == again
+
+
+def test_a_later_run_asks_for_what_failed(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(30)], "file_id long, prompt string").repartition(4)
+    journal, calls = str(tmp_path / "journal"), tmp_path / "calls"
+    calls.mkdir()
+
+    def client(name, fails):
+        def call(row):
+            (calls / f"{name}-{row['file_id']}").touch()
+            if row["file_id"] in fails:
+                raise ValueError("down")
+            return {"text": f"{name} {row['file_id']}", "total_tokens": 4}
+
+        return lambda: call
+
+    first = infer.infer(df, client("one", {3, 4}), attempts=0, journal=journal)
+    assert first.filter("error is not null").count() == 2
+    assert first.count() == 30 and len(os.listdir(calls)) == 30  # the second action asks nobody
+    second = infer.infer(df.union(spark.createDataFrame([(99, "new")], df.schema)), client("two", set()), attempts=0, journal=journal)
+    got = {r.file_id: r for r in second.collect()}
+    assert len(got) == 31 and {i for i, r in got.items() if r.explanation.startswith("two")} == {3, 4, 99}
+    assert got[7].reported_tokens == 4 and got[7].output_tokens == 4 and len([c for c in os.listdir(calls) if c.startswith("two")]) == 3
+
+
+def test_calls_of_a_partition_share_their_rate():
+    now, waits = [0.0], []
+    bucket = infer.TokenBucket(2.0, 1, lambda: now[0], waits.append)
+    for _ in range(4):
+        bucket.take()
+    assert waits == [0.5, 1.0, 1.5]
+    now[0] = 100.0
+    bucket.take()
+    assert len(waits) == 3
+
+
 def test_observe_progress(spark):
     df = spark.createDataFrame([(1, None, False), (2, "e", False), (3, None, True)], "file_id long, error string, cached boolean")
     watched, seen = infer.observe_progress(df)
