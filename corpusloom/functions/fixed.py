@@ -289,3 +289,7 @@ OFFLINE_PROJECT = (
 )
 BYTE_UNITS = ["Bytes", "KB", "MB", "GB", "TB"]
 HTML_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")]
+
+# What an import may leave out, in the order in which it is looked for.
+IMPORT_EXTENSIONS = [".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".json"]
+IMPORT_INDEX = "index"

@@ -71,6 +71,19 @@ def relative_path(path: Column, base: str | None = None) -> Column:
     return F.when(slashed.startswith(prefix), slashed.substr(F.lit(len(prefix) + 1), F.length(slashed))).otherwise(slashed)
 
 
+def folded(path: Column) -> Column:
+    """A path without ``.``, ``..`` and empty parts; NULL when it leads out of its root."""
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(False).alias("out"))
+
+    def step(done: Column, part: Column) -> Column:
+        parts, out = done["parts"], done["out"]
+        up = F.struct(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))).alias("parts"), (out | (F.size(parts) == 0)).alias("out"))
+        down = F.struct(F.concat(parts, F.array(part)).alias("parts"), out.alias("out"))
+        return F.when(part == "..", up).when(part.isin("", "."), done).otherwise(down)
+
+    return F.reduce(F.split(path, "/"), start, step, lambda done: F.when(~done["out"], F.array_join(done["parts"], "/")))
+
+
 def include_ext(path: Column, exts: Sequence[str] = CODE_EXTENSIONS) -> Column:
     return extension(path).isin([ext.lower() for ext in exts])
 

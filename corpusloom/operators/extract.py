@@ -86,6 +86,12 @@ def dependencies(text: Column, strict: bool = False, resolve_relative: bool = Fa
     return F.array_distinct(F.filter(packages, accepted))
 
 
+def relative_imports(text: Column) -> Column:
+    """Import specifiers that name a file by its place: ``./x``, ``../x``, ``.`` and ``..``, as they are written."""
+    raw = F.concat(*[_first_group(text, pattern, groups) for pattern, groups in DEPENDENCY_PATTERNS])
+    return F.array_distinct(F.filter(raw, lambda d: d.isin(".", "..") | d.startswith("./") | d.startswith("../")))
+
+
 def databases(text: Column) -> Column:
     """Database words; a phrase from a connection word to a database word gives its first token."""
     lowered = [F.transform(all_matches(text, pattern), F.lower) for pattern in DATABASE_PATTERNS]

@@ -7,9 +7,10 @@ such as the diagram is written by sorting its lines at the sink.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, safety, text
-from ..functions.fixed import MAX_FUNCTIONS_DRAWN
+from ..functions import classify, paths, safety, text
+from ..functions.fixed import IMPORT_EXTENSIONS, IMPORT_INDEX, MAX_FUNCTIONS_DRAWN
 from ..session import materialize
+from . import extract
 from .corpus import primary_language
 from .scale import lookup_join, ordinal
 
@@ -127,6 +128,40 @@ def component_edges(records: DataFrame, components: DataFrame | None = None) ->
     return linked.join(own, ["project", "file_id"]).filter("src != dst").select("project", "src", "dst", "pos", "dependency")
 
 
+def import_targets(files: DataFrame) -> DataFrame:
+    """(project, target, file_id, target_path): the file that each importable path of a project means.
+
+    A file can be named by its whole path, without its extension, and by its folder when it is the
+    folder's index file. Of several candidates the whole path comes first, then the extensions in
+    their order, then index files; of equal paths the first file.
+    """
+    path = F.col("relative_path")
+    places = [F.struct(F.lit(0).alias("rank"), path.alias("target"))]
+    for n, ext in enumerate(IMPORT_EXTENSIONS):
+        bare = F.when(path.endswith(ext), path.substr(F.lit(1), F.length(path) - len(ext)))
+        folder = F.when(bare == IMPORT_INDEX, "").otherwise(F.regexp_extract(bare, f"(?s)\\A(.*)/{IMPORT_INDEX}\\z", 1))
+        is_index = (bare == IMPORT_INDEX) | bare.endswith(f"/{IMPORT_INDEX}")
+        places.append(F.struct(F.lit(1 + n).alias("rank"), bare.alias("target")))
+        places.append(F.struct(F.lit(1 + len(IMPORT_EXTENSIONS) + n).alias("rank"), F.when(is_index, folder).alias("target")))
+    named = files.select("project", "file_id", "relative_path", F.inline(F.filter(F.array(*places), lambda p: p["target"].isNotNull())))
+    best = F.min(F.struct("rank", "file_id", "relative_path")).alias("best")
+    return named.groupBy("project", "target").agg(best).select("project", "target", "best.file_id", F.col("best.relative_path").alias("target_path"))
+
+
+def resolved_imports(files: DataFrame) -> DataFrame:
+    """(project, file_id, pos, specifier, target_id, target_path) of every relative import.
+
+    ``files`` needs (project, file_id, relative_path, content). The specifier is folded against the importing
+    file's folder and looked up among the project's files by path, not by name. An import of nothing
+    known, or of a place outside the project, has no target.
+    """
+    texts = files.select("project", "file_id", "relative_path", F.posexplode(extract.relative_imports(F.col("content"))).alias("pos", "specifier"))
+    folder = paths.dirname(F.col("relative_path"))
+    rows = materialize(texts.select("project", "file_id", "pos", "specifier", paths.folded(F.concat_ws("/", folder, "specifier")).alias("target")))
+    targets = import_targets(files.select("project", "file_id", "relative_path")).withColumnRenamed("file_id", "target_id")
+    return lookup_join(rows, targets, ["project", "target"], "file_id").drop("target")
+
+
 def start_edges(records: DataFrame, components: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
     """START to every entry point, and to Main components that no entry point names."""
     components = index_components(records) if components is None else components

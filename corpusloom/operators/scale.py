@@ -6,150 +6,93 @@ grows with the size of a project.
 """
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 16
-#: Levels of blocks of blocks: 2**16 rows, blocks and runs at most in a window, whatever the 64-bit ids are.
-LEVELS = 3
+from ..session import materialize
+
 NULL_SALTS = 4096
 
 
-def _block_starts(blocks: DataFrame, group: list[str], levels: int) -> DataFrame:
-    """Rows before each block, and rows in the whole group, from per-block counts.
+def _placed(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``df`` sorted by (group, order) over all tasks, with ``__part``, its place among the ranges, and ``__at``, its place in the range; kept.
+
+    A hot group lies in several ranges, many small groups share one.
+    """
+    keys = [*group, *order]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return materialize(ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+
+
+def _range_starts(placed: DataFrame, group: list[str], weight: Column) -> DataFrame:
+    """(__part, group, __from, __before, __total) for every group of every range; kept.
 
-    ``blocks`` holds (group, _block, _n). A level sums inside runs of 2**BLOCK_BITS
-    blocks and asks the next level for the start of the run.
+    ``__before`` is the group's weight in earlier ranges. A window sees one row per range at most.
     """
-    zero = F.lit(0).cast("long")
-    if levels == 0:
-        ordered = Window.partitionBy(*group)
-        return blocks.select(
-            *group,
-            "_block",
-            F.coalesce(F.sum("_n").over(ordered.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), zero).alias("_start"),
-            F.sum("_n").over(ordered).alias("_total"),
-        )
-    runs = blocks.withColumn("_run", F.shiftright("_block", BLOCK_BITS))
-    inside = Window.partitionBy(*group, "_run").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = _block_starts(
-        runs.groupBy(*group, "_run").agg(F.sum("_n").alias("_n")).withColumnRenamed("_run", "_block"), group, levels - 1
-    ).withColumnRenamed("_block", "_run")
-    return (
-        runs.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), zero))
-        .join(starts, [*group, "_run"])
-        .select(*group, "_block", (F.col("_start") + F.col("_inside")).alias("_start"), "_total")
+    parts = placed.groupBy("__part", *group).agg(F.min("__at").alias("__from"), F.sum(weight).alias("__n"))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return materialize(
+        parts.select("__part", *group, "__from", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("__total"))
     )
 
 
-def running_start(df: DataFrame, group: Sequence[str], order_id: str, weight: Column | None = None, levels: int = LEVELS) -> DataFrame:
+def running_start(df: DataFrame, group: Sequence[str], order_id: str, weight: Column) -> DataFrame:
     """Add ``_start``, the sum of weights of earlier ids, and ``_total``, that of the group.
 
-    Rows are summed inside blocks of 2**16 consecutive ids and shifted by the sum of
-    earlier blocks, so a window never sees more than one block. The sums of blocks are taken
-    in the same way, ``levels`` deep; three levels bound every window also for ids spread over
-    the 64-bit range, such as hashes. The group columns must not be NULL; ``df`` is read twice
-    and should be narrow.
+    Rows are sorted into ranges once; a window sees the rows of one group in one range, and the weight of
+    earlier ranges is added. Group columns must not be NULL; ``df`` should be narrow.
     """
     group = list(group)
-    weighted = df.withColumn("_w", F.lit(1) if weight is None else weight).withColumn("_block", F.shiftright(order_id, BLOCK_BITS))
-    blocks = weighted.select(*group, "_block", "_w").groupBy(*group, "_block").agg(F.sum("_w").alias("_n"))
-    starts = _block_starts(blocks, group, levels - 1).withColumnRenamed("_start", "_before")
-    here = Window.partitionBy(*group, "_block").orderBy(order_id).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        weighted.withColumn("_inside", F.coalesce(F.sum("_w").over(here), F.lit(0)))
-        .join(starts, [*group, "_block"])
-        .withColumn("_start", F.col("_before") + F.col("_inside"))
-        .drop("_w", "_block", "_before", "_inside")
-    )
+    placed = _placed(df.withColumn("__w", weight), group, [order_id])
+    here = Window.partitionBy("__part", *group).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.withColumn("__inside", F.coalesce(F.sum("__w").over(here), F.lit(0)))
+    joined = inside.join(_range_starts(placed, group, F.col("__w")), ["__part", *group])
+    return joined.withColumn("_start", F.col("__before") + F.col("__inside")).select(*df.columns, "_start", F.col("__total").alias("_total"))
 
 
 def ordinal(
-    df: DataFrame,
-    group: Sequence[str],
-    order_id: str,
-    out: str = "ord",
-    total: str | None = None,
-    within: str | None = None,
-    levels: int = LEVELS,
+    df: DataFrame, group: Sequence[str], order_id: str, out: str = "ord", total: str | None = None, within: str | None = None
 ) -> DataFrame:
-    """Number the rows of each group 0, 1, 2, … in the order of an integer id.
+    """Number the rows of each group 0, 1, 2, … in the order of an id.
 
     The id must be unique within the group, or unique together with ``within``, a
     position inside the id (such as a match inside a file). ``total`` adds the size of
-    the group.
+    the group. Rows are sorted into ranges once and kept; a row's number is its place in the range, shifted by
+    the rows of its group in earlier ranges, so no task sees more than a range, whatever the ids are and
+    however large a group is. Group columns must not be NULL; ``df`` should be narrow.
     """
-    if within is None:
-        numbered = running_start(df, group, order_id, levels=levels).withColumn(out, F.col("_start").cast("long"))
-    else:
-        keys = [*group, order_id]
-        starts = running_start(df.groupBy(*keys).agg(F.count("*").alias("_rows")), group, order_id, F.col("_rows"), levels).drop("_rows")
-        numbered = (
-            df.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(within)) - 1)
-            .join(starts, keys)
-            .withColumn(out, (F.col("_start") + F.col("_row")).cast("long"))
-            .drop("_row")
-        )
-    if total:
-        numbered = numbered.withColumn(total, F.col("_total").cast("long"))
-    return numbered.drop("_start", "_total")
-
-
-def _beside(blocks: DataFrame, group: list[str], levels: int) -> DataFrame:
-    """(group, _block, _before, _after): the last value before and the first after each block.
-
-    ``blocks`` holds (group, _block, _first, _last). A level looks inside runs of
-    2**BLOCK_BITS blocks and asks the next level for what lies beside the run.
-    """
-    if levels == 0:
-        ordered = Window.partitionBy(*group).orderBy("_block")
-        return blocks.select(*group, "_block", F.lag("_last").over(ordered).alias("_before"), F.lead("_first").over(ordered).alias("_after"))
-    runs = blocks.withColumn("_run", F.shiftright("_block", BLOCK_BITS))
-    inside = Window.partitionBy(*group, "_run").orderBy("_block")
-    ends = runs.groupBy(*group, "_run").agg(F.min_by("_first", "_block").alias("_first"), F.max_by("_last", "_block").alias("_last"))
-    outer = _beside(ends.withColumnRenamed("_run", "_block"), group, levels - 1)
-    outer = outer.select(*group, F.col("_block").alias("_run"), F.col("_before").alias("_run_before"), F.col("_after").alias("_run_after"))
-    return (
-        runs.withColumn("_before", F.lag("_last").over(inside))
-        .withColumn("_after", F.lead("_first").over(inside))
-        .withColumn("_is_first", F.row_number().over(inside) == 1)
-        .withColumn("_is_last", F.lead("_block").over(inside).isNull())
-        .join(outer, [*group, "_run"])
-        .select(
-            *group, "_block", F.when(F.col("_is_first"), F.col("_run_before")).otherwise(F.col("_before")).alias("_before"),
-            F.when(F.col("_is_last"), F.col("_run_after")).otherwise(F.col("_after")).alias("_after"),
-        )
-    )
+    group = list(group)
+    placed = _placed(df, group, [order_id] if within is None else [order_id, within])
+    numbered = placed.join(_range_starts(placed, group, F.lit(1)), ["__part", *group])
+    number = (F.col("__before") + F.col("__at") - F.col("__from")).cast("long").alias(out)
+    return numbered.select(*df.columns, number, *([F.col("__total").cast("long").alias(total)] if total else []))
 
 
-def neighbours(df: DataFrame, group: Sequence[str], order_id: str, value: str, levels: int = LEVELS) -> DataFrame:
+def neighbours(df: DataFrame, group: Sequence[str], order_id: str, value: str) -> DataFrame:
     """Add ``prev_<value>`` and ``next_<value>`` in id order within each group.
 
-    Inside a block these are ``lag`` and ``lead``; the first and last row of a block look
-    at the edge rows of the blocks beside it, which are found level by level as in
-    ``running_start``.
+    Rows are sorted into ranges once. Inside a range these are ``lag`` and ``lead``; the first and last row of
+    a range look at the edge rows of the ranges beside it, one row for each range. Group columns must not be NULL.
     """
     group = list(group)
-    prev, nxt = f"prev_{value}", f"next_{value}"
-    blocked = df.withColumn("_block", F.shiftright(order_id, BLOCK_BITS))
-    edges = (
-        df.select(*group, order_id, value, F.shiftright(order_id, BLOCK_BITS).alias("_block"))
-        .groupBy(*group, "_block")
-        .agg(F.min_by(value, order_id).alias("_first"), F.max_by(value, order_id).alias("_last"))
-    )
-    edges = _beside(edges, group, levels - 1)
-    here = Window.partitionBy(*group, "_block").orderBy(order_id)
-    return (
-        blocked.withColumn(prev, F.lag(value).over(here))
-        .withColumn(nxt, F.lead(value).over(here))
-        .withColumn("_is_first", F.row_number().over(here) == 1)
-        .withColumn("_is_last", F.lead(order_id).over(here).isNull())
-        .join(edges, [*group, "_block"])
-        .withColumn(prev, F.when(F.col("_is_first"), F.col("_before")).otherwise(F.col(prev)))
-        .withColumn(nxt, F.when(F.col("_is_last"), F.col("_after")).otherwise(F.col(nxt)))
-        .drop("_block", "_is_first", "_is_last", "_before", "_after")
-    )
+    placed = _placed(df, group, [order_id])
+    edge = F.struct(*[F.col(c).alias(f"_g{n}") for n, c in enumerate(group)], F.col(value).alias("_value"))
+    edges = placed.groupBy("__part").agg(F.min_by(edge, "__at").alias("__first"), F.max_by(edge, "__at").alias("__last"))
+    # one row for each range
+    order = Window.partitionBy(F.lit(0)).orderBy("__part")
+    edges = edges.select("__part", F.lag("__last").over(order).alias("__before"), F.lead("__first").over(order).alias("__after"))
+    here = Window.partitionBy("__part").orderBy("__at")
+    same = lambda side: F.lit(True) if not group else reduce(and_, [F.col(f"{side}._g{n}") == F.col(c) for n, c in enumerate(group)])
+    inside = placed.withColumns({"__lag": F.lag(edge).over(here), "__lead": F.lead(edge).over(here)}).join(F.broadcast(materialize(edges)), "__part")
+
+    def beside(near: str, far: str) -> Column:
+        return F.when(F.col(near).isNull(), F.when(same(far), F.col(f"{far}._value"))).when(same(near), F.col(f"{near}._value"))
+
+    return inside.select(*df.columns, beside("__lag", "__before").alias(f"prev_{value}"), beside("__lead", "__after").alias(f"next_{value}"))
 
 
 def first_n(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], n: int, out: str | None = None) -> DataFrame:

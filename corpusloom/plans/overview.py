@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,41 +49,41 @@ def codebase_summary(files: DataFrame, about: DataFrame | None = None) -> DataFr
     key files are taken from the rows of ``about`` where the listing is one of parts.
     """
     about = files if about is None else about
-    projects = files.select("project").distinct()
 
-    def pieces(df: DataFrame, section: int, i, j, k, value: Column) -> DataFrame:
+    def piece(section: int, i, j, k, value: Column) -> Column:
         keys = [(F.lit(v) if isinstance(v, int) else v).cast("long").alias(n) for n, v in (("i", i), ("j", j), ("k", k))]
-        return df.select("project", F.lit(section).alias("section"), *keys, value.alias("piece"))
+        return F.struct(F.lit(section).alias("section"), *keys, value.alias("piece"))
 
-    listing = by_directory(files, "language", "summary")
-    line = listing_line(F.col("file_name"))
-    dirs = listing.groupBy("project", "dir", "dir_first").agg(F.count("*").alias("_n"))
-    stack = tech_stack(about)
+    def pieces(df: DataFrame, *found: Column) -> DataFrame:
+        return df.select("project", F.inline(F.array(*found)))
+
+    # narrow rows, kept because directories and lines are both made from them
+    listing = materialize(by_directory(files, "language", "summary"))
+    dirs = listing.groupBy("project", "dir").agg(F.min("dir_first").alias("dir_first"))
+    first = F.col("dir_first")
     is_language = F.col("kind") == "language"
     stack_title = F.when(is_language, "- **Languages**: ").otherwise("- **File Types**: ")
-    keyed = key_files(about)
     source = F.concat(
         F.lit("### "), "relative_path", F.lit("\n\n```"), "language", F.lit("\n"), F.col("preview"), F.lit("\n```\n\n")
     )
     parts = [
-        pieces(projects, 0, 0, 0, 0, F.lit("# Codebase Summary\n\n## Project Structure\n\n")),
-        pieces(dirs, 1, F.col("dir_first"), 0, 0, F.concat(F.lit("### "), "dir", F.lit("\n\n"))),
-        pieces(listing, 1, F.col("dir_first"), 1, F.col("file_id"), line),
-        pieces(dirs, 1, F.col("dir_first"), 2, 0, F.lit("\n")),
-        pieces(projects, 2, 0, 0, 0, F.lit("## Technology Stack\n\n")),
         pieces(
-            stack, 2, F.when(is_language, 1).otherwise(3), F.col("ord"), 0,
-            F.concat(F.when(F.col("ord") == 0, stack_title).otherwise(", "), "value"),
+            files.select("project").distinct(),
+            piece(0, 0, 0, 0, F.lit("# Codebase Summary\n\n## Project Structure\n\n")),
+            piece(2, 0, 0, 0, F.lit("## Technology Stack\n\n")),
+            piece(2, 2, 0, 0, F.lit("\n")),
+            piece(2, 4, 0, 0, F.lit("\n\n")),
+            piece(3, 0, 0, 0, F.lit("## Key Files Content\n\n")),
+        ),
+        pieces(dirs, piece(1, first, 0, 0, F.concat(F.lit("### "), "dir", F.lit("\n\n"))), piece(1, first, 2, 0, F.lit("\n"))),
+        pieces(listing, piece(1, first, 1, F.col("file_id"), listing_line(F.col("file_name")))),
+        pieces(
+            tech_stack(about),
+            piece(2, F.when(is_language, 1).otherwise(3), F.col("ord"), 0, F.concat(F.when(F.col("ord") == 0, stack_title).otherwise(", "), "value")),
         ),
-        pieces(projects, 2, 2, 0, 0, F.lit("\n")),
-        pieces(projects, 2, 4, 0, 0, F.lit("\n\n")),
-        pieces(projects, 3, 0, 0, 0, F.lit("## Key Files Content\n\n")),
-        pieces(keyed, 3, 1, F.col("rank"), 0, source),
+        pieces(key_files(about), piece(3, 1, F.col("rank"), 0, source)),
     ]
-    document = parts[0]
-    for part in parts[1:]:
-        document = document.unionByName(part)
-    return document
+    return reduce(DataFrame.unionByName, parts)
 
 
 def whole_documents(pieces: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Report and result sinks, one folder per project."""
+"""Report and result sinks, one folder per project.
+
+A write replaces the folders of the projects that it holds and leaves all others. Files are staged beside them and
+moved when the job is done, so a write that fails changes nothing.
+"""
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +19,9 @@ def write_ordered_text(lines: DataFrame, path: str, order: list[str], column: st
     """
     keys = ["project", *order]
     ranged = lines.repartitionByRange(partitions, *keys) if partitions else lines.repartitionByRange(*keys)
-    ranged.sortWithinPartitions(*keys).select("project", F.col(column).alias("value")).write.mode("overwrite").partitionBy("project").text(path)
+    ranged.sortWithinPartitions(*keys).select("project", F.col(column).alias("value")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("project").text(path)
 
 
 def write_report(sections: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -29,7 +35,8 @@ def write_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:
     Rows are range-partitioned by project first, so a task writes few projects, not one file for each.
     """
     keys = ["project", *(["file_id"] if "file_id" in results.columns else [])]
-    results.repartitionByRange(*keys).write.mode("overwrite").partitionBy("project").format(fmt).save(path)
+    placed = results.repartitionByRange(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    placed.partitionBy("project").format(fmt).save(path)
 
 
 def write_files(files: DataFrame, folder: str) -> int:

@@ -1,16 +1,22 @@
 """Incremental runs: new and changed files as a stream, against the versioned answer cache."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.cache import full_path, with_cache_key
+from ..operators.cache import CACHE_SCHEMA, full_path, with_cache_key
 from ..operators.infer import Client
 from ..plans.explain import RunConfig, explain_corpus
-from ..sources.cache_store import CacheStore, begin_run
+from ..session import materialize
+from ..sources.cache_store import CacheStore, KeyedStore
+
+SEEN = "file_size long, mtime_ms long, file_hash string"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def file_stream(spark: SparkSession, folder: str, schema: str | StructType, max_files: int | None = None) -> DataFrame:
@@ -21,6 +27,57 @@ def file_stream(spark: SparkSession, folder: str, schema: str | StructType, max_
     return reader.parquet(folder)
 
 
+class LastSeen(StatefulProcessor):
+    """Size, time and hash of every file, kept by its cache key; says which rows may have an answer already.
+
+    All rows of a key in one batch are judged by what the batches before have left.
+    """
+
+    def __init__(self, columns: list[str], expiry_ms: int | None):
+        self.columns, self.expiry_ms = columns, expiry_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", SEEN, self.expiry_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.seen.get() if self.seen.exists() else None
+        newest = None
+        for batch in rows:
+            status = [_status(known, *file) for file in zip(batch["file_size"], batch["mtime_ms"], batch["file_hash"], strict=True)]
+            for file in zip(batch["mtime_ms"], batch["file_size"], batch["file_hash"], strict=True):
+                newest = file if newest is None else max(newest, file)
+            yield batch[self.columns].assign(seen_status=status)
+        if newest is not None:
+            self.seen.update((int(newest[1]), int(newest[0]), newest[2]))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        first = initialState.iloc[0]
+        self.seen.update((int(first["file_size"]), int(first["mtime_ms"]), first["file_hash"]))
+
+    def close(self) -> None:
+        pass
+
+
+def _status(known, size, mtime_ms, file_hash) -> str:
+    if known is None or known[0] != size:
+        return "miss"
+    return "hit" if known[1] == mtime_ms else "refresh" if known[2] == file_hash else "miss"
+
+
+def with_seen_status(keyed: DataFrame, before: DataFrame | None = None, expiry_ms: int | None = None) -> DataFrame:
+    """A stream of files with ``seen_status``, from state that is kept by ``cache_key``.
+
+    ``keyed`` needs (cache_key, file_size, mtime_ms, file_hash), none of them NULL. ``before``, rows with the
+    same columns and one for a key, is the state that a new checkpoint starts from. State that was not renewed for
+    ``expiry_ms`` is dropped; its files then count as new.
+    """
+    schema = StructType([*keyed.schema.fields]).add("seen_status", "string")
+    first = None if before is None else before.select("cache_key", *[f.split()[0] for f in SEEN.split(", ")]).groupBy("cache_key")
+    return keyed.groupBy("cache_key").transformWithStateInPandas(
+        LastSeen(keyed.columns, expiry_ms), schema, "append", "none" if expiry_ms is None else "processingTime", first
+    )
+
+
 def explain_stream(
     stream: DataFrame,
     store: CacheStore,
@@ -30,23 +87,51 @@ def explain_stream(
     client_factory: Callable[[], Client],
     config: RunConfig = RunConfig(),
     key_path: Column | None = None,
+    expiry_ms: int | None = None,
 ) -> StreamingQuery:
     """Explain each batch of arriving files and add its answers to the cache.
 
-    A batch reads the cache as the runs before left it, with the run's own earlier batches,
-    and writes its own version, results and cache rows alike, so a batch that is run again
+    What was seen of each file lies in the query's state store, so only files that may have an answer are looked up in the
+    cache, in their buckets; a batch of new files reads none of it. The state starts from the
+    cache as the runs before left it. A batch
+    writes its own version, results and cache rows alike, so a batch that is run again
     replaces exactly what it wrote. A new checkpoint is a new run over the same store.
     """
+    spark = stream.sparkSession
     own = store.begin(checkpoint)
+    path = full_path(stream) if key_path is None else key_path
+    keyed = with_cache_key(stream, path, config.key_parts())
+    if "file_hash" not in keyed.columns:
+        keyed = keyed.withColumn("file_hash", F.sha2("content", 256))
+    # read by the first batch of a new checkpoint only
+    before = store.read(before=own).select("cache_key", "file_size", "mtime_ms", "file_hash").na.drop()
+    judged = with_seen_status(keyed, before, expiry_ms)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        keys = with_cache_key(batch, full_path(batch) if key_path is None else key_path, config.key_parts())
-        known = store.read(before=own, batch=batch_id, keys=keys)
-        results, fresh = explain_corpus(batch, known, templates, client_factory, config, key_path)
+        rows = materialize(batch)  # the state is asked once
+        seen = rows.filter("seen_status <> 'miss'")
+        known = spark.createDataFrame([], CACHE_SCHEMA) if seen.isEmpty() else store.read(before=own, batch=batch_id, keys=seen)
+        files = rows.drop("cache_key", "seen_status")
+        results, fresh = explain_corpus(files, known, templates, client_factory, config, key_path)
         results.write.mode("overwrite").parquet(f"{out}/{own.folder(batch_id)}")
         store.write(fresh, own, batch_id)
 
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    provider = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)  # a query keeps the provider that it was started with
+    try:
+        return judged.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        if provider is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, provider)
+
+
+USAGE = "project string, files long, cached_files long, input_tokens long, output_tokens long"
+
+
+def usage_store(spark: SparkSession, out: str) -> KeyedStore:
+    return KeyedStore(spark, out, USAGE, "project")
 
 
 def usage_stream(results: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -54,8 +139,9 @@ def usage_stream(results: DataFrame, out: str, checkpoint: str) -> StreamingQuer
 
     A new checkpoint counts from the start again, in a run that comes after all others.
     """
-    own = begin_run(results.sparkSession, out, checkpoint)
-    totals = results.groupBy("project").agg(
+    store = usage_store(results.sparkSession, out)
+    own = store.begin(checkpoint)
+    totals = results.groupBy(F.coalesce("project", F.lit("")).alias("project")).agg(
         F.count("*").alias("files"),
         F.sum(F.when(F.col("cached"), 1).otherwise(0)).alias("cached_files"),
         F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"),
@@ -63,7 +149,7 @@ def usage_stream(results: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{own.folder(batch_id)}")
+        store.write(batch, own, batch_id)
 
     return (
         totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -71,9 +157,8 @@ def usage_stream(results: DataFrame, out: str, checkpoint: str) -> StreamingQuer
 
 
 def latest_usage(spark: SparkSession, out: str) -> DataFrame:
-    """The newest totals of every project written by ``usage_stream``, from the files of the last run only."""
-    versions = spark.read.parquet(out)
-    last = versions.agg(F.max(F.struct("seq", "run")).alias("v")).select("v.*").first()
-    columns = [c for c in versions.columns if c not in ("project", "seq", "run", "batch")]
-    current = versions.filter((F.col("seq") == last["seq"]) & (F.col("run") == last["run"]))
-    return current.groupBy("project").agg(F.max_by(F.struct(*columns), "batch").alias("t")).select("project", "t.*")
+    """The newest totals of every project written by the last run of ``usage_stream``.
+
+    Totals are folded as they are written, so this reads few rows for each project, however many batches there were.
+    """
+    return usage_store(spark, out).read(latest_run=True)

@@ -15,7 +15,7 @@ from corpusloom.operators import blocks, cache, corpus, extract, graph, infer, o
 from corpusloom.plans import explain, overview
 from corpusloom.plans.structure import analyze, structure
 from corpusloom.session import materialize, shared_folder
-from corpusloom.sources import sinks
+from corpusloom.sources import cache_store, sinks
 from corpusloom.sources.cache_store import CacheStore
 from corpusloom.sources.templates import load_templates
 from corpusloom.streaming import incremental
@@ -160,6 +160,90 @@ def test_cache_store_versions(spark, tmp_path):
     assert rows(small.read(), "cache_key", "explanation") == [("a", "two"), ("b", "b")]
 
 
+ENTRY = "cache_key string, file_hash string, file_size long, mtime_ms long, explanation string"
+
+
+def entries(spark, names, text):
+    return spark.createDataFrame([(n, "h", 1, 1, f"{text} {n}") for n in names], ENTRY)
+
+
+def test_many_batches_leave_few_files(spark, tmp_path, monkeypatch):
+    for name, value in (("FAN", 3), ("KEPT", 4), ("TIER_ROWS", 5), ("BUCKET_ROWS", 10)):
+        monkeypatch.setattr(cache_store, name, value)
+    store = CacheStore(spark, str(tmp_path / "cache"))
+    run, expected, most = store.begin(), {}, 0
+    for batch in range(40):
+        names = [f"k{(batch * 7 + i) % 90}" for i in range(1 + batch % 5)]
+        store.write(entries(spark, names, f"b{batch}").coalesce(1), run, batch)
+        expected |= {n: f"b{batch} {n}" for n in names}
+        most = max(most, len(store.segments()))
+        assert len(os.listdir(tmp_path / "cache" / "log")) <= 2 * (cache_store.KEPT + 2)  # a checksum beside each
+    assert dict(rows(store.read(), "cache_key", "explanation")) == expected
+    assert most <= 12 and len(os.listdir(tmp_path / "cache" / "data")) <= 12 + 4 * cache_store.KEPT
+    assert any(s["buckets"] > 1 for s in store.segments())
+    (tmp_path / "cache" / "data" / "left-by-a-failure").mkdir()
+    assert store.sweep() == 1 and dict(rows(store.read(), "cache_key", "explanation")) == expected
+
+
+def test_few_keys_read_few_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cache_store, "BUCKET_ROWS", 20)
+    store = CacheStore(spark, str(tmp_path / "cache"))
+    store.write(entries(spark, [f"k{i}" for i in range(1000)], "old"))
+    store.write(entries(spark, ["k5"], "new"))
+    large = store.segments()[0]
+    assert large["buckets"] == 64 and len(os.listdir(tmp_path / "cache" / "data" / large["folder"] / "buckets=64")) > 40
+    found = store.read(keys=spark.createDataFrame([("k5",), ("k6",), ("none",)], "cache_key string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:300]
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 1 and "IN" in scans[0]
+    assert rows(found, "cache_key", "explanation") == [("k5", "new k5"), ("k6", "old k6")]
+
+
+def test_no_reader_sees_a_version_that_is_not_committed(spark, tmp_path, monkeypatch):
+    store = CacheStore(spark, str(tmp_path / "cache"))
+    store.write(entries(spark, ["a"], "one"))
+
+    def fails(*args, **kwargs):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch, pytest.raises(OSError):
+        patch.setattr(CacheStore, "_commit", fails)
+        store.write(entries(spark, ["a", "b"], "two"), cache_store.Run(2, "x"))
+    assert rows(store.read(), "cache_key", "explanation") == [("a", "one a")]
+    assert store.sweep() == 1
+    other = CacheStore(spark, str(tmp_path / "cache"))  # another writer commits first
+    state = store._state
+    with monkeypatch.context() as patch:
+        calls = []
+
+        def late():
+            found = state()
+            if not calls:
+                calls.append(1)
+                other.write(entries(spark, ["c"], "other"))
+            return found
+
+        patch.setattr(store, "_state", late)
+        store._commit(lambda live: ([], []), 9)
+    assert rows(store.read(), "cache_key") == [("a",), ("c",)] and store._state()[1]["seq"] == 9
+
+
+def test_a_replayed_batch_sees_what_it_saw(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cache_store, "FAN", 2)
+    store = CacheStore(spark, str(tmp_path / "cache"))
+    store.write(entries(spark, ["a", "b"], "before"))
+    run = store.begin(str(tmp_path / "check"))
+    for batch in range(6):
+        seen = rows(store.read(before=run, batch=batch), "cache_key", "explanation")
+        store.write(entries(spark, ["a", f"n{batch}"], f"b{batch}"), run, batch)
+        assert rows(store.read(before=run, batch=batch), "cache_key", "explanation") == seen  # the batch is run again
+        store.write(entries(spark, ["a"], f"again{batch}"), run, batch)
+        assert rows(store.read(before=run, batch=batch + 1), "cache_key", "explanation")[0] == ("a", f"again{batch} a")
+        assert not any(k == f"n{batch}" for k, _ in rows(store.read(), "cache_key", "explanation"))
+    assert store.begin(str(tmp_path / "check")) == run
+
+
 def test_second_run_is_all_hits(spark, files, tmp_path):
     store = CacheStore(spark, str(tmp_path / "cache"))
     templates = samples.templates(spark)
@@ -534,6 +618,42 @@ def test_report_is_written_in_order(spark, sf_dir, tmp_path):
         assert written == expected and written[0].startswith("<!DOCTYPE") and written[-1] == "</body></html>"
 
 
+def test_a_failed_write_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "out")
+    df = spark.createDataFrame([("p", 0, "old"), ("q", 0, "old"), ("q", 1, "old")], "project string, file_id long, text string")
+    lines = lambda frame: frame.select("project", F.lit(1).alias("section"), F.col("file_id").alias("ord"), F.col("text").alias("html"))
+    for write, read in ((sinks.write_results, spark.read.parquet), (lambda f, p: sinks.write_report(lines(f), p), lambda p: spark.read.text(p).withColumnRenamed("value", "text"))):
+        place = f"{path}-{write.__name__}"
+        write(df, place)
+        write(df.filter("project = 'q' and file_id = 0").withColumn("text", F.lit("new")), place)
+        assert rows(read(place), "project", "text") == [("p", "old"), ("q", "new")]
+        with pytest.raises(Exception):  # noqa: B017
+            write(df.withColumn("text", F.when(F.col("project") == "q", F.raise_error(F.lit("lost"))).otherwise(F.lit("never"))), place)
+        assert rows(read(place), "project", "text") == [("p", "old"), ("q", "new")]
+
+
+def test_files_are_not_written_outside_their_folder(spark, tmp_path):
+    df = spark.createDataFrame([("../x", "text")], "relative_path string, content string")
+    with pytest.raises(Exception, match="leaves the folder"):
+        sinks.write_files(df, str(tmp_path / "in"))
+
+
+def test_imports_are_resolved_by_path(spark):
+    data = [
+        (0, "p", "src/a/util.js", "import x from '../b/util'; import y from './util.js'"),
+        (1, "p", "src/b/util.js", "import x from '../a/util'\nconst z = require('..')"),
+        (2, "p", "src/b/util.ts", ""),
+        (3, "p", "src/index.tsx", "import q from './b/'; import r from './none'; import s from 'util'"),
+        (4, "p", "main.js", "import a from './src'"),
+        (0, "q", "src/b/util.js", "import x from '../a/util'"),
+    ]
+    df = spark.createDataFrame(data, "file_id long, project string, relative_path string, content string")
+    assert rows(graph.resolved_imports(df).na.fill("-", ["target_path"]), "project", "file_id", "specifier", "target_path") == [
+        ("p", 0, "../b/util", "src/b/util.ts"), ("p", 0, "./util.js", "src/a/util.js"), ("p", 1, "..", "src/index.tsx"), ("p", 1, "../a/util", "src/a/util.js"),
+        ("p", 3, "./b/", "-"), ("p", 3, "./none", "-"), ("p", 4, "./src", "src/index.tsx"), ("q", 0, "../a/util", "-"),
+    ]
+
+
 def test_results_are_written_per_project(spark, tmp_path):
     df = tiny_project(spark)
     for fmt in ("parquet", "json"):
@@ -577,6 +697,36 @@ def test_stream_equals_batch(spark, files, tmp_path):
     assert rows(usage, "project", "files", "input_tokens") == rows(expected, "project", "files", "input_tokens")
 
 
+def test_a_stream_looks_up_only_files_it_has_seen(spark, files, tmp_path, monkeypatch):
+    """Started four times from one checkpoint: new files, the same ones, touched ones, and changed ones."""
+    base, templates = str(tmp_path), samples.templates(spark)
+    plain = files.drop("key_path").filter("file_id < 12")
+    store, looked_up, read = CacheStore(spark, f"{base}/cache"), [], CacheStore.read
+    monkeypatch.setattr(CacheStore, "read", lambda self, *a, **k: (looked_up.append(k["keys"].count()) if k.get("keys") is not None else None, read(self, *a, **k))[1])
+
+    def run(subset, client):
+        subset.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        arriving = incremental.file_stream(spark, f"{base}/in", plain.schema)
+        incremental.explain_stream(arriving, store, f"{base}/out", f"{base}/check", templates, client, CONFIG).awaitTermination()
+        return spark.read.parquet(f"{base}/out")
+
+    first = run(plain, samples.stub_client)  # file 7 has no answer
+    assert first.filter("cached").count() == 0 and looked_up == []
+    same = run(plain, lambda: lambda row: "asked again")
+    assert looked_up == [12]
+    assert rows(same.filter("batch = 1 and not cached"), "file_id", "explanation") == [(7, "asked again")]
+    touched = run(plain.filter("file_id < 3").withColumn("mtime_ms", F.col("mtime_ms") + 5), broken_client)
+    assert touched.filter("batch = 2 and cached").count() == 3 and looked_up == [12, 3]
+    changed = plain.filter("file_id < 2").withColumn("content", F.concat("content", F.lit("!"))).withColumn("file_size", F.col("file_size") + 1)
+    assert run(changed, lambda: lambda row: "new").filter("batch = 3 and not cached and explanation = 'new'").count() == 2 and looked_up == [12, 3]
+
+
+def test_status_of_seen_files():
+    known = (5, 100, "h")
+    assert [incremental._status(known, *f) for f in ((5, 100, "x"), (5, 101, "h"), (5, 101, "x"), (6, 100, "h"))] == ["hit", "refresh", "miss", "miss"]
+    assert incremental._status(None, 5, 100, "h") == "miss"
+
+
 def test_three_checkpoints_share_one_store(spark, files, tmp_path):
     base, templates = str(tmp_path), samples.templates(spark)
     plain = files.drop("key_path").filter("file_id % 50 <> 7")

@@ -40,3 +40,9 @@ def test_no_hot_key_costs_no_join(spark):
 
 def test_text_queries_are_dealt_out(spark, sf_dir):
     assert read_spread(spark, sf_dir, "documents", "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize(("name", "most"), [("progress", 3), ("batches", 3), ("toc", 3), ("neighbours", 3), ("deduped_paths", 3), ("architecture_report", 10), ("codebase_summary", 10)])
+def test_numbering_costs_few_exchanges(spark, sf_dir, name, most):
+    plan = plan_of(registry.queries()[name](spark, sf_dir))
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") + plan.count("Exchange SinglePartition") <= most

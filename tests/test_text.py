@@ -1,3 +1,6 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +93,47 @@ def test_merge_maps_and_structs(spark, column):
     )
     out = df.select(nested.deep_merge(F.col("l"), F.col("r"), df.schema["l"].dataType, df.schema["r"].dataType).alias("m")).first().m
     assert (out.a, out.b.c, out.b.d, out.e) == (1, 2, [9], "n")
+
+
+def merged(left, right, top=True):
+    """What merging two JSON values of any shape gives."""
+    if right is ABSENT or (top and isinstance(left, dict) and not isinstance(right, dict | list)):
+        return left
+    if isinstance(right, dict):
+        left = left if isinstance(left, dict) else {}
+        return {k: merged(left.get(k, ABSENT), right.get(k, ABSENT), False) for k in {**left, **right}}
+    return right
+
+
+ABSENT = object()
+
+
+def some_json(chance, depth=4):
+    kind = chance.random()
+    if depth and kind < 0.6:
+        return {chance.choice("abcd"): some_json(chance, depth - 1) for _ in range(chance.randint(0, 4))}
+    return chance.choice([None, 0, 7, -1.5, "", "text", True, False, [], [1, {"a": 2}], ["x"]])
+
+
+def test_merge_variants_of_any_shape(spark):
+    chance = random.Random(6)
+    pairs = [(n, some_json(chance), some_json(chance)) for n in range(400)]
+    rows = [(n, json.dumps(a), json.dumps(b)) for n, a, b in pairs] + [(-1, None, "{}"), (-2, "[1]", None), (-3, None, None)]
+    df = spark.createDataFrame(rows, "n int, a string, b string").select("n", F.to_json(nested.merge_variants(F.parse_json("a"), F.parse_json("b"))).alias("m"))
+    got = {r.n: r.m for r in df.collect()}
+    assert (got[-1], got[-2], got[-3]) == ("{}", "[1]", None)
+    for n, a, b in pairs:
+        assert json.loads(got[n]) == merged(a, b)
+
+
+def test_merge_variants_tells_what_is_too_deep(spark):
+    deep = '{"a":' * 5 + '{"x":1}' + "}" * 5
+    df = spark.createDataFrame([(deep, deep.replace("x", "y"))], "a string, b string").select(F.parse_json("a").alias("a"), F.parse_json("b").alias("b"))
+    assert '"x":1,"y":1' in df.select(F.to_json(nested.merge_variants(F.col("a"), F.col("b"), levels=6))).first()[0]
+    with pytest.raises(Exception, match="deeper than 3 levels"):
+        df.select(F.to_json(nested.merge_variants(F.col("a"), F.col("b"), levels=3))).collect()
+
+
+def test_folded_paths(column):
+    given = ["a/./b", "a//b/", "a/../b", "../a", "a/../../b", ".", "", "a/b/../../c", "/x", "a/.../b"]
+    assert column([(p,) for p in given], "p string", paths.folded(F.col("p"))) == ["a/b", "a/b", "b", None, None, "", "", "c", "x", "a/.../b"]
