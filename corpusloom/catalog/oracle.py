@@ -275,16 +275,19 @@ COMP_LABEL = f"{component('name')} || ' - ' || replace(type, '\"', '\\\"')"
 # --- cache, prompts, answers ---------------------------------------------------------------------------
 
 KEY_PATH = "project || '/' || CAST(file_id AS VARCHAR) || '/' || relative_path"
-PLACE = "project || '/' || CASE WHEN file_id % 13 = 0 THEN '_' ELSE '' END || CAST(file_id AS VARCHAR) || CASE WHEN file_id % 11 = 0 THEN ':v' ELSE '' END || '/' || relative_path"
-PLACED = f"placed AS (SELECT file_id, project, relative_path AS inner_path, content, {PLACE} AS relative_path, {PLACE} AS whole_path FROM files)"
+PLACE = (
+    "project || '/' || CASE WHEN g % 13 = 0 THEN '_' ELSE '' END || CAST(g AS VARCHAR) || CASE WHEN g % 11 = 0 THEN ':v' ELSE '' END || '/' || "
+    f"{dirname('relative_path')} || '/' || {stem('relative_path')} || '-' || CAST(file_id AS VARCHAR) || {raw_ext('relative_path')}"
+)
+PLACED = f"placed AS (SELECT g, project, relative_path AS inner_path, content, {PLACE} AS relative_path, {PLACE} AS whole_path FROM (SELECT *, file_id % 40 AS g FROM files))"
 
 
 def ignored_file(top: bool = True) -> str:
     """An ignored folder is final; else the file's own folder decides, then its project, then the top."""
-    return f"""(CASE WHEN file_id % 10 = 0 AND file_id % 11 <> 0 THEN true
-      WHEN file_id % 7 = 0 AND starts_with(inner_path, 'docs/') THEN true
-      WHEN file_id % 7 = 0 AND regexp_matches(inner_path, '^src/[^/]*[.]py$') THEN false
-      WHEN file_id % 7 = 0 AND ends_with(inner_path, '.js') THEN true
+    return f"""(CASE WHEN g % 10 = 0 AND g % 11 <> 0 THEN true
+      WHEN g % 7 = 0 AND starts_with(inner_path, 'docs/') THEN true
+      WHEN g % 7 = 0 AND regexp_matches(inner_path, '^src/[^/]*[.]py$') THEN false
+      WHEN g % 7 = 0 AND ends_with(inner_path, '.js') THEN true
       ELSE ends_with(inner_path, '.py') AND {top} END)"""
 
 
@@ -673,6 +676,20 @@ ORACLE = {
     "tables_roundtrip": sql(FILES, f"SELECT project, file_id, true AS same, len(regexp_extract_all(content, {q(re2(fixed.HTML_TABLE))})) AS tables FROM files"),
     "page_titles_plain": f"SELECT page_id, {strip(f'regexp_replace(html, {q(re2(fixed.HTML_TAG))}, {q(str())}, {q(chr(103))})')} AS plain FROM pages",
     "page_paths": f"SELECT page_id, {base('url')} AS base, {dirname('url')} AS dir, lower({raw_ext('url')}) AS ext, {stem('url')} AS stem FROM pages",
+    "resolved_imports": sql(
+        f"""{FILES}, f AS (SELECT project, file_id, regexp_replace(relative_path, 'index_[0-9]', 'index') AS p FROM files),
+        g AS (SELECT *, {dirname('p')} AS dir, {stem('p')} AS stem, {base('p')} AS name FROM f),
+        named AS (SELECT project, file_id, p, p AS target, 0 AS rank FROM f {''.join(
+            f" UNION ALL SELECT project, file_id, p, left(p, length(p) - {len(ext)}), {1 + n} FROM f WHERE ends_with(p, '{ext}')"
+            f" UNION ALL SELECT project, file_id, p, {dirname('p')}, {1 + len(fixed.IMPORT_EXTENSIONS) + n} FROM f WHERE ends_with(p, '/{fixed.IMPORT_INDEX}{ext}')"
+            for n, ext in enumerate(fixed.IMPORT_EXTENSIONS))}),
+        best AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY project, target ORDER BY rank, file_id) = 1),
+        asked AS (SELECT project, file_id, 0 AS pos, './' || stem AS specifier, dir || '/' || stem AS target FROM g
+          UNION ALL SELECT project, file_id, 1, '../web/./' || stem, CASE WHEN contains(dir, '/') THEN regexp_replace(dir, '/[^/]*$', '') || '/' ELSE '' END || 'web/' || stem FROM g
+          UNION ALL SELECT project, file_id, 2, '../../../out', NULL FROM g UNION ALL SELECT project, file_id, 3, '.', dir FROM g
+          UNION ALL SELECT project, file_id, 4, './x/../' || name, p FROM g)""",
+        "SELECT a.project, a.file_id, pos, specifier, b.file_id AS target_id, b.p AS target_path FROM asked a LEFT JOIN best b ON b.project = a.project AND b.target = a.target",
+    ),
     "path_labels": sql(FILES, f"SELECT project, file_id, 'Report: ' || {base('relative_path')} || ', b.py, ' || project AS label FROM files"),
     "report_sections": sql(
         f"{FILES}, {DESCRIBED}, results AS (SELECT *, CASE WHEN file_id % 3 <> 0 THEN {PURPOSE} END AS explanation FROM described)", sections("results", True)
@@ -714,6 +731,13 @@ ORACLE = {
         "FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN best b ON b.source = d.source"
     ),
     "merge_props": merged_stats(),
+    "merge_variants": (
+        "SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_type WHEN 2 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS VARCHAR) END AS k, "
+        "CASE WHEN event_id % 5 = 0 THEN user_id END AS u, CASE WHEN event_id % 5 IN (0, 2) THEN NULL ELSE 1 END AS n, "
+        "event_id % 5 = 0 AS n_is_null, CASE event_id % 5 WHEN 1 THEN '[' || CAST(event_id AS VARCHAR) || ']' WHEN 2 THEN NULL ELSE '[1,2]' END AS list, "
+        "CASE WHEN event_id % 5 = 1 THEN '{\"t\":1}' ELSE '\"x\"' END AS tag, "
+        "CASE WHEN event_id % 5 = 2 THEN 'flat' ELSE NULL END AS flat FROM events"
+    ),
     "merge_structs": (
         "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'new' ELSE event_type END AS a, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS x, value AS y, 'z' AS z FROM events"
     ),
@@ -741,6 +765,9 @@ ORACLE = {
     "decoded_text": "SELECT doc_id, text || chr(65533) || chr(65533) AS decoded FROM documents",
     "loaded_templates": "SELECT CAST(doc_id AS VARCHAR) AS mode, md5(CASE WHEN doc_id % 2 = 0 THEN 'user ' ELSE '' END || text) AS template_md5 FROM documents",
     "written_results": sql(f"{FILES}, {DESCRIBED}", "SELECT project, file_id, relative_path, language FROM described"),
+    "written_one_project": sql(
+        f"{FILES}, {DESCRIBED}", "SELECT project, file_id, relative_path, CASE WHEN project = 'src1' THEN 'again' ELSE language END AS language FROM described"
+    ),
     "written_report": sql(
         f"{FILES}, results AS (SELECT DISTINCT project, 0 AS file_id, 'Project Architecture' AS relative_path, 'architecture' AS language, {q(fixed.OFFLINE_PROJECT)} AS explanation FROM files)",
         f"SELECT project, html AS line FROM ({sections('results', False)})",
@@ -779,6 +806,9 @@ ORACLE = {
           FROM described d JOIN firsts f ON f.sp = d.project AND f.sr = d.relative_path)""",
         f"SELECT project, CASE WHEN sum({tokens('line')}) <= {ROUND_TOKENS} OR count(*) = 1 THEN 1 ELSE 2 END AS rounds, 0 AS failed_parts, true AS answered FROM lines GROUP BY project",
     ),
+    "stream_progress": sql(
+        FILES, "SELECT count(*) AS completed, count(*) FILTER (WHERE file_id % 5 = 0) AS failed, count(*) FILTER (WHERE file_id % 7 = 0) AS cached FROM files GROUP BY file_id % 3"
+    ),
     "stream_results": sql(EXPLAINED, "SELECT project, file_id, relative_path, language, explanation, cached, error FROM explained"),
     "stream_cache": sql(
         f"""{EXPLAINED}, fresh AS (SELECT l.cache_key, l.file_hash, l.file_size, l.mtime_ms, e.explanation FROM explained e JOIN looked l ON l.file_id = e.file_id

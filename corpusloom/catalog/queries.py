@@ -596,6 +596,19 @@ def project_sections(spark, sf):
     return report.report_sections(rows, "architecture").withColumn("section", F.col("section").cast("long"))
 
 
+@register
+def resolved_imports(spark, sf):
+    """Every file imports four places and itself; files named index stand for their folder."""
+    path = F.col("relative_path")
+    files = samples.files(spark, sf).select(*ID, F.regexp_replace(path, "index_[0-9]", "index").alias("relative_path"))
+    stem = paths.stem(path)
+    imports = F.concat(
+        F.lit("import a from './"), stem, F.lit("';\nimport b from '../web/./"), stem, F.lit("';\nimport d from '../../../out';\nimport e from '.';\nconst c = require('./x/../"),
+        paths.basename(path), F.lit("');\n"),
+    )
+    return graph.resolved_imports(files.withColumn("content", imports)).withColumn("pos", F.col("pos").cast("long"))
+
+
 # --- text functions -------------------------------------------------------------------------------------------
 
 
@@ -727,6 +740,31 @@ def merge_structs(spark, sf):
     return events.select("event_id", merged.alias("m")).select("event_id", "m.a", "m.b.x", "m.b.y", "m.b.z")
 
 
+@register
+def merge_variants(spark, sf):
+    """Settings of no fixed shape: nested objects, replaced arrays, kept nulls, an object that gives way to a text."""
+    events = read_table(spark, sf, "events")
+    kind = F.col("event_id") % 5
+    change = (
+        F.when(kind == 0, F.concat(F.lit('{"base":{"props":{"k":"'), "event_type", F.lit('","new":{"u":'), F.col("user_id").cast("string"), F.lit('}},"n":null}}')))
+        .when(kind == 1, F.concat(F.lit('{"base":{"list":['), F.col("event_id").cast("string"), F.lit(']},"tag":{"t":1}}')))
+        .when(kind == 2, F.lit('{"base":"flat"}'))
+        .when(kind == 3, F.lit("7"))
+    )
+    left = F.parse_json(F.concat(F.lit('{"base":{"props":'), "props", F.lit(',"n":1,"list":[1,2]},"tag":"x"}')))
+    merged = events.select("event_id", nested.merge_variants(left, F.parse_json(change)).alias("m"))
+    return merged.select(
+        "event_id",
+        F.try_variant_get("m", "$.base.props.k", "string").alias("k"),
+        F.try_variant_get("m", "$.base.props.new.u", "long").alias("u"),
+        F.try_variant_get("m", "$.base.n", "long").alias("n"),
+        F.is_variant_null(F.try_variant_get("m", "$.base.n", "variant")).alias("n_is_null"),
+        F.to_json(F.try_variant_get("m", "$.base.list", "variant")).alias("list"),
+        F.to_json(F.try_variant_get("m", "$.tag", "variant")).alias("tag"),
+        F.when(F.schema_of_variant(F.try_variant_get("m", "$.base", "variant")) == "STRING", F.try_variant_get("m", "$.base", "string")).alias("flat"),
+    )
+
+
 # --- streaming ------------------------------------------------------------------------------------------------------------
 
 

@@ -1,10 +1,13 @@
 """Registered queries that write files, reports, cache stores or streams, and read them back."""
 
+from contextlib import suppress
 from uuid import uuid4
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..operators import corpus, infer, prompts, report
 from ..plans import explain, overview
 from ..session import shared_folder
@@ -13,7 +16,7 @@ from ..sources import sinks
 from ..sources.cache_store import CacheStore
 from ..sources.tables import read_table
 from ..sources.templates import load_templates
-from ..streaming import incremental
+from ..streaming import incremental, progress
 from . import samples
 
 STORED = {}
@@ -32,10 +35,11 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _place() -> Column:
-    """project/folder of the file/relative path; some folders start with an underscore, some hold a colon."""
-    number = F.col("file_id").cast("string")
-    folder = F.concat(F.when(F.col("file_id") % 13 == 0, "_").otherwise(""), number, F.when(F.col("file_id") % 11 == 0, ":v").otherwise(""))
-    return F.concat_ws("/", "project", folder, "relative_path")
+    """project/folder/relative path with the id in its name; some folders start with an underscore, some hold a colon."""
+    number, path = F.col("file_id") % 40, F.col("relative_path")
+    folder = F.concat(F.when(number % 13 == 0, "_").otherwise(""), number.cast("string"), F.when(number % 11 == 0, ":v").otherwise(""))
+    named = F.concat(paths.dirname(path), F.lit("/"), paths.stem(path), F.lit("-"), F.col("file_id").cast("string"), paths.raw_extension(path))
+    return F.concat_ws("/", "project", folder, named)
 
 
 def _written_corpus(spark: SparkSession, sf: str, body: Column | None = None) -> str:
@@ -47,16 +51,16 @@ def _written_corpus(spark: SparkSession, sf: str, body: Column | None = None) ->
 
 
 def _ignored_corpus(spark: SparkSession, sf: str, body: Column | None = None) -> str:
-    """Ignore files at the top, in every project and in every seventh document's folder."""
+    """Ignore files at the top, in every project and in every seventh folder of a project."""
     base, files = _written_corpus(spark, sf, body), samples.files(spark, sf)
     nested = [
-        (spark.range(1).select(F.lit("")), samples.TOP_IGNORES),
-        (files.select(F.concat("project", F.lit("/"))).distinct(), samples.PROJECT_IGNORES),
-        (files.filter("file_id % 7 = 0").select(F.regexp_extract(_place(), "^[^/]*/[^/]*/", 0)), samples.FILE_IGNORES),
+        (spark.range(1).select(F.lit("").alias("folder")), samples.TOP_IGNORES),
+        (files.select(F.concat("project", F.lit("/")).alias("folder")).distinct(), samples.PROJECT_IGNORES),
+        (files.filter("file_id % 40 % 7 = 0").select(F.regexp_extract(_place(), "^[^/]*/[^/]*/", 0).alias("folder")).distinct(), samples.FILE_IGNORES),
     ]
     for folders, rules in nested:
-        folder = F.concat(F.col(folders.columns[0]), F.lit(scans.IGNORE_FILE))
-        sinks.write_files(folders.select(folder.alias("relative_path"), F.lit(rules).alias("content")), base)
+        name = F.concat("folder", F.lit(scans.IGNORE_FILE))
+        sinks.write_files(folders.select(name.alias("relative_path"), F.lit(rules).alias("content")), base)
     return base
 
 
@@ -125,6 +129,18 @@ def written_results(spark, sf):
     return spark.read.parquet(path).select(*ID, "relative_path", "language")
 
 
+@register
+def written_one_project(spark, sf):
+    """All projects, then one of them again, then a write that fails: the rows that are there afterwards."""
+    path, rows = _folder(spark, "results"), samples.described(spark, sf).select(*ID, "relative_path", "language")
+    sinks.write_results(rows, path)
+    sinks.write_results(rows.filter("project = 'src1'").withColumn("language", F.lit("again")), path)
+    broken = F.when(F.col("file_id") % 2 == 0, F.raise_error(F.lit("lost"))).otherwise(F.lit("never"))
+    with suppress(PySparkException):
+        sinks.write_results(rows.filter("project in ('src2', 'src3')").withColumn("language", broken), path)
+    return spark.read.parquet(path).select(*ID, "relative_path", "language")
+
+
 @register
 def written_report(spark, sf):
     path = _folder(spark, "report")
@@ -253,6 +269,25 @@ def _warm_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, CacheStore]:
     return spark.read.parquet(f"{base}/results"), store
 
 
+@register
+def stream_progress(spark, sf):
+    """Files arriving in three lots, one for a batch: what each batch has observed."""
+    base, files = _folder(spark, "watched"), samples.files(spark, sf)
+    rows = files.select(*ID, F.when(F.col("file_id") % 5 == 0, "failed").alias("error"), (F.col("file_id") % 7 == 0).alias("cached"))
+    for lot in range(3):
+        rows.filter(F.col("file_id") % 3 == lot).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    watch = progress.ProgressTable(spark, f"{base}/progress")
+    spark.streams.addListener(watch)
+    try:
+        stream = progress.observed(incremental.file_stream(spark, f"{base}/in", rows.schema, max_files=1))
+        query = stream.writeStream.format("noop").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+        watch.finished(query)
+    finally:
+        spark.streams.removeListener(watch)
+    return progress.read_progress(spark, f"{base}/progress").select("completed", "failed", "cached")
+
+
 @register
 def stream_results(spark, sf):
     return _warm_stream(spark, sf)[0].select(*ID, "relative_path", "language", "explanation", "cached", "error")
