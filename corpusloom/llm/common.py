@@ -95,6 +95,25 @@ def bounded_sample(df: DataFrame, column: str, rows: int, total: int | None = No
     return thinned(df, column, min(1.0, 4 * rows / max(1, total))).orderBy(F.xxhash64(column), column).limit(rows)
 
 
+def row_key():
+    """What tells one row of ``documents`` from another: the id and the text, of a row with a null id the text alone."""
+    return F.xxhash64("doc_id", "text")
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, text, label): at most ``rows`` different rows whose id is labelled, those with the smallest hashes.
+
+    Rows equal in id and text count once; of an id with several labels an arbitrary one holds, the same on every run.
+    Only ids and hashes are ordered; texts are fetched for the rows that were chosen.
+    """
+    known = labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min(F.col("label").cast("int")).alias("label"))
+    ids = bounded_sample(known, "doc_id", rows).select(F.col("doc_id").alias("_labelled"), "label")
+    # ``rows`` rows at most, here and below
+    found = docs.select("doc_id", "text", row_key().alias("_key")).join(F.broadcast(ids), F.col("doc_id") == F.col("_labelled"))
+    picked = found.select(F.col("_key").alias("_picked")).distinct().orderBy(F.xxhash64("_picked"), "_picked").limit(rows)
+    return found.join(F.broadcast(picked), F.col("_key") == F.col("_picked")).dropDuplicates(["_key"]).select("doc_id", "text", "label")
+
+
 def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indexes start, start + 1, ... of every range, one range after the other."""
     before = np.cumsum(lengths) - lengths

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, short_batches, text_bytes
+from .common import labelled_rows, short_batches, text_bytes
 
 ROWS = 12000
 BINS, PAIR_BINS = 32, 8
@@ -205,10 +205,8 @@ def predict(x: np.ndarray, model: Model) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
-    """A model from at most ``rows`` labelled documents; ``labels`` has doc_id and label."""
-    chosen = labels.filter("doc_id is not null and label is not null").dropDuplicates(["doc_id"])
-    chosen = bounded_sample(chosen, "doc_id", rows).select(F.col("doc_id").alias("_labelled"), F.col("label").cast("int").alias("label"))
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled"))  # ``rows`` rows at most
+    """A model from at most ``rows`` labelled rows; ``labels`` has doc_id and label. Rows equal in id and text count once."""
+    labelled = labelled_rows(docs, labels, rows)
     found = sorted((r[0], r[2], r[1]) for r in feature_table(labelled.select("doc_id", "text", "label"), "label").collect())
     return train(np.array([f for _, _, f in found], dtype=float), np.array([y for _, y, _ in found], dtype=float))
 

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import short_batches, text_bytes, thinned
 from .toxicity import letters_only, logistic
 
+#: Languages that are learnt at most.
+LANGUAGES = 512
 ROWS = 2400
 SLOT_BITS = 12
 SLOTS = 1 << SLOT_BITS
@@ -151,20 +153,23 @@ def decide(x: np.ndarray, model: Model) -> tuple[list[str], np.ndarray]:
 
 
 def fit(docs: DataFrame, rows: int = ROWS) -> Model:
-    """A model from at most ``rows`` documents (doc_id, text, lang)."""
+    """A model from at most ``rows`` rows (doc_id, text, lang), as many of each language.
+
+    Rows equal in id, text and language count once. Of more than ``LANGUAGES`` values of ``lang`` the most frequent are learnt.
+    """
     spark = docs.sparkSession
     short_batches(spark)
     table = letters_only()
-    known = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
-    counts = known.groupBy("lang").count().collect()  # one row per language
+    known = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", "lang").alias("_key")).filter("lang is not null and text is not null")
+    # different rows, within a few hundredths; at most LANGUAGES rows
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("_key", 0.03).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     each = max(2, rows // max(1, len(counts)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # of a large language four times as many are ranked, so that no task ranks a whole language
-    shares = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 4 * each / r["count"]))]) if counts else None
-    some = known.select("doc_id", "lang") if shares is None else thinned(known.select("doc_id", "lang"), "doc_id", shares[F.col("lang")])
-    chosen = some.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= each)
-    chosen = chosen.select(F.col("doc_id").alias("_id")).dropDuplicates()
-    sample = known.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # ``rows`` ids at most
+    shares = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 4 * each / r["n"]))]) if counts else F.create_map().cast("map<string,double>")
+    some = thinned(known.select("lang", "_key"), "_key", shares[F.col("lang")]).distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("_key"), "_key")
+    chosen = some.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= each).select(F.col("_key").alias("_picked"))
+    sample = known.join(F.broadcast(chosen), F.col("_key") == F.col("_picked")).dropDuplicates(["_key"])  # ``rows`` rows at most
 
     def run(batches):
         for batch in batches:
@@ -173,7 +178,8 @@ def fit(docs: DataFrame, rows: int = ROWS) -> Model:
             values = [vector(texts[i], table).astype(np.float32).tobytes() for i in some]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some, pa.int64())), batch.column("lang").take(pa.array(some, pa.int64())), pa.array(values, pa.binary())], names=["doc_id", "lang", "v"])
 
-    found = sorted((r[0], r[1], bytes(r[2])) for r in sample.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, v binary").collect())
+    found = [(r[0], r[1], bytes(r[2])) for r in sample.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, v binary").collect()]
+    found.sort(key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
     x = np.array([np.frombuffer(v, np.float32) for _, _, v in found], dtype=np.float32).reshape(-1, SLOTS)
     return train(x, [lang for _, lang, _ in found])
 
