@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import re
 
 import pytest
@@ -74,6 +75,8 @@ def plain_overlaps(rows, items, window=13, similarity=0.8):
             p = decontaminate.tokens((passage or "").encode())
             size = min(window, len(p))
             if len(p) < 8:
+                if p and any(t[i : i + size] == p for i in range(len(t) - size + 1)):
+                    out[k, item_id] = size
                 continue
             for shift in range(-len(p) + size, len(t) - size + 1):
                 equal = [0 <= i - shift < len(p) and t[i] == p[i - shift] for i in range(max(0, shift), min(len(t), shift + len(p)))]
@@ -114,6 +117,49 @@ def test_overlaps_of_odd_rows(spark, leaks):
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("piece", [2048, 5])
+def test_long_stretches_are_cut(spark, leaks, monkeypatch, piece):
+    """One item many times over in one text, beside others: the same overlaps however it is cut."""
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    _, items = leaks
+    items = [i for i in items if i[0] in (0, 3, 6, 7)]
+    chance = random.Random(9)
+    texts = [" ".join([items[1][1]] * 40), " ".join([items[2][1], items[0][1]] * 6), " ".join(items[3][1].split()[5:] * 3)]
+    for _ in range(6):
+        words = " ".join(chance.choice(items)[1] for _ in range(9)).split()
+        for _ in range(20):
+            words[chance.randrange(len(words))] = "other"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(docs, bench).collect()
+    assert sorted({(r.doc_id, r.item_id) for r in found}) == sorted(set(plain_overlaps(rows, items)))
+    split = {d: decontaminate.tokens(t.encode()) for d, t in rows}
+    for r in found:
+        assert 0 <= r.first_token < r.end_token <= len(split[r.doc_id]) and 0 < r.n_equal <= r.end_token - r.first_token
+
+
+def test_one_repeated_item_costs_in_proportion(spark):
+    words = [f"w{i}" for i in range(13)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    seconds = []
+    for times in (1000, 1000, 8000):  # the first run warms up; 8000 are 290 kB
+        docs = spark.createDataFrame([(5, " ".join(words * times))], "doc_id long, text string")
+        started = time.perf_counter()
+        assert [(r.item_id, r.n_equal) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 13)]
+        seconds.append(time.perf_counter() - started)
+    assert seconds[2] < max(5.0, 8 * seconds[1])
+
+
+def test_short_items_are_found_whole(spark):
+    items = [(n, " ".join(f"s{n}{j}" for j in range(n))) for n in range(1, 8)] + [(20, "!! ??"), (21, "")]
+    rows = [(n, f"before {text} behind, and {text} again") for n, text in items[:7]]
+    rows += [(100 + n, " ".join(text.split()[:-1] + ["other"])) for n, text in items[:7]] + [(200, items[2][1].upper() + "!"), (201, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = sorted(tuple(r)[:2] + tuple(r)[3:] for r in decontaminate.contaminated(docs, bench).collect())
+    assert found == [(n, n, 1, 1 + n, n) for n in range(1, 8)] + [(200, 3, 0, 3, 3)]
+
+
 def test_registered_decontamination(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in documents(spark, sf_dir).select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
