@@ -127,7 +127,7 @@ def whole_items(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFr
 
     table = keep(items.select("item", "item_id", "tokens").mapInArrow(one, "seed long, item_id long, tokens array<bigint>"))
     known = docs.sparkSession.sparkContext.broadcast(bloom(table))
-    schema = "k long, doc_id long, seed long, first_token long, found array<bigint>"
+    schema = "k binary, doc_id long, seed long, first_token long, found array<bigint>"
 
     def scan(batches):
         for batch in batches:
@@ -142,7 +142,7 @@ def whole_items(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFr
                     _, first = np.unique(values[at], return_index=True)
                     rows += [(key, doc_id, int(values[i].view(np.int64)), int(i), hashes[i : i + n].view(np.int64)) for i in at[first]]
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", pieces.key().alias("k"))
@@ -162,7 +162,7 @@ def stretches(docs: DataFrame, table: DataFrame, window: int, longest: int) -> D
     piece = max(PIECE, 2 * shared)
     short_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(bloom(table))
-    schema = "k long, doc_id long, start long, tokens array<bigint>, seeds array<bigint>, positions array<bigint>"
+    schema = "k binary, doc_id long, start long, tokens array<bigint>, seeds array<bigint>, positions array<bigint>"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def passing(hashes: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,7 +206,7 @@ def stretches(docs: DataFrame, table: DataFrame, window: int, longest: int) -> D
                         start, end = max(low, core - shared), min(high, core + piece + shared)
                         rows.append((keys[a + w].as_py(), ids[a + w].as_py(), start - int(begin[w]), hashes[start:end].view(np.int64), values[c:d].view(np.int64), at[c:d] - begin[w]))
                 long, many = pa.int64(), pa.list_(pa.int64())
-                arrays = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (long, long, long, many, many, many), strict=True)]
+                arrays = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.binary(), long, long, many, many, many), strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", pieces.key().alias("k"))
@@ -260,7 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
         "doc_id", "item_id", "k", "shift", "hits", "item_tokens", first.alias("first"),
         F.slice("tokens", (first - F.col("start") + 1).cast("int"), (end - first).cast("int")).alias("tokens"),
     )
-    schema = "doc_id long, item_id long, k long, first_token long, end_token long, n_equal long"
+    schema = "doc_id long, item_id long, k binary, first_token long, end_token long, n_equal long"
 
     def check(batches):
         for batch in batches:
@@ -271,7 +271,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
                 if overlap := verify(text, item, shift - first, [p - first for p in hits], window, similarity):
                     out.append((doc_id, item_id, k, overlap[0] + first, overlap[1] + first, overlap[2]))
             if out:
-                arrays = [pa.array(v, pa.int64()) for v in zip(*out, strict=True)]
+                arrays = [pa.array(v, pa.binary() if n == 2 else pa.int64()) for n, v in enumerate(zip(*out, strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in schema.split(", ")])
 
     overlaps = rows.mapInArrow(check, schema)

@@ -7,7 +7,7 @@ found once in the whole collection cannot belong to a repeated window, so only t
 pieces get their text fetched, each distinct piece once.
 
 Rows of a piece table: ``m`` anchor hash (the bucket), ``h`` hash of the piece's content,
-``k`` key of the document (hash of id and text), ``doc_id``, ``start``, ``windows`` and
+``k`` key of the document (128-bit hash of id and text), ``doc_id``, ``start``, ``windows`` and
 ``left``, the anchor's distance from the start.
 """
 
@@ -27,11 +27,13 @@ CHUNK = 1 << 19
 #: Buckets with more distinct pieces are compared window by window.
 HOT = 8192
 
-PIECE = "m long, h long, k long, doc_id long, start long, windows int, left int"
+PIECE = "m long, h long, k binary, doc_id long, start long, windows int, left int"
 
 
 def key() -> Column:
-    return F.xxhash64("doc_id", "text")
+    """128 bits of a row's id and text."""
+    parts = (F.xxhash64("doc_id", "text"), F.xxhash64(F.lit("second"), "text", "doc_id"))
+    return F.unhex(F.concat(*[F.lpad(F.hex(part), 16, "0") for part in parts]))
 
 
 def scramble(x: np.ndarray) -> np.ndarray:

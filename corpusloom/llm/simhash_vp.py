@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "k", "fp"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key().alias("k"))
-    return source.mapInArrow(compute, "doc_id long, k long, fp long")
+    return source.mapInArrow(compute, "doc_id long, k binary, fp long")
 
 
 def distance(points: np.ndarray, point: np.uint64) -> np.ndarray:
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, shard_
 def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 3, shard_points: int = SHARD_POINTS) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their group, all columns kept; null ids come last.
 
-    Of rows that repeat an id and text one stays.
+    Of rows that repeat an id and text the smallest stays, columns compared in their order (any one, where a column has no order).
     """
     rows = keep(grouped(docs, shingle, max_bits, shard_points).select("k", "root", F.struct(F.col("doc_id").isNull(), "doc_id", "k").alias("order")))
     best = keep(rows.groupBy("root").agg(F.min("order").alias("best")))
@@ -250,4 +250,8 @@ def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 3, shard_poin
     kept = marked.filter(F.col(f"{name}_stays").isNull()).select(*docs.columns)
     if listed.filter("stays").isEmpty():
         return kept
-    return kept.union(marked.filter(F.col(f"{name}_stays")).dropDuplicates([name]).select(*docs.columns))
+    repeated = marked.filter(F.col(f"{name}_stays"))
+    if any(word in docs.schema.simpleString() for word in ("map<", "variant", "void")):
+        return kept.union(repeated.dropDuplicates([name]).select(*docs.columns))
+    least = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(f"{name}_row")
+    return kept.union(repeated.groupBy(name).agg(least).select(f"{name}_row.*"))
