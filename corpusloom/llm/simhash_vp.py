@@ -6,7 +6,8 @@ each inner node has a vantage point and a radius, points within the radius go to
 others to the other side, and the leaves are shards. A point lives in one shard, and by the
 triangle inequality a partner within ``max_bits`` can only live in shards whose nodes it
 reaches with that tolerance; it is sent to those that come after its own, so every pair meets
-in one shard. A shard goes on splitting in the same way in its task and compares only what no
+in one shard. A shard with many points of its own is divided into blocks of them: a task holds one block, and
+all other points of the shard stream past it. A block goes on splitting in the same way and compares only what no
 bound excludes. It returns a spanning forest of its links, not all pairs, and the links become
 components in ``components.star_roots``.
 
@@ -25,14 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, keep, short_batches, text_bytes
+from .common import bounded_sample, expand, keep, short_batches, text_bytes
 from .components import star_roots
-from .pieces import key
+from .pieces import key, scramble
 
-#: Points a shard should have, shards at most, and sample points per shard.
+#: Points a shard should have, leaves of the tree at most (each split copies points near its border), and sample points per shard.
 SHARD_POINTS = 32768
 MAX_SHARDS = 4096
 SAMPLED = 64
+#: About so many points of a shard's own are a block; so many others are compared with it at a time.
+HOME_POINTS = 1 << 17
+PASSING = 1 << 16
 #: Below so many points all are compared; so many comparisons are made at a time.
 LEAF_POINTS = 256
 BLOCK = 1 << 20
@@ -188,7 +192,52 @@ def link(points: np.ndarray, queries: np.ndarray, values: np.ndarray, max_bits:
         todo.append((points[away > cut], queries[reach > cut - max_bits]))
 
 
-def similar_links(points: DataFrame, max_bits: int = 3, shard_points: int = SHARD_POINTS) -> DataFrame:
+class HomeBlock:
+    """A block's own points; others are linked to them as they pass. Gives the links that joined something."""
+
+    def __init__(self, values: np.ndarray, max_bits: int):
+        self.values, self.max_bits = values, max_bits
+        self.forest = Forest(len(values))
+        link(np.arange(len(values)), np.arange(len(values)), values, max_bits, self.forest)
+
+    def own_links(self) -> tuple[np.ndarray, np.ndarray]:
+        child = np.flatnonzero(self.forest.parent != np.arange(len(self.values)))
+        return self.values[child], self.values[self.forest.parent[child]]
+
+    def passing(self, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.values)
+        both = np.concatenate([self.values, others])
+        forest = Forest(len(both))
+        forest.parent[:n] = self.forest.parent
+        link(np.arange(n), np.arange(n, len(both)), both, self.max_bits, forest)
+        # the smaller number is the parent, so own points keep parents among themselves
+        new = np.flatnonzero(forest.parent != np.concatenate([self.forest.parent, np.arange(n, len(both))]))
+        self.forest.parent = forest.parent[:n].copy()
+        return both[new], both[forest.parent[new]]
+
+
+def blocks_of(points: DataFrame, nodes: list, max_bits: int, total: int, home_points: int) -> np.ndarray:
+    """Blocks of every shard, from the number of its own points; one value for each leaf of the tree."""
+    leaves = len(nodes) + 1
+    if total <= home_points:
+        return np.ones(leaves, dtype=np.int64)
+    tree = points.sparkSession.sparkContext.broadcast(nodes)
+
+    def own(batches):
+        counts = np.zeros(leaves, dtype=np.int64)
+        for batch in batches:
+            shard, _, home = route(tree.value, batch.column(0).to_numpy().view(np.uint64), max_bits)
+            counts += np.bincount(shard[home], minlength=leaves)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(leaves)), pa.array(counts)], names=["shard", "n"])
+
+    sizes = points.select("fp").mapInArrow(own, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()  # one row per leaf
+    found = np.ones(leaves, dtype=np.int64)
+    for r in sizes:
+        found[r["shard"]] = max(1, -(-r["n"] // home_points))
+    return found
+
+
+def similar_links(points: DataFrame, max_bits: int = 3, shard_points: int = SHARD_POINTS, home_points: int = HOME_POINTS) -> DataFrame:
     """Links (a, b) that connect exactly the points, distinct values of ``fp``, within ``max_bits`` of each other."""
     spark = points.sparkSession
     total = points.count()
@@ -197,25 +246,71 @@ def similar_links(points: DataFrame, max_bits: int = 3, shard_points: int = SHAR
     if shards > 1:  # SAMPLED points per shard, a small part of all
         sample = bounded_sample(points.select("fp"), "fp", SAMPLED * shards, total).collect()
         nodes = build_tree(np.array([r[0] for r in sample], dtype=np.int64).view(np.uint64), shards)
-    tree = spark.sparkContext.broadcast(nodes)
+    blocks = blocks_of(points, nodes, max_bits, total, home_points)
+    plan = spark.sparkContext.broadcast((nodes, blocks, np.cumsum(blocks) - blocks))
 
     def send(batches):
+        nodes, blocks, first = plan.value
         for batch in batches:
             values = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            shard, index, home = route(tree.value, values.view(np.uint64), max_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(values[index]), pa.array(home)], names=["shard", "fp", "home"])
-
-    def compare(table):
-        values = table.column("fp").to_numpy().view(np.uint64)
-        home = np.asarray(table.column("home").to_numpy(zero_copy_only=False), dtype=bool)
-        forest = Forest(len(values))
-        link(np.flatnonzero(home), np.arange(len(values)), values, max_bits, forest)
-        child = np.flatnonzero(forest.parent != np.arange(len(values)))
-        signed = values.view(np.int64)
-        return pa.table({"a": signed[child], "b": signed[forest.parent[child]]})
-
-    routed = points.select("fp").mapInArrow(send, "shard int, fp long, home boolean")
-    return routed.groupBy("shard").applyInArrow(compare, "a long, b long")
+            shard, index, home = route(nodes, values.view(np.uint64), max_bits)
+            mine = (scramble(values.view(np.uint64)[index] + np.uint64(1)) % blocks[shard].astype(np.uint64)).astype(np.int64)
+            # a visitor passes all blocks of the shard, an own point those before its block
+            passes = np.where(home, mine, blocks[shard])
+            past = expand(first[shard], passes)
+            unit = np.concatenate([(first[shard] + mine)[home], past])
+            sent = np.concatenate([values[index[home]], np.repeat(values[index], passes)])
+            kind = np.repeat([0, 1], [int(home.sum()), len(past)])
+            yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(kind, pa.int32()), pa.array(sent)], names=["unit", "kind", "fp"])
+
+    def compare(batches):
+        def links(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+        unit, block, waiting, size = None, None, [], 0
+
+        def flush():
+            if not waiting:
+                return None
+            values = np.concatenate(waiting)
+            waiting.clear()
+            return values
+
+        for batch in batches:
+            units, kinds = batch.column("unit").to_numpy(), batch.column("kind").to_numpy()
+            values = batch.column("fp").to_numpy().view(np.uint64)
+            cuts = np.flatnonzero((np.diff(units, prepend=-1) != 0) | (np.diff(kinds, prepend=-1) != 0)).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(units)], strict=True):
+                starts_unit, meets = units[a] != unit, kinds[a] == 1 and block is None and units[a] == unit
+                if starts_unit or meets:
+                    # what has gathered is the block itself, or points that have passed it
+                    gathered = flush()
+                    size = 0
+                    if gathered is not None:
+                        if block is None:
+                            block = HomeBlock(gathered, max_bits)
+                            yield links(*block.own_links())
+                        else:
+                            yield links(*block.passing(gathered))
+                if starts_unit:
+                    unit, block = units[a], None
+                    if kinds[a] == 1:  # nobody lives here
+                        block = HomeBlock(np.zeros(0, np.uint64), max_bits)
+                waiting.append(values[a:b])
+                size += b - a
+                if block is not None and size >= PASSING:
+                    yield links(*block.passing(flush()))
+                    size = 0
+        gathered = flush()
+        if gathered is not None:
+            if block is None:
+                yield links(*HomeBlock(gathered, max_bits).own_links())
+            else:
+                yield links(*block.passing(gathered))
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    routed = points.select("fp").mapInArrow(send, "unit long, kind int, fp long").repartition(tasks, "unit")
+    return routed.sortWithinPartitions("unit", "kind").mapInArrow(compare, "a long, b long")
 
 
 def grouped(docs: DataFrame, shingle: int = 3, max_bits: int = 3, shard_points: int = SHARD_POINTS) -> DataFrame:

@@ -55,9 +55,12 @@ def test_spark_hash_is_the_same(spark):
     assert found == np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).astype(np.int64)
 
 
-@pytest.mark.parametrize(("shard_points", "leaf"), [(10**6, 256), (40, 256), (40, 4), (300, 16)])
-def test_links_connect_all_close_points(spark, monkeypatch, shard_points, leaf):
+@pytest.mark.parametrize(
+    ("shard_points", "leaf", "home", "passing"), [(10**6, 256, 10**6, 10**6), (40, 256, 10**6, 50), (40, 4, 7, 30), (300, 16, 60, 100), (10**6, 256, 90, 10**6)]
+)
+def test_links_connect_all_close_points(spark, monkeypatch, shard_points, leaf, home, passing):
     monkeypatch.setattr(simhash_vp, "LEAF_POINTS", leaf)
+    monkeypatch.setattr(simhash_vp, "PASSING", passing)
     chance = random.Random(9)
     points = {chance.getrandbits(64) for _ in range(500)}
     for p in list(points)[:120]:  # chains and clusters
@@ -68,7 +71,7 @@ def test_links_connect_all_close_points(spark, monkeypatch, shard_points, leaf):
     values = np.array(sorted(points), dtype=np.uint64)
     signed = values.view(np.int64)
     table = spark.createDataFrame([(int(v),) for v in signed], "fp long").repartition(3)
-    links = simhash_vp.similar_links(table, 3, shard_points)
+    links = simhash_vp.similar_links(table, 3, shard_points, home)
     pairs = {(r.a, r.b) for r in links.collect()}
     assert all(int(np.uint64(a % 2**64) ^ np.uint64(b % 2**64)).bit_count() <= 64 for a, b in pairs)
     roots = {r.node: r.root for r in star_roots(links, "a", "b").collect()}
@@ -79,6 +82,27 @@ def test_links_connect_all_close_points(spark, monkeypatch, shard_points, leaf):
     assert sorted(map(sorted, found.values())) == expected
 
 
+def test_a_shard_is_divided_into_blocks(spark):
+    """However many points a shard has of its own, no block is much larger than asked for, and no pair is lost."""
+    rng = np.random.default_rng(12)
+    values = rng.integers(0, 2**64, 12_000, dtype=np.uint64)
+    near = values[:1500] ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64))
+    values = np.unique(np.concatenate([values, near, near[:500] ^ np.uint64(5)]))
+    table = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long").repartition(4)
+    nodes = simhash_vp.build_tree(values[::30], 4)
+    blocks = simhash_vp.blocks_of(table, nodes, 3, len(values), 500)
+    shard, index, home = simhash_vp.route(nodes, values, 3)
+    own = np.bincount(shard[home], minlength=len(blocks))
+    assert (blocks == np.maximum(1, -(-own // 500))).all() and own.sum() == len(values)
+    mine = simhash_vp.scramble(values[index[home]] + np.uint64(1)) % blocks[shard[home]].astype(np.uint64)
+    assert np.unique(shard[home] * 1000 + mine.astype(np.int64), return_counts=True)[1].max() <= 700
+    roots = {r.node: r.root for r in star_roots(simhash_vp.similar_links(table, 3, 4000, 500), "a", "b").collect()}
+    found = {}
+    for v in values.view(np.int64).tolist():
+        found.setdefault(roots.get(v, v), set()).add(v)
+    assert sorted(map(sorted, found.values())) == plain_sets(values)
+
+
 def plain_sets(values):
     sets = {int(v): {int(v)} for v in values.view(np.int64)}
     for i, v in enumerate(values):
