@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scale import lookup_join
-from .common import bounded_sample, expand, keep
+from .common import bounded_sample, expand, keep, short_batches
 
 #: Different vectors that the centres and the first scores come from.
 SAMPLE = 2048
 #: Centres at most, points of a unit, points of a tree, points and queries of a leaf, components of a query group.
-CENTRES, UNIT, BLOCK, LEAF, FEW, GROUP = 256, 32_768, 2048, 32, 8, 65_536
+CENTRES, UNIT, BLOCK, LEAF, FEW, GROUP = 256, 32_768, 2048, 32, 8, 16_384
 LOWEST, NO_ID = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 #: Products of components are exact in double precision up to here.
 EXACT = 2**53
@@ -339,8 +339,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
     The sample of ``SAMPLE`` different vectors only places centres and starts the bounds; every row is indexed.
     """
     spark, depth = vectors.sparkSession, k + 1
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 128:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")  # a row may hold a whole query group
+    short_batches(spark)  # a row may hold a whole query group
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<bigint>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asked"))
     rows = rows.filter("id is not null and vector is not null and not exists(vector, x -> x is null)")
     rows = rows.select("*", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit("second"), "vector").alias("h2"))
