@@ -772,6 +772,10 @@ ORACLE = {
         f"{FILES}, results AS (SELECT DISTINCT project, 0 AS file_id, 'Project Architecture' AS relative_path, 'architecture' AS language, {q(fixed.OFFLINE_PROJECT)} AS explanation FROM files)",
         f"SELECT project, html AS line FROM ({sections('results', False)})",
     ),
+    "written_file_report": sql(
+        f"{FILES}, {DESCRIBED}, results AS (SELECT *, 'about ' || relative_path AS explanation FROM described)",
+        f"SELECT project, unnest(string_split(html, chr(10))) AS line FROM ({sections('results', True)})",
+    ),
     "cache_store_latest": sql(
         f"{FILES}, {SIDE}, {SEED}", "SELECT cache_key, CASE WHEN file_size % 2 = 0 THEN 'newer ' ELSE '' END || explanation AS explanation FROM seed"
     ),

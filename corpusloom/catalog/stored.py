@@ -149,6 +149,15 @@ def written_report(spark, sf):
     return spark.read.text(path).select("project", F.col("value").alias("line"))
 
 
+@register
+def written_file_report(spark, sf):
+    """A report with the source of every file, moved once and read back line by line."""
+    path = _folder(spark, "report")
+    rows = samples.described(spark, sf).withColumn("explanation", F.concat(F.lit("about "), "relative_path"))
+    sinks.write_sorted_report(report.report_lines(rows), path)
+    return spark.read.option("lineSep", "\n").text(path).select("project", F.col("value").alias("line"))
+
+
 @register
 def cache_store_latest(spark, sf):
     store = CacheStore(spark, _folder(spark, "store"))

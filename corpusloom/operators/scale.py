@@ -5,10 +5,12 @@ are therefore written so that no window partition, join partition or collected v
 grows with the size of a project.
 """
 
+from bisect import bisect_right
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +97,46 @@ def neighbours(df: DataFrame, group: Sequence[str], order_id: str, value: str) -
     return inside.select(*df.columns, beside("__lag", "__before").alias(f"prev_{value}"), beside("__lead", "__after").alias(f"next_{value}"))
 
 
+def numbered_once(df: DataFrame, group: str, order_id: str, narrow: DataFrame | None = None) -> DataFrame:
+    """Sort wide rows by (group, id) over all tasks with one exchange, and add ``ord`` and ``is_last`` within the group.
+
+    ``narrow``, by default the two columns of ``df``, is sorted into ranges first; the first row of every range and the rows of its group
+    before it, one of each for a range, become constants of a small function that says which range a row belongs to. So rows are
+    numbered where they arrive, and written in that order; wide columns are moved once. Group and id
+    must not be NULL, and unique together.
+    """
+    placed = _placed((df if narrow is None else narrow).select(group, order_id), [group], [order_id])
+    edge = F.struct(F.col(group).alias("g"), F.col(order_id).alias("i"))
+    ranges = placed.groupBy("__part").agg(
+        F.min_by(edge, "__at").alias("first"), F.max_by(edge, "__at").alias("last")
+    )
+    last_rows = placed.join(F.broadcast(ranges.select("__part", F.col("last.g").alias("__g"))), "__part").filter(F.col(group) == F.col("__g"))
+    in_last = {r["__part"]: r["count"] for r in last_rows.groupBy("__part").count().collect()}  # one row for each range, here and below
+    listed = sorted(((r["__part"], r["first"], r["last"]) for r in ranges.select("__part", "first", "last").collect()), key=lambda r: r[0])
+    starts = [(first["g"], first["i"]) for _, first, _ in listed]
+    shifts, ends, running, before = [], [], 0, None
+    for k, (part, first, last) in enumerate(listed):
+        shifts.append(running if before == first["g"] else 0)
+        running = in_last[part] + (running if before == first["g"] == last["g"] else 0)
+        before = last["g"]
+        ends.append(k + 1 == len(listed) or listed[k + 1][1]["g"] != last["g"])
+    lasts = [last["g"] for _, _, last in listed]
+
+    @F.pandas_udf("slot int, shift long, ends boolean")
+    def place(groups: pd.Series, ids: pd.Series) -> pd.DataFrame:
+        rows = []
+        for g, i in zip(groups, ids, strict=True):
+            slot = max(0, bisect_right(starts, (g, i)) - 1)
+            rows.append((slot, shifts[slot] if g == starts[slot][0] else 0, g != lasts[slot] or ends[slot]))
+        return pd.DataFrame(rows, columns=["slot", "shift", "ends"])
+
+    slotted = df.withColumn("__to", place(F.col(group), F.col(order_id))).withColumn("__slot", F.col("__to.slot"))
+    ranged = slotted.repartitionByRange(max(1, len(listed)), "__slot").sortWithinPartitions("__slot", group, order_id)
+    here = Window.partitionBy("__slot", group).orderBy(order_id)
+    numbered = ranged.withColumn("ord", (F.row_number().over(here) - 1 + F.col("__to.shift")).cast("long"))
+    return numbered.withColumn("is_last", F.lead(order_id).over(here).isNull() & F.col("__to.ends")).drop("__to", "__slot")
+
+
 def first_n(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], n: int, out: str | None = None) -> DataFrame:
     """The first ``n`` rows of each group.
 

@@ -29,6 +29,12 @@ def write_report(sections: DataFrame, path: str, partitions: int | None = None)
     write_ordered_text(sections, path, ["section", "ord"], "html", partitions)
 
 
+def write_sorted_report(lines: DataFrame, path: str) -> None:
+    """Write ``report_lines``, which lie in order already: every task writes its range, file names give the order."""
+    written = lines.select("project", F.col("html").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    written.partitionBy("project").text(path)
+
+
 def write_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write the result table, one folder per project, large projects in many files.
 

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
-from corpusloom.operators import scale
+from corpusloom.catalog import samples
+from corpusloom.operators import report, scale
 from corpusloom.sources.tables import read_spread
 
 
@@ -46,3 +47,10 @@ def test_text_queries_are_dealt_out(spark, sf_dir):
 def test_numbering_costs_few_exchanges(spark, sf_dir, name, most):
     plan = plan_of(registry.queries()[name](spark, sf_dir))
     assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") + plan.count("Exchange SinglePartition") <= most
+
+
+def test_report_texts_are_moved_once(spark, sf_dir):
+    """From the scan to the sink, texts and sections pass one exchange."""
+    rows = samples.described(spark, sf_dir).withColumn("explanation", F.lit("why"))
+    plan = plan_of(report.report_lines(rows))
+    assert len([line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]) == 1

@@ -102,3 +102,22 @@ def test_a_hot_group_lies_in_several_ranges(spark, ids):
         assert all(beside[i] == (every[k - 1] if k else None, every[k + 1] if k + 1 < len(every) else None) for k, i in enumerate(every))
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_wide_rows_are_numbered_with_one_exchange(spark, coalesce):
+    rows = [(g, i, f"{g}/{i}") for g, i, _ in rows_with_hot_group(21, 900)] + [("a", 5, "a/5"), ("zz", 1, "zz/1"), ("zz", 2, "zz/2")]
+    df = spark.createDataFrame(rows, "g string, id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        made = scale.numbered_once(df, "g", "id")
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange rangepartitioning" if coalesce == "false" else "Exchange SinglePartition") == 1 and "Exchange hashpartitioning" not in plan
+        got = made.withColumn("at", F.monotonically_increasing_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ordered = sorted((r.g, r.id) for r in got)
+    assert [(r.g, r.id) for r in sorted(got, key=lambda r: r.at)] == ordered and all(r.text == f"{r.g}/{r.id}" for r in got)
+    for group in {r.g for r in got}:
+        mine = [i for g, i in ordered if g == group]
+        assert {(r.id, r.ord, r.is_last) for r in got if r.g == group} == {(i, k, k + 1 == len(mine)) for k, i in enumerate(mine)}
