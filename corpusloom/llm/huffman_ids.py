@@ -242,7 +242,8 @@ def write_ids(docs: DataFrame, folder: str | None = None, tokenizer: str | None
             yield block()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    order = [F.col("doc_id"), F.xxhash64("ids")]  # rows of one id, or of none, are spread by what they hold
+    ordered = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{folder}/blocks")
     return folder
 
