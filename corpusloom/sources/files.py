@@ -96,7 +96,9 @@ def _walk(base: str, folder: str, rules: str, ignore_files: bool, limit: int) ->
 
 
 def qualified(spark: SparkSession, path: str) -> str:
-    """A path with the scheme of the store that it lies on."""
+    """A path with the scheme of the store that it lies on; one that names another scheme than ``file`` has it already."""
+    if not storage.is_local(path):
+        return path.rstrip("/")
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
