@@ -19,13 +19,13 @@ from ..session import materialize
 NULL_SALTS = 4096
 
 
-def _placed(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+def _placed(df: DataFrame, group: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
     """``df`` sorted by (group, order) over all tasks, with ``__part``, its place among the ranges, and ``__at``, its place in the range; kept.
 
     A hot group lies in several ranges, many small groups share one.
     """
     keys = [*group, *order]
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = (df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
     return materialize(ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
 
 
@@ -105,7 +105,9 @@ def numbered_once(df: DataFrame, group: str, order_id: str, narrow: DataFrame |
     numbered where they arrive, and written in that order; wide columns are moved once. Group and id
     must not be NULL, and unique together.
     """
-    placed = _placed((df if narrow is None else narrow).select(group, order_id), [group], [order_id])
+    # wide rows follow the ranges of the narrow ones, so there are as many as shuffle partitions, however narrow those are
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = _placed((df if narrow is None else narrow).select(group, order_id), [group], [order_id], tasks)
     edge = F.struct(F.col(group).alias("g"), F.col(order_id).alias("i"))
     ranges = placed.groupBy("__part").agg(
         F.min_by(edge, "__at").alias("first"), F.max_by(edge, "__at").alias("last")
