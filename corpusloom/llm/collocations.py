@@ -234,10 +234,12 @@ def exact_counts(texts: DataFrame, pairs: Filter, known: Filter, longest: int, l
             words = pa.array([word for _, word in coded.words], pa.binary()).cast(pa.string())
             often = pa.table({"lang": langs, "f": np.bincount(ids, minlength=len(words))}).slice(1).group_by("lang").aggregate([("f", "sum")])
             yield from batches_of(often["lang"], 0, pa.array([""] * len(often)), often["f_sum"])
-            name = ids
+            name, named = ids, np.ones(len(ids), dtype=bool)
             for n, value, whole in _alive(coded, longest, pairs):
                 alive = whole if n == 2 else whole & (pairs if n == 1 else known).passes(value)
-                at = np.flatnonzero(alive)
+                # a filter may pass a phrase and not its beginning; the phrase is rare then, and its beginning has no name
+                named = alive & named[: len(alive)]
+                at = np.flatnonzero(named)
                 key = ids[at] if n == 1 else name[at] * len(words) + ids[at + n - 1]
                 _, first, number, f = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 name = np.zeros(len(value), dtype=np.int64)

@@ -74,6 +74,23 @@ def test_a_full_filter_changes_nothing(spark, odd_rows, monkeypatch):
     assert found(collocations.collocations(table(spark, odd_rows))) == expected(odd_rows)
 
 
+@pytest.mark.parametrize("ors", [1, 2])
+def test_what_a_filter_passes_wrongly_changes_nothing(spark, monkeypatch, ors):
+    """Phrases may pass although their beginnings do not; they are rare, and no other phrase is counted with them."""
+    exact, chance, bits = collocations.bloom, random.Random(7), np.random.default_rng(7)
+    words = [f"w{n}" for n in range(16)]
+    rows = [("en", " ".join(min(chance.choices(words, k=2)) for _ in range(3000))) for _ in range(10)]
+
+    def fuller(survivors):
+        found = exact(survivors)
+        for _ in range(ors):
+            found.words |= bits.integers(0, 2**64, len(found.words), np.uint64)
+        return found
+
+    monkeypatch.setattr(collocations, "bloom", fuller)
+    assert found(collocations.collocations(table(spark, rows, parts=1), covered=1000, top=None)) == expected(rows, covered=1000, top=None)
+
+
 def test_given_documents(spark, sf_dir):
     rows = [(r.lang, r.text) for r in documents(spark, sf_dir).select("lang", "text").collect()]
     assert found(queries.QUERIES["op13_collocations"](spark, sf_dir)) == expected(rows)
