@@ -25,6 +25,7 @@ from ..functions.fixed import (
     SYSTEM_FILE,
 )
 from ..functions.prompting import estimate_tokens
+from ..session import short_batches
 from ..sources import storage
 
 # A client takes one row as a dict (with its ``prompt`` and a ``system`` message) and gives the answer's text, or a
@@ -208,6 +209,7 @@ def infer(
     Without one, compute the result once (write it or ``materialize`` it) before using it
     twice, or the model is called twice.
     """
+    short_batches(prompts.sparkSession)
     threads = min(batch, MAX_CONCURRENCY)
     schema = StructType(list(prompts.schema.fields))
     for name, kind in (("explanation", StringType()), ("error", StringType()), ("attempts", IntegerType()), *[(c, LongType()) for c in COUNTS]):
@@ -249,6 +251,7 @@ def infer(
 
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | StructType) -> DataFrame:
     """A user's own function over batches of rows, in the place of the model call."""
+    short_batches(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

@@ -1,6 +1,7 @@
 """Session settings and the shared folder that cuts lineage."""
 
 import atexit
+import re
 import shutil
 import tempfile
 from uuid import uuid4
@@ -33,6 +34,20 @@ def build_session(master: str | None = None, cores: int | None = None, app: str
     return spark
 
 
+#: Rows and bytes of the batches that carry whole texts to Python.
+BATCH_ROWS, BATCH_BYTES = 512, 4 * 1024 * 1024
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Keep the batches that carry texts to Python small, so that a worker's memory does not follow the rows of its partition; smaller settings stay."""
+    units = {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}
+    for name, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        setting = f"spark.sql.execution.arrow.max{name}PerBatch"
+        found = re.fullmatch(r"(\d+)([bkmg]?)b?", (spark.conf.get(setting, None) or "").lower())
+        if found is None or not 0 < int(found[1]) << units[found[2]] <= most:
+            spark.conf.set(setting, str(most))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; in local mode without one, a scratch folder of this process."""
     context = spark.sparkContext

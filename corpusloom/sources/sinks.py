@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import short_batches
 from .storage import write_bytes
 
 
@@ -60,5 +61,6 @@ def write_files(files: DataFrame, folder: str) -> int:
                 write_bytes(f"{folder}/{path}", (content or "").encode("utf-8", "surrogatepass"))
             yield pd.DataFrame({"written": [len(rows)]})
 
+    short_batches(files.sparkSession)
     written = files.select("relative_path", "content").mapInPandas(run, "written long")
     return written.agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]
