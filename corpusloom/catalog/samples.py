@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators.corpus import detect_language
 from ..operators.prompts import default_templates
 from ..plans.explain import RunConfig
+from ..sources.cache_store import Folder
 from ..sources.tables import as_corpus, code_corpus, read_spread, read_table
 
 USER_TEMPLATE = "Tell {{levelDescription}} about {{language}} file {{filePath}}.\n{{codeContent}}\n$& {{other}}"
@@ -58,6 +59,11 @@ def cache_seed(df: DataFrame) -> DataFrame:
     )
 
 
+def lot_size(spark: SparkSession, folder: str, least: int = 1, lots: int = 4) -> int:
+    """Files that arrive together, at least ``least``, when all files of a folder come in ``lots`` lots at most, however many tasks have written them."""
+    return max(least, -(-sum(name.endswith(".parquet") for name in Folder(spark, folder).names()) // lots))
+
+
 def templates(spark: SparkSession) -> DataFrame:
     user = spark.range(1).select(F.lit("user").alias("layer"), F.lit("explain").alias("mode"), F.lit(USER_TEMPLATE).alias("template"))
     return default_templates(spark).unionByName(user)

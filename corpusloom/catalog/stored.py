@@ -265,13 +265,13 @@ def project_summaries_rounds(spark, sf):
 
 
 def _warm_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, CacheStore]:
-    """Files arriving in lots against a store that knows earlier answers: the results, and the store afterwards."""
+    """Files arriving in lots, four at most, against a store that knows earlier answers: the results, and the store afterwards."""
     base = _folder(spark, "stream")
     files = samples.file_side(samples.files(spark, sf))
     files.repartitionByRange("file_id").write.option("maxRecordsPerFile", max(1, files.count() // 3)).parquet(f"{base}/in")
     store = CacheStore(spark, f"{base}/cache")
     store.write(samples.cache_seed(samples.files(spark, sf)))
-    arriving = incremental.file_stream(spark, f"{base}/in", files.schema, max_files=2)
+    arriving = incremental.file_stream(spark, f"{base}/in", files.schema, max_files=samples.lot_size(spark, f"{base}/in", least=2))
     incremental.explain_stream(
         arriving, store, f"{base}/results", f"{base}/checkpoint", samples.templates(spark), samples.stub_client, samples.CONFIG, F.col("key_path")
     ).awaitTermination()

@@ -15,6 +15,8 @@ from ..session import materialize
 from ..sources.cache_store import CacheStore, KeyedStore
 
 SEEN = "file_size long, mtime_ms long, file_hash string"
+#: Groups of keys in the state of a stream; a checkpoint holds on to their number.
+BUCKETS = 4096
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -30,29 +32,34 @@ def file_stream(spark: SparkSession, folder: str, schema: str | StructType, max_
 class LastSeen(StatefulProcessor):
     """Size, time and hash of every file, kept by its cache key; says which rows may have an answer already.
 
-    All rows of a key in one batch are judged by what the batches before have left.
+    Files come in groups, a bucket of keys each, so the cost of a call into Python is shared by many files; a
+    group's state is a map that is read and written only at the keys that arrive. All rows of a key in one batch are judged
+    by what the batches before have left.
     """
 
     def __init__(self, columns: list[str], expiry_ms: int | None):
         self.columns, self.expiry_ms = columns, expiry_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", SEEN, self.expiry_ms)
+        self.seen = handle.getMapState("seen", "cache_key string", SEEN, self.expiry_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.seen.get() if self.seen.exists() else None
-        newest = None
+        known, newest = {}, {}
         for batch in rows:
-            status = [_status(known, *file) for file in zip(batch["file_size"], batch["mtime_ms"], batch["file_hash"], strict=True)]
-            for file in zip(batch["mtime_ms"], batch["file_size"], batch["file_hash"], strict=True):
-                newest = file if newest is None else max(newest, file)
+            status = []
+            for name, size, mtime_ms, file_hash in zip(*(batch[c] for c in ("cache_key", "file_size", "mtime_ms", "file_hash")), strict=True):
+                if name not in known:
+                    known[name] = self.seen.getValue((name,))
+                status.append(_status(known[name], size, mtime_ms, file_hash))
+                file = (mtime_ms, size, file_hash)
+                newest[name] = max(newest.get(name, file), file)
             yield batch[self.columns].assign(seen_status=status)
-        if newest is not None:
-            self.seen.update((int(newest[1]), int(newest[0]), newest[2]))
+        for name, (mtime_ms, size, file_hash) in newest.items():
+            self.seen.updateValue((name,), (int(size), int(mtime_ms), file_hash))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        first = initialState.iloc[0]
-        self.seen.update((int(first["file_size"]), int(first["mtime_ms"]), first["file_hash"]))
+        for name, size, mtime_ms, file_hash in zip(*(initialState[c] for c in ("cache_key", "file_size", "mtime_ms", "file_hash")), strict=True):
+            self.seen.updateValue((name,), (int(size), int(mtime_ms), file_hash))
 
     def close(self) -> None:
         pass
@@ -65,15 +72,16 @@ def _status(known, size, mtime_ms, file_hash) -> str:
 
 
 def with_seen_status(keyed: DataFrame, before: DataFrame | None = None, expiry_ms: int | None = None) -> DataFrame:
-    """A stream of files with ``seen_status``, from state that is kept by ``cache_key``.
+    """A stream of files with ``seen_status``, from state that is kept by ``cache_key``, in ``BUCKETS`` groups.
 
     ``keyed`` needs (cache_key, file_size, mtime_ms, file_hash), none of them NULL. ``before``, rows with the
     same columns and one for a key, is the state that a new checkpoint starts from. State that was not renewed for
     ``expiry_ms`` is dropped; its files then count as new.
     """
     schema = StructType([*keyed.schema.fields]).add("seen_status", "string")
-    first = None if before is None else before.select("cache_key", *[f.split()[0] for f in SEEN.split(", ")]).groupBy("cache_key")
-    return keyed.groupBy("cache_key").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("cache_key"), F.lit(BUCKETS)).cast("int").alias("_bucket")
+    first = None if before is None else before.select(bucket, "cache_key", *[f.split()[0] for f in SEEN.split(", ")]).groupBy("_bucket")
+    return keyed.select("*", bucket).groupBy("_bucket").transformWithStateInPandas(
         LastSeen(keyed.columns, expiry_ms), schema, "append", "none" if expiry_ms is None else "processingTime", first
     )
 

@@ -767,3 +767,64 @@ def test_shared_folder_follows_the_session(spark):
         shared_folder(session_like("spark://host:7077", None))
     table = materialize(spark.range(3))
     assert table.count() == 3 and shared_folder(spark).removeprefix("file:") in table.inputFiles()[0]
+
+
+class HeldState:
+    """A map state as a stream's processor sees it."""
+
+    def __init__(self):
+        self.held = {}
+        self.getValue, self.updateValue = self.held.get, self.held.__setitem__
+
+    def getMapState(self, *_):
+        return self
+
+
+def test_files_of_a_bucket_share_one_call():
+    """Three keys in one group, one of them twice: each is judged by what was held before the batch."""
+    state, seen = HeldState(), incremental.LastSeen(["cache_key"], None)
+    seen.init(state)
+    columns = ["cache_key", "file_size", "mtime_ms", "file_hash"]
+    seen.handleInitialState((1,), pd.DataFrame([("a", 5, 100, "x"), ("b", 5, 100, "y")], columns=columns), None)
+    lots = [pd.DataFrame([("a", 5, 100, "x"), ("b", 5, 101, "y"), ("c", 5, 100, "z")], columns=columns), pd.DataFrame([("c", 6, 90, "w")], columns=columns)]
+    found = pd.concat(seen.handleInputRows((1,), iter(lots), None))
+    assert list(zip(found["cache_key"], found["seen_status"], strict=True)) == [("a", "hit"), ("b", "refresh"), ("c", "miss"), ("c", "miss")]
+    assert state.held == {("a",): (5, 100, "x"), ("b",): (5, 101, "y"), ("c",): (5, 100, "z")}
+
+
+@pytest.mark.parametrize("tasks", [1, 10])
+def test_files_arrive_in_few_lots_whatever_wrote_them(spark, tmp_path, tasks):
+    spark.range(90).repartition(tasks).write.option("maxRecordsPerFile", 30).parquet(f"{tmp_path}/in")
+    assert [samples.lot_size(spark, f"{tmp_path}/in", least) for least in (1, 2)] == [-(-tasks // 4), max(2, -(-tasks // 4))]
+
+
+def test_batches_with_texts_are_short(spark, tmp_path):
+    """Batches that go to Python are bounded in rows and bytes, whatever the session had."""
+    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for length, most in ((10, 512), (100_000, 45)):
+        texts = spark.range(1500).select(F.col("id").cast("string").alias("relative_path"), F.repeat(F.lit("x"), length).alias("content")).coalesce(1)
+        spark.conf.set(records, "10000")
+        found = infer.map_batches(texts, lambda pdf: pd.DataFrame({"n": [len(pdf)]}), "n long").agg(F.max("n"), F.sum("n")).first()
+        assert found[0] <= most and found[1] == 1500
+        spark.conf.set(records, "10000")
+        asked = texts.select(F.col("content").alias("prompt"))
+        assert infer.infer(asked, lambda: lambda row: "a", attempts=0).count() == 1500 and spark.conf.get(records) == "512"
+    spark.conf.set(records, "10000")
+    assert sinks.write_files(texts.limit(3), str(tmp_path)) == 3 and spark.conf.get(records) == "512"
+    spark.conf.set(records, "100")
+    infer.map_batches(texts, lambda pdf: pdf, texts.schema)
+    assert spark.conf.get(records) == "100"
+    spark.conf.set(records, "512")
+
+
+def test_templates_are_read_by_few_tasks(spark, tmp_path):
+    """Many small files are no reason for many tasks; other names and folders below are left out."""
+    for n in range(400):
+        (tmp_path / f"m {n}.md").write_text(f"body {n}")
+    (tmp_path / "none.md").write_text("")
+    (tmp_path / "below").mkdir()
+    for name in ("_x.md", ".y.md", "z.txt", "below/w.md"):
+        (tmp_path / name).write_text("not this")
+    templates = load_templates(spark, str(tmp_path))
+    assert rows(templates, "layer", "mode", "template") == sorted([("default", f"m {n}", f"body {n}") for n in range(400)])
+    assert templates.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
