@@ -367,7 +367,7 @@ def graph_text(spark, sf):
 
 @register
 def architecture_report(spark, sf):
-    rows = graph.architecture_report(structure(samples.spread_files(spark, sf)))
+    rows = graph.architecture_report(structure(samples.spread_files(spark, sf), *graph.REPORT_COLUMNS))
     return rows.drop("section_no")
 
 
@@ -770,14 +770,14 @@ def merge_variants(spark, sf):
 
 @register
 def stream_usage(spark, sf):
-    """Files arriving in three lots, explained as they come, with running totals per project."""
+    """Files arriving in three lots (four with a rest), explained as they come, with running totals per project."""
     from uuid import uuid4
 
     base = f"{shared_folder(spark)}/stream-{uuid4().hex}"
     files = samples.file_side(samples.files(spark, sf)).drop("relative_path").withColumnRenamed("key_path", "relative_path")
     files.write.option("maxRecordsPerFile", max(1, files.count() // 3)).parquet(f"{base}/in")
     store = CacheStore(spark, f"{base}/cache")
-    arriving = incremental.file_stream(spark, f"{base}/in", files.schema, max_files=1)
+    arriving = incremental.file_stream(spark, f"{base}/in", files.schema, max_files=samples.lot_size(spark, f"{base}/in"))
     incremental.explain_stream(
         arriving, store, f"{base}/results", f"{base}/c1", samples.templates(spark), samples.stub_client, samples.CONFIG
     ).awaitTermination()

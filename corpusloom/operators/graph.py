@@ -313,6 +313,10 @@ def dependency_summary(records: DataFrame, per_part: int = 1000) -> DataFrame:
     )
 
 
+#: What ``architecture_report`` reads of the records, to be named to ``plans.structure.structure``.
+REPORT_COLUMNS = ("language", "name", "type", "n_functions", "dependencies", "is_entry", "db_connections", "api_connections")
+
+
 def architecture_report(records: DataFrame) -> DataFrame:
     """The component report as ordered rows: title, component table, badges, metrics."""
     classified = materialize(classify_dependencies(records))
