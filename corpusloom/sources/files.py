@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.fixed import CODE_EXTENSIONS, EXCLUDES, MAX_FILE_SIZE_MB, OUTPUT_PREFIX
-from ..session import materialize
+from ..session import BATCH_BYTES, materialize
 from . import storage
 
 IGNORE_FILE = ".gitignore"
@@ -152,15 +152,20 @@ def list_files(
 
 
 def with_content(listed: DataFrame) -> DataFrame:
-    """Listed files with their bytes, read one at a time inside the tasks."""
+    """Listed files with their bytes, read inside the tasks and handed on as soon as they have ``BATCH_BYTES``."""
     tasks = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = listed.agg(F.sum("length")).first()[0] or 0
 
     def run(batches):
         for batch in batches:
-            for n, path in enumerate(batch.column("path").to_pylist()):
-                content = pa.array([storage.read_bytes(path)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.slice(n, 1).columns, content], names=[*batch.schema.names, "content"])
+            first, found, size = 0, [], 0
+            for path in batch.column("path").to_pylist():
+                found.append(storage.read_bytes(path))
+                size += len(found[-1])
+                if size >= BATCH_BYTES or first + len(found) == batch.num_rows:
+                    part = batch.slice(first, len(found)).columns
+                    yield pa.RecordBatch.from_arrays([*part, pa.array(found, pa.binary())], names=[*batch.schema.names, "content"])
+                    first, found, size = first + len(found), [], 0
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listed.schema)
     return listed.repartition(max(tasks, -(-size // READ)), "path").mapInArrow(run, f"{fields}, content binary")
